@@ -19,6 +19,7 @@ TO_LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text rows are long, so Arrow batches are kept short: memory follows rows * longest text.
 BATCH_ROWS = "512"
+BATCH_BYTES = "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), ROOT) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

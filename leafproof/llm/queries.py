@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import chat, sharding, urls
+from . import bpe, chat, sharding, tokens, urls
 from .common import prepare, table
 
 #: The host and path rules of the url filter.
@@ -21,6 +21,31 @@ URL_RULES = [
 ]
 
 
+def public(name: str) -> str:
+    """A file of the box's public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokens.count_tokens(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public("byte_bpe_50k.tiktoken")
+    out = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return out.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page outcomes: the label of the page's id; bad if of low quality or toxic."""
     labels = table(spark, sf_dir, "labels")
@@ -53,6 +78,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op8_byte_bpe": op8_byte_bpe,
     "op5_url_filters": op5_url_filters,
     "op7_chat_format": op7_chat_format,
     "op10_sharding": op10_sharding,
