@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, sharding, tokens, urls
+from . import bpe, chat, quality, sharding, tokens, toxicity, urls
 from .common import prepare, table
 
 #: The host and path rules of the url filter.
@@ -28,6 +28,18 @@ def public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "chunk_share"]
+    out = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *[F.col("judged")[c].alias(c) for c in names])
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.count_tokens(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -78,6 +90,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_quality_rules": op3_quality_rules,
     "op2_token_counts": op2_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
     "op5_url_filters": op5_url_filters,
