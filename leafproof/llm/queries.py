@@ -41,7 +41,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = tokens.count_tokens(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
+    import public_tokenizers
+
+    out = tokens.count_tokens(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 

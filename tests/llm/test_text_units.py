@@ -27,8 +27,9 @@ def test_token_counts_equal_the_library(docs):
     tok = tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
     want = sorted((r.doc_id is not None, r.doc_id or 0, len((r.text or "").encode()), len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
     for huge, chunk, overlap in ((10**6, 10**6, 10**5), (100, 200, 40)):
-        got = tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), huge, chunk, overlap).collect()
-        assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_tokens) for r in got) == want
+        for pattern in (None, public_tokenizers.PATTERN):
+            got = tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), pattern, huge, chunk, overlap).collect()
+            assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_tokens) for r in got) == want
 
 
 def test_bpe_round_trip_equals_tiktoken(docs):
