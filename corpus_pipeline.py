@@ -2,16 +2,60 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafproof.llm import common
+from leafproof.llm import bpe, common, decontam, neardup, quality, toxicity
 
-STAGES: list = []
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier, fitted on the labelled ones, does not reject."""
+    common.prepare(spark)
+    model = toxicity.learn(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, "_score").filter("_score < 0.5").drop("_score")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the word rules and the compression bands."""
+    common.prepare(spark)
+    return quality.judge(docs, out="_judged").filter("_judged.kept").drop("_judged")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least doc_id (five words, 0.8)."""
+    common.prepare(spark)
+    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    common.prepare(spark)
+    return decontam.remove_leaks(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document that is left: doc_id, n_tokens, ids (little-endian unsigned 32-bit)."""
+    common.prepare(spark)
+    out = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("byte_bpe", encode),
+]
+
+#: Fitted, compressed and tokenised decisions are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; what each keeps is written to the shared folder for the next."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = common.durable(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .resync import chunked, keyed, resynchronise
 
@@ -70,15 +69,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, huge: int = 50_000, c
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import regex
 
         find, pieces = regex.compile(pattern).findall, Pieces(ranks_path, pattern)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [b"".join(map(pieces.__getitem__, find(t))) for t in b["text"]]})
+            yield pd.Series([b"".join(map(pieces.__getitem__, find(t))) for t in b])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    short = base.filter(F.length("text") <= huge).mapInPandas(whole, f"doc_id {id_type}, ids binary")
+    short = base.filter(F.length("text") <= huge).select("doc_id", whole("text").alias("ids"))
     long = keyed(base.filter(F.length("text") > huge))
 
     def owned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,15 +113,13 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded's columns and decoded (binary): the bytes of ids, concatenated. Null ids decode to null.
     An existing column named decoded is replaced. Raises for an id outside the ranks."""
 
-    def bytes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def bytes_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ranks = read_ranks(ranks_path)
         raw = [b""] * (1 + max(ranks.values()))
         for piece, k in ranks.items():
             raw[k] = piece
         for b in batches:
-            b["decoded"] = [None if x is None else b"".join(map(raw.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in b["ids"]]
-            yield b
+            yield pd.Series([None if x is None else b"".join(map(raw.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in b])
 
-    out = encoded.drop("decoded")
-    schema = T.StructType([*out.schema.fields, T.StructField("decoded", T.BinaryType())])
-    return out.mapInPandas(bytes_of, schema)
+    return encoded.withColumn("decoded", bytes_of("ids"))

@@ -88,7 +88,7 @@ def bitmap(df: DataFrame, column: str) -> tuple[int, bytes]:
     words = (
         df.select(probe.alias("p"))
         .groupBy(F.shiftright("p", 5).alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(31)).cast("int"))).alias("set"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(31)).cast("int"))).alias("set"))
         .toPandas()
     )
     out = np.zeros(1 << (bits - 5), dtype=np.uint32)

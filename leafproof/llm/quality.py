@@ -30,7 +30,7 @@ class Bands:
     a document's chunked bytes that may lie in chunks outside their band."""
 
     limits: tuple[tuple[int, float, float], ...] = (
-        (128, 0.40, 1.10), (256, 0.35, 1.00), (512, 0.32, 0.95), (1024, 0.28, 0.90), (2048, 0.25, 0.85), (8192, 0.22, 0.80), (32768, 0.20, 0.75),
+        (128, 0.40, 1.10), (256, 0.35, 1.00), (512, 0.32, 0.92), (1024, 0.28, 0.85), (2048, 0.25, 0.78), (8192, 0.22, 0.72), (32768, 0.20, 0.68),
     )
     chunk: int = 4096
     share: float = 0.25

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, quality, sharding, tokens, toxicity, urls
+from . import bpe, chat, decontam, neardup, quality, sharding, tokens, toxicity, urls
 from .common import prepare, table
 
 #: The host and path rules of the url filter.
@@ -60,6 +60,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaking documents, with the items they leak."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page outcomes: the label of the page's id; bad if of low quality or toxic."""
     labels = table(spark, sf_dir, "labels")
@@ -69,6 +74,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad", F.round("bad_bound", 6).alias("bad_bound"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, limit=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     schema = T.StructType().add("conv_id", "long").add("turn", "long").add("role", "string").add("text", "string")
@@ -96,7 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op2_token_counts": op2_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
+    "op4_decontamination": op4_decontamination,
     "op5_url_filters": op5_url_filters,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op7_chat_format": op7_chat_format,
     "op10_sharding": op10_sharding,
 }
