@@ -1,0 +1,144 @@
+"""Exact search: scopes, phrase lookup, verification, disclosure. Nothing here is fuzzy."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from leafproof.functions import text as T
+
+#: The keys a scope may filter on; others are refused before planning.
+SCOPE_KEYS = ("doc_id", "revision", "is_current", "page_no", "lang", "has_text", "text_trust")
+#: A result is weak above so many hits, or above this part of its scope.
+WEAK_HITS, WEAK_SHARE = 20, 0.25
+PRESENT_CAP, LEAST_PREFIX, MOST_CUT = 5, 2, 2
+
+
+class ScopeError(ValueError):
+    """A scope names a key that is not indexed."""
+
+
+def scope(pages: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """Scalar: equality; list: any of; None or an empty list: no condition; an unknown key is refused."""
+    for key, value in wanted.items():
+        if key not in SCOPE_KEYS:
+            raise ScopeError(key)
+        if value is None or value == []:
+            continue
+        pages = pages.filter(F.col(key).isin(*value) if isinstance(value, (list, tuple)) else F.col(key) == value)
+    return pages
+
+
+def current_only(pages: DataFrame) -> DataFrame:
+    return pages.filter("is_current")
+
+
+def trusted(pages: DataFrame) -> DataFrame:
+    """Pages whose text may be searched. Looks at trust alone."""
+    return pages.filter(~F.col("text_trust").isin("untrusted", "no_text"))
+
+
+def searchable(pages: DataFrame) -> DataFrame:
+    """Trusted pages that also have text."""
+    return trusted(pages).filter("has_text")
+
+
+def phrase(norm: Column, label: str) -> Column:
+    """An OR of substring tests over the label's spellings, made on the driver so that it can reach the scan."""
+    import re
+
+    one, bare = re.sub(r"\s+", " ", label).strip(), re.sub(r"\s+", "", label)
+    apart = re.sub(r"([0-9])([^\W\d_])", r"\1 \2", re.sub(r"([^\W\d_])([0-9])", r"\1 \2", bare))
+    out = F.lit(False)
+    for v in dict.fromkeys([one, bare, apart]):
+        words = T.tok(v)
+        if words:
+            out = out | norm.contains(f" {' '.join(words)} ")
+    return out
+
+
+def lookup_hits(pages: DataFrame, label: str, wanted: dict[str, object] | None = None) -> DataFrame:
+    """Current, searchable pages in scope that print the label."""
+    return trusted(current_only(scope(pages, wanted or {}))).filter(phrase(F.col("norm"), label))
+
+
+def first_pages_of(hits: DataFrame, cap: int = 20) -> DataFrame:
+    """The first `cap` hits by page number, then in the order of their documents."""
+    return hits.orderBy("page_no", "page_id").limit(cap).orderBy("doc_id", "revision", "page_no")
+
+
+def absence(total: Column, pages: Column, with_text: Column) -> Column:
+    """The typed status of a lookup: an empty result is never ok."""
+    return F.when(total > 0, "ok").when(pages == 0, "out_of_scope").when(with_text == 0, "not_searchable").otherwise("not_found")
+
+
+def lookup_summary(pages: DataFrame, labels: DataFrame, cap: int = 20) -> DataFrame:
+    """Per label (claim): total, unverified (hits on pages that can't be trusted), capped, weak, status.
+
+    Labels meet pages by the rarest token of each spelling, an equi-join; then comes the phrase test. So no page is
+    compared with a label it shares only common tokens with.
+    """
+    base = current_only(pages)
+    spelt = labels.select("claim", F.explode(T.variants(F.col("claim"))).alias("v")).select("claim", T.normal(F.col("v")).alias("n"), F.explode(T.tokens(F.col("v"))).alias("token"))
+    first = base.select("page_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).join(spelt.select("token").distinct(), "token", "left_semi")
+    often = first.groupBy("token").agg(F.count("*").alias("df"))
+    rarest = F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token")
+    wanted = spelt.join(often, "token", "left").groupBy("claim", "n").agg(rarest)
+    pairs = first.join(wanted, "token").join(base.select("page_id", "norm", "text_trust"), "page_id")
+    hits = pairs.filter(F.col("norm").contains(F.col("n"))).select("claim", "page_id", "text_trust").distinct()
+    bad = F.col("text_trust").isin("untrusted", "no_text")
+    found = hits.groupBy("claim").agg(F.count_if(~bad).alias("total"), F.count_if(bad).alias("unverified"))
+    size = base.agg(F.count("*").alias("pages"), F.count_if(F.expr("has_text")).alias("with_text"))
+    total = F.coalesce("total", F.lit(0))
+    return labels.join(found, "claim", "left").select(
+        "item_id", "claim", total.alias("total"), F.coalesce("unverified", F.lit(0)).alias("unverified"), (total > cap).alias("capped"),
+        (total > F.greatest(F.lit(float(WEAK_HITS)), WEAK_SHARE * size.select("pages").scalar())).alias("weak"),
+        absence(total, size.select("pages").scalar(), size.select("with_text").scalar()).alias("status"),
+    )
+
+
+def uncheckable() -> Column:
+    """Why a page cannot confirm or deny anything, or null."""
+    return F.when(~F.col("is_current"), "not_current").when(F.col("text_trust") == "no_text", "no_text").when(F.col("text_trust") == "untrusted", "untrusted")
+
+
+def verify_matrix(pairs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(claim, page_id) -> state (present, absent, unverifiable, page_not_found) and reason: one row a pair."""
+    known = pages.select("page_id", "norm", "is_current", "text_trust").withColumn("here", F.lit(True))
+    got = pairs.join(known, "page_id", "left")
+    reason = F.when(F.col("here").isNull(), "page_not_found").otherwise(uncheckable())
+    state = F.when(reason.isNotNull(), "unverifiable").when(T.printed(F.col("norm"), F.col("claim")), "present").otherwise("absent")
+    return got.select("claim", "page_id", state.alias("state"), reason.alias("reason"))
+
+
+def verify_claims(matrix: DataFrame) -> DataFrame:
+    """Per claim: any present, else any absent, else unverifiable; the reason if it is one, else mixed."""
+    has = lambda s: F.max(F.when(F.col("state") == s, 1).otherwise(0)) == 1
+    state = F.when(has("present"), "present").when(has("absent"), "absent").otherwise("unverifiable")
+    reason = F.when(F.count_distinct("reason") > 1, "mixed").otherwise(F.max("reason"))
+    return matrix.groupBy("claim").agg(state.alias("state"), F.count_if(F.col("state") == "present").alias("n_present"), F.count("*").alias("n_pages"), reason.alias("r")).select(
+        "claim", "state", "n_present", "n_pages", F.when(F.col("state") == "unverifiable", F.col("r")).alias("reason")
+    )
+
+
+def observed_tokens(pages: DataFrame) -> DataFrame:
+    """(doc_id, token): the distinct code-like tokens of searchable pages."""
+    return searchable(pages).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).filter(T.is_code(F.col("token"))).distinct()
+
+
+def present_instead(claims: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Observed tokens that share the longest prefix with a claim's key, five at most for each claim.
+
+    claims: claim, doc_id. Prefixes are made on the claim's side (its key and the key less one or two characters), so
+    the search is an equi-join for each cut, never a scan.
+    """
+    key = T.claim_key(F.col("claim"))
+    least = F.greatest(F.lit(LEAST_PREFIX), F.length("key") - MOST_CUT)
+    cuts = claims.withColumn("key", key).filter(F.length("key") >= LEAST_PREFIX).withColumn("size", F.explode(F.sequence(least, F.length("key"))))
+    cuts = cuts.withColumn("prefix", F.expr("substring(key, 1, size)"))
+    stems = inventory.withColumn("size", F.explode(F.sequence(F.lit(LEAST_PREFIX), F.greatest(F.lit(LEAST_PREFIX), F.length("token"))))).filter(F.length("token") >= LEAST_PREFIX)
+    stems = stems.withColumn("prefix", F.expr("substring(token, 1, size)"))
+    both = cuts.join(stems.drop("size"), ["doc_id", "prefix"]).filter("token != key")
+    w = Window.partitionBy("claim", "doc_id")
+    best = both.withColumn("longest", F.max("size").over(w)).filter("size = longest").select("claim", "doc_id", "token", "size").distinct()
+    return best.withColumn("nth", F.row_number().over(w.orderBy("token"))).filter(F.col("nth") <= PRESENT_CAP)
