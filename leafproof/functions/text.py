@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 #: The URL namespace of name-based UUIDs (RFC 9562), as hex.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -21,7 +22,7 @@ def tok(text: str) -> list[str]:
     return [t.lower() for t in re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", text))]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ST.ArrayType(ST.StringType()))
 def tok_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """`tok` for texts outside NFKC form, to be run once when pages are written."""
     for b in batches:

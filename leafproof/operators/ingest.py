@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CAP, SMALL = 30, 10
-DOC = Window.partitionBy("doc_id", "revision").orderBy("page_no")
+
+
+def by_page() -> Window:
+    """A document revision's pages in order."""
+    return Window.partitionBy("doc_id", "revision").orderBy("page_no")
 
 
 def split_oversized(ranges: DataFrame, cap: int = CAP) -> DataFrame:
@@ -52,7 +56,7 @@ def plan_windows(starts: DataFrame, pages: DataFrame, cap: int = CAP) -> DataFra
 def interpolate(forms: DataFrame) -> DataFrame:
     """An unlabelled page between digit labels n - 1 and n + 1 gets n."""
     number = lambda c: F.when(c.rlike("^[0-9]+$"), c.cast("long"))
-    before, after = number(F.lag("printed_label").over(DOC)), number(F.lead("printed_label").over(DOC))
+    before, after = number(F.lag("printed_label").over(by_page())), number(F.lead("printed_label").over(by_page()))
     fill = F.col("printed_label").isNull() & (after - before == 2)
     return forms.withColumn("interpolated", F.coalesce(fill, F.lit(False))).withColumn("label", F.when(fill, (before + 1).cast("string")).otherwise(F.col("printed_label")))
 
@@ -60,7 +64,7 @@ def interpolate(forms: DataFrame) -> DataFrame:
 def drops(forms: DataFrame) -> DataFrame:
     """Per document: decreases between consecutive numeric labels."""
     n = forms.filter(F.col("printed_label").rlike("^[0-9]+$")).withColumn("v", F.col("printed_label").cast("long"))
-    n = n.withColumn("p", F.lag("v").over(DOC))
+    n = n.withColumn("p", F.lag("v").over(by_page()))
     return n.groupBy("doc_id", "revision").agg(F.count("*").alias("labelled"), F.count_if(F.expr("v < p")).alias("drops"))
 
 

@@ -301,13 +301,13 @@ def missing_pages(c: Corpus) -> DataFrame:
 
 @query
 def offset_witness(c: Corpus) -> DataFrame:
-    s = ingest.sightings(c.forms, ingest.DOC)
+    s = ingest.sightings(c.forms, ingest.by_page())
     return s.select("page_id", "code", "here", "on_prev", "on_next")
 
 
 @query
 def offset_check(c: Corpus) -> DataFrame:
-    s = ingest.sightings(c.forms, ingest.DOC)
+    s = ingest.sightings(c.forms, ingest.by_page())
     w = s.groupBy("doc_id", "revision", F.floor((F.col("page_no") - 1) / 30).alias("window")).agg(F.count_if(F.expr("here")).alias("confirmed"), F.count_if(F.expr("not here and on_prev")).alias("back"), F.count_if(F.expr("not here and on_next")).alias("ahead"))
     shifted = lambda k: (F.col(k) >= 2) | ((F.col(k) == 1) & (F.col("confirmed") == 0))
     return w.withColumn("shifted", shifted("back") | shifted("ahead"))
@@ -344,7 +344,7 @@ def attribute_labels(c: Corpus) -> DataFrame:
 
 @query
 def page_neighbours(c: Corpus) -> DataFrame:
-    return c.pages.select("page_id", F.lag("page_id").over(ingest.DOC).alias("prev_page"), F.lead("page_id").over(ingest.DOC).alias("next_page"))
+    return c.pages.select("page_id", F.lag("page_id").over(ingest.by_page()).alias("prev_page"), F.lead("page_id").over(ingest.by_page()).alias("next_page"))
 
 
 @query
