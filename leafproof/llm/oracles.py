@@ -18,19 +18,19 @@ WITH split AS (
   SELECT host, n::DOUBLE AS n, bad::DOUBLE AS bad, l[1] AS suffix, CASE WHEN len(l) > 1 THEN l[2] || '.' || l[1] ELSE host END AS domain FROM h
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
-whole AS (SELECT coalesce(sum(bad) / sum(n), 0.0) AS g FROM suffixes),
-s1 AS (SELECT s.*, g AS m FROM suffixes s, whole),
+whole AS (SELECT coalesce(sum(bad) / sum(n), 0.0) AS g, coalesce(sum(n), 0) AS gn FROM suffixes),
+s1 AS (SELECT s.*, g AS m, gn AS k FROM suffixes s, whole),
 ws AS (SELECT sum(n * (bad / n - m) ^ 2 / (m * (1 - m))) - (count(*) - 1) AS o, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS r FROM s1 WHERE m * (1 - m) > 0),
 wsw AS (SELECT CASE WHEN r > 0 AND o / r > 0 THEN least(1000.0, greatest(1.0, (1 - o / r) / (o / r))) ELSE 1000.0 END AS w FROM ws),
-s2 AS (SELECT suffix, (bad + w * m) / (n + w) AS m FROM s1, wsw),
-d1 AS (SELECT d.*, m FROM domains d JOIN s2 USING (suffix)),
+s2 AS (SELECT suffix, (bad + v * m) / (n + v) AS m, n + v AS k FROM (SELECT *, least(w, greatest(0.0, k - n)) AS v FROM s1, wsw)),
+d1 AS (SELECT d.*, m, k FROM domains d JOIN s2 USING (suffix)),
 wd AS (SELECT sum(n * (bad / n - m) ^ 2 / (m * (1 - m))) - (count(*) - 1) AS o, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS r FROM d1 WHERE m * (1 - m) > 0),
 wdw AS (SELECT CASE WHEN r > 0 AND o / r > 0 THEN least(1000.0, greatest(1.0, (1 - o / r) / (o / r))) ELSE 1000.0 END AS w FROM wd),
-d2 AS (SELECT domain, (bad + w * m) / (n + w) AS m FROM d1, wdw),
-h1 AS (SELECT hosts.*, m FROM hosts JOIN d2 USING (domain)),
+d2 AS (SELECT domain, (bad + v * m) / (n + v) AS m, n + v AS k FROM (SELECT *, least(w, greatest(0.0, k - n)) AS v FROM d1, wdw)),
+h1 AS (SELECT hosts.*, m, k FROM hosts JOIN d2 USING (domain)),
 wh AS (SELECT sum(n * (bad / n - m) ^ 2 / (m * (1 - m))) - (count(*) - 1) AS o, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS r FROM h1 WHERE m * (1 - m) > 0),
 whw AS (SELECT CASE WHEN r > 0 AND o / r > 0 THEN least(1000.0, greatest(1.0, (1 - o / r) / (o / r))) ELSE 1000.0 END AS w FROM wh),
-h2 AS (SELECT host, n, bad, (bad + w * m) / (n + w) AS p, n + w AS k FROM h1, whw),
+h2 AS (SELECT host, n, bad, (bad + v * m) / (n + v) AS p, n + v AS k FROM (SELECT *, least(w, greatest(0.0, k - n)) AS v FROM h1, whw)),
 h3 AS (SELECT host, n, bad, greatest(0.0, p - 1.645 * sqrt(p * (1 - p) / (k + 1))) AS bound FROM h2),
 ruled AS (
   SELECT split.*, CASE
