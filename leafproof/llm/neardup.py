@@ -7,9 +7,10 @@ independent ones. Bands of ROWS bins are joined. Their number makes a pair at th
 probability.
 
 Equal sets are told once, as a class. A bucket's pairs are never written out: its members are compared with one pivot,
-links are confirmed on full sets, and classes already connected need no comparison with each other. Buckets that still
-hold several components get further pivots; when these no longer connect anything, the pairs of different components
-that are left are all compared. So no link between components is lost, and a bucket of n copies costs n comparisons.
+links are confirmed on full sets, and classes already connected need no comparison with each other. Members of buckets
+that still hold several components are compared by an exact prefix join instead: of two sets that reach the limit, the
+rarest few shingles of each share one, so only classes that share such a shingle and differ in component are compared.
+No link between components is lost, and a bucket of n copies costs n comparisons.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from .components import components
 from .shingles import Shingler
 
 ROWS, MISS = 5, 1e-7
-#: Pivot rounds before what is left is compared in full.
-PIVOTS = 4
 EMPTY = np.uint64(2**64 - 1)
+#: Classes up to which a bucket's pairs have all been compared with the pivot's.
+LEAST_OPEN = 2
 
 
 def bands_for(limit: int, rows: int = ROWS) -> int:
@@ -88,28 +89,24 @@ def _sketches(docs: DataFrame, k: int, bands: int) -> DataFrame:
     return docs.select("doc_id", run("text").alias("s")).select("doc_id", F.col("s.n").alias("n_shingles"), "s.key", "s.bands")
 
 
-def _sets(docs: DataFrame, k: int, keys: DataFrame) -> DataFrame:
-    """(key, elements) of the classes in keys. Texts are shingled again and only sets whose key may be among them
-    leave the task: a bounded bitmap thins them out, the join decides."""
-    word = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("bigint")
-    bits, raw = bitmap(keys.select(word.alias("h")), "h")
+def _sets(docs: DataFrame, k: int, classes: DataFrame) -> DataFrame:
+    """(key, elements) of classes (key, rep). Their representatives' texts are shingled again: a bounded bitmap of
+    doc_ids thins out the others, and the join decides."""
+    bits, raw = bitmap(classes.select(F.xxhash64("rep").alias("h")), "h")
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s, words = Shingler(), np.frombuffer(shared.value, dtype=np.uint32)
         for b in batches:
             rows = []
-            for t in b["text"]:
+            for t in b["text"][in_bitmap(bits, words, b["h"].to_numpy(dtype=np.int64).view(np.uint64))]:
                 e = np.unique(s.windows(s.hashes(s.words(t or "")), k))
-                if not len(e):
-                    continue
-                key = set_key(e)
-                if in_bitmap(bits, words, np.array([int(key.hex()[:15], 16)], dtype=np.uint64))[0]:
-                    rows.append((key, e.view(np.int64)))
+                if len(e):
+                    rows.append((set_key(e), e.view(np.int64)))
             yield pd.DataFrame(rows, columns=["key", "elements"])
 
-    found = docs.select("text").mapInPandas(run, "key binary, elements array<bigint>")
-    return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("elements").alias("elements"))
+    found = docs.select("text", F.xxhash64("doc_id").alias("h")).mapInPandas(run, "key binary, elements array<bigint>")
+    return found.join(classes, "key", "left_semi").groupBy("key").agg(F.first("elements").alias("elements"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
@@ -124,6 +121,29 @@ def _may_reach(n: Column, m: Column, limit: int) -> Column:
     return 100 * F.least(n, m) >= limit * F.greatest(n, m)
 
 
+def _pivot_pairs(members: DataFrame, limit: int) -> DataFrame:
+    """Each member of a bucket with the bucket's pivot."""
+    of = F.struct(F.xxhash64("key", "bucket").alias("h"), "key", "n")
+    pivots = members.groupBy("bucket").agg(F.min(of).alias("p")).select("bucket", F.col("p.key").alias("q"), F.col("p.n").alias("qn"))
+    pairs = members.join(pivots, "bucket").filter((F.col("key") != F.col("q")) & _may_reach(F.col("n"), F.col("qn"), limit))
+    return pairs.select(F.least("key", "q").alias("a"), F.greatest("key", "q").alias("b")).distinct()
+
+
+def _prefix_pairs(some: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
+    """some: (key, c), classes and their components. All pairs of classes of different components that may reach the
+    limit: by the first n - ceil(limit n / 100) + 1 shingles of each set in the order of rarity among `some`."""
+    each = some.join(sets, "key").select("key", "c", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    often = each.groupBy("e").agg(F.count("*").alias("df"))
+    rare = each.join(often, "e").groupBy("key").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
+    length = F.col("n") - F.ceil(F.lit(limit) * F.col("n") / 100).cast("int") + 1
+    heads = rare.select("key", "c", "n", F.explode(F.slice("es", F.lit(1), length)).alias("x")).filter("x.df > 1").select("key", "c", "n", "x.e")
+    mixed = heads.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("e")
+    heads = heads.join(mixed, "e")
+    other = heads.select("e", F.col("key").alias("q"), F.col("c").alias("qc"), F.col("n").alias("qn"))
+    pairs = heads.join(other, "e").filter((F.col("c") < F.col("qc")) & _may_reach(F.col("n"), F.col("qn"), limit))
+    return pairs.select(F.least("key", "q").alias("a"), F.greatest("key", "q").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, limit: int = 80) -> DataFrame:
     """Link docs (doc_id, text) whose sets of k-word shingles have 100 * intersection >= limit * union.
 
@@ -141,43 +161,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, limit: int = 80) -> DataFrame:
     buckets = classes.select("key", "n", F.explode("bands").alias("bucket"))
     several = buckets.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
     members = durable(buckets.join(several, "bucket"), "buckets")  # of buckets with two classes or more
-    sets = durable(_sets(docs, k, members.select("key").distinct()), "sets")
-    links, labels = None, None
-    tried = None
-    for turn in range(PIVOTS + 1):
-        if labels is None:
-            left = members.withColumn("c", F.col("key"))
-        else:
-            left = members.join(labels, members["key"] == labels["node"], "left").select("key", "n", "bucket", F.coalesce("component", "key").alias("c"))
-            open_ = left.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("bucket")
-            left = durable(left.join(open_, "bucket"), "open")
-        if turn < PIVOTS:
-            # one pivot a bucket, another one each turn
-            of = F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "c")
-            pivots = left.groupBy("bucket").agg(F.min(of).alias("p")).select("bucket", F.col("p.key").alias("q"), F.col("p.n").alias("qn"), F.col("p.c").alias("qc"))
-            pairs = left.join(pivots, "bucket").filter((F.col("c") != F.col("qc")) & _may_reach(F.col("n"), F.col("qn"), limit))
-            pairs = pairs.select(F.least("key", "q").alias("a"), F.greatest("key", "q").alias("b"))
-        else:
-            other = left.select(F.col("key").alias("q"), F.col("n").alias("qn"), F.col("c").alias("qc"), "bucket")
-            pairs = left.join(other, "bucket").filter((F.col("c") < F.col("qc")) & _may_reach(F.col("n"), F.col("qn"), limit))
-            pairs = pairs.select(F.least("key", "q").alias("a"), F.greatest("key", "q").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = durable(pairs, "pairs")
-        if turn and pairs.isEmpty():
-            if turn == PIVOTS or left.isEmpty():
-                break
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = durable(_confirmed(pairs, sets, limit), "confirmed")
-        if new.isEmpty():
-            if labels is None:
-                labels = new.select(F.col("a").alias("node"), F.col("b").alias("component"))
-                links = new
-            continue
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+    alike = classes.select("key", "rep").join(members.select("key").distinct(), "key", "left_semi")
+    sets = durable(_sets(docs, k, alike), "sets")
+    pairs = durable(_pivot_pairs(members, limit), "pairs")
+    links = durable(_confirmed(pairs, sets, limit), "confirmed")
+    labels = components(links)
+    now = members.join(labels, members["key"] == labels["node"], "left").select("key", "bucket", F.coalesce("component", "key").alias("c"))
+    several = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"))
+    mixed = several.filter((F.col("lo") != F.col("hi")) & (F.col("m") > LEAST_OPEN)).select("bucket")
+    some = durable(now.join(mixed, "bucket").select("key", "c").distinct(), "open")
+    more = durable(_confirmed(_prefix_pairs(some, sets, limit).join(pairs, ["a", "b"], "left_anti"), sets, limit), "confirmed")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     named = classes.select("key", "rep").join(labels, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     ids = named.join(least, "c").select("key", "component_id")

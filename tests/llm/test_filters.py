@@ -53,9 +53,12 @@ def brute_components(rows, k, limit):
     return sorted((str(r.doc_id), len(s), min(least[g], default=None)) for r, s, g in zip(rows, sets, group))
 
 
-@pytest.mark.parametrize(("k", "limit", "turns"), [(3, 85, 4), (5, 80, 0)])
-def test_near_duplicates_equal_brute_force(corpus, monkeypatch, k, limit, turns):
-    monkeypatch.setattr(neardup, "PIVOTS", turns)  # 0: everything by the exact way for the rest
+@pytest.mark.parametrize(("k", "limit", "pivots"), [(3, 85, True), (5, 80, False)])
+def test_near_duplicates_equal_brute_force(corpus, monkeypatch, k, limit, pivots):
+    if not pivots:  # no pivot links anything: all is left to the prefix join
+        every = neardup._pivot_pairs
+        monkeypatch.setattr(neardup, "_pivot_pairs", lambda members, limit: every(members, limit).limit(0))
+        monkeypatch.setattr(neardup, "LEAST_OPEN", 1)
     got = neardup.near_duplicates(corpus, k, limit).collect()
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == brute_components(corpus.collect(), k, limit)
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
