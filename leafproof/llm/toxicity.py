@@ -33,6 +33,8 @@ LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "
 #: Strings of more letters are scored by overlapping windows of LONG characters.
 LONG = 16
 CACHE = 500_000
+#: Strings whose dense features are held at once.
+BLOCK = 128
 PAD = "\0" * SPAN
 EDGES = ".,;:!?\"'()[]{}<>#*%&|-_"
 SPELT = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
@@ -89,8 +91,14 @@ class Kernel:
         """(features, used): normalised vectors over the subsequences that occur; zero for strings without any."""
         own, keys, weights = self.subsequences(strings)
         used, place = np.unique(keys, return_inverse=True)
-        flat = np.bincount(own * len(used) + place, weights=weights, minlength=len(strings) * len(used))
-        return flat.reshape(len(strings), len(used)) / self.norms(len(strings), own, keys, weights)[:, None], used
+        norm = self.norms(len(strings), own, keys, weights)
+        out = np.zeros((len(strings), len(used)), dtype=np.float32)
+        for a in range(0, len(strings), BLOCK):
+            at = (own >= a) & (own < a + BLOCK)
+            n = min(BLOCK, len(strings) - a)
+            flat = np.bincount((own[at] - a) * len(used) + place[at], weights=weights[at], minlength=n * len(used))
+            out[a : a + n] = flat.reshape(n, len(used)) / norm[a : a + n, None]
+        return out, used
 
     def against(self, strings: list[str], land: np.ndarray, used: np.ndarray) -> np.ndarray:
         """Kernel values, strings x landmarks. land: the landmarks' features at the subsequences `used`."""
@@ -182,9 +190,11 @@ def apart(k: Kernel, marks: list[str], more: list[str], most: int, like: float =
         return marks
     both = [*marks, *more]
     f, _ = k.dense(both)
+    near = f @ f.T
+    del f
     chosen = list(range(len(marks)))
     for j in range(len(marks), len(both)):
-        if len(chosen) < most and f[j].any() and (not chosen or (f[chosen] @ f[j]).max() < like):
+        if len(chosen) < most and near[j, j] > 0 and (not chosen or near[j, chosen].max() < like):
             chosen.append(j)
     return [both[j] for j in chosen]
 
@@ -197,14 +207,14 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(1 << BITS), 0.0, 1e-6, float(np.log(share / (1 - share))))
     k = Kernel()
-    bags = [set().union(*map(strings_of, sentences_of(t))) if t else set() for t in texts]
-    seen: dict[str, list[int]] = {}
-    for bag, y in zip(bags, toxic):
-        for s in bag:
-            seen.setdefault(s, [0, 0])[int(y)] += 1
-    names = sorted(seen)
-    index = {s: j for j, s in enumerate(names)}
-    counts = np.array([seen[s] for s in names], dtype=float)
+    index: dict[str, int] = {}
+    owned = []  # each text's strings, by number
+    for t in texts:
+        bag = sorted(set().union(*map(strings_of, sentences_of(t)))) if t else []
+        owned.append(np.fromiter((index.setdefault(s, len(index)) for s in bag), dtype=np.int64, count=len(bag)))
+    names = list(index)
+    del index
+    counts = np.stack([np.bincount(np.concatenate([o for o, v in zip(owned, toxic) if v == y]), minlength=len(names)) for y in (0, 1)], axis=1).astype(float)
     # log odds ratio of being in toxic texts, less two standard errors
     cells = [counts[:, 1] + 0.5, pos - counts[:, 1] + 0.5, counts[:, 0] + 0.5, n - pos - counts[:, 0] + 0.5]
     lift = np.log(cells[0] / cells[1] * cells[3] / cells[2]) - 2 * np.sqrt(sum(1 / c for c in cells))
@@ -213,27 +223,26 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int
     telling = telling[np.argsort(-counts[telling, 1], kind="stable")][: most // 4]
     plain = [names[j] for j in telling]
     spoilt = [s[: len(s) // 2] + "x" + s[len(s) // 2 :] for s in plain]  # a foreign letter inside
-    owned = [np.fromiter((index[s] for s in bag), dtype=np.int64, count=len(bag)) for bag in bags]
     clean = np.flatnonzero(counts[:, 0] > 0)
     margin, table, bias = np.zeros(len(names)), np.zeros(1 << BITS), 0.0
     negatives = clean[np.argsort(-counts[clean, 0], kind="stable")][:most]
-    marks = apart(k, [], [names[j] for j in telling[np.argsort(-lift[telling], kind="stable")][:1500]], landmarks)
+    marks = apart(k, [], [names[j] for j in telling[np.argsort(-lift[telling], kind="stable")][:400]], landmarks)
     marks = apart(k, marks, [names[j] for j in negatives[:200]], landmarks + landmarks // 4)
     for _ in range(rounds if plain and marks else 0):
         land, used = k.dense(marks)
-        value, vector = np.linalg.eigh(land @ land.T)
+        value, vector = np.linalg.eigh((land @ land.T).astype(np.float64))
         ok = value > 0.05
         project = vector[:, ok] / np.sqrt(value[ok])  # the Nystroem map is k(x, landmarks) @ project
         bad, good = [*plain, *spoilt], [names[j] for j in negatives]
         parts = [*bad, *good]
-        x = np.concatenate([k.against(parts[a : a + 1000], land, used) @ project for a in range(0, len(parts), 1000)])
+        x = np.concatenate([k.against(parts[a : a + BLOCK], land, used) @ project for a in range(0, len(parts), BLOCK)])
         x = np.column_stack([x, np.ones(len(x))])
         y = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
         each = counts[telling, 1] * (n - pos) / pos
         w = fit_svm(x, y, np.concatenate([each, each, 5 * counts[negatives, 0]]))
         table[:], bias = 0.0, float(w[-1])
         table[used] = land.T @ (project @ w[:-1])
-        margin = np.concatenate([k.margins(names[a : a + 20_000], table) for a in range(0, len(names), 20_000)])
+        margin = np.concatenate([k.margins(names[a : a + 5_000], table) for a in range(0, len(names), 5_000)])
         # clean strings that come too near are shown again, and the nearest become landmarks too
         hard = clean[np.argsort(-margin[clean], kind="stable")][: most // 2]
         negatives = np.array(list(dict.fromkeys([*negatives[: most // 2], *hard])))
@@ -251,14 +260,21 @@ def held_out(doc_id) -> F.Column:
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 20_000) -> Model:
     """Train on labelled rows that are not held out.
 
-    The sample is bounded: at most per_class texts of either class, of at most `longest` code points each, those with
-    the smallest hash of id and text. labels: doc_id, toxic (0, 1 or null: skipped); repeated and contradicting labels
-    each count.
+    The sample is bounded: at most per_class texts of either class, of at most `longest` code points each. Where there
+    are more labels, those whose id's hash is under the share that gives nine tenths of it are taken, so it depends on
+    ids alone, and only sampled rows leave the executors. labels: doc_id, toxic (0, 1 or null: skipped); repeated and
+    contradicting labels each count.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("_y"))
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(known, "doc_id").select("text", "_y", F.xxhash64("doc_id", "text").alias("_h"))
-    sample = [rows.filter(F.col("_y") == y).orderBy("_h", "text").limit(per_class).select("text", "_y").toPandas() for y in (0, 1)]
+    counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    cut = F.lit(0)
+    for y, n in counts.items():
+        cut = F.when(F.col("_y") == y, 1_000_000 if n <= per_class else int(900_000 * per_class / n)).otherwise(cut)
+    some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < cut)
+    rows = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(some, "doc_id").select("text", "_y")
+    sample = [rows.filter(F.col("_y") == y).limit(per_class).toPandas() for y in (0, 1)]
     both = pd.concat(sample, ignore_index=True)
+    both = both.sort_values(["_y", "text"])  # the order rows arrive in plays no part
     return train(list(both["text"]), both["_y"].to_numpy(dtype=np.int64))
 
 
