@@ -6,8 +6,8 @@ all its tokens, each masked in turn.
 
 The vocabulary is the corpus's most frequent tokens, counted over all documents, and hash buckets for the rest. The
 network is trained in numpy, data-parallel: in each round every task starts from the shared parameters, trains on each
-STRIDE-th position of all its documents (another offset each round), and the tasks' parameters are averaged, weighted
-by positions, in two steps of bounded groups. What training reads and gathers grows with the corpus; the parameters do
+STRIDE-th position of all its documents (the next offset each round, so STRIDE rounds train on every position of every
+document once), and the tasks' parameters are averaged, weighted by positions, in two steps of bounded groups. What training reads and gathers grows with the corpus; the parameters do
 not.
 """
 
@@ -40,7 +40,7 @@ class Settings:
     words: int = 192
     buckets: int = 64
     rounds: int = 2
-    stride: int = 16
+    stride: int = 2
     rate: float = 0.15
     seed: int = 17
 
@@ -148,12 +148,11 @@ class Network:
         for value, past, grad in ((self.o, seen.o, d.T @ h), (self.c, seen.c, d.sum(0)), (self.b, seen.b, dh.sum(0))):
             past += grad * grad
             value -= rate * grad / (np.sqrt(past) + 1e-6)
-        for j in range(len(OFFSETS)):
-            used, back = np.unique(context[j], return_inverse=True)
-            order = np.argsort(back, kind="stable")
-            grad = np.add.reduceat(dh[order], np.searchsorted(back[order], np.arange(len(used))))
-            seen.e[j][used] += grad * grad
-            self.e[j][used] -= rate * grad / (np.sqrt(seen.e[j][used]) + 1e-6)
+        n, m = len(OFFSETS), self.size + 1
+        at = (context + m * np.arange(n)[:, None]).reshape(-1, 1) * HIDDEN + np.arange(HIDDEN)
+        grad = np.bincount(at.ravel(), np.tile(dh, (n, 1)).ravel(), n * m * HIDDEN).astype(np.float32).reshape(n, m, HIDDEN)
+        seen.e += grad * grad  # rows that the batch lacks have no gradient and stay as they are
+        self.e -= rate * grad / (np.sqrt(seen.e) + 1e-6)
 
 
 def _round(encoded: DataFrame, flat: np.ndarray, s: Settings, turn: int) -> np.ndarray:
@@ -178,7 +177,7 @@ def _round(encoded: DataFrame, flat: np.ndarray, s: Settings, turn: int) -> np.n
             for raw in b["ids"]:
                 ids = np.frombuffer(raw, "<u2").astype(np.int64)
                 padded = net.padded(ids)
-                first = (len(ids) + turn * (s.stride // s.rounds)) % s.stride
+                first = (len(ids) + turn) % s.stride
                 for a in range(first, len(ids), STEP * s.stride):
                     at = np.arange(a, min(len(ids), a + STEP * s.stride), s.stride)
                     held.append(np.stack(net.windows(padded, at)))

@@ -38,3 +38,10 @@ def test_scores_tell_likely_from_shuffled_texts(spark):
     assert [got[k][0].n_tokens for k in (901, 902)] == [0, 0] and got[901][0].mean_log_prob is None and got[901][0].log_prob == 0
     assert lmscore.score(docs.limit(0)).count() == 0
     assert lmscore.count_tokens(docs).filter(F.col("token") == "cat").first().n > 100
+
+
+def test_production_training_reaches_short_texts_and_both_edges(spark):
+    rows = [(k, "one two three four") for k in range(20000)] + [(50000 + k, "five six seven eight") for k in range(20000)]
+    docs = common.prepare(spark).createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.mean_log_prob for r in lmscore.score(docs).collect()}
+    assert min(got.values()) > -1  # untrained: log(1/8) = -2.1 a token
