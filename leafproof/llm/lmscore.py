@@ -4,8 +4,9 @@ A window network predicts every token from WIDTH tokens on both sides: h = tanh(
 log-probabilities = log softmax(O h + c) over the vocabulary. A document's score is the sum of the log-probabilities of
 all its tokens, each masked in turn.
 
-The vocabulary is the corpus's most frequent tokens, counted over all documents, and hash buckets for the rest. The
-network is trained in numpy, data-parallel: in each round every task starts from the shared parameters, trains on each
+The network's vocabulary is the corpus's most frequent tokens, counted over all documents, and hash buckets for the
+rest. A token in a bucket has the bucket's probability times its own share of the bucket's count. Shares are exact for
+the LISTED most frequent tokens; the bucket's other tokens share what is left evenly with one unseen token. The network is trained in numpy, data-parallel: in each round every task starts from the shared parameters, trains on each
 STRIDE-th position of all its documents (the next offset each round, so STRIDE rounds train on every position of every
 document once), and the tasks' parameters are averaged, weighted by positions, in two steps of bounded groups. What training reads and gathers grows with the corpus; the parameters do
 not.
@@ -39,6 +40,7 @@ FLUSH = 300_000
 class Settings:
     words: int = 192
     buckets: int = 64
+    listed: int = 65_536
     rounds: int = 2
     stride: int = 2
     rate: float = 0.15
@@ -69,20 +71,65 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def encode(docs: DataFrame, vocabulary: dict[str, int], s: Settings) -> DataFrame:
-    """(doc_id, ids): little-endian 16-bit token ids, those of unknown tokens by hash bucket."""
+@dataclass(frozen=True)
+class Vocabulary:
+    """index: token -> code; classes: code -> the network's token id; inside: code -> log of the share in its bucket.
+    Codes are the frequent words, then the buckets (of tokens not listed), then the listed tokens."""
+
+    index: dict[str, int]
+    classes: np.ndarray
+    inside: np.ndarray
 
-    @F.pandas_udf("binary")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def learn_vocabulary(counts: DataFrame, s: Settings) -> tuple[Vocabulary, np.ndarray]:
+    """(vocabulary, the network's unigram shares) from (token, n)."""
+    top = counts.orderBy(F.desc("n"), "token").limit(s.words).collect()
+    index = {r.token: k for k, r in enumerate(top)}
+    rest = counts.filter(~F.col("token").isin(*index))
+    mass, kinds, share = np.zeros(s.buckets), np.zeros(s.buckets), np.ones(s.size)
+    bucket = F.crc32(F.col("token").cast("binary")) % s.buckets
+    for r in rest.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+        mass[r.bucket], kinds[r.bucket] = r.n, r.kinds
+    for r in top:
+        share[index[r.token]] += r.n
+    share[s.words :] += mass
+    least, left = None, s.listed  # all tokens that occur as often are listed, or none
+    for r in sorted(rest.groupBy("n").agg(F.count("*").alias("kinds")).collect(), key=lambda r: -r.n):
+        if r.kinds > left:
+            break
+        least, left = r.n, left - r.kinds
+    listed = rest.filter(F.col("n") >= least).collect() if least is not None else []
+    classes, inside = [*range(s.size)], [0.0] * s.size
+    left_mass, left_kinds = mass.copy(), kinds.copy()
+    for k, r in enumerate(listed):
+        b = zlib.crc32(r.token.encode()) % s.buckets
+        index[r.token] = s.size + k
+        classes.append(s.words + b)
+        inside.append(np.log(r.n / (mass[b] + 1)))
+        left_mass[b] -= r.n
+        left_kinds[b] -= 1
+    inside[s.words : s.size] = np.log((left_mass + 1) / (left_kinds + 1) / (mass + 1))
+    return Vocabulary(index, np.array(classes, "<u2"), np.array(inside)), share / share.sum()
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, s: Settings) -> DataFrame:
+    """(doc_id, ids, inside): little-endian 16-bit token ids, those of rare tokens by hash bucket, and the sum of the
+    logs of the tokens' shares in their buckets."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most words + listed tokens
+
+    @F.pandas_udf("ids binary, inside double")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         class Known(dict):
             def __missing__(self, token: str) -> int:
                 return s.words + zlib.crc32(token.encode()) % s.buckets
 
-        known = Known(vocabulary)
+        v = shared.value
+        known = Known(v.index)
         for b in batches:
-            yield pd.Series([np.fromiter(map(known.__getitem__, tokens_of(t)), dtype="<u2").tobytes() for t in b])
+            codes = [np.fromiter(map(known.__getitem__, tokens_of(t)), dtype=np.int32) for t in b]
+            yield pd.DataFrame({"ids": [v.classes[c].tobytes() for c in codes], "inside": [float(v.inside[c].sum()) for c in codes]})
 
-    return docs.select("doc_id", ids("text").alias("ids"))
+    return docs.select("doc_id", ids("text").alias("e")).select("doc_id", "e.ids", "e.inside")
 
 
 class Network:
@@ -209,26 +256,19 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     docs give an empty result; other columns are ignored."""
     counts = count_tokens(docs)
     counts = durable(counts, "token-counts")
-    top = counts.orderBy(F.desc("n"), "token").limit(s.words).collect()
-    vocabulary = {r.token: k for k, r in enumerate(top)}
-    rest = F.when(F.col("token").isin(*vocabulary), None).otherwise(F.crc32(F.col("token").cast("binary")) % s.buckets)
-    share = np.ones(s.size)
-    for r in counts.groupBy(rest.alias("bucket")).agg(F.sum("n").alias("n")).filter("bucket is not null").collect():
-        share[s.words + r.bucket] += r.n
-    for r in top:
-        share[vocabulary[r.token]] += r.n
+    vocabulary, share = learn_vocabulary(counts, s)
     encoded = durable(encode(docs, vocabulary, s), "token-ids")
-    flat = Network.fresh(share / share.sum(), s.seed).flat
+    flat = Network.fresh(share, s.seed).flat
     for turn in range(s.rounds):
         flat = _round(encoded, flat, s, turn)
     shared = encoded.sparkSession.sparkContext.broadcast(flat)
 
     @F.pandas_udf("n_tokens bigint, log_prob double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         net = Network(shared.value.copy(), s.size)
-        for b in batches:
+        for b, inside in batches:
             texts = [np.frombuffer(x, "<u2").astype(np.int64) for x in b]
-            yield pd.DataFrame({"n_tokens": [len(t) for t in texts], "log_prob": [net.log_prob(t) for t in texts]})
+            yield pd.DataFrame({"n_tokens": [len(t) for t in texts], "log_prob": [net.log_prob(t) + x for t, x in zip(texts, inside)]})
 
-    out = encoded.select("doc_id", judge("ids").alias("s")).select("doc_id", "s.n_tokens", "s.log_prob")
+    out = encoded.select("doc_id", judge("ids", "inside").alias("s")).select("doc_id", "s.n_tokens", "s.log_prob")
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

@@ -1,6 +1,7 @@
 """Pseudo-likelihood scores against a direct computation, and that training helps."""
 
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -45,3 +46,26 @@ def test_production_training_reaches_short_texts_and_both_edges(spark):
     docs = common.prepare(spark).createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.mean_log_prob for r in lmscore.score(docs).collect()}
     assert min(got.values()) > -1  # untrained: log(1/8) = -2.1 a token
+
+
+def test_rare_tokens_of_one_bucket_score_by_their_own_counts(spark):
+    s = lmscore.Settings()
+    bucket = lambda w: zlib.crc32(w.encode()) % s.buckets
+    content = "content"
+    junk = next(w for w in (f"zq{k}x" for k in range(9999)) if bucket(w) == bucket(content))
+    common_words = " ".join(f"w{k}" for k in range(s.words))
+    rows = [(k, common_words) for k in range(60)] + [(k, f"w1 {content} w2") for k in range(100, 140)] + [(999, f"w1 {junk} w2")]
+    docs = common.prepare(spark).createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.log_prob for r in lmscore.score(docs).collect()}
+    assert abs(got[100] - got[999] - np.log(40)) < 1e-3
+
+
+def test_shares_in_a_bucket_add_up_to_one_with_an_unseen_token(spark):
+    s = lmscore.Settings(words=3, buckets=2, listed=20)
+    counts = spark.createDataFrame([(f"t{k}", 60 // (k + 1)) for k in range(60)], "token string, n long")
+    v, _ = lmscore.learn_vocabulary(counts, s)
+    assert 0 < len(v.index) - s.words <= s.listed
+    for b in range(s.buckets):
+        kinds = sum(f"t{k}" not in v.index and zlib.crc32(f"t{k}".encode()) % s.buckets == b for k in range(60))
+        total = np.exp(v.inside[s.size :][v.classes[s.size :] == s.words + b]).sum() + (kinds + 1) * np.exp(v.inside[s.words + b])
+        assert abs(total - 1) < 1e-9
