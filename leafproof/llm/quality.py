@@ -2,7 +2,9 @@
 
 zstandard ratios (compressed over raw bytes) of the whole document and of fixed chunks must lie in the band for their
 length. Below it text is repetitive, above it incompressible (random or encoded). Bands widen as text gets shorter,
-where frame overhead and missing context raise ratios; texts under the least length have none.
+where frame overhead and missing context raise ratios; texts under the least length have none. Alphabets of few signs
+(hex, digits) compress like prose, so texts with many digits are also out of band where all their bytes are about
+equally frequent.
 """
 
 from __future__ import annotations
@@ -27,11 +29,14 @@ WINDOW = 8
 @dataclass(frozen=True)
 class Bands:
     """limits: (least bytes, lowest ratio, highest ratio), ascending; chunk: bytes of a fixed chunk; share: the part of
-    a document's chunked bytes that may lie in chunks outside their band."""
+    a document's chunked bytes that may lie in chunks outside their band; digits, even:
+    from this share of ASCII digits on, the highest byte entropy over that of equally frequent bytes."""
 
     limits: tuple[tuple[int, float, float], ...] = (
-        (128, 0.40, 1.10), (256, 0.35, 1.00), (512, 0.32, 0.92), (1024, 0.28, 0.85), (2048, 0.25, 0.78), (8192, 0.22, 0.72), (32768, 0.20, 0.68),
+        (128, 0.40, 0.95), (192, 0.40, 0.88), (256, 0.35, 0.84), (512, 0.32, 0.76), (1024, 0.28, 0.70), (2048, 0.25, 0.62), (8192, 0.22, 0.56), (32768, 0.20, 0.54),
     )
+    digits: float = 0.25
+    even: float = 0.92
     chunk: int = 4096
     share: float = 0.25
     level: int = 3
@@ -40,6 +45,16 @@ class Bands:
         k = bisect.bisect_right([x[0] for x in self.limits], n) - 1
         return k < 0 or self.limits[k][1] <= ratio <= self.limits[k][2]
 
+    def plain(self, raw: bytes) -> bool:
+        n = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+        if len(raw) < self.limits[0][0] or n[48:58].sum() < self.digits * len(raw):
+            return True
+        share = n[n > 0] / len(raw)
+        return len(share) == 1 or -float(share @ np.log2(share)) <= self.even * np.log2(len(share))
+
+    def accepts(self, raw: bytes, ratio: float) -> bool:
+        return self.fits(len(raw), ratio) and self.plain(raw)
+
 
 def repeated_words(words: list[str]) -> int:
     """Words that lie in a window of WINDOW words found twice or more. Windows get exact ranks by doubling: pairs of
@@ -85,9 +100,9 @@ def compression(raw: bytes, bands: Bands, compress) -> tuple[float, float, bool]
         for a in range(0, len(raw), bands.chunk):
             part = raw[a : a + bands.chunk]
             total += len(part)
-            out += 0 if bands.fits(len(part), len(compress(part)) / len(part)) else len(part)
+            out += 0 if bands.accepts(part, len(compress(part)) / len(part)) else len(part)
     share = out / total if total else 0.0
-    return ratio, share, bands.fits(len(raw), ratio) and share <= bands.share
+    return ratio, share, bands.accepts(raw, ratio) and share <= bands.share
 
 
 JUDGED = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, ratio double, chunk_share double, in_band boolean"

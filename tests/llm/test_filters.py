@@ -1,5 +1,6 @@
 """Toxicity, quality, near duplicates, decontamination and the pipeline against brute force on small fixtures."""
 
+import base64
 import collections
 import itertools
 import random
@@ -100,6 +101,15 @@ def test_quality_rejects_extremes_only():
     assert quality.statistics("a b\n\nc\n c\nc\n")[3] == 1
 
 
+@pytest.mark.parametrize("n", [128, 200, 256, 400, 512, 1000, 1024, 1500, 2048, 3000, 4096, 6000, 8192, 20_000, 40_000])
+def test_quality_rejects_encoded_text_of_each_length(n):
+    rng = random.Random(n)
+    compress = zstandard.ZstdCompressor(level=3).compress
+    for text in (base64.b64encode(rng.randbytes(n)).decode(), rng.randbytes(n).hex(), "".join(rng.choices("0123456789", k=n))):
+        raw = "\n".join(text[i : i + 76] for i in range(0, n, 76)).encode()[:n]
+        assert not quality.compression(raw, quality.Bands(), compress)[2], text[:20]
+
+
 def brute_tiles(p, t, least):
     used_p, used_t, total = [False] * len(p), [False] * len(t), 0
     while True:
