@@ -92,11 +92,12 @@ def prior_weight(groups: DataFrame, mean: str, least: float, most: float) -> Dat
     return g.select(F.when(rho > 0, F.least(F.lit(most), F.greatest(F.lit(least), (1 - rho) / rho))).otherwise(F.lit(most)).alias("w"))
 
 
-def host_reputation(outcomes: DataFrame, p: Reputation = Reputation()) -> tuple[DataFrame, DataFrame]:
-    """outcomes: rows (host, bad 0/1; null bad: not labelled).
+def host_reputation(outcomes: DataFrame, p: Reputation = Reputation(), names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """outcomes: rows (host, bad 0/1; null bad: not labelled). names: rows (host), repeated ones included.
 
     Returns (hosts, whole): hosts has a row for each host with a label: host, n_labelled, n_bad, bad_mean, bad_bound;
-    whole is one row with the bad_mean and bad_bound of a host never seen. No labels at all: 0 and 0.
+    with names, also one for each other host in them whose domain or suffix has a label, with that parent's posterior.
+    whole is one row with the bad_mean and bad_bound of all other hosts. No labels at all: 0 and 0.
     """
     hosts = outcomes.filter(F.col("bad").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
@@ -118,8 +119,14 @@ def host_reputation(outcomes: DataFrame, p: Reputation = Reputation()) -> tuple[
     s = shrink(suffixes.select("*", whole.select("g").scalar().alias("m"), whole.select("gn").scalar().alias("k"))).select("suffix", *up)
     d = shrink(domains.join(s, "suffix")).select("domain", *up)
     h = shrink(hosts.join(d, "domain"))
-    h = h.select("host", F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), F.col("mean").alias("bad_mean"), bound(F.col("mean"), F.col("weight")).alias("bad_bound"))
-    return h, whole.select(F.col("g").alias("g_mean"), bound(F.col("g"), F.lit(p.least)).alias("g_bound"))
+    out = h.select("host", F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), F.col("mean").alias("bad_mean"), bound(F.col("mean"), F.col("weight")).alias("bad_bound"))
+    if names is not None:
+        new = names.select("host").distinct().join(hosts.select("host"), "host", "left_anti").select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
+        new = new.join(d.select("domain", F.struct("m", "k").alias("d")), "domain", "left").join(s.select("suffix", F.struct("m", "k").alias("s")), "suffix", "left")
+        new = new.select("host", F.coalesce("d", "s").alias("up")).filter("up is not null")
+        none = F.lit(0).cast("long")
+        out = out.unionByName(new.select("host", none.alias("n_labelled"), none.alias("n_bad"), F.col("up.m").alias("bad_mean"), bound(F.col("up.m"), F.col("up.k")).alias("bad_bound")))
+    return out, whole.select(F.col("g").alias("g_mean"), bound(F.col("g"), F.lit(p.least)).alias("g_bound"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], p: Reputation = Reputation()) -> DataFrame:
@@ -134,7 +141,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], p: Rep
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     known = outcomes.select(F.col("page_id").alias("_pid"), F.col("bad").cast("int").alias("bad")).filter("bad is not null")
     seen = split.select("page_id", "host").join(known, F.col("page_id") == F.col("_pid")).select("host", "bad")
-    hosts, whole = host_reputation(seen, p)
+    hosts, whole = host_reputation(seen, p, split)
     rule, fixed = best_rule(F.col("host"), F.col("path"), rules)
     bound = F.coalesce(F.col("bad_bound"), F.col("g_bound"))
     learnt = F.when(bound > p.limit, "block").otherwise("allow")

@@ -86,3 +86,14 @@ def test_a_bad_host_is_blocked_and_a_small_one_is_not(spark):
     bad = [(k, int(k < 40 or k == 301)) for k in range(302)]
     out = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int"), RULES)
     assert {(r.host, r.verdict) for r in out.collect()} == {("spam.x.net", "block"), ("ok.y.org", "allow"), ("new.z.org", "allow")}
+
+
+def test_an_unlabelled_host_has_its_parents_posterior(spark):
+    at = lambda k: "a.spam.net" if k < 60 else "b.spam.net" if k < 120 else "ok.fine.org"
+    pages = [(k, f"http://{at(k)}/p") for k in range(600)] + [(900, "http://new.spam.net/p"), (901, "http://new.other.net/p"), (902, "http://new.fine.org/p"), (903, "http://x.y.zz/p")]
+    bad = [(k, int(k < 120)) for k in range(600)]
+    out = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int"), RULES)
+    got = {r.page_id: r for r in out.collect()}
+    assert len(got) == len(pages) and [got[k].verdict for k in (900, 901, 902, 903)] == ["block", "block", "allow", "allow"]
+    assert got[900].bad_mean > 0.9 and got[901].bad_mean > 0.5 and got[902].bad_mean < 0.1 and got[903].bad_mean == pytest.approx(0.2)
+    assert all(got[k].n_labelled == got[k].n_bad == 0 for k in (900, 901, 902, 903))
