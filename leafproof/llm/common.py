@@ -17,6 +17,8 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 #: A word is a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A helper column's name that no table has.
+ROW = "__leafproof_row"
 #: Text rows are long, so Arrow batches are kept short: memory follows rows * longest text.
 BATCH_ROWS = "512"
 BATCH_BYTES = "16m"
@@ -56,6 +58,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key() -> Column:
+    """A digest of doc_id and text: what a document's row is known by."""
+    told = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit("")))
+    return F.unhex(F.sha2(told.cast("binary"), 256))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
@@ -73,16 +81,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 #: Bits of the largest bitmap: 8 MB on each worker, whatever the input's size.
 MAX_BITS = 26
+#: Bits a key should have; with fewer than a quarter of them no bitmap is made.
+BITS_A_KEY = 16
 
 
-def bitmap(df: DataFrame, column: str) -> tuple[int, bytes]:
-    """A two-probe Bloom bitmap of a 64-bit column as (log2 bits, bytes).
+def bitmap(df: DataFrame, column: str) -> tuple[int | None, bytes]:
+    """A two-probe Bloom bitmap of a 64-bit column as (log2 bits, bytes), or (None, nothing) if MAX_BITS are too few.
 
-    It only thins out rows before an exact join, so it may err towards keeping. Its size is bounded by MAX_BITS
-    at any input size: beyond some ten million keys it keeps more rows, and the join still decides.
+    It only thins out rows before an exact join, so it may err towards keeping, and a join does without it.
     """
     n = df.count()
-    bits = int(min(MAX_BITS, max(13, np.ceil(np.log2(max(1, n) * 16)))))
+    if n * BITS_A_KEY > 4 << MAX_BITS:
+        return None, b""
+    bits = int(min(MAX_BITS, max(13, np.ceil(np.log2(max(1, n) * BITS_A_KEY)))))
     mask = F.lit((1 << bits) - 1)
     probe = F.explode(F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(F.col(column), 32).bitwiseAND(mask)))
     words = (
@@ -96,8 +107,10 @@ def bitmap(df: DataFrame, column: str) -> tuple[int, bytes]:
     return bits, out.tobytes()
 
 
-def in_bitmap(bits: int, words: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each key (uint64) may be among the bitmap's; words: the bitmap's bytes as uint32."""
+def in_bitmap(bits: int | None, words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key (uint64) may be among the bitmap's; words: the bitmap's bytes as uint32; no bits: all may be."""
+    if bits is None:
+        return np.ones(len(keys), dtype=bool)
     mask = np.uint64((1 << bits) - 1)
     hit = np.ones(len(keys), dtype=bool)
     for p in (keys & mask, (keys >> np.uint64(32)) & mask):

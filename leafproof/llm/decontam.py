@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, durable, in_bitmap
+from .common import ROW, bitmap, durable, in_bitmap, row_key
 from .shingles import Shingler
 
 LEAST = 5
@@ -90,11 +90,6 @@ def tile(pattern: list[str], segments: list[list[str]], least: int = LEAST) -> l
         size = max(least, size // 2)
 
 
-def row_key():
-    """A digest of doc_id and text: what a document's row is known by."""
-    return F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))), 256)
-
-
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Pairs of a document and a benchmark item whose coverage reaches the threshold.
 
@@ -139,7 +134,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFram
             yield pd.DataFrame(rows, columns=["key", "segments", "seeds"])
 
     keyed = docs.select(row_key().alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    hits = keyed.select("key", "text").mapInPandas(stretches, "key string, segments array<array<string>>, seeds array<bigint>")
+    hits = keyed.select("key", "text").mapInPandas(stretches, "key binary, segments array<array<string>>, seeds array<bigint>")
     hits = durable(hits.dropDuplicates(["key"]), "stretches")
     pairs = hits.select("key", F.explode("seeds").alias("seed")).join(seeds, "seed").select("key", "item").distinct()
     both = pairs.join(hits.select("key", "segments"), "key").join(cut.select("item", "words"), "item")
@@ -154,7 +149,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFram
                     rows.append((key, item, n / len(words), len(tiles), max(k for _, _, k in tiles)))
             yield pd.DataFrame(rows, columns=["key", "item", "coverage", "n_tiles", "longest"])
 
-    out = both.select("key", "item", "segments", "words").mapInPandas(tiled, "key string, item string, coverage double, n_tiles int, longest int")
+    out = both.select("key", "item", "segments", "words").mapInPandas(tiled, "key binary, item string, coverage double, n_tiles int, longest int")
     out = durable(out, "leaks")
     ids = keyed.select("key", "doc_id").join(out.select("key").distinct(), "key").distinct()
     return out.join(ids, "key").join(base.select("item", "item_id"), "item").select("key", "doc_id", "item_id", "coverage", "n_tiles", "longest")
@@ -162,5 +157,5 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFram
 
 def remove_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the rows that leak an item; columns, nulls and repeated rows stay."""
-    bad = leaks(docs, items, threshold).select(F.col("key").alias("_leaf_key")).distinct()
-    return docs.join(bad, row_key() == bad["_leaf_key"], "left_anti")
+    bad = leaks(docs, items, threshold).select(F.col("key").alias(ROW)).distinct()
+    return docs.withColumn(ROW, row_key()).join(bad, ROW, "left_anti").drop(ROW)

@@ -5,13 +5,14 @@ import collections
 import itertools
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from leafproof.llm import common, decontam, neardup, quality, toxicity
+from leafproof.llm import bpe, common, decontam, neardup, quality, toxicity
 
 SYLLABLES = "ba be bi bo bu da de di do du ka ke ki ko ku la le li lo lu ma me mi mo mu na ne ni no nu".split()
 
@@ -65,6 +66,53 @@ def test_near_duplicates_equal_brute_force(corpus, monkeypatch, k, limit, pivots
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 
 
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """A large group of copies of one text, most of them further from each other than the limit, and long texts."""
+    rng = random.Random(11)
+    base, rows = prose(rng, 150).split(), []
+    for k in range(150):
+        words = list(base)
+        for _ in range(k % 13):
+            words[rng.randrange(len(words))] = "own" + str(rng.randrange(400))
+        rows.append((k, " ".join(words)))
+    long = prose(rng, 30_000)
+    rows += [(500, long), (501, long + " end"), (502, "short " + long[:2000])]
+    return common.prepare(spark).createDataFrame(rows, "doc_id long, text string").repartition(6)
+
+
+@pytest.mark.parametrize(("k", "limit", "pivots"), [(3, 85, True), (5, 80, True), (3, 85, False)])
+def test_large_groups_just_under_the_limit_equal_brute_force(crowd, monkeypatch, k, limit, pivots):
+    if not pivots:
+        every = neardup._pivot_pairs
+        monkeypatch.setattr(neardup, "_pivot_pairs", lambda members, limit: every(members, limit).limit(0))
+        monkeypatch.setattr(neardup, "LEAST_OPEN", 1)
+    got = neardup.near_duplicates(crowd, k, limit).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == brute_components(crowd.collect(), k, limit)
+
+
+def test_near_duplicates_without_a_bitmap_and_of_empty_tables(corpus, monkeypatch):
+    want = sorted(map(str, neardup.near_duplicates(corpus).collect()))
+    monkeypatch.setattr(common, "MAX_BITS", 5)  # none has room for more than eight keys
+    assert sorted(map(str, neardup.near_duplicates(corpus).collect())) == want
+    assert neardup.near_duplicates(corpus.limit(0)).count() == 0 == neardup.keep_one(corpus.limit(0)).count()
+
+
+def test_one_row_of_each_component_is_kept(spark, corpus):
+    shared = [(7, "this id is that of another text as well " * 3, "de", "s", 1, "other"), (None, "no id but a text of its own that nothing else is like at all", None, None, None, None)]
+    docs = corpus.unionByName(spark.createDataFrame(shared, corpus.schema))
+    kept = neardup.keep_one(docs, 3, 85)
+    assert kept.columns == docs.columns
+    rows, got = docs.collect(), kept.collect()
+    texts = collections.Counter(r.text or "" for r in got)
+    assert texts[shared[0][1]] == texts[shared[1][1]] == 1
+    found = {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(docs, 3, 85).collect()}
+    groups = {c for (d, n), c in found.items() if n}
+    empty = {(r.doc_id, r.text or "") for r in rows if not (r.text or "").strip()}
+    # the text without an id has no component_id; two components have 7 as their least id
+    assert len(got) == len(groups) + 1 + len(empty) and None in groups
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     for n in (1, 2, 7, 150, 3000):
@@ -186,7 +234,10 @@ def test_toxicity_without_labels(spark):
     assert {r.score < 0.5 for r in toxicity.score(docs, toxicity.learn(docs, none)).collect()} == {True}
 
 
-def test_pipeline_keeps_clean_documents(spark, tmp_path):
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    import public_tokenizers
+    import tiktoken
+
     import corpus_pipeline
 
     rng = random.Random(6)
@@ -197,10 +248,31 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
             t = t.replace(" ", " grobnik ", 1)
         docs.append((k, t, "en", "s", len(t)))
         labels.append((k, 1, int(k % 4 == 0)))
-    docs += [(200, docs[1][1] + " end", "en", "s", 0), (201, docs[2][1], "en", "s", 0), (202, prose(rng, 20) + " " + passage, "en", "s", 0), (203, "one two " * 90, "en", "s", 0), (204, None, None, None, None), (None, prose(rng, 50), "en", "s", 0)]
-    for name, rows, schema in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", [(1, passage)], "item_id long, text string")):
-        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    got = sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
-    assert got == [k for k in range(160) if k % 4]
-    first = corpus_pipeline.STAGES[0][1](spark, common.table(spark, str(tmp_path), "documents"), str(tmp_path))
-    assert first.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    lone, shared = prose(rng, 50), prose(rng, 55)
+    docs += [(200, docs[1][1] + " end", "en", "s", 0), (201, docs[2][1], "en", "s", 0), (202, prose(rng, 20) + " " + passage, "en", "s", 0), (203, "one two " * 90, "en", "s", 0), (204, None, None, None, None), (205, "", None, None, None)]
+    docs += [(None, lone, "en", "s", 0), (None, docs[3][1], "en", "s", 0), (5, shared, "en", "s", 0), (6, docs[6][1], "de", None, None)]
+    tables = (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", [(1, passage)], "item_id long, text string"))
+    for name, rows, schema in tables:
+        clash = spark.createDataFrame(rows, schema).withColumn("_score", F.lit("mine")).withColumn("judged", F.lit(1)).withColumn("key", F.lit("k"))
+        clash.write.parquet(f"{tmp_path}/{name}.parquet")
+    # clean, not too short, nothing that is in another's group, no passage: but the text without an id and the one that shares an id
+    want = sorted([(str(k), docs[k][1]) for k in range(160) if k % 4] + [("None", lone), ("5", shared)])
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), encoding.decode(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
+    for name, stage in corpus_pipeline.STAGES:
+        table = common.table(spark, str(tmp_path), "documents")
+        out = stage(spark, table, str(tmp_path))
+        none = stage(spark, table.limit(0), str(tmp_path))
+        assert none.count() == 0 and none.columns == out.columns
+        if name != "byte_bpe":
+            assert out.columns == table.columns
+
+
+def test_entry_does_without_the_subpackage(monkeypatch):
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
+    names = set(__spark_entry__.queries())
+    assert "lookup" in names and "op6_minhash_dedup" in names and "pipeline" not in names
