@@ -1,22 +1,29 @@
 """LM scoring by masked pseudo-likelihood.
 
-A window network predicts every token from WIDTH tokens on both sides: h = tanh(b + sum over offsets of E_offset[token]),
-log-probabilities = log softmax(O h + c) over the vocabulary. A document's score is the sum of the log-probabilities of
-all its tokens, each masked in turn.
-
-The network's vocabulary is the corpus's most frequent tokens, counted over all documents, and hash buckets for the
-rest. A token in a bucket has the bucket's probability times its own share of the bucket's count. Shares are exact for
-the LISTED most frequent tokens; the bucket's other tokens share what is left evenly with one unseen token. The network is trained in numpy, data-parallel: in each round every task starts from the shared parameters, trains on each
-STRIDE-th position of all its documents (the next offset each round, so STRIDE rounds train on every position of every
-document once), and the tasks' parameters are averaged, weighted by positions, in two steps of bounded groups. What training reads and gathers grows with the corpus; the parameters do
-not.
+A window network predicts every token from WIDTH tokens on both sides: h = tanh(b + sum over offsets of E_offset[token]).
+A document's score is the sum of the log-probabilities of all its tokens, each masked in turn.
+
+The network's outputs are classes: the corpus's most frequent words, counted over all documents, and hash buckets for
+the rest. Its softmax has two levels, so thousands of classes cost little: classes are dealt to groups by frequency, and
+P(class) = P(group | h) P(class | group, h). A token in a bucket has the bucket's probability times its own share of the
+bucket's count. Shares are exact for the `listed` most frequent tokens; the others are counted in hash slots, whose
+tokens share the slot's count evenly with an unseen one.
+
+The corpus is tokenised once: the pass that counts tokens also writes each text as 32-bit token hashes, and all later
+passes read those. (Two tokens of one hash are one token to the model.)
+
+The network is trained in numpy, data-parallel. Documents are dealt by a hash of doc_id and text to as many parts as
+the corpus has `part` tokens; in each round every part starts from the shared parameters and trains on each STRIDE-th
+token of all its documents (the next offset each round, so STRIDE rounds train on every token once), and the parts'
+parameters are averaged, weighted by tokens, in two steps of bounded groups. Parts, their order and the sums' order come
+from hashes alone, so scores do not depend on how the table is partitioned. What training reads and gathers grows with
+the corpus; the parameters do not.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,20 +35,25 @@ from pyspark.sql import functions as F
 from .common import durable
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
-WIDTH, HIDDEN = 3, 16
+WIDTH, HIDDEN = 3, 24
 OFFSETS = [k for k in range(-WIDTH, WIDTH + 1) if k]
-STEP = 1024
+#: Positions that are scored at once, and the first and the largest batch that is trained at once: it doubles every
+#: WARM steps.
+STEP, FIRST, BATCH, WARM = 16_384, 128, 2048, 60
 #: Floats of a parameter row on its way to the average, and groups of its first step.
-BLOCK, SALTS = 4096, 64
-FLUSH = 300_000
+BLOCK, SALTS = 16_384, 64
+#: Distinct tokens a task counts before it writes the counts down.
+FLUSH = 400_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    words: int = 192
-    buckets: int = 64
+    words: int = 3584
+    buckets: int = 512
+    groups: int = 64
     listed: int = 65_536
-    rounds: int = 2
+    slots: int = 1 << 19
+    part: int = 2_000_000
     stride: int = 2
     rate: float = 0.15
     seed: int = 17
@@ -55,220 +67,287 @@ def tokens_of(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """(token, n) over whole texts of all documents."""
+class Hashes(dict):
+    """token -> its number in order of appearance; hashes: the 32-bit hash of each number."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
-        for b in batches:
-            for t in b["text"]:
-                seen.update(tokens_of(t))
-            if len(seen) > FLUSH:
-                yield pd.DataFrame(list(seen.items()), columns=["token", "n"])
-                seen.clear()
-        yield pd.DataFrame(list(seen.items()), columns=["token", "n"])
+    def __init__(self):
+        super().__init__()
+        self.names, self.hashes = [], []
 
-    return docs.select("text").mapInPandas(count, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    def __missing__(self, token: str) -> int:
+        self[token] = out = len(self.names)
+        self.names.append(token)
+        self.hashes.append(zlib.crc32(token.encode("utf-8", "surrogatepass")))
+        return out
 
 
-@dataclass(frozen=True)
-class Vocabulary:
-    """index: token -> code; classes: code -> the network's token id; inside: code -> log of the share in its bucket.
-    Codes are the frequent words, then the buckets (of tokens not listed), then the listed tokens."""
+def read_corpus(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, counts) by one pass over whole texts: texts has doc_id, part_key (a hash of doc_id and text) and ids
+    (little-endian 32-bit token hashes); counts has h (a token's hash) and n."""
 
-    index: dict[str, int]
-    classes: np.ndarray
-    inside: np.ndarray
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, n = Hashes(), np.zeros(0, dtype=np.int64)
 
+        def counted() -> pd.DataFrame:
+            return pd.DataFrame({"doc_id": None, "part_key": None, "ids": None, "h": np.array(known.hashes, dtype=np.int64), "n": n})
 
-def learn_vocabulary(counts: DataFrame, s: Settings) -> tuple[Vocabulary, np.ndarray]:
-    """(vocabulary, the network's unigram shares) from (token, n)."""
-    top = counts.orderBy(F.desc("n"), "token").limit(s.words).collect()
-    index = {r.token: k for k, r in enumerate(top)}
-    rest = counts.filter(~F.col("token").isin(*index))
-    mass, kinds, share = np.zeros(s.buckets), np.zeros(s.buckets), np.ones(s.size)
-    bucket = F.crc32(F.col("token").cast("binary")) % s.buckets
-    for r in rest.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
-        mass[r.bucket], kinds[r.bucket] = r.n, r.kinds
-    for r in top:
-        share[index[r.token]] += r.n
-    share[s.words :] += mass
-    least, left = None, s.listed  # all tokens that occur as often are listed, or none
-    for r in sorted(rest.groupBy("n").agg(F.count("*").alias("kinds")).collect(), key=lambda r: -r.n):
-        if r.kinds > left:
-            break
-        least, left = r.n, left - r.kinds
-    listed = rest.filter(F.col("n") >= least).collect() if least is not None else []
-    classes, inside = [*range(s.size)], [0.0] * s.size
-    left_mass, left_kinds = mass.copy(), kinds.copy()
-    for k, r in enumerate(listed):
-        b = zlib.crc32(r.token.encode()) % s.buckets
-        index[r.token] = s.size + k
-        classes.append(s.words + b)
-        inside.append(np.log(r.n / (mass[b] + 1)))
-        left_mass[b] -= r.n
-        left_kinds[b] -= 1
-    inside[s.words : s.size] = np.log((left_mass + 1) / (left_kinds + 1) / (mass + 1))
-    return Vocabulary(index, np.array(classes, "<u2"), np.array(inside)), share / share.sum()
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, s: Settings) -> DataFrame:
-    """(doc_id, ids, inside): little-endian 16-bit token ids, those of rare tokens by hash bucket, and the sum of the
-    logs of the tokens' shares in their buckets."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most words + listed tokens
-
-    @F.pandas_udf("ids binary, inside double")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        class Known(dict):
-            def __missing__(self, token: str) -> int:
-                return s.words + zlib.crc32(token.encode()) % s.buckets
-
-        v = shared.value
-        known = Known(v.index)
         for b in batches:
-            codes = [np.fromiter(map(known.__getitem__, tokens_of(t)), dtype=np.int32) for t in b]
-            yield pd.DataFrame({"ids": [v.classes[c].tobytes() for c in codes], "inside": [float(v.inside[c].sum()) for c in codes]})
+            codes = [np.fromiter(map(known.__getitem__, tokens_of(t)), dtype=np.int64) for t in b["text"]]
+            hashes = np.array(known.hashes, dtype="<u4")
+            yield pd.DataFrame({"doc_id": b["doc_id"], "part_key": b["part_key"], "ids": [hashes[c].tobytes() for c in codes], "h": None, "n": None})
+            add = np.bincount(np.concatenate(codes), minlength=len(hashes)) if codes else np.zeros(0, np.int64)
+            add[: len(n)] += n
+            n = add
+            if len(known) > FLUSH:
+                yield counted()
+                known, n = Hashes(), np.zeros(0, dtype=np.int64)
+        if len(known):
+            yield counted()
+
+    key = F.xxhash64("doc_id", "text").alias("part_key")
+    told = docs.select(F.col("doc_id").cast("string"), "text", key)  # as text: pandas makes floats of numbers with nulls
+    both = durable(told.mapInPandas(run, "doc_id string, part_key bigint, ids binary, h bigint, n bigint"), "token-hashes")
+    doc_id = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return both.filter("ids is not null").select(doc_id, "part_key", "ids"), both.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n"))
 
-    return docs.select("doc_id", ids("text").alias("e")).select("doc_id", "e.ids", "e.inside")
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """known: hashes of the frequent words and the listed tokens, sorted; classes and inside: their classes and the logs
+    of their shares; slot_inside: the same for tokens of each slot that are not listed."""
+
+    known: np.ndarray
+    classes: np.ndarray
+    inside: np.ndarray
+    slot_inside: np.ndarray
+    words: int
+    buckets: int
+
+    def encode(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, log of the share in the class) of token hashes."""
+        at = np.searchsorted(self.known, h)
+        at[at == len(self.known)] = 0
+        hit = self.known[at] == h if len(self.known) else np.zeros(len(h), dtype=bool)
+        slot = h % np.uint32(len(self.slot_inside))
+        classes = np.where(hit, self.classes[at] if len(self.known) else 0, self.words + slot % np.uint32(self.buckets))
+        return classes.astype(np.int64), np.where(hit, self.inside[at] if len(self.known) else 0.0, self.slot_inside[slot])
+
+
+def learn_vocabulary(counts: DataFrame, s: Settings) -> tuple[Vocabulary, np.ndarray, int]:
+    """(vocabulary, the classes' shares of all tokens, number of tokens) from (h, n)."""
+    some = counts.orderBy(F.desc("n"), "h").limit(s.words + s.listed).toPandas()  # a bounded dictionary
+    h, n = some["h"].to_numpy(dtype=np.int64), some["n"].to_numpy(dtype=np.float64)
+    if len(some) == s.words + s.listed:  # all tokens that occur as often are listed, or none
+        full = n > n[-1]
+        full[: s.words] = True
+        h, n = h[full], n[full]
+    rest = counts.groupBy((F.col("h") % s.slots).alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()  # slots rows at most
+    mass, kinds = np.zeros(s.slots), np.zeros(s.slots)
+    mass[rest["slot"]], kinds[rest["slot"]] = rest["n"], rest["kinds"]
+    total = int(mass.sum())
+    slot = h % s.slots
+    np.subtract.at(mass, slot, n)  # what is left in a slot are tokens that are not listed
+    np.subtract.at(kinds, slot, 1)
+    words = min(s.words, len(h))
+    bucket_of = np.arange(s.slots) % s.buckets
+    in_bucket = np.bincount(bucket_of, mass, s.buckets) + np.bincount(slot[words:] % s.buckets, n[words:], s.buckets)
+    share = np.ones(s.size)
+    share[:words] += n[:words]
+    share[s.words :] += in_bucket
+    unseen = s.buckets / s.slots  # each bucket has one token's worth of unseen ones, dealt to its slots
+    slot_inside = np.log((mass + unseen) / (kinds + 1) / (in_bucket[bucket_of] + 1))
+    classes = np.concatenate([np.arange(words), s.words + slot[words:] % s.buckets])
+    inside = np.concatenate([np.zeros(words), np.log(n[words:] / (in_bucket[slot[words:] % s.buckets] + 1))])
+    order = np.argsort(h)
+    return Vocabulary(h[order].astype(np.uint32), classes[order], inside[order], slot_inside.astype(np.float32), s.words, s.buckets), share / share.sum(), total
+
+
+def group_of(share: np.ndarray, groups: int) -> np.ndarray:
+    """class -> group: classes by falling share, as many in each group."""
+    each = -(-len(share) // groups)
+    out = np.empty(len(share), dtype=np.int64)
+    out[np.argsort(-share, kind="stable")] = np.arange(len(share)) // each
+    return out
 
-class Network:
-    """Parameters as one flat float32 vector: E (offset, token or padding, hidden), b, O (token, hidden), c."""
 
-    def __init__(self, flat: np.ndarray, size: int):
-        n, e = len(OFFSETS), len(OFFSETS) * (size + 1) * HIDDEN
-        self.flat, self.size = flat, size
-        self.e = flat[:e].reshape(n, size + 1, HIDDEN)
-        self.b = flat[e : e + HIDDEN]
-        self.o = flat[e + HIDDEN : e + HIDDEN + size * HIDDEN].reshape(size, HIDDEN)
-        self.c = flat[e + HIDDEN + size * HIDDEN :]
+class Network:
+    """Parameters as one flat float32 vector: E (offset, class or padding, hidden), b, G and g (groups), O and c
+    (classes, group by group)."""
+
+    def __init__(self, flat: np.ndarray, group: np.ndarray):
+        self.flat, self.group, self.size = flat, group, len(group)
+        self.groups = int(group.max()) + 1
+        order = np.argsort(group, kind="stable")
+        self.first = np.searchsorted(group[order], np.arange(self.groups + 1))
+        self.place = np.empty(self.size, dtype=np.int64)
+        self.place[order] = np.arange(self.size)  # class -> row of O
+        n, m, at = len(OFFSETS), self.size + 1, 0
+        self.parts = []
+        for shape in ((n, m, HIDDEN), (HIDDEN,), (self.groups, HIDDEN), (self.groups,), (self.size, HIDDEN), (self.size,)):
+            k = int(np.prod(shape))
+            self.parts.append(flat[at : at + k].reshape(shape))
+            at += k
+        self.e, self.b, self.g, self.gc, self.o, self.c = self.parts
 
     @classmethod
-    def fresh(cls, unigram: np.ndarray, seed: int) -> Network:
-        size = len(unigram)
-        rng = np.random.default_rng(seed)
-        flat = rng.normal(0, 0.1, (len(OFFSETS) * (size + 1) + 1 + size) * HIDDEN + size).astype(np.float32)
-        out = cls(flat, size)
+    def fresh(cls, share: np.ndarray, groups: int, seed: int) -> Network:
+        group = group_of(share, groups)
+        k = int(group.max()) + 1
+        n = (len(OFFSETS) * (len(share) + 1) + 1 + k + len(share)) * HIDDEN + k + len(share)
+        out = cls(np.random.default_rng(seed).normal(0, 0.1, n).astype(np.float32), group)
         out.b[:] = 0
-        out.c[:] = np.log(unigram)
+        mass = np.bincount(group, share, k)
+        out.gc[:] = np.log(mass)
+        out.c[out.place] = np.log(share / mass[group])
         return out
 
-    def padded(self, ids: np.ndarray) -> np.ndarray:
-        """A text with WIDTH paddings on either side."""
+    def joined(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(classes of all texts with WIDTH paddings around each, the places of the tokens)."""
         edge = np.full(WIDTH, self.size)
-        return np.concatenate([edge, ids, edge])
+        line = np.concatenate([x for t in texts for x in (edge, t)] + [edge])
+        return line, np.flatnonzero(line < self.size)
 
-    def windows(self, padded: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        """The context ids of positions `at`, one array for each offset."""
-        return [padded[at + (WIDTH + k)] for k in OFFSETS]
-
-    def forward(self, context) -> tuple[np.ndarray, np.ndarray]:
-        """(hidden units, logits)."""
-        h = self.e[0][context[0]]
-        for j in range(1, len(OFFSETS)):
-            h += self.e[j][context[j]]
+    def hidden(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
+        h = self.e[0][line[at + OFFSETS[0]]]
+        for j, k in enumerate(OFFSETS[1:], 1):
+            h += self.e[j][line[at + k]]
         h += self.b
-        np.tanh(h, out=h)
-        z = h @ self.o.T
-        z += self.c
-        return h, z
-
-    def log_prob(self, ids: np.ndarray) -> float:
-        total, padded = 0.0, self.padded(ids)
-        for a in range(0, len(ids), STEP):
-            at = np.arange(a, min(len(ids), a + STEP))
-            _, z = self.forward(self.windows(padded, at))
-            own = z[np.arange(len(at)), ids[at]].astype(np.float64)
-            top = z.max()  # one shift for the batch: logits are bounded, as hidden units are within -1..1
-            np.exp(np.subtract(z, top, out=z), out=z)
-            total += float((own - top - np.log(np.maximum(z.sum(axis=1), 1e-30))).sum())
-        return total
-
-    def learn(self, context: np.ndarray, target: np.ndarray, rate: float, seen: Network) -> None:
-        """One Adagrad step on a batch; seen: the squared gradients so far."""
-        h, d = self.forward(context)
-        np.exp(np.subtract(d, d.max(axis=1, keepdims=True), out=d), out=d)
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(len(target)), target] -= 1
-        d /= len(target)
-        dh = (d @ self.o) * (1 - h * h)
-        for value, past, grad in ((self.o, seen.o, d.T @ h), (self.c, seen.c, d.sum(0)), (self.b, seen.b, dh.sum(0))):
-            past += grad * grad
-            value -= rate * grad / (np.sqrt(past) + 1e-6)
-        n, m = len(OFFSETS), self.size + 1
-        at = (context + m * np.arange(n)[:, None]).reshape(-1, 1) * HIDDEN + np.arange(HIDDEN)
-        grad = np.bincount(at.ravel(), np.tile(dh, (n, 1)).ravel(), n * m * HIDDEN).astype(np.float32).reshape(n, m, HIDDEN)
-        seen.e += grad * grad  # rows that the batch lacks have no gradient and stay as they are
-        self.e -= rate * grad / (np.sqrt(seen.e) + 1e-6)
-
-
-def _round(encoded: DataFrame, flat: np.ndarray, s: Settings, turn: int) -> np.ndarray:
-    """The average of what all tasks have learnt from `flat`."""
-    start = encoded.sparkSession.sparkContext.broadcast(flat)  # half a megabyte at any input size
-
-    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        net, seen = Network(start.value.copy(), s.size), Network(np.zeros_like(start.value), s.size)
-        n, held, wanted = 0, [], []
-        part = TaskContext.get().partitionId()
-
-        def step() -> int:
-            context, target = np.concatenate(held, axis=1), np.concatenate(wanted)
-            for a in range(0, len(target), 512):
-                net.learn(context[:, a : a + 512], target[a : a + 512], s.rate, seen)
-            held.clear(), wanted.clear()
-            return len(target)
+        return np.tanh(h, out=h)
+
+    def by_group(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(group, rows whose target is in it)."""
+        own = self.group[target]
+        order = np.argsort(own, kind="stable")
+        ends = np.searchsorted(own[order], np.arange(self.groups + 1))
+        for k in np.flatnonzero(np.diff(ends)):
+            yield k, order[ends[k] : ends[k + 1]]
+
+    def log_probs(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The log-probability of the class at each place, from its neighbours alone."""
+        out = np.empty(len(at))
+        for a in range(0, len(at), STEP):
+            here = at[a : a + STEP]
+            target, h = line[here], self.hidden(line, here)
+            total = self._own(h @ self.g.T + self.gc, self.group[target])
+            for k, rows in self.by_group(target):
+                i, j = self.first[k], self.first[k + 1]
+                total[rows] += self._own(h[rows] @ self.o[i:j].T + self.c[i:j], self.place[target[rows]] - i)
+            out[a : a + STEP] = total
+        return out
 
-        for b in batches:
-            for raw in b["ids"]:
-                ids = np.frombuffer(raw, "<u2").astype(np.int64)
-                padded = net.padded(ids)
-                first = (len(ids) + turn) % s.stride
-                for a in range(first, len(ids), STEP * s.stride):
-                    at = np.arange(a, min(len(ids), a + STEP * s.stride), s.stride)
-                    held.append(np.stack(net.windows(padded, at)))
-                    wanted.append(ids[at])
-                    if sum(map(len, wanted)) >= 4 * STEP:
-                        n += step()
-        if wanted:
-            n += step()
-        if n:
-            blocks = [(net.flat[a : a + BLOCK].astype(np.float64) * n).tobytes() for a in range(0, len(net.flat), BLOCK)]
-            yield pd.DataFrame({"block": range(len(blocks)), "salt": part % SALTS, "n": float(n), "sums": blocks})
+    @staticmethod
+    def _own(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log softmax of each row at its target."""
+        z -= z.max(axis=1, keepdims=True)
+        own = z[np.arange(len(target)), target].astype(np.float64)
+        return own - np.log(np.exp(z, out=z).sum(axis=1, dtype=np.float64))
+
+    @staticmethod
+    def _error(z: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
+        """The gradient of the mean loss by the logits."""
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        z[np.arange(len(target)), target] -= 1
+        z /= n
+        return z
+
+    def learn(self, line: np.ndarray, at: np.ndarray, rate: float, seen: Network) -> None:
+        """One Adagrad step on a batch; seen: the squared gradients so far. Rows that the batch lacks stay as they are."""
+
+        def step(value: np.ndarray, past: np.ndarray, grad: np.ndarray, rows=slice(None)) -> None:
+            past[rows] += grad * grad
+            value[rows] -= rate * grad / (np.sqrt(past[rows]) + 1e-6)
+
+        target, h, n = line[at], self.hidden(line, at), len(at)
+        d = self._error(h @ self.g.T + self.gc, self.group[target], n)
+        dh = d @ self.g
+        later = [(self.g, seen.g, d.T @ h), (self.gc, seen.gc, d.sum(0))]
+        for k, rows in self.by_group(target):
+            i, j = self.first[k], self.first[k + 1]
+            x = h[rows]
+            d = self._error(x @ self.o[i:j].T + self.c[i:j], self.place[target[rows]] - i, n)
+            dh[rows] += d @ self.o[i:j]
+            later += [(self.o[i:j], seen.o[i:j], d.T @ x), (self.c[i:j], seen.c[i:j], d.sum(0))]
+        dh *= 1 - h * h
+        later.append((self.b, seen.b, dh.sum(0)))
+        for value, past, grad in later:
+            step(value, past, grad)
+        for j, k in enumerate(OFFSETS):
+            context = line[at + k]
+            order = np.argsort(context.astype(np.uint16), kind="stable")
+            own = context[order]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            step(self.e[j], seen.e[j], np.add.reduceat(dh[order], first, axis=0), own[first])
+
+
+def train_part(flat: np.ndarray, group: np.ndarray, texts: list[np.ndarray], s: Settings, turn: int) -> tuple[np.ndarray, int]:
+    """(parameters, tokens trained on) after each stride-th token of texts, from the turn-th on."""
+    net, seen = Network(flat.copy(), group), Network(np.zeros_like(flat), group)
+    line, at = net.joined(texts)
+    at = at[turn % s.stride :: s.stride]
+    a = steps = 0
+    while a < len(at):
+        size = min(BATCH, FIRST << (steps // WARM))
+        net.learn(line, at[a : a + size], s.rate, seen)
+        a, steps = a + size, steps + 1
+    return net.flat, len(at)
+
+
+def _round(dealt: DataFrame, flat: np.ndarray, group: np.ndarray, vocabulary: Vocabulary, s: Settings, turn: int) -> np.ndarray:
+    """The average of what all parts have learnt from `flat`."""
+    start = dealt.sparkSession.sparkContext.broadcast((flat, group, vocabulary))  # some 10 MB at any input size
+
+    def train(key, g: pd.DataFrame) -> pd.DataFrame:
+        flat, group, v = start.value
+        g = g.sort_values(["part_key", "ids"], kind="stable")
+        texts = [v.encode(np.frombuffer(x, "<u4"))[0] for x in g["ids"]]
+        new, n = train_part(flat, group, texts, s, turn)
+        blocks = [new[a : a + BLOCK].tobytes() for a in range(0, len(new), BLOCK)] if n else []
+        return pd.DataFrame({"block": range(len(blocks)), "part": key[0], "n": float(n), "mean": blocks})
 
     def add(key, g: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float64) for x in g["sums"])
-        return pd.DataFrame({"block": [key[0]], "n": [g["n"].sum()], "sums": [total.tobytes()]})
-
-    learnt = encoded.select("ids").mapInPandas(train, "block int, salt int, n double, sums binary")
-    schema = "block int, n double, sums binary"
-    blocks = learnt.groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema).toPandas()
+        g = g.sort_values("part")
+        n, total = g["n"].sum(), 0.0
+        for x, w in zip(g["mean"], g["n"]):
+            total = total + np.frombuffer(x, np.float32).astype(np.float64) * (w / n)
+        return pd.DataFrame({"block": [key[0]], "part": [g["part"].iloc[0]], "n": [n], "mean": [total.astype(np.float32).tobytes()]})
+
+    schema = "block int, part bigint, n double, mean binary"
+    learnt = dealt.groupBy("part").applyInPandas(train, schema)
+    some = learnt.groupBy("block", (F.col("part") % SALTS).alias("salt")).applyInPandas(add, schema)
+    blocks = some.groupBy("block").applyInPandas(add, schema).select("block", "mean").toPandas()
     if blocks.empty:
         return flat
-    blocks = blocks.sort_values("block")
-    return np.concatenate([np.frombuffer(x, np.float64) / n for x, n in zip(blocks["sums"], blocks["n"])]).astype(np.float32)
+    return np.concatenate([np.frombuffer(x, np.float32) for x in blocks.sort_values("block")["mean"]])
 
 
 def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_tokens, log_prob (sum over all tokens), mean_log_prob (null without tokens): a row for each row of docs
     (doc_id, text), repeated rows included. Null text counts as empty: no tokens, log_prob 0. Null doc_ids stay. Empty
-    docs give an empty result; other columns are ignored."""
-    counts = count_tokens(docs)
-    counts = durable(counts, "token-counts")
-    vocabulary, share = learn_vocabulary(counts, s)
-    encoded = durable(encode(docs, vocabulary, s), "token-ids")
-    flat = Network.fresh(share, s.seed).flat
-    for turn in range(s.rounds):
-        flat = _round(encoded, flat, s, turn)
-    shared = encoded.sparkSession.sparkContext.broadcast(flat)
+    docs give an empty result; other columns are ignored. The table's partitions, and the order of its rows, do not
+    change a score."""
+    texts, counts = read_corpus(docs)
+    vocabulary, share, total = learn_vocabulary(durable(counts, "token-counts"), s)
+    parts = max(1, -(-total // s.part))
+    net = Network.fresh(share, s.groups, s.seed)
+    flat = net.flat
+    dealt = texts.select(F.pmod("part_key", F.lit(parts)).alias("part"), "part_key", "ids")
+    for turn in range(s.stride if total else 0):
+        flat = _round(dealt, flat, net.group, vocabulary, s, turn)
+    shared = texts.sparkSession.sparkContext.broadcast((flat, net.group, vocabulary))
 
     @F.pandas_udf("n_tokens bigint, log_prob double")
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        net = Network(shared.value.copy(), s.size)
-        for b, inside in batches:
-            texts = [np.frombuffer(x, "<u2").astype(np.int64) for x in b]
-            yield pd.DataFrame({"n_tokens": [len(t) for t in texts], "log_prob": [net.log_prob(t) + x for t, x in zip(texts, inside)]})
-
-    out = encoded.select("doc_id", judge("ids", "inside").alias("s")).select("doc_id", "s.n_tokens", "s.log_prob")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        flat, group, v = shared.value
+        net = Network(flat.copy(), group)
+        for b in batches:
+            hashes = [np.frombuffer(x, "<u4") for x in b]
+            sizes = np.array([len(x) for x in hashes])
+            classes, inside = v.encode(np.concatenate(hashes))
+            line, at = net.joined(np.split(classes, np.cumsum(sizes)[:-1]))
+            own = np.repeat(np.arange(len(sizes)), sizes)
+            yield pd.DataFrame({"n_tokens": sizes, "log_prob": np.bincount(own, net.log_probs(line, at) + inside, len(sizes))})
+
+    out = texts.select("doc_id", judge("ids").alias("s")).select("doc_id", "s.n_tokens", "s.log_prob")
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

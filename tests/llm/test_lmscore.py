@@ -1,44 +1,139 @@
-"""Pseudo-likelihood scores against a direct computation, and that training helps."""
+"""Pseudo-likelihood scores against direct computations, and that training helps."""
 
+import collections
 import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from leafproof.llm import common, lmscore
 
+SMALL = lmscore.Settings(words=32, buckets=8, groups=5, listed=40, slots=64, part=3000)
 
-def test_log_prob_equals_a_token_by_token_computation():
-    rng = np.random.default_rng(2)
-    net = lmscore.Network.fresh(np.full(20, 0.05), 3)
-    ids = rng.integers(0, 20, 37)
-    total = 0.0
+
+def log_softmax(z):
+    z = z - z.max()
+    return z - np.log(np.exp(z).sum())
+
+
+def one_by_one(net, ids):
+    """The log-probability of each class, by the definition: both levels of the softmax, every other class summed."""
+    out = []
     for t in range(len(ids)):
-        h = net.b.copy()
+        h = net.b.astype(float)
         for j, k in enumerate(lmscore.OFFSETS):
-            h = h + net.e[j][ids[t + k] if 0 <= t + k < len(ids) else 20]
-        z = net.o @ np.tanh(h) + net.c
-        total += z[ids[t]] - np.log(np.exp(z).sum())
-    assert abs(net.log_prob(ids) - total) < 1e-3
+            h = h + net.e[j][ids[t + k] if 0 <= t + k < len(ids) else net.size]
+        h = np.tanh(h)
+        own = int(net.group[ids[t]])
+        members = np.flatnonzero(net.group == own)
+        inner = log_softmax(np.array([net.o[net.place[m]] @ h + net.c[net.place[m]] for m in members]))
+        out.append(log_softmax(net.g @ h + net.gc)[own] + inner[list(members).index(ids[t])])
+    return np.array(out)
+
+
+def random_net(seed=3, size=40, scale=1.0):
+    rng = np.random.default_rng(seed)
+    net = lmscore.Network.fresh(rng.dirichlet(np.ones(size)), 6, seed)
+    net.flat[:] += rng.normal(0, scale, len(net.flat)).astype(np.float32)
+    return net
+
+
+def test_log_probs_equal_a_token_by_token_computation():
+    rng, net = np.random.default_rng(2), random_net()
+    texts = [rng.integers(0, 40, n) for n in (37, 1, 0, 2, 300)]
+    line, at = net.joined(texts)
+    assert np.allclose(net.log_probs(line, at), np.concatenate([one_by_one(net, t) for t in texts]), atol=1e-3)
+    assert np.allclose(sum(np.exp(one_by_one(net, np.array([3, k, 5]))[1]) for k in range(40)), 1, atol=1e-5)
+
+
+def test_rows_with_far_apart_logits_keep_their_probability():
+    net = random_net()
+    net.c[:] *= 60
+    net.g[0] *= 200
+    ids = np.random.default_rng(5).integers(0, 40, 200)
+    line, at = net.joined([ids])
+    want = one_by_one(net, ids)
+    assert want.min() < -80 and np.allclose(net.log_probs(line, at), want, rtol=1e-3, atol=1e-2)
+
+
+def test_long_texts_are_scored_in_steps(monkeypatch):
+    net, ids = random_net(), np.random.default_rng(7).integers(0, 40, 5000)
+    whole = net.log_probs(*net.joined([ids]))
+    monkeypatch.setattr(lmscore, "STEP", 333)
+    assert np.allclose(net.log_probs(*net.joined([ids])), whole, atol=1e-4)
+
 
+def test_learning_follows_the_numerical_gradient():
+    net = random_net(scale=0.3)
+    line, at = net.joined([np.random.default_rng(9).integers(0, 40, 25)])
+    base, loss = net.flat.copy(), lambda f: -lmscore.Network(f, net.group).log_probs(line, at).mean()
+    seen = lmscore.Network(np.zeros_like(base), net.group)
+    net.learn(line, at, 0.0, seen)  # the squared gradient is left in seen
+    for k in np.random.default_rng(1).choice(np.flatnonzero(seen.flat > 1e-6), 40, replace=False):
+        up, down = base.copy(), base.copy()
+        up[k] += 1e-2
+        down[k] -= 1e-2
+        assert abs(abs(loss(up) - loss(down)) / 2e-2 - np.sqrt(seen.flat[k])) < 2e-3
 
-def test_scores_tell_likely_from_shuffled_texts(spark):
+
+def corpus(spark, parts):
     rng = random.Random(1)
     phrases = ["the cat sat on the mat .", "a dog ran to the old house .", "we saw many small red birds ."]
     rows = [(k, " ".join(rng.choices(phrases, k=20)), 1) for k in range(150)]
     mixed = rows[0][1].split()
     rng.shuffle(mixed)
-    rows += [(900, " ".join(mixed), 1), (901, "", 1), (902, None, 1), (None, "the cat", 1), (0, rows[0][1], 1)]
-    docs = common.prepare(spark).createDataFrame(rows, "doc_id long, text string, n_tokens int").repartition(3)
-    got = {}
-    for r in lmscore.score(docs, lmscore.Settings(words=32, buckets=8, stride=2, rounds=2)).collect():
-        got.setdefault(r.doc_id, []).append(r)
-    assert len(got[0]) == 2 and got[0][0].log_prob == got[0][1].log_prob
+    rows += [(900, " ".join(mixed), 1), (901, "", 1), (902, None, 1), (None, "the cat", 1), (0, rows[0][1], 1), (903, "the cat sat " * 8000, 1), (2**60 + 1, "\U0001f600 é", 1)]
+    return common.prepare(spark).createDataFrame(rows, "doc_id long, text string, n_tokens int").repartition(parts)
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    got = collections.defaultdict(list)
+    for r in lmscore.score(corpus(spark, 3), SMALL).collect():
+        got[r.doc_id].append(r)
+    return got
+
+
+def test_scores_tell_likely_from_shuffled_texts(spark, scored):
+    got = scored
+    assert len(got[0]) == 2 and abs(got[0][0].log_prob - got[0][1].log_prob) < 1e-3 and len(got[None]) == 1
     assert got[900][0].n_tokens == got[0][0].n_tokens and got[900][0].mean_log_prob < got[0][0].mean_log_prob - 1
-    assert [got[k][0].n_tokens for k in (901, 902)] == [0, 0] and got[901][0].mean_log_prob is None and got[901][0].log_prob == 0
-    assert lmscore.score(docs.limit(0)).count() == 0
-    assert lmscore.count_tokens(docs).filter(F.col("token") == "cat").first().n > 100
+    assert [got[k][0].n_tokens for k in (901, 902, 903, 2**60 + 1)] == [0, 0, 24000, 2] and got[901][0].mean_log_prob is None and got[901][0].log_prob == 0
+    assert lmscore.score(corpus(spark, 3).limit(0), SMALL).count() == 0
+
+
+def test_scores_do_not_depend_on_partitions(spark, scored):
+    for r in lmscore.score(corpus(spark, 11), SMALL).collect():
+        assert abs(r.log_prob - scored[r.doc_id][0].log_prob) < 1e-3 + 1e-5 * abs(r.log_prob)
+
+
+def test_the_whole_operator_equals_a_direct_computation(spark, scored):
+    """Counting, dealing, training and averaging in plain loops over the whole corpus."""
+    rows = corpus(spark, 1).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).collect()
+    h = lambda w: zlib.crc32(w.encode())
+    texts = [np.array([h(w) for w in lmscore.tokens_of(r.text)], dtype=np.uint32) for r in rows]
+    counts = collections.Counter(int(x) for t in texts for x in t)
+    v, share, total = lmscore.learn_vocabulary(spark.createDataFrame(list(counts.items()), "h long, n long"), SMALL)
+    assert total == sum(counts.values())
+    parts = -(-total // SMALL.part)
+    assert parts > 1
+    net = lmscore.Network.fresh(share, SMALL.groups, SMALL.seed)
+    flat = net.flat
+    for turn in range(SMALL.stride):
+        mean, n = 0.0, 0
+        for p in range(parts):
+            own = sorted((r.key, t.tobytes()) for r, t in zip(rows, texts) if r.key % parts == p)
+            new, k = lmscore.train_part(flat, net.group, [v.encode(np.frombuffer(t, np.uint32))[0] for _, t in own], SMALL, turn)
+            mean, n = mean + new.astype(float) * k, n + k
+        assert abs(n - total / SMALL.stride) <= parts
+        flat = (mean / n).astype(np.float32)
+    net = lmscore.Network(flat, net.group)
+    for r, t in zip(rows, texts):
+        classes, inside = v.encode(t)
+        want = one_by_one(net, classes[:40]) if len(t) <= 40 else net.log_probs(*net.joined([classes]))
+        assert abs(want.sum() + inside.sum() - scored[r.doc_id][0].log_prob) < 0.02 + 1e-4 * len(t)
 
 
 def test_production_training_reaches_short_texts_and_both_edges(spark):
@@ -48,24 +143,16 @@ def test_production_training_reaches_short_texts_and_both_edges(spark):
     assert min(got.values()) > -1  # untrained: log(1/8) = -2.1 a token
 
 
-def test_rare_tokens_of_one_bucket_score_by_their_own_counts(spark):
-    s = lmscore.Settings()
-    bucket = lambda w: zlib.crc32(w.encode()) % s.buckets
-    content = "content"
-    junk = next(w for w in (f"zq{k}x" for k in range(9999)) if bucket(w) == bucket(content))
-    common_words = " ".join(f"w{k}" for k in range(s.words))
-    rows = [(k, common_words) for k in range(60)] + [(k, f"w1 {content} w2") for k in range(100, 140)] + [(999, f"w1 {junk} w2")]
-    docs = common.prepare(spark).createDataFrame(rows, "doc_id long, text string").repartition(2)
-    got = {r.doc_id: r.log_prob for r in lmscore.score(docs).collect()}
-    assert abs(got[100] - got[999] - np.log(40)) < 1e-3
-
-
 def test_shares_in_a_bucket_add_up_to_one_with_an_unseen_token(spark):
-    s = lmscore.Settings(words=3, buckets=2, listed=20)
-    counts = spark.createDataFrame([(f"t{k}", 60 // (k + 1)) for k in range(60)], "token string, n long")
-    v, _ = lmscore.learn_vocabulary(counts, s)
-    assert 0 < len(v.index) - s.words <= s.listed
+    s = lmscore.Settings(words=3, buckets=2, groups=2, listed=20, slots=8)
+    hashes = {zlib.crc32(f"t{k}".encode()): 60 // (k + 1) for k in range(60)}
+    v, share, total = lmscore.learn_vocabulary(spark.createDataFrame(list(hashes.items()), "h long, n long"), s)
+    assert total == sum(hashes.values()) and abs(share.sum() - 1) < 1e-9
+    classes, inside = v.encode(np.array(list(hashes), dtype=np.uint32))
+    left = [h for h in hashes if h not in set(v.known.tolist())]
+    assert left and len(v.known) <= s.words + s.listed
     for b in range(s.buckets):
-        kinds = sum(f"t{k}" not in v.index and zlib.crc32(f"t{k}".encode()) % s.buckets == b for k in range(60))
-        total = np.exp(v.inside[s.size :][v.classes[s.size :] == s.words + b]).sum() + (kinds + 1) * np.exp(v.inside[s.words + b])
-        assert abs(total - 1) < 1e-9
+        seen = np.exp(inside[classes == s.words + b]).sum()
+        unseen = sum(np.exp(v.slot_inside[x]) for x in range(b, s.slots, s.buckets))  # each slot has room for one more
+        assert abs(seen + unseen - 1) < 1e-5
+    assert np.allclose(inside[classes < s.words], 0)
