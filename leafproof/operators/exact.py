@@ -67,36 +67,57 @@ def first_pages_of(hits: DataFrame, cap: int = 20) -> DataFrame:
     return hits.orderBy("page_no", "page_id").limit(cap).orderBy("doc_id", "revision", "page_no")
 
 
-def absence(total: Column, pages: Column, with_text: Column) -> Column:
-    """The typed status of a lookup: an empty result is never ok."""
-    return F.when(total > 0, "ok").when(pages == 0, "out_of_scope").when(with_text == 0, "not_searchable").otherwise("not_found")
+def absence(total: Column, pages: Column, trusted_pages: Column) -> Column:
+    """The typed status of a lookup: an empty result is never ok. A scope whose pages can all not be trusted answers
+    not_searchable, whatever text they hold."""
+    return F.when(total > 0, "ok").when(pages == 0, "out_of_scope").when(trusted_pages == 0, "not_searchable").otherwise("not_found")
 
 
-def lookup_summary(pages: DataFrame, labels: DataFrame, cap: int = 20) -> DataFrame:
-    """Per label (claim): total, unverified (hits on pages that can't be trusted), capped, weak, status.
+def label_hits(pages: DataFrame, labels: DataFrame, postings: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """(claim, page_id, page_no, text_trust): current pages that print a label's spelling, trusted or not.
 
     Labels meet pages by the rarest token of each spelling, an equi-join; then comes the phrase test. So no page is
-    compared with a label it shares only common tokens with.
+    compared with a label it shares only common tokens with. postings (row_id, term) and terms (term, df) are the
+    index of the same current pages; without them the pages are tokenised here.
     """
     base = current_only(pages)
     spelt = labels.select("claim", F.explode(T.variants(F.col("claim"))).alias("v")).select("claim", T.normal(F.col("v")).alias("n"), F.explode(T.tokens(F.col("v"))).alias("token"))
-    first = base.select("page_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).join(spelt.select("token").distinct(), "token", "left_semi")
-    often = first.groupBy("token").agg(F.count("*").alias("df"))
+    on = "row_id" if postings is not None else "page_id"
+    if postings is None:
+        first = base.select("page_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).join(spelt.select("token").distinct(), "token", "left_semi")
+        often = first.groupBy("token").agg(F.count("*").alias("df"))
+    else:
+        first = postings.select("row_id", F.col("term").alias("token"))
+        often = terms.select(F.col("term").alias("token"), "df")
     rarest = F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token")
     wanted = spelt.join(often, "token", "left").groupBy("claim", "n").agg(rarest)
-    pairs = first.join(wanted, "token").join(base.select("page_id", "norm", "text_trust"), "page_id")
-    hits = pairs.filter(F.col("norm").contains(F.col("n"))).select("claim", "page_id", "text_trust").distinct()
+    pairs = first.join(wanted, "token").join(base.select(on, *[c for c in ("page_id", "page_no", "norm", "text_trust") if c != on]), on)
+    return pairs.filter(F.col("norm").contains(F.col("n"))).select("claim", "page_id", "page_no", "text_trust").distinct()
+
+
+def lookup_summary(pages: DataFrame, labels: DataFrame, cap: int = 20, postings: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """Per label (item_id, claim): total, unverified (hits on pages that can't be trusted), capped, weak, needs_scope,
+    status."""
+    base = current_only(pages)
+    hits = label_hits(pages, labels, postings, terms)
     bad = F.col("text_trust").isin("untrusted", "no_text")
     found = hits.groupBy("claim").agg(F.count_if(~bad).alias("total"), F.count_if(bad).alias("unverified"))
-    size = base.agg(F.count("*").alias("pages"), F.count_if(F.expr("has_text")).alias("with_text"))
+    size = base.agg(F.count("*").alias("pages"), F.count_if(~bad).alias("trusted"))
     total = F.coalesce("total", F.lit(0))
+    weak = total > F.greatest(F.lit(float(WEAK_HITS)), WEAK_SHARE * size.select("pages").scalar())
     return labels.join(found, "claim", "left").select(
         "item_id", "claim", total.alias("total"), F.coalesce("unverified", F.lit(0)).alias("unverified"), (total > cap).alias("capped"),
-        (total > F.greatest(F.lit(float(WEAK_HITS)), WEAK_SHARE * size.select("pages").scalar())).alias("weak"),
-        absence(total, size.select("pages").scalar(), size.select("with_text").scalar()).alias("status"),
+        weak.alias("weak"), weak.alias("needs_scope"), absence(total, size.select("pages").scalar(), size.select("trusted").scalar()).alias("status"),
     )
 
 
+def lookup_rows(pages: DataFrame, labels: DataFrame, cap: int = 20, postings: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """(claim, nth, page_id): each label's first `cap` trusted hits, by page number, then page id."""
+    hits = label_hits(pages, labels, postings, terms).filter(~F.col("text_trust").isin("untrusted", "no_text"))
+    w = Window.partitionBy("claim").orderBy("page_no", "page_id")
+    return hits.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= cap).select("claim", "nth", "page_id")
+
+
 def uncheckable() -> Column:
     """Why a page cannot confirm or deny anything, or null."""
     return F.when(~F.col("is_current"), "not_current").when(F.col("text_trust") == "no_text", "no_text").when(F.col("text_trust") == "untrusted", "untrusted")
@@ -142,3 +163,48 @@ def present_instead(claims: DataFrame, inventory: DataFrame) -> DataFrame:
     w = Window.partitionBy("claim", "doc_id")
     best = both.withColumn("longest", F.max("size").over(w)).filter("size = longest").select("claim", "doc_id", "token", "size").distinct()
     return best.withColumn("nth", F.row_number().over(w.orderBy("token"))).filter(F.col("nth") <= PRESENT_CAP)
+
+
+#: Rows that one resolve compares, and words of a citation that are labels of their own.
+RESOLVE_ROWS, LABEL_WORDS = 512, 4
+
+
+def same_label(stored: Column, wanted: str) -> Column:
+    """Whether a stored label is the wanted one: equal as tokens, or one holds the other as a phrase, whole words and
+    in order. No distance, no prefix."""
+    want = " ".join(["", *T.tok(wanted), ""])
+    have = T.normal(stored)
+    return (F.trim(have) != "") & (have.contains(want) | F.lit(want).contains(have))
+
+
+def resolve(forms: DataFrame, label: str) -> DataFrame:
+    """page_id, printed_page_no, interpolated: the current pages that a printed label leads to.
+
+    Pages that print the label and whose own label it is; if there is none, the same for each word with a digit of a
+    longer citation, against the whole of it; if there is none still and the label is a number n, the page without a
+    label between pages labelled n - 1 and n + 1, two apart. One probe compares RESOLVE_ROWS rows at most, in reading
+    order.
+    """
+    here = current_only(forms)
+    order = ["doc_id", "revision", "page_no"]
+
+    def probe(words: str, wanted: str) -> DataFrame:
+        some = trusted(here).filter(phrase(F.col("norm"), words)).orderBy(*order).limit(RESOLVE_ROWS)
+        return some.filter(same_label(F.col("printed_label"), wanted)).select("page_id", F.col("printed_label").alias("printed_page_no"), F.lit(False).alias("interpolated"))
+
+    asked = probe(label, label)
+    if not asked.isEmpty():
+        return asked
+    words = [w for w in label.split() if any(ch.isnumeric() for ch in w) and w != label][:LABEL_WORDS]
+    found = None
+    for w in words:
+        found = probe(w, label) if found is None else found.unionByName(probe(w, label))
+    if found is not None and not (found := found.distinct()).isEmpty():
+        return found
+    none = asked.limit(0)
+    if not label.strip().isdigit() or int(label) < 1:
+        return none
+    n = int(label)
+    ends = [trusted(here).filter(phrase(F.col("norm"), str(k)) & same_label(F.col("printed_label"), str(k))) for k in (n - 1, n + 1)]
+    low, high = (e.select("doc_id", "revision", (F.col("page_no") + d).alias("page_no")) for e, d in zip(ends, (1, -1)))
+    return here.filter(F.col("printed_label").isNull()).join(low, order).join(high, order).select("page_id", F.col("printed_label").alias("printed_page_no"), F.lit(True).alias("interpolated")).distinct()

@@ -10,15 +10,19 @@ from leafproof.functions import text as T
 OK, DEGRADED = 0.8, 0.2
 
 
+def folded(codes: Column) -> Column:
+    """Lower-cased codes with single spaces, each once."""
+    return F.array_distinct(F.transform(codes, lambda k: F.lower(F.trim(F.regexp_replace(k, r"\s+", " ")))))
+
+
 def backed(codes: Column, norm: Column) -> Column:
     """The codes that the text prints: lower-cased, distinct, sorted."""
-    folded = F.transform(codes, lambda k: F.lower(F.trim(F.regexp_replace(k, r"\s+", " "))))
-    return F.array_sort(F.array_distinct(F.filter(folded, lambda k: T.printed(norm, k))))
+    return F.array_sort(F.filter(folded(codes), lambda k: T.printed(norm, k)))
 
 
 def grounded_rate(codes: Column, norm: Column, has_text: Column) -> Column:
-    """Null without text; 1 without codes; else the share of codes printed."""
-    return F.when(~has_text, None).when(F.size(codes) == 0, 1.0).otherwise(F.size(backed(codes, norm)) / F.size(codes))
+    """Null without text; 1 without codes; else the share of distinct codes printed."""
+    return F.when(~has_text, None).when(F.size(codes) == 0, 1.0).otherwise(F.size(backed(codes, norm)) / F.size(folded(codes)))
 
 
 def band(rate: Column) -> Column:

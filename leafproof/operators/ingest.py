@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafproof.functions import text as T
+
 CAP, SMALL = 30, 10
+#: Pages of a window whose label a neighbour prints that make it be off.
+WITNESSES = 2
 
 
 def by_page() -> Window:
@@ -20,13 +24,14 @@ def split_oversized(ranges: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def pack(ranges: DataFrame, cap: int = CAP, small: int = SMALL) -> DataFrame:
-    """Merge a range into the one before if either is smaller than `small` pages and both fit into cap: an ordered fold
-    over a document's ranges (its chapters, a short list)."""
+    """Merge a range of under `small` pages into the one before, if both fit into cap: an ordered fold over a
+    document's ranges (its chapters, a short list). A small first range stays, and so does what follows it if that is
+    large enough."""
     span = lambda r: r["stop"] - r["start"] + 1
     sorted_ = ranges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("r"))
 
     def fold(acc: Column, r: Column) -> Column:
-        fits = (F.size(acc) > 0) & ((span(F.try_element_at(acc, F.lit(-1))) < small) | (span(r) < small))
+        fits = (F.size(acc) > 0) & (span(r) < small)
         joined = F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), r["stop"].alias("stop"))
         merge = fits & (span(joined) <= cap)
         return F.when(merge, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(r)))
@@ -53,38 +58,129 @@ def plan_windows(starts: DataFrame, pages: DataFrame, cap: int = CAP) -> DataFra
     return whole.unionByName(by).unionByName(flat)
 
 
+def beside(forms: DataFrame, step: int, column: str, name: str) -> DataFrame:
+    """(doc_id, revision, page_no, name): the column of the page `step` pages on, by an equi-join key."""
+    return forms.select("doc_id", "revision", (F.col("page_no") - step).alias("page_no"), F.col(column).alias(name))
+
+
+ON = ["doc_id", "revision", "page_no"]
+
+
 def interpolate(forms: DataFrame) -> DataFrame:
     """An unlabelled page between digit labels n - 1 and n + 1 gets n."""
-    number = lambda c: F.when(c.rlike("^[0-9]+$"), c.cast("long"))
-    before, after = number(F.lag("printed_label").over(by_page())), number(F.lead("printed_label").over(by_page()))
-    fill = F.col("printed_label").isNull() & (after - before == 2)
-    return forms.withColumn("interpolated", F.coalesce(fill, F.lit(False))).withColumn("label", F.when(fill, (before + 1).cast("string")).otherwise(F.col("printed_label")))
+    number = lambda c: F.when(F.col(c).rlike("^[0-9]+$"), F.col(c).cast("long"))
+    both = forms.join(beside(forms, -1, "printed_label", "_before"), ON, "left").join(beside(forms, 1, "printed_label", "_after"), ON, "left")
+    fill = F.col("printed_label").isNull() & (number("_after") - number("_before") == 2)
+    label = F.when(fill, (number("_before") + 1).cast("string")).otherwise(F.col("printed_label"))
+    return both.withColumn("interpolated", F.coalesce(fill, F.lit(False))).withColumn("label", label).drop("_before", "_after")
 
 
 def drops(forms: DataFrame) -> DataFrame:
     """Per document: decreases between consecutive numeric labels."""
-    n = forms.filter(F.col("printed_label").rlike("^[0-9]+$")).withColumn("v", F.col("printed_label").cast("long"))
+    n = forms.filter(F.col("printed_label").rlike("^[0-9]+$")).select(*ON, F.col("printed_label").cast("long").alias("v"))
     n = n.withColumn("p", F.lag("v").over(by_page()))
     return n.groupBy("doc_id", "revision").agg(F.count("*").alias("labelled"), F.count_if(F.expr("v < p")).alias("drops"))
 
 
-def _prints(norm: Column, code: Column) -> Column:
-    return F.coalesce(norm.contains(F.concat(F.lit(" "), code, F.lit(" "))), F.lit(False))
-
-
-def sightings(forms: DataFrame, window: Window) -> DataFrame:
-    """(page, code): whether the page, the one before or the one after prints it; neighbours within `window`."""
-    near = forms.withColumn("prev", F.lag("norm").over(window)).withColumn("next", F.lead("norm").over(window))
-    near = near.withColumn("prev_id", F.lag("page_id").over(window)).withColumn("next_id", F.lead("page_id").over(window))
-    each = near.select("page_id", "doc_id", "revision", "page_no", "norm", "prev", "next", "prev_id", "next_id", F.explode("codes").alias("code"))
-    return each.select("page_id", "doc_id", "revision", "page_no", "code", "prev_id", "next_id", _prints(F.col("norm"), F.col("code")).alias("here"), _prints(F.col("prev"), F.col("code")).alias("on_prev"), _prints(F.col("next"), F.col("code")).alias("on_next"))
+def printed_around(forms: DataFrame, codes: Column, window: int | None = None) -> DataFrame:
+    """Per page: page_id, doc_id, revision, page_no, codes, and which of them the page itself (here), the one before
+    (prev) and the one after (next) print; of the same `window` pages only, if given.
+
+    Pages meet their neighbours by an equi-join on the page number; each text is shuffled once, and texts of no group
+    meet in one task.
+    """
+    asked = forms.select("page_id", *ON, codes.alias("codes"), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("d"))
+    if window:
+        block = lambda c: F.floor((c - 1) / window)
+        asked = asked.filter(block(F.col("page_no") + F.col("d")) == block(F.col("page_no")))
+    asked = asked.withColumn("at", F.col("page_no") + F.col("d"))
+    near = forms.select("doc_id", "revision", F.col("page_no").alias("at"), "norm").join(asked, ["doc_id", "revision", "at"])
+    seen = near.select("page_id", *ON, "codes", "d", F.filter("codes", lambda c: T.printed(F.col("norm"), c)).alias("hit"))
+    none = F.array().cast("array<string>")
+    side = lambda d: F.coalesce(F.max(F.when(F.col("d") == d, F.col("hit"))), none)
+    return seen.groupBy("page_id", *ON).agg(F.first("codes").alias("codes"), side(0).alias("here"), side(-1).alias("prev"), side(1).alias("next"))
+
+
+def sightings(forms: DataFrame, window: int | None = None) -> DataFrame:
+    """(page, code): whether the page, the one before or the one after prints it."""
+    around = printed_around(forms, F.col("codes"), window)
+    each = around.select("page_id", *ON, F.explode("codes").alias("code"), "here", "prev", "next")
+    has = lambda c, n: F.array_contains(c, F.col("code")).alias(n)
+    return each.select("page_id", *ON, "code", has("here", "here"), has("prev", "on_prev"), has("next", "on_next"))
+
+
+def label_witnesses(forms: DataFrame) -> DataFrame:
+    """Pages with text and a label of their own: page_id, label, confirms (the page prints it), witness (it does not,
+    but a neighbour does), printed_on (which neighbours: -1, 1)."""
+    read = forms.filter("has_text and trim(printed_label) != ''").select("page_id", F.trim("printed_label").alias("label"))
+    around = printed_around(forms, F.array_compact(F.array(F.trim("printed_label")))).join(read, "page_id")
+    here, before, after = (F.size(c) > 0 for c in ("here", "prev", "next"))
+    on = F.array_compact(F.array(F.when(before, -1), F.when(after, 1)))
+    return around.select("page_id", *ON, "label", here.alias("confirms"), (~here & (before | after)).alias("witness"), F.when(~here, on).otherwise(F.array().cast("array<int>")).alias("printed_on"))
+
+
+def offset_check(forms: DataFrame, window: int = CAP) -> DataFrame:
+    """Per window of pages: confirmed, witnesses, shifted. A window is off if WITNESSES of its pages read a label that a
+    neighbour prints, or one does and no page confirms its own. Labels printed nowhere near are misreadings and count
+    for neither."""
+    block = F.floor((F.col("page_no") - 1) / window).alias("window")
+    every = forms.select("doc_id", "revision", block).distinct()
+    g = label_witnesses(forms).groupBy("doc_id", "revision", block).agg(F.count_if(F.col("confirms")).alias("confirmed"), F.count_if(F.col("witness")).alias("witnesses"))
+    g = every.join(g, ["doc_id", "revision", "window"], "left").fillna(0, ["confirmed", "witnesses"])
+    return g.withColumn("shifted", (F.col("witnesses") >= WITNESSES) | ((F.col("witnesses") > 0) & (F.col("confirmed") == 0)))
+
+
+def reattribute(forms: DataFrame, window: int = CAP) -> DataFrame:
+    """(page_id, code, moved_from, added, flag): a code that its page does not print moves to the one neighbour within
+    the window that does. Printed by both neighbours it stays, flagged ambiguous; by none, it stays. `added` is false
+    for a moved code that its new page already has, in whatever case, or got from the page before."""
+    s = sightings(forms, window)
+    alone = ~F.col("here") & (F.col("on_prev") != F.col("on_next"))
+    ambiguous = ~F.col("here") & F.col("on_prev") & F.col("on_next")
+    key = F.lower(F.regexp_replace("code", r"\s+", "")).alias("key")
+    stay = s.filter(~alone).select("page_id", "code", key, F.lit(None).cast("string").alias("moved_from"), F.lit(0).alias("place"), F.when(ambiguous, "ambiguous_reattribution").alias("flag"))
+    to = F.when(F.col("on_prev"), F.col("page_no") - 1).otherwise(F.col("page_no") + 1)
+    move = s.filter(alone).select(T.page_id(F.col("doc_id"), F.col("revision"), to).alias("page_id"), "code", key, F.col("page_id").alias("moved_from"), F.col("page_no").alias("place"), F.lit("codes_reattributed").alias("flag"))
+    w = Window.partitionBy("page_id", "key").orderBy("place", "code")  # what stays comes first, then the page before
+    every = stay.unionByName(move).withColumn("nth", F.row_number().over(w))
+    return every.select("page_id", "code", "moved_from", (F.col("moved_from").isNull() | (F.col("nth") == 1)).alias("added"), "flag")
 
 
 def stitched(forms: DataFrame) -> DataFrame:
-    """Sections by key: extent, pages, title, declared starts, ordinal, contiguous, straddles, uncertain."""
-    g = forms.groupBy("doc_id", "revision", "section").agg(F.min("page_no").alias("first"), F.max("page_no").alias("last"), F.count_distinct("page_no").alias("pages"), F.count_if(F.expr("is_start")).alias("starts"))
+    """Sections by key: title, extent, pages, the pages that declare a start (a section's few, in order), ordinal,
+    contiguous, straddles, uncertain."""
+    starts = F.array_sort(F.collect_list(F.when(F.col("is_start"), F.col("page_no")))).alias("starts")
+    g = forms.groupBy("doc_id", "revision", "section").agg(F.min("section").alias("title"), F.min("page_no").alias("first"), F.max("page_no").alias("last"), F.count_distinct("page_no").alias("pages"), starts)
     w = Window.partitionBy("doc_id", "revision").orderBy("first", "section")
     return g.select(
         "*", F.row_number().over(w).alias("ordinal"), (F.col("pages") == F.col("last") - F.col("first") + 1).alias("contiguous"),
-        (F.col("first") != F.col("last")).alias("straddles"), (F.col("starts") != 1).alias("uncertain"),
+        (F.col("first") != F.col("last")).alias("straddles"), (F.size("starts") != 1).alias("uncertain"),
     )
+
+
+def extracted(windows: DataFrame, bad: DataFrame, cap: int = CAP) -> DataFrame:
+    """Extraction that halves and bills again: (doc_id, start, stop, state, calls).
+
+    windows: (doc_id, start, stop) of cap pages at most; bad: (doc_id, page_no) that no call can place. A window with a
+    bad page fails and is halved, each half is a call of its own; a failing single page is unsplittable. `calls` counts
+    the calls that led to the window. Each round halves, so log2(cap) rounds end it.
+    """
+    import math
+
+    hit = (windows["doc_id"] == bad["doc_id"]) & bad["page_no"].between(windows["start"], windows["stop"])
+    near = windows.join(bad, hit, "left").groupBy(windows["doc_id"], "start", "stop").agg(F.collect_set("page_no").alias("bad"))  # cap pages at most
+    none = F.lit(None).cast("string").alias("state")
+    parts = F.array(F.struct(F.col("start").alias("start"), F.col("stop").alias("stop"), none, F.lit(1).alias("calls")))
+
+    def halve(p: Column) -> Column:
+        start, stop, calls = p["start"], p["stop"], p["calls"]
+        part = lambda a, b, state, n: F.struct(a.alias("start"), b.alias("stop"), state.cast("string").alias("state"), n.alias("calls"))
+        failed = F.exists("bad", lambda n: n.between(start, stop))
+        half = F.floor((start + stop) / 2).cast("int")
+        two = F.array(part(start, half, F.lit(None), calls + 1), part(half + 1, stop, F.lit(None), calls + 1))
+        one = lambda state: F.array(part(start, stop, F.lit(state), calls))
+        return F.when(p["state"].isNotNull(), F.array(p)).when(~failed, one("ok")).when(start == stop, one("window_unsplittable")).otherwise(two)
+
+    for _ in range(math.ceil(math.log2(max(2, cap))) + 1):
+        parts = F.flatten(F.transform(parts, halve))
+    return near.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.start", "p.stop", "p.state", "p.calls")

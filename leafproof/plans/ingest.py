@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from leafproof.functions import text as T
-from leafproof.operators import exact, health, ingest
+from leafproof.operators import exact, health, ingest, triage
 from leafproof.plans.registry import query
-from leafproof.sources.corpus import Corpus
+from leafproof.plans.search import cites
+from leafproof.sources.corpus import KINDS, Corpus
 
 LADDER = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
@@ -47,9 +48,10 @@ def manifest_facets(c: Corpus) -> DataFrame:
 
 @query
 def facet_disagreement(c: Corpus) -> DataFrame:
+    """Pages whose declared language (the manifest's, else the url's) is not the one they say they are in."""
     own = F.nullif(F.regexp_extract("html", r'<html lang="([a-z]+)"', 1), F.lit(""))
     path = F.nullif(F.regexp_extract("url", r"://[^/]+/([a-z]{2})/", 1), F.lit(""))
-    p = c.table("pages").select("page_id", own.alias("read"), path.alias("declared"))
+    p = c.table("pages").select("page_id", own.alias("read"), F.coalesce(F.when(F.col("page_id") % 11 == 0, "xx"), path).alias("declared"))
     return p.filter("read is not null and declared is not null and read != declared")
 
 
@@ -102,8 +104,11 @@ def fingerprint_diff(c: Corpus) -> DataFrame:
 
 @query
 def embed_reuse(c: Corpus) -> DataFrame:
-    have = c.table("embeddings").select(F.col("vec_id").alias("row_id"), F.lit(True).alias("reused"))
-    return c.pages.select("row_id").join(have, "row_id", "left").groupBy(F.coalesce("reused", F.lit(False)).alias("reused")).agg(F.count("*").alias("n"))
+    """Rows whose vector can be used again: there is one, made from the same composition."""
+    key = lambda text: T.cache_key(F.lit("embed"), F.md5(text))
+    was = F.when(F.col("row_id") % 9 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    have = c.table("embeddings").select(F.col("vec_id").alias("row_id")).join(c.pages.select("row_id", key(was).alias("embed_key")), "row_id").withColumn("reused", F.lit(True))
+    return c.pages.select("row_id", key(F.col("text")).alias("embed_key")).join(have, ["row_id", "embed_key"], "left").groupBy(F.coalesce("reused", F.lit(False)).alias("reused")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -114,7 +119,7 @@ def export_labels(c: Corpus) -> DataFrame:
 
 @query
 def export_observed_tokens(c: Corpus) -> DataFrame:
-    g = exact.observed_tokens(c.current).groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    g = c.inventory.groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
     return g.select("doc_id", F.to_json(F.struct("doc_id", "tokens")).alias("line"))
 
 
@@ -136,9 +141,10 @@ def corpus_revisions(c: Corpus) -> DataFrame:
 
 @query
 def corpus_pages(c: Corpus) -> DataFrame:
-    """A keyset page: at most 20 rows from page 3 of one document, and where the next begins."""
-    rows = c.pages.filter("doc_id = 'src1' and revision = '1.0' and page_no >= 3").orderBy("page_no").limit(20)
-    return rows.select("page_id", "page_no", F.lit(23).alias("next_offset"))
+    """A keyset page of each document: at most 20 rows from page 3 on, and where the next begins, if it is full."""
+    rows = c.pages.filter("page_no between 3 and 22").select("doc_id", "revision", "page_id", "page_no")
+    last = rows.groupBy("doc_id", "revision").agg(F.max("page_no").alias("last"), F.count("*").alias("n"))
+    return rows.join(last, ["doc_id", "revision"]).select("page_id", "page_no", F.when(F.col("n") == 20, F.col("last") + 1).alias("next_offset"))
 
 
 @query
@@ -213,9 +219,8 @@ def worst_pages(c: Corpus) -> DataFrame:
 
 @query
 def busiest_pages(c: Corpus) -> DataFrame:
-    inv = exact.observed_tokens(c.current)
-    own = c.searchable.select("page_id", "doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-    return own.join(inv, ["doc_id", "token"]).groupBy("page_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "page_id").limit(3)
+    own = c.code_tokens.filter(F.col("is_current") & ~F.col("text_trust").isin("untrusted", "no_text"))
+    return own.groupBy("page_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "page_id").limit(3)
 
 
 # ingest
@@ -257,14 +262,10 @@ def pack_windows(c: Corpus) -> DataFrame:
 
 @query
 def bisect_windows(c: Corpus) -> DataFrame:
-    """Windows halved until they have four pages at most."""
-    w = ranges(c)[1].select("doc_id", F.lit(1).alias("start"), F.col("pages").alias("stop")).filter("doc_id % 10 = 0")
-    for _ in range(6):  # 30 pages need three rounds; every round halves
-        half = F.floor((F.col("start") + F.col("stop")) / 2).cast("int")
-        big = F.col("stop") - F.col("start") >= 4
-        parts = F.when(big, F.array(F.struct(F.col("start"), half.alias("stop")), F.struct((half + 1).alias("start"), F.col("stop")))).otherwise(F.array(F.struct("start", "stop")))
-        w = w.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.start", "p.stop")
-    return w
+    """The plan's windows after extraction, halved and billed again where a page cannot be placed."""
+    plan, pages = ingest.plan_windows(*ranges(c)), ranges(c)[1]
+    bad = pages.select("doc_id", F.explode(F.sequence(F.lit(1), "pages")).alias("page_no")).filter((F.col("doc_id") + 7 * F.col("page_no")) % 37 == 0)
+    return ingest.extracted(plan.drop("level"), bad)
 
 
 @query
@@ -275,9 +276,18 @@ def inline_cap(c: Corpus) -> DataFrame:
 
 @query
 def page_index_problems(c: Corpus) -> DataFrame:
-    g = c.table("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct("l_linenumber").alias("d"), F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"))
-    kind = F.when(F.col("d") < F.col("n"), "duplicate").when(F.col("hi") > F.col("n"), "outside").when(F.col("lo") < 1, "outside")
-    return g.groupBy(F.coalesce(kind, F.lit("ok")).alias("state")).agg(F.count("*").alias("windows"))
+    """Windows whose answer's page indices are not 1 to N: which ones come twice, lack, or are outside. N is one more
+    than asked in every seventh window, and one index is said twice in every fifth."""
+    li = c.table("lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("no"))
+    said = li.unionByName(li.filter("l_orderkey % 5 = 0 and no = 1"))
+    g = said.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("no")).alias("said"), F.count_distinct("no").alias("d"))
+    n = F.when(F.col("l_orderkey") % 7 == 0, F.col("d") + 1).when(F.col("l_orderkey") % 11 == 0, F.col("d") - 1).otherwise(F.col("d")).cast("int")
+    every = F.when(F.col("n") > 0, F.sequence(F.lit(1), F.greatest("n", F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    once = F.array_distinct("said")
+    twice = F.filter(once, lambda x: F.size(F.filter("said", lambda y: y == x)) > 1)
+    lists = {"duplicate": twice, "missing": F.array_except(every, once), "outside": F.array_except(once, every)}
+    out = g.withColumn("n", n).select("l_orderkey", *[F.array_join(v.cast("array<string>"), ",").alias(k) for k, v in lists.items()])
+    return out.filter("duplicate != '' or missing != '' or outside != ''")
 
 
 @query
@@ -301,25 +311,23 @@ def missing_pages(c: Corpus) -> DataFrame:
 
 @query
 def offset_witness(c: Corpus) -> DataFrame:
-    s = ingest.sightings(c.forms, ingest.by_page())
+    s = ingest.sightings(c.forms)
     return s.select("page_id", "code", "here", "on_prev", "on_next")
 
 
+@query
+def label_witnesses(c: Corpus) -> DataFrame:
+    return ingest.label_witnesses(c.forms).select("page_id", "label", "confirms", "witness", F.array_join(F.col("printed_on").cast("array<string>"), ",").alias("printed_on"))
+
+
 @query
 def offset_check(c: Corpus) -> DataFrame:
-    s = ingest.sightings(c.forms, ingest.by_page())
-    w = s.groupBy("doc_id", "revision", F.floor((F.col("page_no") - 1) / 30).alias("window")).agg(F.count_if(F.expr("here")).alias("confirmed"), F.count_if(F.expr("not here and on_prev")).alias("back"), F.count_if(F.expr("not here and on_next")).alias("ahead"))
-    shifted = lambda k: (F.col(k) >= 2) | ((F.col(k) == 1) & (F.col("confirmed") == 0))
-    return w.withColumn("shifted", shifted("back") | shifted("ahead"))
+    return ingest.offset_check(c.forms)
 
 
 @query
 def reattribute_codes(c: Corpus) -> DataFrame:
-    f = c.forms.withColumn("win", F.floor((F.col("page_no") - 1) / 30))
-    s = ingest.sightings(f, Window.partitionBy("doc_id", "revision", "win").orderBy("page_no"))
-    to = F.when(F.col("here"), F.col("page_id")).when(F.col("on_prev") & F.col("on_next"), F.col("page_id")).when(F.col("on_prev"), F.col("prev_id")).when(F.col("on_next"), F.col("next_id")).otherwise(F.col("page_id"))
-    flag = F.when(~F.col("here") & F.col("on_prev") & F.col("on_next"), "ambiguous").when(~F.col("here") & (F.col("on_prev") | F.col("on_next")), "moved").when(~F.col("here"), "ungrounded")
-    return s.select("page_id", "code", to.alias("to_page"), flag.alias("flag"))
+    return ingest.reattribute(c.forms)
 
 
 @query
@@ -344,7 +352,10 @@ def attribute_labels(c: Corpus) -> DataFrame:
 
 @query
 def page_neighbours(c: Corpus) -> DataFrame:
-    return c.pages.select("page_id", F.lag("page_id").over(ingest.by_page()).alias("prev_page"), F.lead("page_id").over(ingest.by_page()).alias("next_page"))
+    """The ids of the pages before and after, within 1 and the document's last page: made, not looked up."""
+    size = c.pages.groupBy("doc_id", "revision").agg(F.max("page_no").alias("last"))
+    at = lambda d: T.page_id(F.col("doc_id"), F.col("revision"), F.col("page_no") + d)
+    return c.pages.select("page_id", "doc_id", "revision", "page_no").join(size, ["doc_id", "revision"]).select("page_id", F.when(F.col("page_no") > 1, at(-1)).alias("prev_page"), F.when(F.col("page_no") < F.col("last"), at(1)).alias("next_page"))
 
 
 @query
@@ -359,15 +370,17 @@ def resolve_bracket(c: Corpus) -> DataFrame:
 
 @query
 def resolve_label(c: Corpus) -> DataFrame:
-    """Pages that answer to label 7: by the printed label first, else by the text."""
-    a = c.forms.filter("is_current and printed_label = '7'").select("page_id", F.lit(1).alias("probe"))
-    b = c.searchable.filter(exact.phrase(F.col("norm"), "7")).select("page_id", F.lit(2).alias("probe"))
-    return a.unionByName(b).groupBy("page_id").agg(F.min("probe").alias("probe"))
+    """Pages that a citation leads to, for a label that pages print, one longer than they print, and one none does."""
+    out = None
+    for label in ("3", "Page 3 of 55", "10", "99999"):
+        one = exact.resolve(c.forms, label).withColumn("label", F.lit(label))
+        out = one if out is None else out.unionByName(one)
+    return out.select("label", "page_id", "printed_page_no", "interpolated")
 
 
 @query
 def stitch_sections(c: Corpus) -> DataFrame:
-    return ingest.stitched(c.forms).select("doc_id", "revision", "section", "first", "last", "pages", "starts")
+    return ingest.stitched(c.forms).select("doc_id", "revision", "section", "title", "first", "last", "pages", F.array_join(F.col("starts").cast("array<string>"), ",").alias("starts"))
 
 
 @query
@@ -388,8 +401,8 @@ def stitch_pages(c: Corpus) -> DataFrame:
 
 @query
 def page_kind(c: Corpus) -> DataFrame:
-    kinds = ["prose", "table", "schematic", "exploded", "cover", "toc", "index", "blank"]
-    return c.forms.groupBy(F.when(F.lower("read_kind").isin(*kinds), F.lower("read_kind")).otherwise("prose").alias("kind")).agg(F.count("*").alias("n"))
+    """A reading that is none of the kinds, letter by letter, is prose."""
+    return c.forms.groupBy(F.when(F.col("read_kind").isin(*KINDS[:-1]), F.col("read_kind")).otherwise("prose").alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -415,19 +428,59 @@ def derive_pages(c: Corpus) -> DataFrame:
     """Each page's record flags, sorted."""
     f = ingest.interpolate(c.forms)
     flags = F.array_compact(F.array(F.when(~F.col("has_text"), "no_text"), F.when(F.size(F.array_except("codes", health.backed(F.col("codes"), F.col("norm")))) > 0, "ungrounded_codes"), F.when(F.col("interpolated"), "label_interpolated")))
-    return f.select("page_id", "label", F.array_join(F.array_sort(F.array_distinct(flags)), ",").alias("flags"))
+    return f.select("page_id", "label", F.array_join(F.array_sort(F.array_distinct(flags)), ",").alias("flags"), F.size("codes").alias("n_codes"), F.round(health.grounded_rate(F.col("codes"), F.col("norm"), F.col("has_text")), 6).alias("rate"))
+
+
+WORST = 10
+
+
+def records(c: Corpus) -> DataFrame:
+    """The forms that extraction gave back: a page in forty-one has none."""
+    return c.forms.filter("row_id % 41 != 0")
 
 
 def gates(c: Corpus) -> DataFrame:
-    """Per document revision: the five gates' metrics and whether each passes."""
-    h = health.documents(c.forms)
-    d = ingest.drops(c.forms).select("doc_id", "revision", "drops")
-    span = c.forms.groupBy("doc_id", "revision").agg((F.max("page_no") - F.count("*")).alias("missing"))
-    g = h.join(span, ["doc_id", "revision"]).join(d, ["doc_id", "revision"], "left")
-    return g.select(
-        "doc_id", "revision", (F.col("missing") == 0).alias("window_coverage"), F.coalesce(F.col("median") >= 0.2, F.lit(True)).alias("grounded_rate"),
-        (F.col("ratio") >= 0.5).alias("text_coverage"), (F.coalesce("drops", F.lit(0)) == 0).alias("label_monotonic"),
-    )
+    """Per document revision, a row for each of the five gates: gate, passed, blocking, skipped, metric, threshold,
+    flag, evidence (of a gate that does not pass: the first pages or windows in question).
+
+    Coverage, offsets and grounding block; text coverage and label order never do, they flag. Grounding is skipped for
+    a document without any text.
+    """
+    on = ["doc_id", "revision"]
+    got = records(c)
+    h = health.documents(got)
+    pages = c.pages.select(*on, "page_no", F.lit(True).alias("here"))
+    lost = c.pages.join(got.select(*on, "page_no"), [*on, "page_no"], "left_anti")
+    worst = lambda df, by, show: df.groupBy(*on).agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct(*by, F.col(show).cast("string").alias("show")))), 1, WORST), lambda x: x["show"]), ",").alias("evidence"))
+    top = lambda df, by: df.withColumn("n_", F.row_number().over(Window.partitionBy(*on).orderBy(*by))).filter(F.col("n_") <= WORST)  # noqa: E731  so few rows that they may meet
+    cover = pages.groupBy(*on).agg(F.count("*").alias("n")).join(got.groupBy(*on).agg(F.count("*").alias("m")), on, "left").join(worst(top(lost, ["page_no"]), ["page_no"], "page_no"), on, "left")
+    windows = ingest.offset_check(got)
+    off = windows.groupBy(*on).agg(F.count("*").alias("n"), F.count_if(F.col("shifted")).alias("bad"))
+    off = off.join(worst(top(windows.filter("shifted"), ["window"]), ["window"], "window"), on, "left")
+    weak = top(health.rated(got).filter("rate is not null").select(*on, "rate", "page_no", "page_id"), ["rate", "page_no"])
+    ground = h.join(worst(weak, ["rate", "page_no"], "page_id"), on, "left")
+    order = got.select(*on).distinct().join(ingest.drops(got), on, "left")
+
+    def gate(df: DataFrame, name: str, passed, blocking: bool, metric, threshold, flag=None, skipped=None, evidence=None) -> DataFrame:
+        shown = F.when(~passed, F.coalesce(evidence, F.lit(""))).otherwise("") if evidence is not None else F.lit("")
+        return df.select(
+            *on, F.lit(name).alias("gate"), passed.alias("passed"), F.lit(blocking).alias("blocking"), (F.lit(False) if skipped is None else skipped).alias("skipped"),
+            F.round(metric.cast("double"), 6).alias("metric"), F.lit(threshold).cast("double").alias("threshold"), F.when(~passed, flag).alias("flag") if flag else F.lit(None).cast("string").alias("flag"), shown.alias("evidence"),
+        )
+
+    e, m = F.col("evidence"), F.coalesce("m", F.lit(0))
+    none = F.col("fully_scanned")
+    parts = [
+        gate(cover, "window_coverage", m == F.col("n"), True, m / F.col("n"), 1.0, evidence=e),
+        gate(off, "offset_check", F.col("bad") == 0, True, (F.col("n") - F.col("bad")) / F.col("n"), 1.0, evidence=e),
+        gate(ground, "grounded_rate", none | F.coalesce(F.col("median") >= health.OK, F.lit(False)), True, F.col("median"), health.OK, skipped=none, evidence=e),
+        gate(h, "text_coverage", F.col("ratio") >= 0.5, False, F.col("ratio"), None, "mostly_scanned"),
+        gate(order, "label_monotonic", F.coalesce("drops", F.lit(0)) == 0, False, F.coalesce("drops", F.lit(0)), 0.0, "label_conflict"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query
@@ -435,14 +488,37 @@ def publish_gates(c: Corpus) -> DataFrame:
     return gates(c)
 
 
+@query
+def gate_failures(c: Corpus) -> DataFrame:
+    """Gauges: how many documents fail each gate, and the least metric."""
+    return gates(c).groupBy("gate").agg(F.count_if(~F.col("passed")).alias("failures"), F.count_if(F.col("skipped")).alias("skipped"), F.min("metric").alias("least"))
+
+
+def overrides(c: Corpus) -> DataFrame:
+    """Releases that were asked for: gate and reason."""
+    rows = [("src1", "grounded_rate", "checked by hand"), ("src2", "grounded_rate", "  "), ("src3", "window_coverage", "let it go"), ("src6", "grounded_rate", "known scans")]
+    return c.spark.createDataFrame(rows, "doc_id string, over string, why string")
+
+
+def decided(c: Corpus) -> DataFrame:
+    """Blocking failures less overrides. Only grounding may be overridden, and only with a reason; other requests are
+    refused and change nothing."""
+    bad = gates(c).groupBy("doc_id", "revision").agg(
+        F.array_sort(F.collect_set(F.when(F.col("blocking") & ~F.col("passed"), F.col("gate")))).alias("failed"), F.array_sort(F.collect_set("flag")).alias("flags")
+    )
+    d = bad.join(F.broadcast(overrides(c)), "doc_id", "left")
+    refusal = F.when(F.col("over") != "grounded_rate", "override_not_allowed").when(F.trim("why") == "", "override_reason_required")
+    d = d.withColumn("refused", refusal)
+    used = F.col("over").isNotNull() & F.col("refused").isNull() & F.array_contains("failed", "grounded_rate")
+    d = d.withColumn("used", F.coalesce(used, F.lit(False)))
+    d = d.withColumn("left", F.when(F.col("used"), F.array_remove("failed", "grounded_rate")).otherwise(F.col("failed")))
+    flags = F.when(F.col("used"), F.array_union("flags", F.array(F.lit("published_with_override")))).otherwise(F.col("flags"))
+    return d.select("doc_id", "revision", "left", "refused", F.array_join(F.array_sort(flags), ",").alias("flags"))
+
+
 @query
 def gate_decision(c: Corpus) -> DataFrame:
-    """Blocking failures less overrides; only grounded_rate may be overridden."""
-    names = ["window_coverage", "grounded_rate", "text_coverage"]
-    failed = F.array_compact(F.array(*[F.when(~F.col(n), n) for n in names]))
-    over = F.when(F.col("doc_id").isin("src1", "src7"), F.array(F.lit("grounded_rate"))).otherwise(F.array().cast("array<string>"))
-    left = F.array_except(failed, over)
-    return gates(c).select("doc_id", "revision", F.array_join(left, ",").alias("blocking"), (F.size(left) == 0).alias("publish"), F.when(~F.col("label_monotonic"), "label_monotonic").alias("flag"))
+    return decided(c).select("doc_id", "revision", F.array_join("left", ",").alias("blocking"), (F.size("left") == 0).alias("publish"), "refused", "flags")
 
 
 # publishing and control plane
@@ -456,7 +532,9 @@ def runs(c: Corpus) -> DataFrame:
 
 @query
 def run_history(c: Corpus) -> DataFrame:
-    return runs(c).filter("doc = 'src3'").orderBy(F.desc("ts"), F.desc("run_id")).limit(20).select("run_id", "state")
+    """The twenty newest runs of each document."""
+    w = Window.partitionBy("doc").orderBy(F.desc("ts"), F.desc("run_id"))
+    return runs(c).withColumn("nth", F.row_number().over(w)).filter("nth <= 20").select("doc", "nth", "run_id", "state")
 
 
 @query
@@ -483,8 +561,9 @@ def current_pointer(c: Corpus) -> DataFrame:
 
 @query
 def publish_state(c: Corpus) -> DataFrame:
-    ok = gates(c).select("doc_id", "revision", (F.col("window_coverage") & F.col("text_coverage")).alias("ok"))
-    return ok.select("doc_id", "revision", F.when(F.col("ok") & (F.col("revision") == "1.0"), "current").when(F.col("ok"), "superseded").otherwise("held").alias("state"))
+    """A document without a blocking failure is current, or superseded if another revision is; others are held."""
+    ok = F.size("left") == 0
+    return decided(c).select("doc_id", "revision", F.when(ok & (F.col("revision") == "1.0"), "current").when(ok, "superseded").otherwise("held").alias("state"))
 
 
 @query
@@ -524,113 +603,53 @@ def unknown_scope_keys(c: Corpus) -> DataFrame:
 # the answer gate and the runner
 
 
-def draft_pairs(c: Corpus) -> DataFrame:
-    """Each draft's claims (its first three words, and its codes) with two pages of a source."""
-    words = F.transform(F.slice(T.tokens(F.col("text")), 1, 3), lambda w: w)
-    codes = F.filter(T.tokens(F.col("text")), T.is_code)
-    claims = c.drafts.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(words, codes))).alias("claim"))
-    few = c.pages.filter("page_no <= 2").select("page_id", "page_no", F.regexp_extract("doc_id", "([0-9]+)", 1).cast("long").alias("s"), "norm", "is_current", "text_trust")
-    got = claims.withColumn("s", F.col("conv_id") % 20).join(few, "s")
-    state = F.when(exact.uncheckable().isNotNull(), "unverifiable").when(F.col("norm").contains(F.concat(F.lit(" "), F.col("claim"), F.lit(" "))), "present").otherwise("absent")
-    return got.select("conv_id", "turn", "claim", "page_id", state.alias("state"))
+def draft_verdicts(c: Corpus) -> DataFrame:
+    """Each draft's claims, the codes its prose names, on the pages it cites, in their order."""
+    claims = c.drafts.select("conv_id", "turn", F.explode(F.array_distinct(F.filter(T.tokens(F.col("text")), T.is_code))).alias("claim"))
+    cited = cites(c, c.drafts, F.col("conv_id") + F.col("turn"), ["conv_id", "turn"])
+    return triage.verdicts(claims.join(cited, ["conv_id", "turn"]), c.pages, ["conv_id", "turn"])
 
 
 @query
 def draft_claims(c: Corpus) -> DataFrame:
     prose = c.drafts.select("conv_id", "turn", F.explode(F.array_distinct(F.filter(T.tokens(F.col("text")), T.is_code))).alias("claim"))
-    declared = prose.filter("turn % 4 = 1")
+    declared = prose.filter("claim like 'k%' and turn % 4 = 1")
     return declared.withColumn("declared", F.lit(True)).unionByName(prose.join(declared, ["conv_id", "turn", "claim"], "left_anti").withColumn("declared", F.lit(False)))
 
 
 @query
 def answer_gate(c: Corpus) -> DataFrame:
-    """A draft is rejected if any claim is absent from all its pages; each claim cites its first page."""
-    per = draft_pairs(c).groupBy("conv_id", "turn", "claim").agg(F.max((F.col("state") == "present").cast("int")).alias("p"), F.max((F.col("state") == "absent").cast("int")).alias("a"), F.min(F.when(F.col("state") == "present", F.col("page_id"))).alias("cited"))
-    return per.groupBy("conv_id", "turn").agg(F.count("*").alias("claims"), F.sum("p").alias("present"), F.max(F.when(F.col("p") == 0, F.col("a")).otherwise(0)).alias("r"), F.min("cited").alias("cited")).select("conv_id", "turn", "claims", "present", (F.col("r") == 1).alias("rejected"), "cited")
-
-
-@query
-def coverage_merge(c: Corpus) -> DataFrame:
-    return draft_pairs(c).groupBy("conv_id").agg(F.count_distinct("page_id").alias("pages"), F.count_distinct("claim").alias("claims"), F.max("turn").alias("last_turn"))
-
-
-@query
-def abstention_text(c: Corpus) -> DataFrame:
-    g = draft_pairs(c).groupBy("conv_id").agg(F.count_distinct("page_id").alias("pages"), F.count_if(F.expr("state = 'absent'")).alias("absent"), F.count_if(F.expr("state = 'present'")).alias("present"))
-    reason = F.when(F.col("absent") > F.col("present"), "rejected").when(F.col("present") == 0, "insufficient").otherwise("stopped")
-    return g.select("conv_id", F.concat_ws(" ", F.lit("looked at"), F.col("pages").cast("string"), F.lit("pages;"), reason).alias("text"))
+    """Each claim of a draft with its verdict and the page it rests on; one that no page prints rejects the draft."""
+    f = triage.folded(draft_verdicts(c), ["conv_id", "turn"])
+    bad = f.groupBy("conv_id", "turn").agg((F.count_if(F.col("state") == "absent") > 0).alias("rejected"))
+    return f.join(bad, ["conv_id", "turn"])
 
 
-def marks(c: Corpus) -> DataFrame:
-    """Rows of a triage: pages of current documents with a mark by ordered rules."""
-    mark = (
-        F.when(~F.col("has_text"), "uncertain").when(F.col("text_trust") == "untrusted", "uncertain").when(exact.phrase(F.col("norm"), "233"), "relevant")
-        .when(F.col("page_no") == 1, "irrelevant").when(F.length("text") < 200, "irrelevant").when(exact.phrase(F.col("norm"), "with"), "relevant").otherwise("irrelevant")
-    )
-    own = F.when(F.count("*").over(Window.partitionBy("doc_id")) <= 3, "relevant").otherwise(mark)
-    return c.current.withColumn("mark", own)
+def rungs(c: Corpus) -> DataFrame:
+    """The searches of a conversation: each answer's, over the current pages of one source."""
+    by = c.current.groupBy(F.col("doc_id").alias("doc")).agg(F.count("*").alias("pages"), F.count_if(~F.col("has_text")).alias("no_text"))
+    asked = c.drafts.select("conv_id", F.col("turn").alias("place"), F.concat(F.lit("src"), ((F.col("conv_id") + F.col("turn")) % 20).cast("string")).alias("doc"))
+    got = asked.join(by, "doc", "left").fillna(0, ["pages", "no_text"])
+    blind = F.when(F.col("no_text") > 0, F.array("doc")).otherwise(F.array().cast("array<string>"))
+    return got.select("conv_id", "place", F.array("doc").alias("docs"), "pages", "no_text", F.when(F.col("conv_id") % 3 == 0, F.col("no_text")).otherwise(F.col("place") % 2).alias("looked"), blind.alias("blind"))
 
 
 @query
-def triage_marks(c: Corpus) -> DataFrame:
-    return marks(c).select("page_id", "mark")
-
-
-@query
-def triage_events(c: Corpus) -> DataFrame:
-    return marks(c).groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
-
-
-def triage_rank() -> F.Column:
-    return F.when(F.col("mark") == "relevant", 0).when(F.col("mark") == "uncertain", 1).otherwise(2)
-
-
-@query
-def triage_order(c: Corpus) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy(triage_rank(), "page_no", "page_id")
-    return marks(c).select("page_id", F.row_number().over(w).alias("place"))
-
-
-@query
-def triage_sets(c: Corpus) -> DataFrame:
-    some = marks(c).filter("page_no <= 12")
-    ids = lambda m: F.array_join(F.array_sort(F.collect_list(F.when(F.col("mark") == m, F.col("page_id")))), ",")
-    return some.groupBy("doc_id").agg(ids("relevant").alias("look"), ids("irrelevant").alias("exclude"))
-
-
-@query
-def route_plan(c: Corpus) -> DataFrame:
-    """Relevant pages go to read (three) if they have no trusted text, else to fetch (five); the rest wait."""
-    how = F.when(F.col("has_text") & (F.col("text_trust") == "ok"), "fetch").otherwise("read")
-    m = marks(c).filter("mark <> 'irrelevant'").withColumn("route", how)
-    n = F.row_number().over(Window.partitionBy("doc_id", "route").orderBy(triage_rank(), "page_no", "page_id"))
-    return m.withColumn("n", n).select("page_id", "route", (F.col("n") > F.when(F.col("route") == "fetch", 5).otherwise(3)).alias("deferred"))
-
-
-EDGES = [("descend", "found", "triage"), ("descend", "empty", "widen"), ("triage", "relevant", "look"), ("triage", "none", "drain"), ("look", "read", "draft"), ("draft", "claims", "verify"), ("verify", "ok", "answer"), ("verify", "absent", "drain"), ("drain", "more", "triage"), ("drain", "empty", "widen"), ("widen", "wider", "descend"), ("widen", "done", "abstain")]
-
-
-@query
-def loop_transitions(c: Corpus) -> DataFrame:
-    edges = c.spark.createDataFrame(EDGES, "state string, signal string, next string")
-    tools = {"view": ("descend", "found"), "click": ("triage", "relevant"), "error": ("verify", "absent"), "signup": ("widen", "done"), "purchase": ("look", "none")}
-    state, signal = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for t, (s, g) in tools.items():
-        state, signal = F.when(F.col("tool") == t, s).otherwise(state), F.when(F.col("tool") == t, g).otherwise(signal)
-    moves = c.audit.select(state.alias("state"), signal.alias("signal")).groupBy("state", "signal").agg(F.count("*").alias("n"))
-    return moves.join(edges, ["state", "signal"], "left").select("state", "signal", "n", F.coalesce("next", F.lit("refused")).alias("next"))
+def coverage_merge(c: Corpus) -> DataFrame:
+    m = triage.merged(rungs(c), "conv_id")
+    return m.select("conv_id", F.array_join("docs", ",").alias("docs"), F.array_join("blind", ",").alias("blind"), "pages", "no_text", "looked", (F.col("no_text") <= F.col("looked")).alias("complete"))
 
 
 @query
-def pending_candidates(c: Corpus) -> DataFrame:
-    seen = marks(c).filter("mark = 'irrelevant'").select("page_id")
-    return c.current.filter("page_no <= 10").select("page_id").join(seen, "page_id", "left_anti")
+def abstention_text(c: Corpus) -> DataFrame:
+    reason = F.get(F.array(*[F.lit(r) for r in triage.LEADS]), (F.col("conv_id") % len(triage.LEADS)).cast("int"))
+    return triage.merged(rungs(c), "conv_id").select("conv_id", triage.abstention(reason).alias("text"))
 
 
 @query
 def read_stamps(c: Corpus) -> DataFrame:
     """Codes that a reading returned, stamped printed or not."""
-    return c.forms.filter("page_no <= 6").select("page_id", F.explode("codes").alias("code"), "norm").select("page_id", "code", T.printed(F.col("norm"), F.col("code")).alias("printed"))
+    return c.forms.select("page_id", F.explode("codes").alias("code"), "norm").select("page_id", "code", T.printed(F.col("norm"), F.col("code")).alias("printed"))
 
 
 # evaluation
@@ -638,9 +657,9 @@ def read_stamps(c: Corpus) -> DataFrame:
 
 def fakes(c: Corpus) -> DataFrame:
     """(source, fake, position, nth): mutations of observed tokens that are no observed token and printed nowhere."""
-    inventory = exact.observed_tokens(c.current).select("token").distinct()
+    inventory = c.inventory.select("token").distinct()
     m = inventory.filter("length(token) >= 3").select(F.col("token").alias("source"), F.explode(T.mutations(F.col("token"))).alias("m")).select("source", "m.fake", "m.position", "m.nth")
-    said = c.pages.select(F.explode(T.tokens(F.col("text"))).alias("token")).filter(T.is_code(F.col("token"))).distinct()
+    said = c.code_tokens.select("token").distinct()
     return m.join(inventory, m["fake"] == inventory["token"], "left_anti").join(said, m["fake"] == said["token"], "left_anti")
 
 
@@ -655,7 +674,7 @@ def near_misses(c: Corpus) -> DataFrame:
 @query
 def abstention_correctness(c: Corpus) -> DataFrame:
     sample = near_misses(c).select(F.col("fake").alias("claim"), F.monotonically_increasing_id().alias("item_id"))
-    hits = exact.lookup_summary(c.pages, sample)
+    hits = exact.lookup_summary(c.pages, sample, postings=c.postings, terms=c.terms)
     return hits.agg(F.count("*").alias("sample"), F.count_if(F.expr("total = 0")).alias("abstained"), F.round(F.coalesce(F.count_if(F.expr("total = 0")) / F.count("*"), F.lit(0.0)), 6).alias("correctness"))
 
 
@@ -695,5 +714,5 @@ def table_symdiff(c: Corpus) -> DataFrame:
 def acceptance_rows(c: Corpus) -> DataFrame:
     """Expected verdicts of benchmark claims against what verification says."""
     expected = c.claims.select("item_id", "claim", F.when(F.col("item_id") % 2 == 0, "ok").otherwise("not_found").alias("expected"))
-    got = exact.lookup_summary(c.pages, c.claims).select("item_id", "status")
+    got = exact.lookup_summary(c.pages, c.claims, postings=c.postings, terms=c.terms).select("item_id", "status")
     return expected.join(got, "item_id").select("item_id", "expected", "status", (F.col("expected") == F.col("status")).alias("passed"))

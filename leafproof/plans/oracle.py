@@ -38,7 +38,7 @@ def slug(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-PHRASE = "contains(norm, ' est the ')"
+PHRASE = "contains(norm, ' of the ')"
 TRUSTED = "text_trust NOT IN ('untrusted', 'no_text')"
 WHY = "CASE WHEN NOT is_current THEN 'not_current' WHEN text_trust = 'no_text' THEN 'no_text' WHEN text_trust = 'untrusted' THEN 'untrusted' END"
 SERIES = f"(doc_id || '#s:' || lower({slug('section')}))"
@@ -47,11 +47,14 @@ CACHE = "sha256('4:read|' || length(page_id) || ':' || page_id)"
 PAGES = f"""
 raw AS (
   SELECT d.doc_id AS row_id, source AS doc_id, CASE WHEN d.doc_id % 10 = 9 THEN '0.9' ELSE '1.0' END AS revision, d.doc_id % 10 <> 9 AS is_current,
-         source <> 'src7' AND d.doc_id % 17 <> 0 AS has_text, CASE WHEN source <> 'src7' AND d.doc_id % 17 <> 0 THEN text ELSE '' END AS text,
-         CASE WHEN NOT (source <> 'src7' AND d.doc_id % 17 <> 0) THEN 'no_text' WHEN quality = 1 THEN 'ok' WHEN quality = 0 THEN 'untrusted' ELSE 'degraded' END AS text_trust,
-         lang, text AS seen
+         source <> 'src7' AND d.doc_id % 17 <> 0 AS has_text, text AS said,
+         CASE WHEN NOT (source <> 'src7' AND d.doc_id % 17 <> 0) THEN 'no_text' WHEN quality = 1 THEN 'ok' WHEN quality = 0 THEN 'untrusted' ELSE 'degraded' END AS text_trust, lang
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
-), raw2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, revision ORDER BY row_id)::INT AS page_no FROM raw),
+), raw1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, revision ORDER BY row_id)::INT AS page_no FROM raw),
+raw2 AS (
+  SELECT * EXCLUDE (said, seen), seen, CASE WHEN has_text THEN seen ELSE '' END AS text
+  FROM (SELECT *, coalesce(said, '') || CASE WHEN row_id % 3 = 2 THEN '' WHEN row_id % 29 = 0 THEN chr(10) || 'Page ' || (page_no + 1) ELSE chr(10) || 'Page ' || page_no END AS seen FROM raw1)
+),
 pages_ AS MATERIALIZED (SELECT *, {pid('doc_id', 'revision', 'page_no')} AS page_id, {norm('text')} AS norm FROM raw2),
 cur AS (SELECT * FROM pages_ WHERE is_current),
 srch AS (SELECT * FROM cur WHERE {TRUSTED})"""
@@ -60,15 +63,15 @@ FORMS = f""",
 f0 AS (SELECT *, {codes('seen')} AS allc FROM pages_),
 f1 AS (SELECT *, list_concat(list_slice({distinct('allc')}, 1, 5), ['k' || (row_id % 97)]) AS c0 FROM f0),
 forms AS MATERIALIZED (
-  SELECT * EXCLUDE (allc, c0), {distinct('c0')} AS codes, CASE WHEN row_id % 5 = 0 THEN NULL WHEN row_id % 13 = 0 THEN (page_no + 1)::VARCHAR ELSE page_no::VARCHAR END AS printed_label,
+  SELECT * EXCLUDE (allc, c0), {distinct('c0')} AS codes, CASE WHEN page_no % 5 = 0 THEN NULL WHEN row_id % 13 = 0 THEN (page_no + 1)::VARCHAR ELSE page_no::VARCHAR END AS printed_label,
          'Section ' || ((page_no - 1) // 7) AS section, (page_no - 1) % 7 = 0 AS is_start,
          ['prose', 'table', 'schematic', 'exploded', 'cover', 'toc', 'index', 'blank', 'Chart'][1 + (row_id % 9)::INT] AS read_kind,
-         array_to_string(list_slice({tok('seen')}, 1, 8), ' ') AS summary
+         CASE WHEN row_id % 19 = 0 THEN '' ELSE array_to_string(list_slice({tok('seen')}, 1, 8), ' ') END AS summary
   FROM f1
 )"""
 
 CLAIMS = f""",
-claims AS (SELECT item_id, array_to_string(list_slice({tok('text')}, 1, 6), ' ') AS claim FROM benchmark)"""
+claims AS (SELECT item_id, array_to_string(list_slice({tok('text')}, 1, 12), ' ') AS claim FROM benchmark)"""
 
 POST = f""",
 postings AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest({tok('text')}) AS term FROM cur) GROUP BY ALL)"""
@@ -76,7 +79,7 @@ postings AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest({to
 BACKED = f""",
 each AS (SELECT page_id, norm, lower(trim(regexp_replace(unnest(codes), '\\s+', ' ', 'g'))) AS code FROM forms),
 back AS (SELECT page_id, list_sort(list(DISTINCT code)) AS codes FROM each WHERE {printed('norm', 'code')} GROUP BY page_id),
-rated AS (SELECT forms.*, coalesce(back.codes, []) AS backed, CASE WHEN NOT has_text THEN NULL WHEN len(forms.codes) = 0 THEN 1.0::DOUBLE ELSE len(coalesce(back.codes, []))::DOUBLE / len(forms.codes) END AS rate FROM forms LEFT JOIN back USING (page_id)),
+rated AS (SELECT forms.*, coalesce(back.codes, []) AS backed, CASE WHEN NOT has_text THEN NULL WHEN len(forms.codes) = 0 THEN 1.0::DOUBLE ELSE len(coalesce(back.codes, []))::DOUBLE / len(list_distinct([lower(c) for c in forms.codes])) END AS rate FROM forms LEFT JOIN back USING (page_id)),
 docs_ AS (SELECT doc_id, revision, count(*) AS pages, count_if(has_text)::BIGINT AS with_text, median(rate) AS median FROM rated GROUP BY ALL),
 health AS (SELECT *, with_text / pages AS ratio, CASE WHEN with_text = 0 THEN 'no_text' WHEN median >= 0.8 THEN 'ok' WHEN median IS NULL OR median >= 0.2 THEN 'degraded' ELSE 'untrusted' END AS trust, with_text = 0 AS fully_scanned, coalesce(median < 0.2, false) AS collapsed FROM docs_)"""
 
@@ -84,50 +87,55 @@ INV = f""",
 inv AS (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest({tok('text')}) AS token FROM srch WHERE has_text) WHERE regexp_matches(token, '\\p{{N}}'))"""
 
 LOOK = f""",
-hits AS (SELECT DISTINCT item_id, page_id, text_trust FROM claims, cur WHERE {printed('norm', 'claim')}),
+hits AS (SELECT DISTINCT item_id, page_id, page_no, text_trust FROM claims, cur WHERE {printed('norm', 'claim')}),
 found AS (SELECT claims.item_id, claim, count_if({TRUSTED} AND page_id IS NOT NULL)::BIGINT AS total, count_if(NOT {TRUSTED} AND page_id IS NOT NULL)::BIGINT AS unverified FROM claims LEFT JOIN hits USING (item_id) GROUP BY ALL),
-size AS (SELECT count(*) AS pages, count_if(has_text)::BIGINT AS with_text FROM cur),
-looked AS (SELECT item_id, claim, total, unverified, total > 20 AS capped, total > greatest(20.0, 0.25 * pages) AS weak,
-  CASE WHEN total > 0 THEN 'ok' WHEN pages = 0 THEN 'out_of_scope' WHEN with_text = 0 THEN 'not_searchable' ELSE 'not_found' END AS status FROM found, size)"""
+size AS (SELECT count(*) AS pages, count_if({TRUSTED})::BIGINT AS trusted FROM cur),
+looked AS (SELECT item_id, claim, total, unverified, total > 20 AS capped, total > greatest(20.0, 0.25 * pages) AS weak, total > greatest(20.0, 0.25 * pages) AS needs_scope,
+  CASE WHEN total > 0 THEN 'ok' WHEN pages = 0 THEN 'out_of_scope' WHEN trusted = 0 THEN 'not_searchable' ELSE 'not_found' END AS status FROM found, size)"""
+
+def cites(rows: str, seed: str, keys: str) -> str:
+    return f"""(SELECT {keys}, place::INT AS place, {pid('doc_id', 'revision', '(1 + (seed * 5 + place * 11) % n)')} AS page_id
+  FROM (SELECT {keys}, {seed} AS seed, 'src' || ({seed} % 20) AS doc_id, unnest(range(5)) AS place FROM {rows}) JOIN (SELECT doc_id, revision, count(*) AS n FROM pages_ GROUP BY ALL) USING (doc_id))"""
 
+
+MATRIX = f"""
+  SELECT claim, p.page_id, CASE WHEN q.page_id IS NULL OR {WHY} IS NOT NULL THEN 'unverifiable' WHEN {printed('norm', 'claim')} THEN 'present' ELSE 'absent' END AS state,
+         CASE WHEN q.page_id IS NULL THEN 'page_not_found' ELSE {WHY} END AS reason
+  FROM pairs p LEFT JOIN pages_ q ON p.page_id = q.page_id"""
 PAIRS = f""",
-few AS (SELECT page_id, regexp_extract(doc_id, '([0-9]+)', 1)::BIGINT AS s FROM pages_ WHERE page_no <= 5),
 pairs AS (
-  SELECT claim, page_id FROM claims JOIN few ON item_id % 20 = s
-  UNION SELECT unnest(codes), page_id FROM forms WHERE page_no <= 3
+  SELECT claim, page_id FROM {cites('claims', 'item_id', 'claim')}
+  UNION SELECT unnest(codes), page_id FROM forms
   UNION SELECT claim, 'none@1.0#p001' FROM claims WHERE item_id < 5
 ),
-matrix AS (
-  SELECT claim, p.page_id, CASE WHEN q.page_id IS NULL OR {WHY} IS NOT NULL THEN 'unverifiable' WHEN {printed('norm', 'claim')} THEN 'present' ELSE 'absent' END AS state,
-         CASE WHEN q.page_id IS NULL THEN 'page_not_found' ELSE {WHY} END AS reason
-  FROM pairs p LEFT JOIN pages_ q ON p.page_id = q.page_id
-)"""
+matrix AS ({MATRIX})"""
 
-QUERY_TERMS = "(VALUES ('thing', 1), ('with', 1), ('the', 1), ('233', 1), ('for', 1), ('reering', 1)) q(term, qtf)"
-
-
-def sparse(name: str, postings: str) -> str:
+def sparse(name: str, postings: str, terms: str) -> str:
     return f""",
 {name}_df AS (SELECT term, count(*) AS df FROM {postings} GROUP BY term),
 {name} AS (
   SELECT row_id, sum(round(qtf * tf * ln(1 + ((SELECT count(*) FROM cur) - df + 0.5) / (df + 0.5)), 9)::DECIMAL(28, 9))::DOUBLE AS score
-  FROM {postings} JOIN {QUERY_TERMS} USING (term) JOIN {name}_df USING (term) GROUP BY row_id ORDER BY score DESC, row_id LIMIT 50
+  FROM {postings} JOIN (VALUES {terms}) q(term, qtf) USING (term) JOIN {name}_df USING (term) WHERE row_id IN (SELECT row_id FROM inside) GROUP BY row_id ORDER BY score DESC, row_id LIMIT 50
 )"""
 
 
-RANK = (
-    FORMS
-    + POST
-    + f""",
+def rank(query: str, prose: str, inside: str) -> str:
+    """The branches, their fusion and its numbered pages, for a question inside a condition on current pages."""
+    terms = ", ".join(f"('{w}', {query.split().count(w)})" for w in dict.fromkeys(query.split()))
+    return (
+        FORMS
+        + POST
+        + f""",
+inside AS (SELECT row_id FROM cur WHERE {inside}),
 caps AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest({tok("summary || ' ' || section")}) AS term FROM forms WHERE is_current) GROUP BY ALL),
-qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7),
+qv AS (SELECT [('0x' || substring(sha256('query|{prose}|' || k), 1, 4))::INT / 32767.5::DOUBLE - 1.0::DOUBLE for k in range(64)] AS q),
 dense AS (
   SELECT vec_id AS row_id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 9) AS score
-  FROM embeddings JOIN cur ON vec_id = row_id, qv ORDER BY score DESC, row_id LIMIT 50
+  FROM embeddings JOIN inside ON vec_id = row_id, qv ORDER BY score DESC, row_id LIMIT 50
 )"""
-    + sparse("lexical", "postings")
-    + sparse("captions", "caps")
-    + """,
+        + sparse("lexical", "postings", terms)
+        + sparse("captions", "caps", terms)
+        + """,
 branches AS (
   SELECT 'dense' AS surface, row_id, row_number() OVER (ORDER BY score DESC, row_id)::INT AS rank FROM dense
   UNION ALL SELECT 'lexical', row_id, row_number() OVER (ORDER BY score DESC, row_id)::INT FROM lexical
@@ -140,37 +148,109 @@ fused AS (
          array_to_string([s for s in [CASE WHEN d IS NOT NULL THEN 'dense' END, CASE WHEN x IS NOT NULL THEN 'lexical' END, CASE WHEN c IS NOT NULL THEN 'captions' END] if s IS NOT NULL], ',') AS why
   FROM one
 ),
-numbered AS (SELECT fused.*, row_number() OVER (ORDER BY score DESC, best_rank, fused.row_id::VARCHAR)::INT AS fused_rank, page_id, doc_id, revision, page_no, section FROM fused JOIN forms USING (row_id))"""
-)
+numbered AS (SELECT fused.*, row_number() OVER (ORDER BY score DESC, best_rank, fused.row_id::VARCHAR)::INT AS fused_rank, page_id, doc_id, revision, page_no, section, summary, text_trust, has_text, codes, norm FROM fused JOIN forms USING (row_id))"""
+    )
+
+
+RANK = rank("thing with the 555 for reering", "thing with the for reering", "contains(norm, ' 555 ')")
+OPEN = rank("nicht einander which thing that", "nicht einander which thing that", "true")
+NARROW = rank("nicht einander which thing that", "nicht einander which thing that", "lang IN ('en', 'de') AND page_no > 2")
+DOCUMENTS = """,
+groups AS (SELECT doc_id, count(*) AS pages_matched, min(fused_rank) AS best_rank, min_by(page_id, fused_rank) AS preview FROM numbered GROUP BY doc_id ORDER BY best_rank, pages_matched DESC, doc_id LIMIT 10),
+ratios AS (SELECT doc_id, count_if(has_text) / count(*) AS ratio, count(*) AS pages FROM cur GROUP BY doc_id)"""
+
+def sight(forms: str, window: bool) -> str:
+    """Codes and labels of `forms` and whether their page, the one before and the one after print them."""
+    same = " AND (q.page_no - 1) // 30 = (f.page_no - 1) // 30" if window else ""
+    return f""",
+each_ AS (SELECT page_id, doc_id, revision, page_no, unnest(codes) AS code FROM {forms}),
+asked_ AS (SELECT e.*, q.norm AS norm, q.page_no - e.page_no AS d FROM each_ e JOIN {forms} f USING (page_id) JOIN {forms} q ON q.doc_id = e.doc_id AND q.revision = e.revision AND abs(q.page_no - e.page_no) <= 1{same}),
+sight AS (SELECT page_id, doc_id, revision, page_no, code, bool_or(d = 0 AND hit) AS here, bool_or(d = -1 AND hit) AS on_prev, bool_or(d = 1 AND hit) AS on_next FROM (SELECT *, {printed('norm', 'code')} AS hit FROM asked_) GROUP BY ALL)"""
+
+
+def witnesses(forms: str) -> str:
+    return f""",
+lab AS (SELECT page_id, doc_id, revision, page_no, trim(printed_label) AS label FROM {forms} WHERE has_text AND trim(printed_label) <> ''),
+lab2 AS (SELECT l.*, q.page_no - l.page_no AS d, {printed('q.norm', 'l.label')} AS hit FROM lab l JOIN (SELECT * FROM {forms}{{only}}) q ON q.doc_id = l.doc_id AND q.revision = l.revision AND abs(q.page_no - l.page_no) <= 1),
+wit AS (SELECT page_id, doc_id, revision, page_no, label, bool_or(d = 0 AND hit) AS confirms, bool_or(d = -1 AND hit) AS pv, bool_or(d = 1 AND hit) AS nx FROM lab2 GROUP BY ALL),
+wins AS (
+  SELECT w.*, coalesce(confirmed, 0) AS confirmed, coalesce(witnesses, 0) AS witnesses
+  FROM (SELECT DISTINCT doc_id, revision, ((page_no - 1) // 30)::BIGINT AS "window" FROM {forms}) w
+  LEFT JOIN (SELECT doc_id, revision, ((page_no - 1) // 30)::BIGINT AS "window", count_if(confirms)::BIGINT AS confirmed, count_if(NOT confirms AND (pv OR nx))::BIGINT AS witnesses FROM wit GROUP BY ALL) USING (doc_id, revision, "window")
+),
+offs AS (SELECT *, witnesses >= 2 OR (witnesses > 0 AND confirmed = 0) AS shifted FROM wins)""".replace("{only}", "")
+
 
-SIGHT = f""",
-near AS (SELECT *, lag(norm) OVER w AS prev, lead(norm) OVER w AS next, lag(page_id) OVER w AS prev_id, lead(page_id) OVER w AS next_id FROM forms WINDOW w AS (PARTITION BY doc_id, revision ORDER BY page_no)),
-nearc AS (SELECT *, unnest(codes) AS code FROM near),
-sight AS (SELECT page_id, doc_id, revision, page_no, code, contains(norm, ' ' || code || ' ') AS here, coalesce(contains(prev, ' ' || code || ' '), false) AS on_prev, coalesce(contains(next, ' ' || code || ' '), false) AS on_next FROM nearc)"""
 STITCH = """,
-st0 AS (SELECT doc_id, revision, section, min(page_no) AS first, max(page_no) AS last, count(DISTINCT page_no) AS pages, count_if(is_start)::BIGINT AS starts FROM forms GROUP BY ALL),
+st0 AS (SELECT doc_id, revision, section, min(page_no) AS first, max(page_no) AS last, count(DISTINCT page_no) AS pages, min(section) AS title, string_agg(CASE WHEN is_start THEN page_no END, ',' ORDER BY page_no) AS starts, count_if(is_start) AS n_starts FROM forms GROUP BY ALL),
 st AS (SELECT *, row_number() OVER (PARTITION BY doc_id, revision ORDER BY first, section)::INT AS ordinal FROM st0)"""
 DROPS = """,
 nums AS (SELECT doc_id, revision, page_no, printed_label::BIGINT AS v FROM forms WHERE regexp_full_match(printed_label, '[0-9]+')),
 nums2 AS (SELECT *, lag(v) OVER (PARTITION BY doc_id, revision ORDER BY page_no) AS p FROM nums),
 drops AS (SELECT doc_id, revision, count(*) AS labelled, count_if(v < p)::BIGINT AS drops FROM nums2 GROUP BY ALL)"""
-GATES = BACKED + DROPS + """,
-miss AS (SELECT doc_id, revision, max(page_no) - count(*) AS missing FROM forms GROUP BY ALL),
-gates AS (SELECT h.doc_id, h.revision, missing = 0 AS window_coverage, coalesce(median >= 0.2, true) AS grounded_rate, ratio >= 0.5 AS text_coverage, coalesce(drops, 0) = 0 AS label_monotonic
-  FROM health h JOIN miss USING (doc_id, revision) LEFT JOIN drops USING (doc_id, revision))"""
+TOP = "list_slice(list({x} ORDER BY {by}) FILTER ({x} IS NOT NULL), 1, 10)"
+GATES = (
+    ",\nrec AS (SELECT * FROM forms WHERE row_id % 41 <> 0)"
+    + BACKED.replace("FROM forms", "FROM rec").replace("forms.", "rec.")
+    + DROPS.replace("FROM forms", "FROM rec")
+    + witnesses("rec")
+    + """,
+cover AS (SELECT p.doc_id, p.revision, count(*) AS n, count(r.row_id) AS m, array_to_string(list_slice(list(p.page_no ORDER BY p.page_no) FILTER (r.row_id IS NULL), 1, 10), ',') AS evidence FROM pages_ p LEFT JOIN rec r USING (row_id) GROUP BY ALL),
+offd AS (SELECT doc_id, revision, count(*) AS n, count_if(shifted) AS bad, array_to_string(list_slice(list("window" ORDER BY "window") FILTER (shifted), 1, 10), ',') AS evidence FROM offs GROUP BY ALL),
+weakest AS (SELECT doc_id, revision, array_to_string(list_slice(list(page_id ORDER BY rate, page_no) FILTER (rate IS NOT NULL), 1, 10), ',') AS evidence FROM rated GROUP BY ALL),
+recd AS (SELECT DISTINCT doc_id, revision FROM rec),
+gates AS (
+  SELECT doc_id, revision, 'window_coverage' AS gate, m = n AS passed, true AS blocking, false AS skipped, round(m / n, 6)::DOUBLE AS metric, 1.0::DOUBLE AS threshold, NULL::VARCHAR AS flag, CASE WHEN m < n THEN evidence ELSE '' END AS evidence FROM cover
+  UNION ALL SELECT doc_id, revision, 'offset_check', bad = 0, true, false, round((n - bad) / n, 6)::DOUBLE, 1.0, NULL, CASE WHEN bad > 0 THEN evidence ELSE '' END FROM offd
+  UNION ALL SELECT doc_id, revision, 'grounded_rate', fully_scanned OR coalesce(median >= 0.8, false), true, fully_scanned, round(median, 6), 0.8, NULL, CASE WHEN fully_scanned OR coalesce(median >= 0.8, false) THEN '' ELSE evidence END FROM health JOIN weakest USING (doc_id, revision)
+  UNION ALL SELECT doc_id, revision, 'text_coverage', ratio >= 0.5, false, false, round(ratio, 6), NULL, CASE WHEN ratio < 0.5 THEN 'mostly_scanned' END, '' FROM health
+  UNION ALL SELECT doc_id, revision, 'label_monotonic', coalesce(drops, 0) = 0, false, false, coalesce(drops, 0)::DOUBLE, 0.0, CASE WHEN drops > 0 THEN 'label_conflict' END, '' FROM recd LEFT JOIN drops USING (doc_id, revision)
+),
+failed AS (SELECT doc_id, revision, coalesce(list_sort(list(gate) FILTER (blocking AND NOT passed)), []) AS f, coalesce(list_sort(list(DISTINCT flag) FILTER (flag IS NOT NULL)), []) AS fl FROM gates GROUP BY ALL),
+over_ AS (SELECT failed.*, over, why, CASE WHEN over <> 'grounded_rate' THEN 'override_not_allowed' WHEN trim(why) = '' THEN 'override_reason_required' END AS refused
+  FROM failed LEFT JOIN (VALUES ('src1', 'grounded_rate', 'checked by hand'), ('src2', 'grounded_rate', '  '), ('src3', 'window_coverage', 'let it go'), ('src6', 'grounded_rate', 'known scans')) o(doc_id, over, why) USING (doc_id)),
+decided AS (SELECT *, CASE WHEN used THEN [g for g in f if g <> 'grounded_rate'] ELSE f END AS lft, CASE WHEN used THEN list_sort(list_append(fl, 'published_with_override')) ELSE fl END AS flags FROM (SELECT *, over IS NOT NULL AND refused IS NULL AND list_contains(f, 'grounded_rate') AS used FROM over_))"""
+)
 AUDIT = """
 audit AS (SELECT event_id, ts, user_id, event_type AS tool, value, json_extract_string(props, '$.k')::INT AS k, props FROM events),
 runs AS (SELECT 'r' || lpad(event_id::VARCHAR, 9, '0') AS run_id, 'src' || (user_id % 20) AS doc, tool AS state, ts, value, k FROM audit)"""
-QUESTIONS = "questions AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), drafts AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')"
+QUESTIONS = "questions AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), drafts AS (SELECT conv_id, turn, text || ' K' || (conv_id % 97) || ' and 555' AS text FROM conversations WHERE role = 'assistant')"
 WORDS = "[w for w in string_split_regex(trim(text), '\\s+') if w <> '']"
 DRAFTS = f""",
-dc AS (SELECT DISTINCT conv_id, turn, unnest(list_concat(list_slice({tok('text')}, 1, 3), {codes('text')})) AS claim FROM conversations WHERE role = 'assistant'),
-two AS (SELECT *, regexp_extract(doc_id, '([0-9]+)', 1)::BIGINT AS s FROM pages_ WHERE page_no <= 2),
-dp AS (SELECT conv_id, turn, claim, page_id, CASE WHEN {WHY} IS NOT NULL THEN 'unverifiable' WHEN contains(norm, ' ' || claim || ' ') THEN 'present' ELSE 'absent' END AS state FROM dc JOIN two ON conv_id % 20 = s)"""
-MARKS = """,
-marks AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY doc_id) <= 3 THEN 'relevant' WHEN NOT has_text THEN 'uncertain' WHEN text_trust = 'untrusted' THEN 'uncertain' WHEN contains(norm, ' 233 ') THEN 'relevant'
-  WHEN page_no = 1 THEN 'irrelevant' WHEN length(text) < 200 THEN 'irrelevant' WHEN contains(norm, ' with ') THEN 'relevant' ELSE 'irrelevant' END AS mark FROM cur),
-ranked AS (SELECT *, CASE mark WHEN 'relevant' THEN 0 WHEN 'uncertain' THEN 1 ELSE 2 END AS r FROM marks)"""
+{QUESTIONS},
+dc AS (SELECT DISTINCT conv_id, turn, unnest({codes('text')}) AS claim FROM drafts),
+cited AS (SELECT * FROM dc JOIN {cites('drafts', '(conv_id + turn)', 'conv_id, turn')} USING (conv_id, turn)),
+pairs AS (SELECT DISTINCT claim, page_id FROM cited),
+matrix AS ({MATRIX}),
+dv AS (SELECT conv_id, turn, claim, place, page_id, state FROM cited JOIN matrix USING (claim, page_id)),
+fold AS (
+  SELECT conv_id, turn, claim, CASE WHEN bool_or(state = 'present') THEN 'present' WHEN bool_or(state = 'absent') THEN 'absent' ELSE 'unverifiable' END AS state,
+         coalesce(min_by(page_id, place) FILTER (state = 'present'), min_by(page_id, place) FILTER (state = 'absent')) AS cited FROM dv GROUP BY ALL
+)"""
+RUNGS = f""",
+{QUESTIONS},
+stat AS (SELECT doc_id AS doc, count(*) AS pages, count_if(NOT has_text) AS no_text FROM cur GROUP BY ALL),
+rungs AS (SELECT conv_id, turn AS place, 'src' || ((conv_id + turn) % 20) AS doc, coalesce(pages, 0) AS pages, coalesce(no_text, 0) AS no_text, CASE WHEN conv_id % 3 = 0 THEN coalesce(no_text, 0) ELSE turn % 2 END AS looked
+  FROM (SELECT *, 'src' || ((conv_id + turn) % 20) AS doc FROM drafts) LEFT JOIN stat USING (doc)),
+inorder AS (SELECT conv_id, list(doc ORDER BY place) AS ds, list(doc ORDER BY place) FILTER (no_text > 0) AS bs, max(pages) AS pages, max(no_text) AS no_text, max(looked) AS looked FROM rungs GROUP BY conv_id),
+merged AS (SELECT conv_id, [e for e, k in ds if list_position(ds, e) = k] AS docs, coalesce([e for e, k in bs if list_position(bs, e) = k], []) AS blind, pages, no_text, looked FROM inorder)"""
+NAMES = "CASE WHEN len({x}) = 0 THEN 'the scope searched' WHEN len({x}) = 1 THEN {x}[1] ELSE array_to_string({x}[:-2], ', ') || ' and ' || {x}[-1] END"
+
+
+def marks(terms: str, ids: str) -> str:
+    """The marks of `numbered` rows; terms: a question's terms as a list, ids: those of its identifiers."""
+    return f""",
+rates AS (SELECT page_id, count(*) AS n, count_if({printed('norm', 'code')}) AS hit FROM (SELECT DISTINCT page_id, norm, lower(unnest(codes)) AS code FROM numbered) GROUP BY page_id),
+t0 AS (SELECT numbered.*, list_contains(string_split(why, ','), 'lexical') AS lexical, [t for t in {terms} if list_contains({tok('summary')}, t)] AS shown, CASE WHEN NOT has_text THEN NULL WHEN n IS NULL THEN 1.0 ELSE hit / n END AS rate FROM numbered LEFT JOIN rates USING (page_id)),
+t1 AS (SELECT *, CASE WHEN lexical AND len({ids}) > 0 THEN 'exact_hit' WHEN len(shown) > 0 THEN 'summary_match' WHEN lexical THEN 'lexical_unshown' WHEN text_trust IN ('untrusted', 'no_text') THEN 'untrusted_text' WHEN rate < 0.8 THEN 'weak_grounding' WHEN trim(summary) = '' THEN 'no_summary' ELSE 'no_overlap' END AS r0 FROM t0),
+t2 AS (SELECT *, CASE WHEN r0 IN ('exact_hit', 'summary_match') THEN 'relevant' WHEN r0 = 'no_overlap' THEN 'irrelevant' ELSE 'uncertain' END AS m0, CASE WHEN r0 = 'exact_hit' THEN {ids} ELSE shown END AS matched, r0 = 'exact_hit' AS promoted, (SELECT count(*) FROM numbered) <= 3 AS small FROM t1),
+t3 AS (SELECT *, CASE WHEN small AND m0 <> 'relevant' THEN 'small_set' ELSE r0 END AS reason, CASE WHEN small THEN 'relevant' ELSE m0 END AS mark FROM t2),
+triaged AS (SELECT *, row_number() OVER (ORDER BY list_position(['relevant', 'uncertain', 'irrelevant'], mark), NOT lexical, fused_rank, page_id)::INT AS place FROM t3)"""
+
+
+OPEN_TERMS = "['nicht', 'einander', 'which', 'thing', 'that']"
+OPEN_MARKS = OPEN + marks(OPEN_TERMS, "[]::VARCHAR[]")
+EXACT_MARKS = RANK + marks("['555', 'thing', 'with', 'reering']", "['555']")
 TOC = """
 li AS (SELECT l_orderkey AS doc_id, (l_quantity * 2)::INT AS start FROM lineitem),
 npages AS (SELECT doc_id, (max(start) + count(*) * 3)::INT AS pages FROM li GROUP BY doc_id),
@@ -201,7 +281,7 @@ SQL: dict[str, str] = {
     "no_text_pages": f"{P} SELECT page_id FROM pages_ WHERE NOT has_text",
     "searchable_records": f"{P} SELECT page_id FROM pages_ WHERE {TRUSTED} AND has_text",
     "exclude_pages": f"{P} SELECT page_id FROM cur WHERE page_id NOT IN (SELECT page_id FROM pages_ WHERE page_no % 3 = 0)",
-    "branch_filter": f"{P} SELECT page_id, text_trust FROM cur WHERE contains(norm, ' the ') AND contains(norm, ' 2 ') AND page_no > 2",
+    "branch_filter": f"{P} SELECT page_id, text_trust FROM cur WHERE contains(norm, ' 555 ') AND page_no > 2",
     "code_like_tokens": f"{P} SELECT token, count(*) AS n FROM (SELECT unnest({codes('text')}) AS token FROM pages_) GROUP BY token",
     "parse_page_id": f"{P}, q AS (SELECT row_id, row_id % 4 <> 0 AS canonical, doc_id, revision, page_no FROM pages_) SELECT row_id, CASE WHEN canonical THEN doc_id END AS doc, CASE WHEN canonical THEN revision END AS revision, CASE WHEN canonical THEN page_no END AS page_no, canonical FROM q",
     "uncheckable_reason": f"{P} SELECT page_id, {WHY} AS reason FROM pages_",
@@ -220,11 +300,11 @@ SQL: dict[str, str] = {
     "weakness": f"{PC}{LOOK} SELECT item_id, total, weak FROM looked",
     "lookup": f"{PC}{LOOK} SELECT * FROM looked",
     "lookup_page": f"{P} SELECT page_id, doc_id, page_no FROM srch WHERE contains(norm, ' the ') ORDER BY page_no, page_id LIMIT 20",
-    "absence_status": f"{P}, b AS (SELECT doc_id, count(*) AS pages, count_if(has_text) AS wt, count_if(contains(norm, ' idiot ') AND {TRUSTED}) AS total FROM cur GROUP BY doc_id) SELECT doc_id, CASE WHEN total > 0 THEN 'ok' WHEN pages = 0 THEN 'out_of_scope' WHEN wt = 0 THEN 'not_searchable' ELSE 'not_found' END AS status FROM b",
+    "absence_status": f"{P}, b AS (SELECT doc_id, count(*) AS pages, count_if({TRUSTED}) AS tr, count_if(contains(norm, ' idiot ') AND {TRUSTED}) AS total FROM cur GROUP BY doc_id) SELECT doc_id, CASE WHEN total > 0 THEN 'ok' WHEN pages = 0 THEN 'out_of_scope' WHEN tr = 0 THEN 'not_searchable' ELSE 'not_found' END AS status FROM b",
     "verify_matrix": f"{PF}{CLAIMS}{PAIRS} SELECT claim, page_id, state, reason FROM matrix",
     "verify_claims": f"{PF}{CLAIMS}{PAIRS}, v AS (SELECT claim, CASE WHEN bool_or(state = 'present') THEN 'present' WHEN bool_or(state = 'absent') THEN 'absent' ELSE 'unverifiable' END AS state, count_if(state = 'present')::BIGINT AS n_present, count(*) AS n_pages, CASE WHEN count(DISTINCT reason) > 1 THEN 'mixed' ELSE max(reason) END AS r FROM matrix GROUP BY claim) SELECT claim, state, n_present, n_pages, CASE WHEN state = 'unverifiable' THEN r END AS reason FROM v",
-    "page_payloads": f"{P}, a AS (SELECT page_id FROM pages_ WHERE page_no = 2 UNION ALL SELECT 'none@1.0#p' || lpad((item_id + 1)::VARCHAR, 3, '0') FROM benchmark) SELECT a.page_id, CASE WHEN p.page_id IS NULL THEN 'page_not_found' WHEN NOT is_current THEN 'page_not_current' ELSE 'ok' END AS status FROM a LEFT JOIN pages_ p USING (page_id)",
-    "observed_tokens": f"{P}{INV} SELECT doc_id, count(*) AS n, string_agg(token, '|' ORDER BY token) AS tokens FROM inv GROUP BY doc_id",
+    "page_payloads": f"{P}, a AS (SELECT page_id FROM pages_ UNION ALL SELECT 'none@1.0#p' || lpad((item_id + 1)::VARCHAR, 3, '0') FROM benchmark) SELECT a.page_id, CASE WHEN p.page_id IS NULL THEN 'page_not_found' WHEN NOT is_current THEN 'page_not_current' ELSE 'ok' END AS status FROM a LEFT JOIN pages_ p USING (page_id)",
+    "observed_tokens": f"{P}{INV} SELECT * FROM inv",
     "present_instead": f"{P}{INV}, cl AS (SELECT DISTINCT doc_id, substring(token, 1, greatest(2, length(token) - 1)) || '9' AS claim FROM inv), ck AS (SELECT *, array_to_string({tok('claim')}, '') AS key FROM cl), m AS (SELECT claim, ck.doc_id, token, unnest(range(greatest(2, length(key) - 2), length(key) + 1)) AS n, key FROM ck JOIN inv USING (doc_id) WHERE length(key) >= 2 AND token <> key), g AS (SELECT DISTINCT claim, doc_id, token, n FROM m WHERE length(token) >= n AND substring(token, 1, n) = substring(key, 1, n)), b AS (SELECT * FROM g QUALIFY n = max(n) OVER (PARTITION BY claim, doc_id)) SELECT claim, doc_id, token, row_number() OVER (PARTITION BY claim, doc_id ORDER BY token)::INT AS nth FROM b QUALIFY nth <= 5",
     "words_observed": f"{PC}, w AS (SELECT item_id, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM (SELECT item_id, {distinct(tok('claim'))} AS ws FROM claims)), k AS (SELECT DISTINCT unnest({tok('text')}) AS word FROM srch WHERE has_text) SELECT item_id, word FROM w WHERE length(word) >= 2 AND place < 8 AND word IN (SELECT word FROM k)",
     "tokenize": f"{P} SELECT page_id, len({tok('text')})::INT AS n, md5(array_to_string({tok('text')}, ' ')) AS digest FROM pages_",
@@ -234,48 +314,48 @@ SQL: dict[str, str] = {
     "point_id": f"{P}, h AS (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(page_id)) AS h FROM pages_) SELECT page_id, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][1 + (('0x' || substring(h, 17, 1))::INT & 3)] || substring(h, 18, 3) || '-' || substring(h, 21, 12) AS point_id FROM h",
     "claim_key": f"{PC} SELECT item_id, array_to_string({tok('claim')}, '') AS key FROM claims",
     "decompose_query": f"WITH q AS (SELECT conv_id, turn, text || ' K' || conv_id AS text FROM conversations WHERE role = 'user'), w AS (SELECT conv_id, turn, {WORDS} AS ws FROM q) SELECT conv_id, turn, array_to_string([x for x in ws if regexp_matches(x, '\\p{{N}}')], ' ') AS identifiers, md5(array_to_string([x for x in ws if NOT regexp_matches(x, '\\p{{N}}')], ' ')) AS prose FROM w",
-    "query_terms": f"WITH w AS (SELECT conv_id, turn, {WORDS} AS ws FROM conversations WHERE role = 'user'), p AS (SELECT conv_id, turn, {tok(chr(39) + chr(39) + ' || array_to_string([x for x in ws if regexp_matches(x, ' + chr(39) + chr(92) + 'p{N}' + chr(39) + ')], ' + chr(39) + ' ' + chr(39) + ')')} AS ids, [t for t in {tok('array_to_string([x for x in ws if NOT regexp_matches(x, ' + chr(39) + chr(92) + 'p{N}' + chr(39) + ')], ' + chr(39) + ' ' + chr(39) + ')')} if length(t) >= 4] AS words FROM w) SELECT conv_id, turn, len(list_distinct(list_concat(ids, words)))::INT AS n_terms FROM p",
+    "query_terms": f"WITH w AS (SELECT conv_id, turn, {WORDS} AS ws FROM conversations WHERE role = 'user'), p AS (SELECT conv_id, turn, {tok(chr(39) + chr(39) + ' || array_to_string([x for x in ws if regexp_matches(x, ' + chr(39) + chr(92) + 'p{N}' + chr(39) + ')], ' + chr(39) + ' ' + chr(39) + ')')} AS ids, [t for t in {tok('array_to_string([x for x in ws if NOT regexp_matches(x, ' + chr(39) + chr(92) + 'p{N}' + chr(39) + ')], ' + chr(39) + ' ' + chr(39) + ')')} if length(t) >= 4] AS words FROM w) SELECT conv_id, turn, array_to_string([e for e, k in list_concat(ids, words) if list_position(list_concat(ids, words), e) = k], ' ') AS terms FROM p",
     "codes_in_text_draft": f"WITH {QUESTIONS}, c AS (SELECT conv_id, turn, [t for t in {codes('text')} if NOT regexp_full_match(t, '\\p{{N}}+')] AS cs FROM drafts) SELECT conv_id, turn, array_to_string({distinct('cs')}, '|') AS codes FROM c",
     "label_words": f"{PF} SELECT page_id, array_to_string(list_slice([w for w in string_split_regex(trim(seen), '\\s+') if regexp_matches(w, '\\p{{N}}')], 1, 4), ' ') AS words FROM forms",
-    "mutations": f"{P}{INV}, src AS (SELECT DISTINCT token FROM inv WHERE length(token) BETWEEN 3 AND 5){MUT} SELECT * FROM mut",
+    "mutations": f"{P}{INV}, src AS (SELECT DISTINCT token FROM inv){MUT} SELECT * FROM mut",
     "cache_keys": f"{P} SELECT page_id, sha256('4:read|' || length(page_id) || ':' || page_id || '|' || length(page_no::VARCHAR) || ':' || page_no || '|' || length(lang) || ':' || lang) AS key FROM pages_",
     "fingerprint_digest": "SELECT len(embedding)::INT AS n, count(*) AS rows, sha256('{\"composition_version\":\"1\",\"dim\":' || len(embedding) || ',\"distance\":\"cosine\",\"embed_model\":\"stub\"}') AS digest FROM embeddings GROUP BY ALL",
     "l2_normalise": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) SELECT vec_id, round(CASE WHEN n > 0 THEN e[1] / n ELSE e[1] END, 6) AS first, round(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END, 6)::DOUBLE AS length FROM v",
     "region_valid": f"WITH {AUDIT} SELECT event_id, value / 10 <= 1 AND (k % 10) / 10 < value / 10 AND (event_id % 7) / 7 < 0.9 AS valid FROM audit",
     "predicted_megapixels": f"WITH {AUDIT}, d AS (SELECT event_id, [72, 110, 220][1 + k % 3] AS dpi, least(1.0::DOUBLE, greatest(0.1::DOUBLE, k / 100)) AS share FROM audit), p AS (SELECT event_id, ceil(595 * share * dpi / 72)::BIGINT * ceil(842 * dpi / 72)::BIGINT AS pixels FROM d) SELECT event_id, pixels, round(pixels / 1e6, 6)::DOUBLE AS megapixels, pixels > 12000000 AS refused FROM p",
-    "dense_knn": f"{P}{RANK} SELECT row_id, round(score, 6) AS score FROM dense",
-    "lexical_rank": f"{P}{RANK} SELECT row_id, round(score, 6) AS score FROM lexical",
-    "captions_rank": f"{P}{RANK} SELECT row_id, round(score, 6) AS score FROM captions",
+    "dense_knn": f"{P}{OPEN} SELECT row_id, round(score, 6) AS score FROM dense",
+    "lexical_rank": f"{P}{OPEN} SELECT row_id, round(score, 6) AS score FROM lexical",
+    "captions_rank": f"{P}{OPEN} SELECT row_id, round(score, 6) AS score FROM captions",
     "branch_rank": f"{P}{RANK} SELECT surface, row_id, rank FROM branches",
     "rrf_fusion": f"{P}{RANK} SELECT row_id, round(score, 9) AS score, best_rank, why FROM fused",
     "skim_pages": f"{P}{RANK} SELECT fused_rank, page_id, round(score, 9) AS score, why FROM numbered WHERE fused_rank <= 10",
-    "skim_documents": f"{P}{RANK} SELECT doc_id, count(*) AS pages_matched, min(fused_rank) AS best_rank, min_by(page_id, fused_rank) AS preview FROM numbered GROUP BY doc_id ORDER BY best_rank, pages_matched DESC, doc_id LIMIT 10",
+    "skim_documents": f"{P}{RANK}{DOCUMENTS}, spots AS (SELECT doc_id, 0::BIGINT AS pages_matched, 0 AS best_rank, page_id AS preview, 0.0::DOUBLE AS ratio FROM ratios JOIN (SELECT doc_id, page_id FROM cur WHERE page_no = 1) USING (doc_id) WHERE ratio = 0 AND doc_id NOT IN (SELECT doc_id FROM groups)) SELECT doc_id, pages_matched, best_rank, preview, round(ratio, 6)::DOUBLE AS ratio FROM (SELECT groups.*, ratio::DOUBLE AS ratio FROM groups JOIN ratios USING (doc_id) UNION ALL SELECT * FROM spots) ORDER BY best_rank = 0, best_rank, pages_matched DESC, doc_id LIMIT 10",
     "skim_sections": f"{P}{RANK} SELECT {SERIES} AS series, count(*) AS pages_matched, min(fused_rank) AS best_rank, min_by(page_id, fused_rank) AS preview FROM numbered GROUP BY 1 ORDER BY best_rank, pages_matched DESC, series LIMIT 10",
-    "term_frequency": f"{P}{POST} SELECT * FROM postings WHERE tf >= 3",
+    "term_frequency": f"{P}{POST} SELECT * FROM postings",
     "surface_coverage": f"{P} SELECT count(*) AS pages, count_if(len({tok('text')}) > 0)::BIGINT AS lexical, count_if(vec_id IS NOT NULL)::BIGINT AS dense FROM cur LEFT JOIN embeddings ON vec_id = row_id",
     "branch_activation": f"WITH {QUESTIONS}, w AS (SELECT *, {WORDS} AS ws FROM questions) SELECT conv_id, turn, len([x for x in ws if NOT regexp_matches(x, '\\p{{N}}')]) > 0 AS dense, len({tok('text')}) > 0 AS sparse, len([x for x in ws if regexp_matches(x, '\\p{{N}}')]) > 0 AS narrowed FROM w",
     "absence_moves": f"{PC}{LOOK} SELECT item_id, CASE WHEN total = 0 AND regexp_matches(claim, '\\p{{N}}') THEN 'lookup' WHEN total = 0 THEN 'skim_pages' END AS suggest FROM looked",
     "blind_spots": f"{P}{RANK} SELECT doc_id, count(*) AS pages FROM cur WHERE doc_id NOT IN (SELECT doc_id FROM numbered) GROUP BY doc_id HAVING count_if(has_text) = 0",
     "first_pages": f"{P} SELECT doc_id, page_id FROM cur WHERE page_no = 1",
-    "fetch_text": f"{P} SELECT page_id, length(text)::INT AS n_chars, md5(text) AS digest FROM cur WHERE page_no = 4",
+    "fetch_text": f"{P}, a AS (SELECT *, row_id % 40 = 0 AND text <> 'x' AS changed FROM cur) SELECT page_id, CASE WHEN changed THEN 'content_changed' ELSE 'ok' END AS status, '/pages/' || replace(page_id, '#', '%23') || '/image' AS image, CASE WHEN NOT changed THEN length(text)::INT END AS n_chars, CASE WHEN NOT changed THEN md5(text) END AS digest FROM a",
     "scan_documents": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, length(html)::INT AS n_chars, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages",
     "content_hash": "SELECT page_id, sha256(html) AS sha256 FROM pages",
     "filename_tags": f"WITH s AS (SELECT page_id, [t for t in string_split(lower(regexp_replace(regexp_extract(url, '^[^?#]*?([^/?#]+)/?(?:[?#].*)?$', 1), '[^A-Za-z0-9]+', ' ', 'g')), ' ') if t <> ''] AS ts FROM pages) SELECT page_id, array_to_string({distinct('ts')}, ',') AS tags FROM s",
     "manifest_facets": f"SELECT page_id, coalesce(CASE WHEN page_id % 11 = 0 THEN 'xx' END, {OWN_LANG}, {URL_LANG}, 'unknown') AS lang FROM pages",
-    "facet_disagreement": f"WITH p AS (SELECT page_id, {OWN_LANG} AS read, {URL_LANG} AS declared FROM pages) SELECT * FROM p WHERE read <> declared",
+    "facet_disagreement": f"WITH p AS (SELECT page_id, {OWN_LANG} AS read, coalesce(CASE WHEN page_id % 11 = 0 THEN 'xx' END, {URL_LANG}) AS declared FROM pages) SELECT * FROM p WHERE read <> declared",
     "store_entries": f"{P} SELECT doc_id || '@' || revision || '.pdf' AS entry, count(*) AS pages, sum(strlen(text))::BIGINT AS bytes FROM pages_ GROUP BY 1",
     "replay_cache_hits": f"{P} SELECT row_id % 3 <> 0 AS hit, count(*) AS n FROM cur GROUP BY 1",
     "strict_json_parse": "SELECT CASE WHEN event_id % 7 = 0 THEN 'unknown_field' WHEN event_id % 11 = 0 THEN 'not_json' WHEN json_extract(props, '$.k') IS NULL THEN 'missing_field' ELSE 'ok' END AS state, count(*) AS n FROM events GROUP BY 1",
     "schema_problems": "SELECT * FROM (VALUES ('n_chars', 'undeclared'), ('source', 'type'), ('title', 'missing')) t(name, problem)",
     "duplicate_pages": f"{P} SELECT page_id, 2::BIGINT AS n FROM pages_ WHERE row_id % 50 = 0",
     "fingerprint_diff": "SELECT 'dim' AS field, '768' AS stored, max(len(embedding))::VARCHAR AS live FROM embeddings HAVING max(len(embedding)) <> 768",
-    "embed_reuse": "SELECT vec_id IS NOT NULL AS reused, count(*) AS n FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY 1",
+    "embed_reuse": f"{P} SELECT vec_id IS NOT NULL AND row_id % 9 <> 0 AS reused, count(*) AS n FROM pages_ LEFT JOIN embeddings ON vec_id = row_id GROUP BY 1",
     "export_labels": f"{PF} SELECT page_id, '{{\"page_id\":\"' || page_id || '\",\"page_no\":' || page_no || ',\"printed_label\":\"' || printed_label || '\",\"section\":\"' || section || '\"}}' AS line FROM forms WHERE is_current AND printed_label IS NOT NULL",
     "export_observed_tokens": f"{P}{INV} SELECT doc_id, '{{\"doc_id\":\"' || doc_id || '\",\"tokens\":[' || string_agg('\"' || token || '\"', ',' ORDER BY token) || ']}}' AS line FROM inv GROUP BY doc_id",
     "export_complete": f"{P} SELECT doc_id, revision, count(*) AS produced, count(*) = max(page_no) AS complete FROM pages_ GROUP BY ALL",
     "corpus_documents": f"{P} SELECT doc_id, count(*) AS pages, count_if(is_current)::BIGINT AS current, count(DISTINCT revision) AS revisions, count_if(has_text AND is_current)::BIGINT AS with_text FROM pages_ GROUP BY doc_id",
     "corpus_revisions": f"{P} SELECT doc_id, revision, count_if(is_current) > 0 AS is_current, count(*) AS pages FROM pages_ GROUP BY ALL",
-    "corpus_pages": f"{P} SELECT page_id, page_no, 23 AS next_offset FROM pages_ WHERE doc_id = 'src1' AND revision = '1.0' AND page_no >= 3 ORDER BY page_no LIMIT 20",
+    "corpus_pages": f"{P}, r AS (SELECT doc_id, revision, page_id, page_no FROM pages_ WHERE page_no BETWEEN 3 AND 22), l AS (SELECT doc_id, revision, max(page_no) AS last, count(*) AS n FROM r GROUP BY ALL) SELECT page_id, page_no, CASE WHEN n = 20 THEN last + 1 END AS next_offset FROM r JOIN l USING (doc_id, revision)",
     "corpus_totals": f"{P} SELECT count(DISTINCT doc_id) AS documents, count(*) AS pages, count(DISTINCT doc_id) > 10 AS truncated FROM pages_",
     "searchable_ratio": f"{P} SELECT doc_id, round(count_if(has_text) / count(*), 6)::DOUBLE AS ratio FROM cur GROUP BY doc_id",
     "grounded_rate": f"{PF}{BACKED} SELECT page_id, round(rate, 6) AS rate FROM rated",
@@ -288,58 +368,58 @@ SQL: dict[str, str] = {
     "threshold_sweep": f"{PF}{BACKED}, t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]::DOUBLE[]) AS threshold) SELECT threshold, count_if(rate < threshold)::BIGINT AS below, round(count_if(rate < threshold) / count(*), 6) AS share FROM {RATES}, t GROUP BY threshold",
     "threshold_recommend": f"{PF}{BACKED}, m AS (SELECT median(rate) AS m FROM rated) SELECT round(m, 6) AS median, least((SELECT max(x) FROM (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]::DOUBLE[]) AS x) WHERE x <= m - 0.05), 0.8::DOUBLE) AS threshold FROM m",
     "worst_pages": f"{PF}{BACKED} SELECT page_id, round(rate, 6) AS rate FROM (SELECT * FROM rated WHERE rate IS NOT NULL ORDER BY rate, page_no, page_id LIMIT 10)",
-    "busiest_pages": f"{P}{INV}, o AS (SELECT DISTINCT page_id, doc_id, unnest({tok('text')}) AS token FROM srch) SELECT page_id, count(*) AS n FROM o JOIN inv USING (doc_id, token) GROUP BY page_id ORDER BY n DESC, page_id LIMIT 3",
+    "busiest_pages": f"{P} SELECT page_id, count(DISTINCT token) AS n FROM (SELECT page_id, unnest({codes('text')}) AS token FROM srch WHERE has_text) GROUP BY page_id ORDER BY n DESC, page_id LIMIT 3",
     "split_oversized": f"WITH {TOC}, s AS (SELECT doc_id, unnest(range(1, pages + 1, 30))::INT AS start, pages FROM npages) SELECT doc_id, start, least(pages, start + 29)::INT AS stop FROM s",
     "chapter_ranges": f"WITH {TOC} SELECT doc_id, start, stop FROM chap",
     "inline_cap": f"{P} SELECT page_id, greatest(1, least(30, floor(20000 / (strlen(text) + 1))))::INT AS cap FROM pages_",
-    "page_index_problems": "WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS d, min(l_linenumber) AS lo, max(l_linenumber) AS hi FROM lineitem GROUP BY 1) SELECT CASE WHEN d < n THEN 'duplicate' WHEN hi > n OR lo < 1 THEN 'outside' ELSE 'ok' END AS state, count(*) AS windows FROM g GROUP BY 1",
+    "page_index_problems": "WITH li AS (SELECT l_orderkey, l_linenumber::INT AS no FROM lineitem), s AS (SELECT * FROM li UNION ALL SELECT * FROM li WHERE l_orderkey % 5 = 0 AND no = 1), g AS (SELECT l_orderkey, list(no) AS said, count(DISTINCT no) AS d FROM s GROUP BY 1), n AS (SELECT *, list_sort(list_distinct(said)) AS once, CASE WHEN l_orderkey % 7 = 0 THEN d + 1 WHEN l_orderkey % 11 = 0 THEN d - 1 ELSE d END AS n FROM g), o AS (SELECT l_orderkey, array_to_string([x for x in once if len([y for y in said if y = x]) > 1], ',') AS duplicate, array_to_string([x for x in range(1, n + 1) if NOT list_contains(once, x::INT)], ',') AS missing, array_to_string([x for x in once if x < 1 OR x > n], ',') AS outside FROM n) SELECT * FROM o WHERE duplicate <> '' OR missing <> '' OR outside <> ''",
     "extraction_counts": f'{PF} SELECT doc_id, ((page_no - 1) // 30)::BIGINT AS "window", count(*) AS forms, sum(len(codes))::BIGINT AS codes FROM forms GROUP BY ALL',
     "form_page_join": f"{P}, f AS (SELECT DISTINCT l_orderkey % 1000 AS row_id, l_linenumber FROM lineitem) SELECT pages_.row_id, page_no FROM f JOIN pages_ ON f.row_id = pages_.row_id AND l_linenumber = page_no",
     "missing_pages": "WITH h AS (SELECT DISTINCT l_orderkey, l_linenumber::INT AS no FROM lineitem), w AS (SELECT l_orderkey, unnest(range(1, max(no) + 1))::INT AS no FROM h GROUP BY l_orderkey) SELECT w.* FROM w LEFT JOIN h USING (l_orderkey, no) WHERE h.no IS NULL",
-    "offset_witness": f"{PF}{SIGHT} SELECT page_id, code, here, on_prev, on_next FROM sight",
-    "offset_check": f'{PF}{SIGHT}, w AS (SELECT doc_id, revision, ((page_no - 1) // 30)::BIGINT AS "window", count_if(here)::BIGINT AS confirmed, count_if(NOT here AND on_prev)::BIGINT AS back, count_if(NOT here AND on_next)::BIGINT AS ahead FROM sight GROUP BY ALL) SELECT *, back >= 2 OR (back = 1 AND confirmed = 0) OR ahead >= 2 OR (ahead = 1 AND confirmed = 0) AS shifted FROM w',
-    "reattribute_codes": f"{PF}{SIGHT.replace('PARTITION BY doc_id, revision ORDER', 'PARTITION BY doc_id, revision, (page_no - 1) // 30 ORDER').replace('page_no, code, contains', 'page_no, code, prev_id, next_id, contains')} SELECT page_id, code, CASE WHEN here OR (on_prev AND on_next) THEN page_id WHEN on_prev THEN prev_id WHEN on_next THEN next_id ELSE page_id END AS to_page, CASE WHEN here THEN NULL WHEN on_prev AND on_next THEN 'ambiguous' WHEN on_prev OR on_next THEN 'moved' ELSE 'ungrounded' END AS flag FROM sight",
+    "offset_witness": f"{PF}{sight('forms', False)} SELECT page_id, code, here, on_prev, on_next FROM sight",
+    "offset_check": f"{PF}{witnesses('forms')} SELECT * FROM offs",
+    "reattribute_codes": f"{PF}{sight('forms', True)}, mv AS (SELECT *, NOT here AND on_prev <> on_next AS alone FROM sight), ev AS (SELECT page_id, code, NULL::VARCHAR AS moved_from, 0 AS place, CASE WHEN NOT here AND on_prev AND on_next THEN 'ambiguous_reattribution' END AS flag FROM mv WHERE NOT alone UNION ALL SELECT {pid('doc_id', 'revision', '(page_no + CASE WHEN on_prev THEN -1 ELSE 1 END)')}, code, page_id, page_no, 'codes_reattributed' FROM mv WHERE alone) SELECT page_id, code, moved_from, moved_from IS NULL OR row_number() OVER (PARTITION BY page_id, lower(regexp_replace(code, '\\s+', '', 'g')) ORDER BY place, code) = 1 AS added, flag FROM ev",
     "interpolate_labels": f"{PF}, n AS (SELECT page_id, printed_label, try_cast(lag(printed_label) OVER w AS BIGINT) AS b, try_cast(lead(printed_label) OVER w AS BIGINT) AS a FROM forms WINDOW w AS (PARTITION BY doc_id, revision ORDER BY page_no)) SELECT page_id, CASE WHEN printed_label IS NULL AND a - b = 2 THEN (b + 1)::VARCHAR ELSE printed_label END AS label, coalesce(printed_label IS NULL AND a - b = 2, false) AS interpolated FROM n",
     "label_monotonic": f"{PF}{DROPS} SELECT * FROM drops",
     "attribute_labels": f"{PF}, a AS (SELECT page_id, printed_label AS a, CASE WHEN row_id % 3 <> 0 THEN page_no::VARCHAR END AS b, norm FROM forms), s AS (SELECT *, coalesce({printed('norm', 'a')}, false) AS sa, coalesce({printed('norm', 'b')}, false) AS sb FROM a), l AS (SELECT page_id, a, CASE WHEN a IS NOT DISTINCT FROM b THEN a WHEN sa AND NOT sb THEN a WHEN sb AND NOT sa THEN b WHEN a IS NULL THEN b WHEN b IS NULL THEN a END AS label FROM s) SELECT page_id, label, label IS NULL AND a IS NOT NULL AS ambiguous FROM l",
     "page_neighbours": f"{P} SELECT page_id, lag(page_id) OVER w AS prev_page, lead(page_id) OVER w AS next_page FROM pages_ WINDOW w AS (PARTITION BY doc_id, revision ORDER BY page_no)",
     "resolve_bracket": f"{PF}, n AS (SELECT *, printed_label::BIGINT AS n FROM forms) SELECT m.page_id, lo.n + 1 AS label FROM n m JOIN n lo ON lo.doc_id = m.doc_id AND lo.revision = m.revision AND lo.page_no = m.page_no - 1 JOIN n hi ON hi.doc_id = m.doc_id AND hi.revision = m.revision AND hi.page_no = m.page_no + 1 WHERE m.n IS NULL AND hi.n - lo.n = 2",
-    "resolve_label": f"{PF} SELECT page_id, min(probe)::INT AS probe FROM (SELECT page_id, 1 AS probe FROM forms WHERE is_current AND printed_label = '7' UNION ALL SELECT page_id, 2 FROM srch WHERE contains(norm, ' 7 ')) GROUP BY page_id",
-    "stitch_sections": f"{PF}{STITCH} SELECT doc_id, revision, section, first, last, pages, starts FROM st",
-    "section_contiguity": f"{PF}{STITCH.replace('FROM forms GROUP', 'FROM forms WHERE row_id % 23 <> 0 GROUP')} SELECT doc_id, revision, section, pages = last - first + 1 AS contiguous, first <> last AS straddles, starts <> 1 AS uncertain FROM st",
+    "resolve_label": f"{PF}, r0 AS (SELECT page_id, doc_id, revision, page_no, printed_label, {norm('printed_label')} AS have, norm, {TRUSTED} AS ok FROM forms WHERE is_current), r3 AS (SELECT page_id, printed_label FROM r0 WHERE ok AND contains(norm, ' 3 ') AND trim(have) <> '' AND (contains(have, ' 3 ') OR contains(' 3 ', have))), rp AS (SELECT DISTINCT page_id, printed_label FROM r0 WHERE ok AND (contains(norm, ' 3 ') OR contains(norm, ' 55 ')) AND trim(have) <> '' AND (contains(have, ' page 3 of 55 ') OR contains(' page 3 of 55 ', have))), r10 AS (SELECT page_id, printed_label FROM r0 WHERE ok AND contains(norm, ' 10 ') AND trim(have) <> '' AND (contains(have, ' 10 ') OR contains(' 10 ', have))), rb AS (SELECT DISTINCT m.page_id, m.printed_label FROM r0 m JOIN r0 lo ON lo.doc_id = m.doc_id AND lo.revision = m.revision AND lo.page_no = m.page_no - 1 JOIN r0 hi ON hi.doc_id = m.doc_id AND hi.revision = m.revision AND hi.page_no = m.page_no + 1 WHERE m.printed_label IS NULL AND lo.ok AND hi.ok AND lo.printed_label = '9' AND hi.printed_label = '11' AND contains(lo.norm, ' 9 ') AND contains(hi.norm, ' 11 ')) SELECT '3' AS label, page_id, printed_label AS printed_page_no, false AS interpolated FROM r3 UNION ALL SELECT 'Page 3 of 55', page_id, printed_label, false FROM rp UNION ALL SELECT '10', page_id, printed_label, false FROM r10 UNION ALL SELECT '10', page_id, printed_label, true FROM rb WHERE NOT EXISTS (FROM r10)",
+    "stitch_sections": f"{PF}{STITCH} SELECT doc_id, revision, section, title, first, last, pages, coalesce(starts, '') AS starts FROM st",
+    "section_contiguity": f"{PF}{STITCH.replace('FROM forms GROUP', 'FROM forms WHERE row_id % 23 <> 0 GROUP')} SELECT doc_id, revision, section, pages = last - first + 1 AS contiguous, first <> last AS straddles, n_starts <> 1 AS uncertain FROM st",
     "section_ordinals": f"{PF}{STITCH} SELECT doc_id, revision, section, ordinal FROM st",
     "stitch_pages": f"{PF}{STITCH} SELECT page_id, {pid('doc_id', 'revision', 'ordinal', 's')} AS section_id FROM forms JOIN st USING (doc_id, revision, section)",
     "page_kind": f"{PF} SELECT CASE WHEN read_kind = 'Chart' THEN 'prose' ELSE read_kind END AS kind, count(*) AS n FROM forms GROUP BY 1",
     "missing_summary_langs": f"{PF} SELECT page_id, CASE WHEN lang = 'en' THEN '' WHEN row_id % 2 = 0 THEN 'en' ELSE lang END AS missing FROM forms",
     "caption_terms": f"{PF}, t AS (SELECT page_id, {tok('text')} AS own, {tok(chr(115) + 'ummary || ' + chr(39) + ' ' + chr(39) + ' || section')} AS words FROM forms) SELECT page_id, array_to_string([w for w in words if NOT list_contains(own, w)], ' ') AS terms FROM t",
     "compose_embedding_text": f"{PF}, t AS (SELECT page_id, [p for p in [doc_id, section, summary, array_to_string(codes, ' '), substring(text, 1, 2000)] if p <> ''] AS ps FROM forms) SELECT page_id, md5(array_to_string({distinct('ps')}, chr(10))) AS digest FROM t",
-    "derive_pages": f"{PF}{BACKED}, n AS (SELECT *, try_cast(lag(printed_label) OVER w AS BIGINT) AS b, try_cast(lead(printed_label) OVER w AS BIGINT) AS a FROM rated WINDOW w AS (PARTITION BY doc_id, revision ORDER BY page_no)), i AS (SELECT *, coalesce(printed_label IS NULL AND a - b = 2, false) AS ip FROM n) SELECT page_id, CASE WHEN ip THEN (b + 1)::VARCHAR ELSE printed_label END AS label, array_to_string([f for f in [CASE WHEN ip THEN 'label_interpolated' END, CASE WHEN NOT has_text THEN 'no_text' END, CASE WHEN len([c for c in codes if NOT list_contains(backed, c)]) > 0 THEN 'ungrounded_codes' END] if f IS NOT NULL], ',') AS flags FROM i",
+    "derive_pages": f"{PF}{BACKED}, n AS (SELECT *, try_cast(lag(printed_label) OVER w AS BIGINT) AS b, try_cast(lead(printed_label) OVER w AS BIGINT) AS a FROM rated WINDOW w AS (PARTITION BY doc_id, revision ORDER BY page_no)), i AS (SELECT *, coalesce(printed_label IS NULL AND a - b = 2, false) AS ip FROM n) SELECT page_id, CASE WHEN ip THEN (b + 1)::VARCHAR ELSE printed_label END AS label, array_to_string([f for f in [CASE WHEN ip THEN 'label_interpolated' END, CASE WHEN NOT has_text THEN 'no_text' END, CASE WHEN len([c for c in codes if NOT list_contains(backed, c)]) > 0 THEN 'ungrounded_codes' END] if f IS NOT NULL], ',') AS flags, len(codes)::INT AS n_codes, round(rate, 6) AS rate FROM i",
     "publish_gates": f"{PF}{GATES} SELECT * FROM gates",
-    "gate_decision": f"{PF}{GATES}, b AS (SELECT *, [f for f in [CASE WHEN NOT window_coverage THEN 'window_coverage' END, CASE WHEN NOT grounded_rate AND doc_id NOT IN ('src1', 'src7') THEN 'grounded_rate' END, CASE WHEN NOT text_coverage THEN 'text_coverage' END] if f IS NOT NULL] AS bl FROM gates) SELECT doc_id, revision, array_to_string(bl, ',') AS blocking, len(bl) = 0 AS publish, CASE WHEN NOT label_monotonic THEN 'label_monotonic' END AS flag FROM b",
-    "run_history": f"WITH {AUDIT} SELECT run_id, state FROM runs WHERE doc = 'src3' ORDER BY ts DESC, run_id DESC LIMIT 20",
+    "gate_decision": f"{PF}{GATES} SELECT doc_id, revision, array_to_string(lft, ',') AS blocking, len(lft) = 0 AS publish, refused, array_to_string(flags, ',') AS flags FROM decided",
+    "run_history": f"WITH {AUDIT} SELECT doc, nth, run_id, state FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY ts DESC, run_id DESC)::INT AS nth FROM runs) WHERE nth <= 20",
     "run_latest": f"WITH {AUDIT} SELECT doc, max(run_id) AS run_id, max_by(state, run_id) AS state FROM runs GROUP BY doc",
     "window_latest": f"WITH {AUDIT} SELECT doc, k % 4 AS start, max_by(state, run_id) AS state, count(*) AS writes FROM runs GROUP BY ALL",
     "gate_gauges": f"WITH {AUDIT} SELECT doc, round(max_by(value, run_id), 4) AS last_value, count_if(value < 5)::BIGINT AS failures FROM runs WHERE state = 'purchase' GROUP BY doc",
     "current_pointer": f"{P}, {AUDIT} SELECT page_id, doc_id IN (SELECT doc FROM runs WHERE state = 'purchase') AND revision = '1.0' AS is_current FROM pages_",
-    "publish_state": f"{PF}{GATES} SELECT doc_id, revision, CASE WHEN window_coverage AND text_coverage THEN CASE WHEN revision = '1.0' THEN 'current' ELSE 'superseded' END ELSE 'held' END AS state FROM gates",
+    "publish_state": f"{PF}{GATES} SELECT doc_id, revision, CASE WHEN len(lft) > 0 THEN 'held' WHEN revision = '1.0' THEN 'current' ELSE 'superseded' END AS state FROM decided",
     "retirement_counts": f"{P} SELECT doc_id, count_if(revision = '1.0' AND row_id % 6 = 0)::BIGINT AS deleted, count_if(revision <> '1.0')::BIGINT AS demoted, count_if(revision = '1.0' AND row_id % 6 <> 0)::BIGINT AS kept FROM pages_ GROUP BY doc_id",
     "stamp_flags": f"{P}, s AS (SELECT page_id, ['seen', text_trust, CASE WHEN is_current THEN 'seen' ELSE 'old' END, lang] AS fs FROM pages_) SELECT page_id, array_to_string({distinct('fs')}, ',') AS flags FROM s",
     "hash_mismatch": f"{P} SELECT page_id FROM pages_ WHERE row_id % 40 = 0 AND text <> 'x'",
     "audit_log": f"WITH {AUDIT} SELECT user_id, tool, count(*) AS calls, round(max(value), 4) AS latency FROM audit GROUP BY ALL",
     "budget_remaining": f"WITH {AUDIT}, s AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS period, count(*) AS spent FROM audit WHERE tool = 'purchase' GROUP BY ALL) SELECT *, greatest(0, 2 - spent) AS remaining, spent > 2 AS refused FROM s",
     "unknown_scope_keys": f"WITH {AUDIT} SELECT 'k' || (k % 5) AS unknown, count(*) AS n FROM audit GROUP BY 1",
-    "draft_claims": f"WITH {QUESTIONS}, p AS (SELECT DISTINCT conv_id, turn, unnest({codes('text')}) AS claim FROM drafts) SELECT conv_id, turn, claim, turn % 4 = 1 AS declared FROM p",
-    "answer_gate": f"{P}{DRAFTS}, c AS (SELECT conv_id, turn, claim, bool_or(state = 'present') AS p, bool_or(state = 'absent') AS a, min(page_id) FILTER (state = 'present') AS cited FROM dp GROUP BY ALL) SELECT conv_id, turn, count(*) AS claims, count_if(p)::BIGINT AS present, bool_or(NOT p AND a) AS rejected, min(cited) AS cited FROM c GROUP BY conv_id, turn",
-    "coverage_merge": f"{P}{DRAFTS} SELECT conv_id, count(DISTINCT page_id) AS pages, count(DISTINCT claim) AS claims, max(turn) AS last_turn FROM dp GROUP BY conv_id",
-    "abstention_text": f"{P}{DRAFTS}, g AS (SELECT conv_id, count(DISTINCT page_id) AS pages, count_if(state = 'absent') AS a, count_if(state = 'present') AS p FROM dp GROUP BY conv_id) SELECT conv_id, 'looked at ' || pages || ' pages; ' || CASE WHEN a > p THEN 'rejected' WHEN p = 0 THEN 'insufficient' ELSE 'stopped' END AS text FROM g",
-    "triage_marks": f"{P}{MARKS} SELECT page_id, mark FROM marks",
-    "triage_events": f"{P}{MARKS} SELECT doc_id, mark, count(*) AS n FROM marks GROUP BY ALL",
-    "triage_order": f"{P}{MARKS} SELECT page_id, row_number() OVER (PARTITION BY doc_id ORDER BY r, page_no, page_id)::INT AS place FROM ranked",
-    "triage_sets": f"{P}{MARKS} SELECT doc_id, coalesce(string_agg(page_id, ',' ORDER BY page_id) FILTER (mark = 'relevant'), '') AS look, coalesce(string_agg(page_id, ',' ORDER BY page_id) FILTER (mark = 'irrelevant'), '') AS exclude FROM marks WHERE page_no <= 12 GROUP BY doc_id",
-    "route_plan": f"{P}{MARKS}, m AS (SELECT *, CASE WHEN has_text AND text_trust = 'ok' THEN 'fetch' ELSE 'read' END AS route FROM ranked WHERE mark <> 'irrelevant') SELECT page_id, route, row_number() OVER (PARTITION BY doc_id, route ORDER BY r, page_no, page_id) > CASE route WHEN 'fetch' THEN 5 ELSE 3 END AS deferred FROM m",
-    "loop_transitions": f"WITH {AUDIT}, m AS (SELECT tool, count(*) AS n FROM audit GROUP BY tool) SELECT t.state, t.signal, n, t.next FROM m JOIN (VALUES ('view', 'descend', 'found', 'triage'), ('click', 'triage', 'relevant', 'look'), ('error', 'verify', 'absent', 'drain'), ('signup', 'widen', 'done', 'abstain'), ('purchase', 'look', 'none', 'refused')) t(tool, state, signal, next) USING (tool)",
-    "pending_candidates": f"{P}{MARKS} SELECT page_id FROM marks WHERE page_no <= 10 AND mark <> 'irrelevant'",
-    "read_stamps": f"{PF}, x AS (SELECT page_id, unnest(codes) AS code, norm FROM forms WHERE page_no <= 6) SELECT page_id, code, {printed('norm', 'code')} AS printed FROM x",
+    "draft_claims": f"WITH {QUESTIONS}, p AS (SELECT DISTINCT conv_id, turn, unnest({codes('text')}) AS claim FROM drafts) SELECT conv_id, turn, claim, claim LIKE 'k%' AND turn % 4 = 1 AS declared FROM p",
+    "answer_gate": f"{P}{DRAFTS} SELECT *, bool_or(state = 'absent') OVER (PARTITION BY conv_id, turn) AS rejected FROM fold",
+    "coverage_merge": f"{P}{RUNGS} SELECT conv_id, array_to_string(docs, ',') AS docs, array_to_string(blind, ',') AS blind, pages, no_text, looked, no_text <= looked AS complete FROM merged",
+    "abstention_text": f"{P}{RUNGS}, n AS (SELECT *, {NAMES.format(x='docs')} AS named, {NAMES.format(x='blind')} AS dark, greatest(0, no_text - looked) AS lft FROM merged) SELECT conv_id, ['Not found in the searchable text of ' || named || '.', 'Not found in the searchable text of ' || named || ', and there is no wider scope left to search.', 'Nothing in ' || named || ' matched, and no image-only page was available to look at.', 'The pages looked at in ' || named || ' do not answer this.', 'A draft answer was written from ' || named || ' and rejected: the codes it cited are not printed on the pages it cited them from.'][1 + (conv_id % 5)::INT] || ' ' || pages || ' page(s) searched across ' || len(docs) || ' document(s). ' || CASE WHEN lft > 0 THEN lft || ' image-only page(s) in ' || CASE WHEN len(blind) > 0 THEN dark ELSE named END || ' were not examined — look at them with `fetch` or `read` before concluding anything about the corpus.' WHEN pages = 0 THEN 'No page was searched, so nothing follows about the corpus — widen the scope or check that this release has a published document.' WHEN no_text > 0 THEN 'All ' || no_text || ' image-only page(s) in scope were examined, so this is not in these documents.' ELSE 'Every page in scope has a text layer, so this is not in these documents.' END AS text FROM n",
+    "triage_marks": f"{P}, m1 AS (WITH {('_ AS (SELECT 1)' + EXACT_MARKS)} SELECT 1 AS question, * FROM triaged), m2 AS (WITH {('_ AS (SELECT 1)' + OPEN_MARKS)} SELECT 2 AS question, * FROM triaged) SELECT question, page_id, mark, reason, array_to_string(matched, ' ') AS matched, promoted FROM (FROM m1 UNION ALL FROM m2)",
+    "triage_events": f"{P}{OPEN_MARKS} SELECT page_id, '{{\"page_id\":\"' || page_id || '\",\"mark\":\"' || mark || '\",\"reason\":\"' || reason || '\",\"rank\":' || fused_rank || ',\"why\":[\"' || replace(why, ',', '\",\"') || '\"],\"matched\":[' || array_to_string(['\"' || x || '\"' for x in matched], ',') || '],\"promoted\":' || promoted || '}}' AS event FROM triaged",
+    "triage_order": f"{P}{OPEN_MARKS} SELECT page_id, place FROM triaged",
+    "triage_sets": f"{P}{OPEN_MARKS} SELECT page_id, CASE mark WHEN 'relevant' THEN 'look' WHEN 'irrelevant' THEN 'exclude' ELSE 'pool' END AS goes_to, place FROM triaged",
+    "route_plan": f"{P}{OPEN_MARKS}, look AS (SELECT page_id, row_number() OVER (ORDER BY place) AS place, count(*) OVER () AS n FROM triaged WHERE mark = 'relevant'), c AS (SELECT * FROM (VALUES ('default', true, 5, 2, false), ('roomy', true, 500, 2, false), ('blind', false, 5, 2, false), ('broke', false, 5, 0, false), ('full', true, 0, 0, false), ('zoom', true, 5, 2, true), ('blind zoom', false, 5, 2, true)) v(caller, vision, slots, reads, zoom)), d AS (SELECT caller, page_id, place, CASE WHEN zoom THEN CASE WHEN vision THEN 'fetch' END WHEN NOT vision OR n > slots THEN CASE WHEN reads > 0 THEN 'read' END ELSE 'fetch' END AS route, CASE WHEN zoom THEN CASE WHEN vision THEN 'zoom_required' ELSE 'zoom_requires_vision' END WHEN NOT vision THEN CASE WHEN reads > 0 THEN 'caller_not_vision_capable' ELSE 'budget_exhausted' END WHEN n > slots THEN CASE WHEN reads > 0 THEN 'context_budget' ELSE 'budget_exhausted' END ELSE 'default_fetch' END AS reason FROM look, c) SELECT caller, page_id, CASE WHEN place > CASE route WHEN 'read' THEN 3 ELSE 5 END THEN NULL ELSE route END AS route, CASE WHEN route IS NOT NULL AND place > CASE route WHEN 'read' THEN 3 ELSE 5 END THEN 'deferred_over_cap' ELSE reason END AS reason FROM d",
+    "loop_transitions": f"WITH {AUDIT}, m AS (SELECT ['descend', 'triage', 'look', 'drain_uncertain', 'widen', 'vision_first', 'draft', 'verify', 'answer', 'abstain'][1 + k % 10] AS state, ['candidates', 'empty_searchable', 'empty_no_text', 'look_set', 'empty_look_set', 'sufficient', 'insufficient', 'pool_empty', 'contradicted', 'cleared', 'widened', 'exhausted', 'budget_exhausted', 'no_pages'][1 + (event_id % 14)::INT] AS signal, count(*) AS n FROM audit GROUP BY ALL) SELECT m.*, coalesce(next, 'refused') AS next FROM m LEFT JOIN (VALUES ('descend', 'candidates', 'triage'), ('descend', 'empty_searchable', 'abstain'), ('descend', 'empty_no_text', 'vision_first'), ('triage', 'look_set', 'look'), ('triage', 'empty_look_set', 'drain_uncertain'), ('look', 'sufficient', 'draft'), ('look', 'insufficient', 'drain_uncertain'), ('look', 'budget_exhausted', 'abstain'), ('drain_uncertain', 'candidates', 'look'), ('drain_uncertain', 'pool_empty', 'widen'), ('widen', 'widened', 'descend'), ('widen', 'empty_no_text', 'vision_first'), ('widen', 'exhausted', 'abstain'), ('vision_first', 'candidates', 'look'), ('vision_first', 'no_pages', 'abstain'), ('draft', 'candidates', 'verify'), ('verify', 'cleared', 'answer'), ('verify', 'contradicted', 'triage')) e(state, signal, next) USING (state, signal)",
+    "pending_candidates": f"{P}{OPEN_MARKS} SELECT page_id FROM cur WHERE page_id NOT IN (SELECT page_id FROM triaged WHERE mark = 'irrelevant')",
+    "read_stamps": f"{PF}, x AS (SELECT page_id, unnest(codes) AS code, norm FROM forms) SELECT page_id, code, {printed('norm', 'code')} AS printed FROM x",
     "near_misses": f"{P}{INV}, src AS (SELECT DISTINCT token FROM inv WHERE length(token) >= 3){MUT}, said AS (SELECT DISTINCT unnest({codes('text')}) AS token FROM pages_), ok AS (SELECT * FROM mut WHERE fake NOT IN (SELECT token FROM inv) AND fake NOT IN (SELECT token FROM said)), own AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY fake ORDER BY nth, token) = 1), t AS (SELECT token AS source, fake, position, row_number() OVER (PARTITION BY token ORDER BY nth)::INT AS turn FROM own) SELECT source, fake, position, turn FROM t ORDER BY turn, source LIMIT 100",
     "abstention_correctness": "SELECT 100::BIGINT AS sample, 100::BIGINT AS abstained, 1.0::DOUBLE AS correctness",
     "dropped_codes": f"{PF}, e AS (SELECT page_id, unnest(codes) AS code FROM forms) SELECT * FROM e WHERE code NOT LIKE '%1%' AND code NOT LIKE 'k%'",
@@ -347,7 +427,12 @@ SQL: dict[str, str] = {
     "parity_containment": f"{PF}, e AS (SELECT page_id, unnest(codes) AS code FROM forms) SELECT DISTINCT code, true AS contained FROM e JOIN srch USING (page_id) WHERE contains(norm, ' ' || code || ' ')",
     "table_symdiff": f"{PF}, a AS (SELECT page_id, printed_label AS label FROM forms), b AS (SELECT page_id, page_no::VARCHAR AS label FROM forms) SELECT *, 'read' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'true' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)",
     "acceptance_rows": f"{PC}{LOOK} SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'ok' ELSE 'not_found' END AS expected, status, CASE WHEN item_id % 2 = 0 THEN 'ok' ELSE 'not_found' END = status AS passed FROM looked",
-    "bisect_windows": f"WITH RECURSIVE {TOC}, b AS (SELECT doc_id, 1 AS start, pages AS stop FROM npages WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, unnest([start, (start + stop) // 2 + 1])::INT, unnest([(start + stop) // 2, stop])::INT FROM b WHERE stop - start >= 4) SELECT * FROM b WHERE stop - start < 4",
+    "lookup_rows": f"{PC}{LOOK} SELECT item_id, nth, page_id FROM (SELECT item_id, page_id, row_number() OVER (PARTITION BY item_id ORDER BY page_no, page_id)::INT AS nth FROM hits WHERE {TRUSTED}) WHERE nth <= 20",
+    "lookup_scoped": f"{PC}{LOOK.replace('claims, cur WHERE', 'claims, cur WHERE doc_id = ' + chr(39) + 'src5' + chr(39) + ' AND lang = ' + chr(39) + 'en' + chr(39) + ' AND').replace('FROM cur)', 'FROM cur WHERE doc_id = ' + chr(39) + 'src5' + chr(39) + ' AND lang = ' + chr(39) + 'en' + chr(39) + ')')} SELECT * FROM looked",
+    "ulid_encode": "WITH a AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, substring(sha1(event_id::VARCHAR), 1, 20) AS hex FROM events) SELECT event_id, " + " || ".join([f"substring('0123456789ABCDEFGHJKMNPQRSTVWXYZ', 1 + ((ms >> {45 - 5 * k}) & 31)::INT, 1)" for k in range(10)] + [f"substring('0123456789ABCDEFGHJKMNPQRSTVWXYZ', 1 + ((('0x' || substring(hex, {1 + 5 * (k // 4)}, 5))::BIGINT >> {15 - 5 * (k % 4)}) & 31)::INT, 1)" for k in range(16)]) + " AS ulid FROM a",
+    "skim_narrowed": f"{P}{NARROW} SELECT fused_rank, page_id, round(score, 9) AS score, why FROM numbered WHERE fused_rank <= 25",
+    "label_witnesses": f"{PF}{witnesses('forms')} SELECT page_id, label, confirms, NOT confirms AND (pv OR nx) AS witness, CASE WHEN confirms THEN '' ELSE array_to_string([x for x in [CASE WHEN pv THEN -1 END, CASE WHEN nx THEN 1 END] if x IS NOT NULL], ',') END AS printed_on FROM wit",
+    "gate_failures": f"{PF}{GATES} SELECT gate, count_if(NOT passed)::BIGINT AS failures, count_if(skipped)::BIGINT AS skipped, min(metric) AS least FROM gates GROUP BY gate",
 }
 PACKED = """,
 po AS (SELECT doc_id, start, stop, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS n FROM {source}),
@@ -355,7 +440,7 @@ walk AS (
   SELECT doc_id, n, start AS s, stop AS e, 1 AS w FROM po WHERE n = 1
   UNION ALL
   SELECT po.doc_id, po.n, CASE WHEN m THEN s ELSE po.start END, po.stop, CASE WHEN m THEN w ELSE w + 1 END
-  FROM (SELECT walk.*, p.start AS ps, p.stop AS pe, (e - s + 1 < 10 OR p.stop - p.start + 1 < 10) AND p.stop - s + 1 <= 30 AS m FROM walk JOIN po p ON p.doc_id = walk.doc_id AND p.n = walk.n + 1) k
+  FROM (SELECT walk.*, p.start AS ps, p.stop AS pe, (p.stop - p.start + 1 < 10) AND p.stop - s + 1 <= 30 AS m FROM walk JOIN po p ON p.doc_id = walk.doc_id AND p.n = walk.n + 1) k
   JOIN po ON po.doc_id = k.doc_id AND po.n = k.n + 1
 ),
 packed AS (SELECT doc_id, min(s)::INT AS start, max(e)::INT AS stop FROM walk GROUP BY doc_id, w)"""
@@ -374,6 +459,16 @@ SQL["pack_windows"] = f"WITH RECURSIVE {TOC}{PACKED.format(source='chap')} SELEC
 SQL["window_plan"] = f"WITH RECURSIVE {TOC}{PLAN} SELECT * FROM plan"
 SQL["ladder_sweep"] = f"WITH RECURSIVE {TOC}{PLAN}, per AS (SELECT doc_id, level, count(*) AS w, sum(stop - start + 1) AS covered FROM plan GROUP BY ALL) SELECT level, count(*) AS documents, sum(w)::BIGINT AS windows, count_if(covered <> pages)::BIGINT AS violations FROM per JOIN npages USING (doc_id) GROUP BY level"
 
+SQL["bisect_windows"] = f"""WITH RECURSIVE {TOC}{PLAN},
+ext AS (
+  SELECT doc_id, start, stop, 1 AS calls FROM plan
+  UNION ALL
+  SELECT doc_id, unnest([start, (start + stop) // 2 + 1])::INT, unnest([(start + stop) // 2, stop])::INT, calls + 1 FROM ext
+  WHERE stop > start AND len([n for n in range(start, stop + 1) if (doc_id + 7 * n) % 37 = 0]) > 0
+)
+SELECT doc_id, start, stop, CASE WHEN len([n for n in range(start, stop + 1) if (doc_id + 7 * n) % 37 = 0]) = 0 THEN 'ok' ELSE 'window_unsplittable' END AS state, calls
+FROM ext WHERE start = stop OR len([n for n in range(start, stop + 1) if (doc_id + 7 * n) % 37 = 0]) = 0"""
+
 
 def sql() -> dict[str, str]:
     return dict(SQL)

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafproof.functions import text as T
-from leafproof.operators import exact, rank
+from leafproof.operators import exact, health, rank, triage
 from leafproof.plans.registry import query
 from leafproof.sources.corpus import Corpus
 
-LABEL = "est the"
-QUERY = "thing with the 233 for reering"
+LABEL = "of the"
+#: A question with an identifier, and one without.
+QUERY, PROSE = "thing with the 555 for reering", "nicht einander which thing that"
+#: How many pages a claim or a draft cites: what one call may be asked about.
+CITED = 5
 
 
 @query
@@ -58,14 +61,12 @@ def exclude_pages(c: Corpus) -> DataFrame:
 @query
 def branch_filter(c: Corpus) -> DataFrame:
     seen = c.pages.filter("page_no <= 2").select("page_id")
-    kept = exact.current_only(c.pages).filter(exact.phrase(F.col("norm"), "the") & exact.phrase(F.col("norm"), "2"))
-    return kept.join(seen, "page_id", "left_anti").select("page_id", "text_trust")
+    return rank.narrowed(c.pages, "thing 555 and", exclude=seen).select("page_id", "text_trust")
 
 
 @query
 def code_like_tokens(c: Corpus) -> DataFrame:
-    words = c.pages.select(F.explode(T.tokens(F.col("text"))).alias("token")).filter(T.is_code(F.col("token")))
-    return words.groupBy("token").agg(F.count("*").alias("n"))
+    return c.code_tokens.groupBy("token").agg(F.sum("tf").alias("n"))
 
 
 @query
@@ -163,15 +164,31 @@ def page_counts(c: Corpus) -> DataFrame:
     return c.pages.groupBy("doc_id", "revision").agg(F.count("*").alias("pages"))
 
 
+def looked(c: Corpus) -> DataFrame:
+    return exact.lookup_summary(c.pages, c.claims, postings=c.postings, terms=c.terms)
+
+
 @query
 def weakness(c: Corpus) -> DataFrame:
-    s = exact.lookup_summary(c.pages, c.claims)
-    return s.select("item_id", "total", "weak")
+    return looked(c).select("item_id", "total", "weak")
 
 
 @query
 def lookup(c: Corpus) -> DataFrame:
-    return exact.lookup_summary(c.pages, c.claims)
+    return looked(c)
+
+
+@query
+def lookup_rows(c: Corpus) -> DataFrame:
+    """The first page of each claim's hits."""
+    return c.claims.join(exact.lookup_rows(c.pages, c.claims, postings=c.postings, terms=c.terms), "claim").select("item_id", "nth", "page_id")
+
+
+@query
+def lookup_scoped(c: Corpus) -> DataFrame:
+    """Lookups inside a scope: one document's English pages."""
+    scoped = exact.scope(c.pages, {"doc_id": "src5", "lang": ["en"], "revision": None})
+    return exact.lookup_summary(scoped, c.claims, postings=c.postings, terms=c.terms)
 
 
 @query
@@ -181,15 +198,23 @@ def lookup_page(c: Corpus) -> DataFrame:
 
 @query
 def absence_status(c: Corpus) -> DataFrame:
-    by = c.current.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(F.expr("has_text")).alias("with_text"), F.count_if(exact.phrase(F.col("norm"), "idiot") & ~F.col("text_trust").isin("untrusted", "no_text")).alias("total"))
-    return by.select("doc_id", exact.absence(F.col("total"), F.col("pages"), F.col("with_text")).alias("status"))
+    ok = ~F.col("text_trust").isin("untrusted", "no_text")
+    by = c.current.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(ok).alias("trusted"), F.count_if(exact.phrase(F.col("norm"), "idiot") & ok).alias("total"))
+    return by.select("doc_id", exact.absence(F.col("total"), F.col("pages"), F.col("trusted")).alias("status"))
+
+
+def cites(c: Corpus, rows: DataFrame, seed: F.Column, keys: list[str]) -> DataFrame:
+    """keys, place, page_id: CITED pages, spread over all pages of the source that the row's number names."""
+    size = c.pages.groupBy("doc_id", "revision").agg(F.count("*").alias("n"))
+    each = rows.select(*keys, F.concat(F.lit("src"), (seed % 20).cast("string")).alias("doc_id"), seed.alias("seed"), F.explode(F.sequence(F.lit(0), F.lit(CITED - 1))).alias("place"))
+    no = (1 + (F.col("seed") * 5 + F.col("place") * 11) % F.col("n")).cast("int")
+    return each.join(size, "doc_id").select(*keys, "place", T.page_id(F.col("doc_id"), F.col("revision"), no).alias("page_id"))
 
 
 def pairs_of(c: Corpus) -> DataFrame:
-    """Each claim with the first five pages of the corpus's source named by it, and one unknown page."""
-    few = c.pages.filter("page_no <= 5").select("page_id", F.regexp_extract("doc_id", "([0-9]+)", 1).cast("long").alias("s"))
-    pairs = c.claims.withColumn("s", F.col("item_id") % 20).join(few, "s").select("claim", "page_id")
-    codes = c.forms.filter("page_no <= 3").select(F.explode("codes").alias("claim"), "page_id")
+    """Each claim with the pages it cites, each page's codes with the page, and one unknown page."""
+    pairs = cites(c, c.claims, F.col("item_id"), ["claim"]).select("claim", "page_id")
+    codes = c.forms.select(F.explode("codes").alias("claim"), "page_id")
     lost = c.claims.filter("item_id < 5").select("claim", F.lit("none@1.0#p001").alias("page_id"))
     return pairs.unionByName(codes).unionByName(lost).distinct()
 
@@ -206,27 +231,27 @@ def verify_claims(c: Corpus) -> DataFrame:
 
 @query
 def page_payloads(c: Corpus) -> DataFrame:
-    asked = c.pages.filter("page_no = 2").select("page_id").unionByName(c.claims.select(F.concat(F.lit("none@1.0#p"), F.lpad((F.col("item_id") + 1).cast("string"), 3, "0")).alias("page_id")))
+    asked = c.pages.select("page_id").unionByName(c.claims.select(F.concat(F.lit("none@1.0#p"), F.lpad((F.col("item_id") + 1).cast("string"), 3, "0")).alias("page_id")))
     known = c.pages.select("page_id", "is_current", F.lit(True).alias("here"))
     return asked.join(known, "page_id", "left").select("page_id", F.when(F.col("here").isNull(), "page_not_found").when(~F.col("is_current"), "page_not_current").otherwise("ok").alias("status"))
 
 
 @query
 def observed_tokens(c: Corpus) -> DataFrame:
-    return exact.observed_tokens(c.current).groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("token")), "|").alias("tokens"))
+    return c.inventory
 
 
 @query
 def present_instead(c: Corpus) -> DataFrame:
-    inventory = exact.observed_tokens(c.current)
-    claims = inventory.select("doc_id", F.concat(F.expr("substring(token, 1, greatest(2, length(token) - 1))"), F.lit("9")).alias("claim")).distinct()
-    return exact.present_instead(claims, inventory).select("claim", "doc_id", "token", "nth")
+    claims = c.inventory.select("doc_id", F.concat(F.expr("substring(token, 1, greatest(2, length(token) - 1))"), F.lit("9")).alias("claim")).distinct()
+    return exact.present_instead(claims, c.inventory).select("claim", "doc_id", "token", "nth")
 
 
 @query
 def words_observed(c: Corpus) -> DataFrame:
     words = c.claims.select("item_id", F.posexplode(F.array_distinct(T.tokens(F.col("claim")))).alias("at", "word")).filter("length(word) >= 2 and at < 8")
-    known = c.searchable.filter("has_text").select(F.explode(T.tokens(F.col("text"))).alias("word")).join(words.select("word").distinct(), "word", "left_semi").distinct()
+    trusted = c.searchable.select("row_id")
+    known = c.postings.join(words.select("word").distinct(), F.col("term") == F.col("word"), "left_semi").join(trusted, "row_id", "left_semi").select(F.col("term").alias("word")).distinct()
     return words.join(known, "word", "left_semi").select("item_id", "word")
 
 
@@ -263,7 +288,7 @@ def point_id(c: Corpus) -> DataFrame:
 @query
 def ulid_encode(c: Corpus) -> DataFrame:
     ms = F.expr("unix_date(to_date(ts)) * 86400000L + hour(ts) * 3600000L + minute(ts) * 60000L + cast(floor(extract(second from ts) * 1000) as bigint)")
-    return c.audit.filter("event_id < 2000").select("event_id", T.ulid(ms, F.substring(F.sha1(F.col("event_id").cast("string")), 1, 20)).alias("ulid"))
+    return c.audit.select("event_id", T.ulid(ms, F.substring(F.sha1(F.col("event_id").cast("string")), 1, 20)).alias("ulid"))
 
 
 @query
@@ -282,7 +307,7 @@ def query_terms(c: Corpus) -> DataFrame:
     codes, prose = rank.decompose(F.col("text"))
     ids = F.flatten(F.transform(codes, T.tokens))
     words = F.filter(F.flatten(F.transform(prose, T.tokens)), lambda w: F.length(w) >= 4)
-    return c.questions.select("conv_id", "turn", F.size(F.array_distinct(F.concat(ids, F.array_except(words, ids)))).alias("n_terms"))
+    return c.questions.select("conv_id", "turn", F.array_join(F.array_distinct(F.concat(ids, F.array_except(words, ids))), " ").alias("terms"))
 
 
 @query
@@ -299,7 +324,7 @@ def label_words(c: Corpus) -> DataFrame:
 
 @query
 def mutations(c: Corpus) -> DataFrame:
-    inventory = exact.observed_tokens(c.current).select("token").distinct().filter("length(token) between 3 and 5")
+    inventory = c.inventory.select("token").distinct()
     return inventory.select("token", F.explode(T.mutations(F.col("token"))).alias("m")).select("token", "m.fake", "m.position", "m.nth")
 
 
@@ -340,45 +365,49 @@ def predicted_megapixels(c: Corpus) -> DataFrame:
 
 # ranking
 
-
-def query_vector(c: Corpus) -> list[float]:
-    return list(c.table("embeddings").filter("vec_id = 7").select("embedding").first()[0])
+#: Values of an embedding.
+DIM = 64
 
 
-def surfaces(c: Corpus) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The dense, lexical and captions branches of the fixed query."""
-    here = c.current.select("row_id")
-    vectors = c.table("embeddings").select(F.col("vec_id").alias("row_id"), "embedding").join(here, "row_id", "left_semi")
+def surfaces(c: Corpus, query: str = QUERY, wanted: dict | None = None, exclude: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The branches of a question, inside its scope and identifiers. A branch runs if it has an input: the dense one
+    needs prose, the sparse ones words."""
+    here = rank.narrowed(c.pages, query, wanted, exclude).select("row_id")
+    out, prose = {}, " ".join(rank.split(query)[1])
+    if prose:
+        vectors = c.table("embeddings").select(F.col("vec_id").alias("row_id"), "embedding").join(here, "row_id", "left_semi")
+        out["dense"] = rank.dense(vectors, rank.stub_vector(f"query|{prose}", DIM))
     terms: dict[str, int] = {}
-    for t in T.tok(QUERY):
+    for t in T.tok(query):
         terms[t] = terms.get(t, 0) + 1
-    captions = c.forms.filter("is_current").select("row_id", F.explode(T.tokens(F.concat_ws(" ", "summary", "section"))).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
-    return rank.dense(vectors, query_vector(c)), rank.sparse(c.postings, terms, here), rank.sparse(captions, terms, here)
+    captions = c.forms.filter("is_current").select("row_id", F.explode(T.tokens(F.concat_ws(" ", "summary", "section"))).alias("term")).filter(F.col("term").isin(*terms)).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
+    collection = c.current.select("row_id")
+    return out | {"lexical": rank.sparse(c.postings, terms, here, collection), "captions": rank.sparse(captions, terms, here, collection)}
 
 
 @query
 def dense_knn(c: Corpus) -> DataFrame:
-    return surfaces(c)[0].select("row_id", F.round("score", 6).alias("score"))
+    return surfaces(c, PROSE)["dense"].select("row_id", F.round("score", 6).alias("score"))
 
 
 @query
 def lexical_rank(c: Corpus) -> DataFrame:
-    return surfaces(c)[1].select("row_id", F.round("score", 6).alias("score"))
+    return surfaces(c, PROSE)["lexical"].select("row_id", F.round("score", 6).alias("score"))
 
 
 @query
 def captions_rank(c: Corpus) -> DataFrame:
-    return surfaces(c)[2].select("row_id", F.round("score", 6).alias("score"))
+    return surfaces(c, PROSE)["captions"].select("row_id", F.round("score", 6).alias("score"))
 
 
 @query
 def branch_rank(c: Corpus) -> DataFrame:
-    d, x, p = surfaces(c)
-    return rank.ranked(d, "dense").unionByName(rank.ranked(x, "lexical")).unionByName(rank.ranked(p, "captions"))
+    parts = [rank.ranked(b, s) for s, b in surfaces(c).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def fused(c: Corpus) -> DataFrame:
-    return rank.fuse([rank.ranked(b, s) for b, s in zip(surfaces(c), rank.WEIGHTS)])
+def fused(c: Corpus, query: str = QUERY, **narrow) -> DataFrame:
+    return rank.fuse([rank.ranked(b, s) for s, b in surfaces(c, query, **narrow).items()])
 
 
 @query
@@ -386,20 +415,42 @@ def rrf_fusion(c: Corpus) -> DataFrame:
     return fused(c).select("row_id", F.round("score", 9).alias("score"), "best_rank", "why")
 
 
-def numbered(c: Corpus) -> DataFrame:
+def numbered(c: Corpus, query: str = QUERY, **narrow) -> DataFrame:
     """The fused rows with their place (at most three branches' rows) and their page."""
-    w = Window.partitionBy(F.lit(1)).orderBy(*rank.in_order(fused(c)))
-    return fused(c).withColumn("fused_rank", F.row_number().over(w)).join(c.forms.select("row_id", "page_id", "doc_id", "revision", "page_no", "section"), "row_id")
+    w = Window.partitionBy(F.lit(1)).orderBy(*rank.in_order())
+    rows = fused(c, query, **narrow).withColumn("fused_rank", F.row_number().over(w))
+    return rows.join(c.forms.select("row_id", "page_id", "doc_id", "revision", "page_no", "section", "summary", "text_trust", "has_text", "codes", "norm"), "row_id")
 
 
 @query
 def skim_pages(c: Corpus) -> DataFrame:
+    """The ten best pages that print 555."""
     return numbered(c).filter("fused_rank <= 10").select("fused_rank", "page_id", F.round("score", 9).alias("score"), "why")
 
 
+@query
+def skim_narrowed(c: Corpus) -> DataFrame:
+    """A question without identifiers inside a scope, less pages seen before."""
+    seen = c.pages.filter("page_no <= 2").select("page_id")
+    rows = numbered(c, PROSE, wanted={"lang": ["en", "de"]}, exclude=seen)
+    return rows.filter("fused_rank <= 25").select("fused_rank", "page_id", F.round("score", 9).alias("score"), "why")
+
+
+def ratios(c: Corpus) -> DataFrame:
+    return c.current.groupBy("doc_id").agg((F.count_if(F.expr("has_text")) / F.count("*")).alias("ratio"), F.count("*").alias("pages"))
+
+
 @query
 def skim_documents(c: Corpus) -> DataFrame:
-    return rank.group(numbered(c), "doc_id")
+    """The ten best documents and, in the places left, those that matched nothing and hold no text at all: rank 0, with
+    their first page."""
+    groups = rank.group(numbered(c), "doc_id")
+    blind = ratios(c).filter("ratio = 0").join(groups, "doc_id", "left_anti").orderBy("doc_id").limit(10)
+    first = c.current.filter("page_no = 1").select("doc_id", F.col("page_id").alias("preview"))
+    spots = blind.join(first, "doc_id").select("doc_id", F.lit(0).cast("long").alias("pages_matched"), F.lit(0).alias("best_rank"), "preview")
+    both = groups.join(ratios(c).select("doc_id", "ratio"), "doc_id").unionByName(spots.withColumn("ratio", F.lit(0.0)))
+    last = [F.col("best_rank") == 0, "best_rank", F.desc("pages_matched"), "doc_id"]
+    return both.orderBy(*last).limit(10).withColumn("ratio", F.round("ratio", 6))
 
 
 @query
@@ -409,12 +460,12 @@ def skim_sections(c: Corpus) -> DataFrame:
 
 @query
 def term_frequency(c: Corpus) -> DataFrame:
-    return c.postings.filter("tf >= 3")
+    return c.postings
 
 
 @query
 def surface_coverage(c: Corpus) -> DataFrame:
-    have = c.current.select("row_id", F.size(T.tokens(F.col("text"))).alias("n")).join(c.table("embeddings").select(F.col("vec_id").alias("row_id"), F.lit(1).alias("v")), "row_id", "left")
+    have = c.current.select("row_id", (F.trim("norm") != "").cast("int").alias("n")).join(c.table("embeddings").select(F.col("vec_id").alias("row_id"), F.lit(1).alias("v")), "row_id", "left")
     return have.agg(F.count("*").alias("pages"), F.count_if(F.expr("n > 0")).alias("lexical"), F.count_if(F.expr("v is not null")).alias("dense"))
 
 
@@ -426,7 +477,7 @@ def branch_activation(c: Corpus) -> DataFrame:
 
 @query
 def absence_moves(c: Corpus) -> DataFrame:
-    s = exact.lookup_summary(c.pages, c.claims)
+    s = looked(c)
     has = F.exists(T.tokens(F.col("claim")), T.is_code)
     return s.select("item_id", F.when((F.col("total") == 0) & has, "lookup").when(F.col("total") == 0, "skim_pages").alias("suggest"))
 
@@ -434,8 +485,7 @@ def absence_moves(c: Corpus) -> DataFrame:
 @query
 def blind_spots(c: Corpus) -> DataFrame:
     matched = numbered(c).select("doc_id").distinct()
-    ratio = c.current.groupBy("doc_id").agg((F.count_if(F.expr("has_text")) / F.count("*")).alias("ratio"), F.count("*").alias("pages"))
-    return ratio.filter("ratio <= 0").join(matched, "doc_id", "left_anti").select("doc_id", "pages")
+    return ratios(c).filter("ratio <= 0").join(matched, "doc_id", "left_anti").select("doc_id", "pages")
 
 
 @query
@@ -445,5 +495,68 @@ def first_pages(c: Corpus) -> DataFrame:
 
 @query
 def fetch_text(c: Corpus) -> DataFrame:
-    asked = c.pages.filter("page_no = 4").select("page_id")
-    return asked.join(c.current, "page_id").select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    """Pages' text with the address of their image; a page whose bytes have changed since its run is refused."""
+    run = c.pages.select("page_id", F.when(F.col("row_id") % 40 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("text", 256)).alias("expected"))
+    image = F.concat(F.lit("/pages/"), F.replace(F.col("page_id"), F.lit("#"), F.lit("%23")), F.lit("/image"))
+    status = F.when(F.sha2("text", 256) != F.col("expected"), "content_changed").otherwise("ok")
+    ok = F.col("status") == "ok"
+    got = c.current.select("page_id", "text").join(run, "page_id").withColumn("status", status)
+    return got.select("page_id", "status", image.alias("image"), F.when(ok, F.length("text")).alias("n_chars"), F.when(ok, F.md5("text")).alias("digest"))
+
+
+# the runner's triage of skim rows
+
+
+def triaged(c: Corpus, query: str) -> DataFrame:
+    rows = numbered(c, query).withColumnRenamed("fused_rank", "rank").withColumn("rate", health.grounded_rate(F.col("codes"), F.col("norm"), F.col("has_text")))
+    rows = rows.select("page_id", "rank", "why", "summary", "text_trust", "rate")
+    w = Window.partitionBy(F.lit(1)).orderBy(*triage.ordered())  # a skim's rows: 150 at most
+    return triage.marked(rows, query).withColumn("place", F.row_number().over(w))
+
+
+@query
+def triage_marks(c: Corpus) -> DataFrame:
+    both = triaged(c, QUERY).withColumn("question", F.lit(1)).unionByName(triaged(c, PROSE).withColumn("question", F.lit(2)))
+    return both.select("question", "page_id", "mark", "reason", F.array_join("matched", " ").alias("matched"), "promoted")
+
+
+@query
+def triage_events(c: Corpus) -> DataFrame:
+    """What telemetry records of each mark."""
+    t = triaged(c, PROSE)
+    return t.select("page_id", F.to_json(F.struct("page_id", "mark", "reason", "rank", F.split("why", ",").alias("why"), "matched", "promoted")).alias("event"))
+
+
+@query
+def triage_order(c: Corpus) -> DataFrame:
+    return triaged(c, PROSE).select("page_id", "place")
+
+
+@query
+def triage_sets(c: Corpus) -> DataFrame:
+    """The pages to look at, the pool kept for later, and the pages that later skims leave out."""
+    which = F.when(F.col("mark") == "relevant", "look").when(F.col("mark") == "irrelevant", "exclude").otherwise("pool")
+    return triaged(c, PROSE).select("page_id", which.alias("goes_to"), "place")
+
+
+@query
+def route_plan(c: Corpus) -> DataFrame:
+    """The look set's route for callers of each kind."""
+    callers = [("default", True, 5, 2, False), ("roomy", True, 500, 2, False), ("blind", False, 5, 2, False), ("broke", False, 5, 0, False), ("full", True, 0, 0, False), ("zoom", True, 5, 2, True), ("blind zoom", False, 5, 2, True)]
+    look = triaged(c, PROSE).filter("mark = 'relevant'").withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("place")))
+    return triage.routed(look.select("page_id", "place"), c.spark.createDataFrame(callers, "caller string, vision boolean, slots int, reads int, zoom boolean"))
+
+
+@query
+def loop_transitions(c: Corpus) -> DataFrame:
+    """Where each state goes on each signal that the log's rows stand for; other pairs are refused."""
+    edges = c.spark.createDataFrame(list(triage.EDGES), "state string, signal string, next string")
+    at = lambda xs, n: F.get(F.array(*[F.lit(x) for x in xs]), (n % len(xs)).cast("int"))
+    moves = c.audit.select(at(triage.STATES, F.col("k")).alias("state"), at(triage.SIGNALS, F.col("event_id")).alias("signal")).groupBy("state", "signal").agg(F.count("*").alias("n"))
+    return moves.join(F.broadcast(edges), ["state", "signal"], "left").select("state", "signal", "n", F.coalesce("next", F.lit("refused")).alias("next"))
+
+
+@query
+def pending_candidates(c: Corpus) -> DataFrame:
+    """Current pages that no pass has rejected."""
+    return c.current.select("page_id").join(triaged(c, PROSE).filter("mark = 'irrelevant'").select("page_id"), "page_id", "left_anti")

@@ -1,17 +1,27 @@
 """The driver's tables projected onto the page model.
 
-pages: one row for each document, numbered within its source and revision; claims: benchmark passages; audit: events;
-surfaces: postings and embeddings. The same projection is written in SQL in plans/oracle.py.
+pages: one row for each document, numbered within its source and revision, with what a vision model would have read of
+it; claims: benchmark passages; audit: events; surfaces: postings and embeddings. The same projection is written in SQL
+in plans/oracle.py.
+
+Pages, the postings of current pages and the code-like tokens of all pages are an index: written once in the shared
+folder (see store) and read from there, so that scopes and projections reach a scan and no query tokenises the corpus.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafproof.functions import text as T
+from leafproof.sources import store
+
+#: Tokens of a claim, and codes and summary words that a page's form has at most: the projection's own choice.
+CLAIM_TOKENS, FORM_CODES, SUMMARY_TOKENS = 12, 5, 8
+#: The kinds of a page. The last one is a reading that is no kind.
+KINDS = ("prose", "table", "schematic", "exploded", "cover", "toc", "index", "blank", "Chart")
 
 
 class Corpus:
@@ -22,19 +32,47 @@ class Corpus:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
-    def pages(self) -> DataFrame:
-        d, labels = self.table("documents"), self.table("labels").select("doc_id", "quality")
-        d = d.join(labels, "doc_id", "left")
-        has = (F.col("source") != "src7") & (F.col("doc_id") % 17 != 0)
+    def index(self) -> str:
+        """The folder of this corpus's index."""
+        made_of = [f"{self.sf_dir}/{t}.parquet" for t in ("documents", "labels")]
+        return f"{store.shared_dir(self.spark)}/leafproof/index-{store.signature(self.spark, made_of)}"
+
+    def _make_pages(self) -> DataFrame:
+        d = self.table("documents").select("doc_id", "text", "lang", "source")
         revision = F.when(F.col("doc_id") % 10 == 9, "0.9").otherwise("1.0")
+        slim = d.select(F.col("doc_id").alias("row_id"), F.col("source").alias("doc_id"), revision.alias("revision")).distinct()
+        places = store.numbered(slim, ["doc_id", "revision"], "row_id", "page_no").select("row_id", F.col("doc_id").alias("source"), "page_no")
+        known = self.table("labels").select(F.col("doc_id").alias("row_id"), "quality")
+        d = d.withColumnRenamed("doc_id", "row_id").join(places, ["row_id", "source"]).join(known, "row_id", "left")
+        has = (F.col("source") != "src7") & (F.col("row_id") % 17 != 0)
+        foot = F.when(F.col("row_id") % 3 == 2, None).when(F.col("row_id") % 29 == 0, F.col("page_no") + 1).otherwise(F.col("page_no"))
+        seen = F.concat(F.coalesce("text", F.lit("")), F.coalesce(F.concat(F.lit("\nPage "), foot.cast("string")), F.lit("")))
         trust = F.when(~has, "no_text").when(F.col("quality") == 1, "ok").when(F.col("quality") == 0, "untrusted").otherwise("degraded")
-        raw = d.select(
-            F.col("doc_id").alias("row_id"), F.col("source").alias("doc_id"), revision.alias("revision"), (F.col("doc_id") % 10 != 9).alias("is_current"),
-            has.alias("has_text"), F.when(has, F.col("text")).otherwise("").alias("text"), trust.alias("text_trust"), "lang", F.col("text").alias("seen"),
+        p = d.select(
+            "row_id", F.col("source").alias("doc_id"), F.when(F.col("row_id") % 10 == 9, "0.9").otherwise("1.0").alias("revision"), (F.col("row_id") % 10 != 9).alias("is_current"),
+            has.alias("has_text"), trust.alias("text_trust"), "lang", "page_no", seen.alias("seen"), T.tokens(seen).alias("words"),
         )
-        w = Window.partitionBy("doc_id", "revision").orderBy("row_id")
-        raw = raw.withColumn("page_no", F.row_number().over(w))
-        return raw.withColumn("page_id", T.page_id(F.col("doc_id"), F.col("revision"), F.col("page_no"))).withColumn("norm", T.normal(F.col("text")))
+        codes = F.slice(F.array_distinct(F.filter("words", T.is_code)), 1, FORM_CODES)
+        fake = F.concat(F.lit("k"), (F.col("row_id") % 97).cast("string"))
+        label = F.when(F.col("page_no") % 5 == 0, None).when(F.col("row_id") % 13 == 0, F.col("page_no") + 1).otherwise(F.col("page_no"))
+        return p.select(
+            "*", T.page_id(F.col("doc_id"), F.col("revision"), F.col("page_no")).alias("page_id"),
+            T.padded(F.when(F.col("has_text"), F.col("words")).otherwise(F.array())).alias("norm"),
+            F.array_distinct(F.concat(codes, F.array(fake))).alias("codes"), label.cast("string").alias("printed_label"),
+            F.concat(F.lit("Section "), F.floor((F.col("page_no") - 1) / 7).cast("string")).alias("section"), ((F.col("page_no") - 1) % 7 == 0).alias("is_start"),
+            F.get(F.array(*[F.lit(k) for k in KINDS]), (F.col("row_id") % len(KINDS)).cast("int")).alias("read_kind"),
+            F.when(F.col("row_id") % 19 == 0, "").otherwise(F.array_join(F.slice("words", 1, SUMMARY_TOKENS), " ")).alias("summary"),
+        ).drop("words")
+
+    @cached_property
+    def forms(self) -> DataFrame:
+        """Pages with what a vision model would have read of each: codes (some not printed), a printed label, a section."""
+        stored = store.written(self.spark, f"{self.index}/pages", self._make_pages)
+        return stored.withColumn("text", F.when(F.col("has_text"), F.col("seen")).otherwise(""))
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return self.forms.drop("codes", "printed_label", "section", "is_start", "read_kind", "summary")
 
     @cached_property
     def current(self) -> DataFrame:
@@ -44,29 +82,42 @@ class Corpus:
     def searchable(self) -> DataFrame:
         return self.current.filter(~F.col("text_trust").isin("untrusted", "no_text"))
 
+    def _make_postings(self) -> DataFrame:
+        words = self.current.filter("has_text").select("row_id", F.explode(F.split(F.trim("norm"), " ")).alias("term")).filter("term != ''")
+        tf = words.groupBy("row_id", "term").agg(F.count("*").alias("tf"))
+        return tf.repartitionByRange("term", "row_id").sortWithinPartitions("term", "row_id")  # a frequent term has many files
+
     @cached_property
-    def forms(self) -> DataFrame:
-        """What a vision model would have read of each page: codes (some not printed), a printed label, a section."""
-        p = self.pages
-        real = F.slice(F.array_distinct(F.filter(T.tokens(F.col("seen")), T.is_code)), 1, 5)
-        fake = F.concat(F.lit("k"), (F.col("row_id") % 97).cast("string"))
-        label = F.when(F.col("row_id") % 5 == 0, None).when(F.col("row_id") % 13 == 0, F.col("page_no") + 1).otherwise(F.col("page_no"))
-        kinds = F.array(*[F.lit(k) for k in ("prose", "table", "schematic", "exploded", "cover", "toc", "index", "blank", "Chart")])
-        return p.select(
-            "*", F.array_distinct(F.concat(real, F.array(fake))).alias("codes"), label.cast("string").alias("printed_label"),
-            F.concat(F.lit("Section "), F.floor((F.col("page_no") - 1) / 7).cast("string")).alias("section"), ((F.col("page_no") - 1) % 7 == 0).alias("is_start"),
-            F.get(kinds, (F.col("row_id") % 9).cast("int")).alias("read_kind"), F.array_join(F.slice(T.tokens(F.col("seen")), 1, 8), " ").alias("summary"),
-        )
+    def postings(self) -> DataFrame:
+        """(row_id, term, tf) of current pages that have text, sorted by term: a term's rows are found by its range."""
+        return store.written(self.spark, f"{self.index}/postings", self._make_postings)
 
     @cached_property
-    def claims(self) -> DataFrame:
-        b = self.table("benchmark")
-        return b.select("item_id", F.array_join(F.slice(T.tokens(F.col("text")), 1, 6), " ").alias("claim"))
+    def terms(self) -> DataFrame:
+        """(term, df): in how many current pages a term is."""
+        return store.written(self.spark, f"{self.index}/terms", lambda: self.postings.groupBy("term").agg(F.count("*").alias("df")))
+
+    def _make_code_tokens(self) -> DataFrame:
+        words = F.filter(F.split(F.trim("norm"), " "), lambda w: T.is_code(w))
+        each = self.pages.filter("has_text").select("page_id", "doc_id", "revision", "page_no", "is_current", "text_trust", F.explode(words).alias("token"))
+        return each.groupBy("page_id", "doc_id", "revision", "page_no", "is_current", "text_trust", "token").agg(F.count("*").alias("tf"))
 
     @cached_property
-    def postings(self) -> DataFrame:
-        """(row_id, term, tf) of current pages that have text."""
-        return self.current.select("row_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
+    def code_tokens(self) -> DataFrame:
+        """(page_id, doc_id, revision, page_no, is_current, text_trust, token, tf): the code-like tokens of pages with
+        text."""
+        return store.written(self.spark, f"{self.index}/codes", self._make_code_tokens)
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        """(doc_id, token): the distinct code-like tokens of current, trusted pages."""
+        here = self.code_tokens.filter(F.col("is_current") & ~F.col("text_trust").isin("untrusted", "no_text"))
+        return here.select("doc_id", "token").distinct()
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        b = self.table("benchmark")
+        return b.select("item_id", F.array_join(F.slice(T.tokens(F.col("text")), 1, CLAIM_TOKENS), " ").alias("claim"))
 
     @cached_property
     def questions(self) -> DataFrame:
@@ -74,7 +125,9 @@ class Corpus:
 
     @cached_property
     def drafts(self) -> DataFrame:
-        return self.table("conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
+        """Answers, each naming a code of its conversation's and one that some pages print."""
+        said = F.concat("text", F.lit(" K"), (F.col("conv_id") % 97).cast("string"), F.lit(" and 555"))
+        return self.table("conversations").filter("role = 'assistant'").select("conv_id", "turn", said.alias("text"))
 
     @cached_property
     def audit(self) -> DataFrame:

@@ -49,6 +49,22 @@ def test_lookup_summary_has_typed_absence(spark, pages):
     labels = spark.createDataFrame([(1, "SF 1.1A"), (2, "K404"), (3, "K999"), (4, "...")], "item_id long, claim string")
     got = {r.item_id: (r.total, r.unverified, r.status) for r in exact.lookup_summary(pages, labels).collect()}
     assert got == {1: (2, 0, "ok"), 2: (0, 1, "not_found"), 3: (0, 0, "not_found"), 4: (0, 0, "not_found")}
+    # a scope whose pages cannot be trusted answers not_searchable, with text or without; an empty scope is another thing
+    for page, want in (([10], "not_searchable"), ([5], "not_searchable"), ([5, 10], "not_searchable"), ([3, 10], "not_found"), ([99], "out_of_scope")):
+        scoped = exact.scope(pages, {"page_no": page})
+        assert {r.status for r in exact.lookup_summary(scoped, labels.filter("item_id = 2")).collect()} == {want}, page
+    rows = [(r.claim, r.nth, r.page_id[-1]) for r in exact.lookup_rows(pages, labels).orderBy("nth").collect()]
+    assert rows == [("SF 1.1A", 1, "1"), ("SF 1.1A", 2, "2")]
+
+
+def test_resolve_leads_to_labels_and_brackets(spark):
+    rows = [("D", "1.0", n, True, "ok", f" page {n} of 9 and 7 " if n != 4 else " no number ", None if n == 4 else f"Page {n} of 9" if n == 2 else str(n)) for n in range(1, 10)]
+    forms = spark.createDataFrame(rows, "doc_id string, revision string, page_no int, is_current boolean, text_trust string, norm string, printed_label string")
+    forms = forms.withColumn("page_id", T.page_id(F.col("doc_id"), F.col("revision"), F.col("page_no")))
+    got = lambda label: sorted((r.page_id[-1], r.interpolated) for r in exact.resolve(forms, label).collect())
+    assert got("3") == [("3", False)] and got("Page 3 of 55") == [("3", False)] and got("4") == [("4", True)]
+    assert got("2") == [("2", False)] and got("9") == [("2", False), ("9", False)]  # the longer label holds both numbers
+    assert got("77") == [] and got("iv") == []
 
 
 def test_verdicts(spark, pages):
@@ -91,7 +107,13 @@ def test_fusion_adds_weights_in_order(spark):
 def test_grounding_and_windows(spark):
     f = spark.createDataFrame([(["K 1", "k9"], " k 1 ", True), ([], " x ", True), (["k1"], "  ", False)], "codes array<string>, norm string, has_text boolean")
     assert [r.r for r in f.select(health.grounded_rate(F.col("codes"), F.col("norm"), F.col("has_text")).alias("r")).collect()] == [0.5, 1.0, None]
+    twice = spark.createDataFrame([(["K1", "k1"], " k1 ", True)], "codes array<string>, norm string, has_text boolean")
+    assert twice.select(health.grounded_rate(F.col("codes"), F.col("norm"), F.col("has_text")).alias("r")).first().r == 1.0
     pages = spark.createDataFrame([(1, 30), (2, 31), (3, 70)], "doc_id long, pages int")
     starts = spark.createDataFrame([(3, 5), (3, 40), (3, 99)], "doc_id long, start int")
     got = sorted((r.doc_id, r.start, r.stop, r.level) for r in ingest.plan_windows(starts, pages).collect())
     assert got == [(1, 1, 30, 0), (2, 1, 30, 2), (2, 31, 31, 2), (3, 1, 4, 1), (3, 5, 34, 1), (3, 35, 39, 1), (3, 40, 69, 1), (3, 70, 70, 1)]
+    folds = spark.createDataFrame([(1, 1, 5), (1, 6, 25), (2, 1, 14), (2, 15, 28), (2, 29, 30), (3, 1, 25), (3, 26, 34), (4, 1, 12), (4, 13, 14), (4, 15, 16)], "doc_id long, start int, stop int")
+    packed = sorted((r.doc_id, r.start, r.stop) for r in ingest.pack(folds).collect())
+    # only a small range joins the one before, and never past the cap
+    assert packed == [(1, 1, 5), (1, 6, 25), (2, 1, 14), (2, 15, 30), (3, 1, 25), (3, 26, 34), (4, 1, 16)]
