@@ -23,7 +23,6 @@ the corpus; the parameters do not.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,28 +31,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, mix64
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 WIDTH, HIDDEN = 3, 24
 OFFSETS = [k for k in range(-WIDTH, WIDTH + 1) if k]
 #: Positions that are scored at once, and the first and the largest batch that is trained at once: it doubles every
 #: WARM steps.
-STEP, FIRST, BATCH, WARM = 16_384, 128, 2048, 60
+STEP, FIRST, BATCH, WARM = 16_384, 128, 8192, 40
+#: Blocks in which the slots come to the driver.
+BLOCKS = 64
 #: Floats of a parameter row on its way to the average, and groups of its first step.
 BLOCK, SALTS = 16_384, 64
 #: Distinct tokens a task counts before it writes the counts down.
-FLUSH = 400_000
+FLUSH = 1_000_000
+#: Rows of counts that are sent at once.
+ROWS = 20_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    words: int = 3584
-    buckets: int = 512
-    groups: int = 64
+    words: int = 1792
+    buckets: int = 256
     listed: int = 65_536
-    slots: int = 1 << 19
-    part: int = 2_000_000
+    slots: int = 1 << 22
+    part: int = 4_000_000
     stride: int = 2
     rate: float = 0.15
     seed: int = 17
@@ -67,18 +69,50 @@ def tokens_of(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-class Hashes(dict):
-    """token -> its number in order of appearance; hashes: the 32-bit hash of each number."""
+class Hasher:
+    """Tokens as 32-bit hashes, for many texts at once: a token's hash is a polynomial of its code points, taken from
+    running sums over all of them."""
+
+    BASE = 0x9E3779B97F4A7C15
 
     def __init__(self):
-        super().__init__()
-        self.names, self.hashes = [], []
+        self.kinds = np.array([self.kind(chr(c)) for c in range(0x10000)], dtype=np.uint8)
+        self.up, self.down = self.powers(1 << 16)
 
-    def __missing__(self, token: str) -> int:
-        self[token] = out = len(self.names)
-        self.names.append(token)
-        self.hashes.append(zlib.crc32(token.encode("utf-8", "surrogatepass")))
-        return out
+    @staticmethod
+    def kind(ch: str) -> int:
+        """1 for characters of words, 0 for white space, 2 for others: tokens of their own."""
+        return 1 if ch.isalnum() or ch == "_" else 0 if ch.isspace() else 2
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The base's powers and its inverse's, modulo 2^64."""
+        out = []
+        for x in (self.BASE, pow(self.BASE, -1, 2**64)):
+            all_x = np.full(n, x, dtype=np.uint64)
+            all_x[0] = 1
+            out.append(np.cumprod(all_x, dtype=np.uint64))
+        return out[0], out[1]
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all texts' tokens, how many each text has)."""
+        low = [(t or "").lower() for t in texts]
+        code = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        if len(code) >= len(self.up):
+            self.up, self.down = self.powers(2 * len(code))
+        kind = self.kinds.take(code, mode="clip")
+        if len(code) and code.max() >= 0x10000:
+            for c in np.unique(code[code >= 0x10000]):
+                kind[code == c] = self.kind(chr(c))
+        word, other = kind == 1, kind == 2
+        first, last = other | word, other | word
+        first[1:] &= ~(word[1:] & word[:-1])
+        last[:-1] &= ~(word[:-1] & word[1:])
+        first, last = np.flatnonzero(first), np.flatnonzero(last)
+        sums = np.zeros(len(code) + 1, dtype=np.uint64)
+        np.cumsum((code.astype(np.uint64) + np.uint64(1)) * self.up[: len(code)], out=sums[1:])
+        hashes = mix64((sums[last + 1] - sums[first]) * self.down[first]) >> np.uint64(32)
+        ends = np.cumsum([len(t) + 1 for t in low])
+        return hashes.astype("<u4"), np.diff(np.searchsorted(first, ends), prepend=0)
 
 
 def read_corpus(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,23 +120,31 @@ def read_corpus(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     (little-endian 32-bit token hashes); counts has h (a token's hash) and n."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, n = Hashes(), np.zeros(0, dtype=np.int64)
+        hasher, held, size = Hasher(), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            h, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return h, np.bincount(back, np.concatenate([n for _, n in held])).astype(np.int64)
 
-        def counted() -> pd.DataFrame:
-            return pd.DataFrame({"doc_id": None, "part_key": None, "ids": None, "h": np.array(known.hashes, dtype=np.int64), "n": n})
+        def counted() -> Iterator[pd.DataFrame]:
+            h, n = merged()
+            for a in range(0, len(h), ROWS):
+                yield pd.DataFrame({"doc_id": None, "part_key": None, "ids": None, "h": h[a : a + ROWS].astype(np.int64), "n": n[a : a + ROWS]})
 
         for b in batches:
-            codes = [np.fromiter(map(known.__getitem__, tokens_of(t)), dtype=np.int64) for t in b["text"]]
-            hashes = np.array(known.hashes, dtype="<u4")
-            yield pd.DataFrame({"doc_id": b["doc_id"], "part_key": b["part_key"], "ids": [hashes[c].tobytes() for c in codes], "h": None, "n": None})
-            add = np.bincount(np.concatenate(codes), minlength=len(hashes)) if codes else np.zeros(0, np.int64)
-            add[: len(n)] += n
-            n = add
-            if len(known) > FLUSH:
-                yield counted()
-                known, n = Hashes(), np.zeros(0, dtype=np.int64)
-        if len(known):
-            yield counted()
+            hashes, sizes = hasher(list(b["text"]))
+            ids = [x.tobytes() for x in np.split(hashes, np.cumsum(sizes)[:-1])]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "part_key": b["part_key"], "ids": ids, "h": None, "n": None})
+            held.append(np.unique(hashes, return_counts=True))
+            size += len(held[-1][0])
+            if size > FLUSH:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > FLUSH // 2:
+                    yield from counted()
+                    held, size = [], 0
+        if held:
+            yield from counted()
 
     key = F.xxhash64("doc_id", "text").alias("part_key")
     told = docs.select(F.col("doc_id").cast("string"), "text", key)  # as text: pandas makes floats of numbers with nulls
@@ -113,60 +155,82 @@ def read_corpus(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """known: hashes of the frequent words and the listed tokens, sorted; classes and inside: their classes and the logs
-    of their shares; slot_inside: the same for tokens of each slot that are not listed."""
+    """listed: hashes of the frequent words and the listed tokens; classes and inside: their classes and the logs of
+    their shares. Hashes fall into slots: at has a slot's listed token, or -1, slot_inside the log of the share of each
+    other token of the slot."""
 
-    known: np.ndarray
+    listed: np.ndarray
     classes: np.ndarray
     inside: np.ndarray
+    at: np.ndarray
     slot_inside: np.ndarray
     words: int
     buckets: int
 
-    def encode(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class, log of the share in the class) of token hashes."""
-        at = np.searchsorted(self.known, h)
-        at[at == len(self.known)] = 0
-        hit = self.known[at] == h if len(self.known) else np.zeros(len(h), dtype=bool)
-        slot = h % np.uint32(len(self.slot_inside))
-        classes = np.where(hit, self.classes[at] if len(self.known) else 0, self.words + slot % np.uint32(self.buckets))
-        return classes.astype(np.int64), np.where(hit, self.inside[at] if len(self.known) else 0.0, self.slot_inside[slot])
+    def encode(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class, slot, listed token or -1) of token hashes."""
+        slot = h & np.uint32(len(self.at) - 1)
+        at = self.at.take(slot)
+        at[self.listed.take(at, mode="clip") != h] = -1
+        classes = np.where(at >= 0, self.classes.take(at, mode="clip"), self.words + slot % np.uint32(self.buckets))
+        return classes.astype(np.int64), slot, at
+
+    def shares(self, slot: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The log of the token's share in its class."""
+        return np.where(at >= 0, self.inside.take(at, mode="clip"), self.slot_inside.take(slot))
 
 
 def learn_vocabulary(counts: DataFrame, s: Settings) -> tuple[Vocabulary, np.ndarray, int]:
-    """(vocabulary, the classes' shares of all tokens, number of tokens) from (h, n)."""
-    some = counts.orderBy(F.desc("n"), "h").limit(s.words + s.listed).toPandas()  # a bounded dictionary
+    """(vocabulary, the classes' shares of all tokens, number of tokens) from (h, n).
+
+    Of listed tokens that fall into one slot the most frequent is listed; of those as frequent as the first that finds
+    no place, none is. What comes to the driver is bounded: the listed tokens, and six bytes a slot.
+    """
+    some = counts.orderBy(F.desc("n"), "h").limit(s.words + s.listed).toPandas()
     h, n = some["h"].to_numpy(dtype=np.int64), some["n"].to_numpy(dtype=np.float64)
-    if len(some) == s.words + s.listed:  # all tokens that occur as often are listed, or none
+    if len(some) == s.words + s.listed:
         full = n > n[-1]
         full[: s.words] = True
         h, n = h[full], n[full]
-    rest = counts.groupBy((F.col("h") % s.slots).alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()  # slots rows at most
-    mass, kinds = np.zeros(s.slots), np.zeros(s.slots)
-    mass[rest["slot"]], kinds[rest["slot"]] = rest["n"], rest["kinds"]
-    total = int(mass.sum())
-    slot = h % s.slots
-    np.subtract.at(mass, slot, n)  # what is left in a slot are tokens that are not listed
-    np.subtract.at(kinds, slot, 1)
+    slot = h & (s.slots - 1)
+    first = np.sort(np.unique(slot, return_index=True)[1])
+    h, n, slot = h[first], n[first], slot[first]
+    at = np.full(s.slots, -1, dtype=np.int32)
+    at[slot] = np.arange(len(h))
     words = min(s.words, len(h))
-    bucket_of = np.arange(s.slots) % s.buckets
-    in_bucket = np.bincount(bucket_of, mass, s.buckets) + np.bincount(slot[words:] % s.buckets, n[words:], s.buckets)
+
+    def by_block(key, g: pd.DataFrame) -> pd.DataFrame:
+        mass, kinds = np.zeros(s.slots // BLOCKS, np.float32), np.zeros(s.slots // BLOCKS, np.uint16)
+        place = g["slot"].to_numpy(dtype=np.int64) // BLOCKS
+        mass[place], kinds[place] = g["n"], np.minimum(g["kinds"], 65535)
+        return pd.DataFrame({"block": [key[0]], "mass": [mass.tobytes()], "kinds": [kinds.tobytes()]})
+
+    told = F.broadcast(counts.sparkSession.createDataFrame(pd.DataFrame({"h": h}), "h bigint"))
+    rest = counts.join(told, "h", "left_anti").groupBy((F.col("h").bitwiseAND(s.slots - 1)).alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    mass, kinds = np.zeros(s.slots, np.float32), np.zeros(s.slots, np.uint16)
+    for r in rest.groupBy((F.col("slot") % BLOCKS).alias("block")).applyInPandas(by_block, "block bigint, mass binary, kinds binary").collect():
+        mass[r.block :: BLOCKS], kinds[r.block :: BLOCKS] = np.frombuffer(r.mass, np.float32), np.frombuffer(r.kinds, np.uint16)
+    total = int(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    mass = mass.reshape(-1, s.buckets)  # a slot's bucket is its number's remainder
+    in_bucket = mass.sum(axis=0, dtype=np.float64) + np.bincount(slot[words:] % s.buckets, n[words:], s.buckets)
     share = np.ones(s.size)
     share[:words] += n[:words]
     share[s.words :] += in_bucket
-    unseen = s.buckets / s.slots  # each bucket has one token's worth of unseen ones, dealt to its slots
-    slot_inside = np.log((mass + unseen) / (kinds + 1) / (in_bucket[bucket_of] + 1))
+    mass += np.float32(s.buckets / s.slots)  # each bucket has one token's worth of unseen ones, dealt to its slots
+    mass /= kinds.reshape(mass.shape) + np.float32(1)
+    mass /= (in_bucket + 1).astype(np.float32)
+    slot_inside = np.log(mass, out=mass).ravel()
     classes = np.concatenate([np.arange(words), s.words + slot[words:] % s.buckets])
     inside = np.concatenate([np.zeros(words), np.log(n[words:] / (in_bucket[slot[words:] % s.buckets] + 1))])
-    order = np.argsort(h)
-    return Vocabulary(h[order].astype(np.uint32), classes[order], inside[order], slot_inside.astype(np.float32), s.words, s.buckets), share / share.sum(), total
+    none = [np.zeros(1, x) for x in (np.uint32, np.int64, np.float64)] if not len(h) else [h.astype(np.uint32), classes, inside]
+    return Vocabulary(*none, at, slot_inside.astype(np.float16), s.words, s.buckets), share / share.sum(), total
 
 
-def group_of(share: np.ndarray, groups: int) -> np.ndarray:
-    """class -> group: classes by falling share, as many in each group."""
-    each = -(-len(share) // groups)
-    out = np.empty(len(share), dtype=np.int64)
-    out[np.argsort(-share, kind="stable")] = np.arange(len(share)) // each
+def group_of(share: np.ndarray) -> np.ndarray:
+    """class -> group: classes by falling share, two in the first group, four in the next, and so on: frequent classes
+    are in small groups, and some sqrt(classes) groups do."""
+    out, rank = np.empty(len(share), dtype=np.int64), np.arange(len(share))
+    out[np.argsort(-share, kind="stable")] = ((np.sqrt(4 * rank + 1) - 1) / 2).astype(np.int64)
     return out
 
 
@@ -190,8 +254,8 @@ class Network:
         self.e, self.b, self.g, self.gc, self.o, self.c = self.parts
 
     @classmethod
-    def fresh(cls, share: np.ndarray, groups: int, seed: int) -> Network:
-        group = group_of(share, groups)
+    def fresh(cls, share: np.ndarray, seed: int) -> Network:
+        group = group_of(share)
         k = int(group.max()) + 1
         n = (len(OFFSETS) * (len(share) + 1) + 1 + k + len(share)) * HIDDEN + k + len(share)
         out = cls(np.random.default_rng(seed).normal(0, 0.1, n).astype(np.float32), group)
@@ -208,48 +272,49 @@ class Network:
         return line, np.flatnonzero(line < self.size)
 
     def hidden(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
-        h = self.e[0][line[at + OFFSETS[0]]]
+        h = self.e[0].take(line[at + OFFSETS[0]], axis=0)
         for j, k in enumerate(OFFSETS[1:], 1):
-            h += self.e[j][line[at + k]]
+            h += self.e[j].take(line[at + k], axis=0)
         h += self.b
         return np.tanh(h, out=h)
 
-    def by_group(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(group, rows whose target is in it)."""
-        own = self.group[target]
+    def by_group(self, line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """(at in the order of its classes' groups, those groups, (group, its stretch of at) of each)."""
+        own = self.group[line[at]].astype(np.uint16)
         order = np.argsort(own, kind="stable")
-        ends = np.searchsorted(own[order], np.arange(self.groups + 1))
-        for k in np.flatnonzero(np.diff(ends)):
-            yield k, order[ends[k] : ends[k + 1]]
+        own = own[order]
+        ends = np.searchsorted(own, np.arange(self.groups + 1))
+        return order, own, [(int(k), slice(ends[k], ends[k + 1])) for k in np.flatnonzero(np.diff(ends))]
 
     def log_probs(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The log-probability of the class at each place, from its neighbours alone."""
         out = np.empty(len(at))
         for a in range(0, len(at), STEP):
             here = at[a : a + STEP]
-            target, h = line[here], self.hidden(line, here)
-            total = self._own(h @ self.g.T + self.gc, self.group[target])
-            for k, rows in self.by_group(target):
+            order, own, stretches = self.by_group(line, here)
+            here = here[order]
+            h, place = self.hidden(line, here).T.copy(), self.place[line[here]]
+            total = self._own(self.g @ h + self.gc[:, None], own)
+            for k, rows in stretches:
                 i, j = self.first[k], self.first[k + 1]
-                total[rows] += self._own(h[rows] @ self.o[i:j].T + self.c[i:j], self.place[target[rows]] - i)
-            out[a : a + STEP] = total
+                total[rows] += self._own(self.o[i:j] @ h[:, rows] + self.c[i:j, None], place[rows] - i)
+            out[a + order] = total
         return out
 
     @staticmethod
     def _own(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log softmax of each row at its target."""
-        z -= z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(target)), target].astype(np.float64)
-        return own - np.log(np.exp(z, out=z).sum(axis=1, dtype=np.float64))
+        """log softmax of each column at its target."""
+        z -= z.max(axis=0)
+        own = z[target, np.arange(len(target))].astype(np.float64)
+        return own - np.log(np.exp(z, out=z).sum(axis=0))
 
     @staticmethod
     def _error(z: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
-        """The gradient of the mean loss by the logits."""
-        z -= z.max(axis=1, keepdims=True)
+        """The gradient of the mean loss by the logits, a column for each position."""
+        z -= z.max(axis=0)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(target)), target] -= 1
-        z /= n
+        z *= 1 / (n * z.sum(axis=0))
+        z[target, np.arange(len(target))] -= np.float32(1 / n)
         return z
 
     def learn(self, line: np.ndarray, at: np.ndarray, rate: float, seen: Network) -> None:
@@ -259,26 +324,30 @@ class Network:
             past[rows] += grad * grad
             value[rows] -= rate * grad / (np.sqrt(past[rows]) + 1e-6)
 
-        target, h, n = line[at], self.hidden(line, at), len(at)
-        d = self._error(h @ self.g.T + self.gc, self.group[target], n)
-        dh = d @ self.g
-        later = [(self.g, seen.g, d.T @ h), (self.gc, seen.gc, d.sum(0))]
-        for k, rows in self.by_group(target):
+        order, own, stretches = self.by_group(line, at)
+        at, n = at[order], len(at)
+        h, place = self.hidden(line, at), self.place[line[at]]
+        across = h.T.copy()
+        d = self._error(self.g @ across + self.gc[:, None], own, n)
+        dh = d.T @ self.g
+        later = [(self.g, seen.g, d @ h), (self.gc, seen.gc, d.sum(axis=1))]
+        do, dc = np.zeros_like(self.o), np.zeros_like(self.c)
+        for k, rows in stretches:
             i, j = self.first[k], self.first[k + 1]
-            x = h[rows]
-            d = self._error(x @ self.o[i:j].T + self.c[i:j], self.place[target[rows]] - i, n)
-            dh[rows] += d @ self.o[i:j]
-            later += [(self.o[i:j], seen.o[i:j], d.T @ x), (self.c[i:j], seen.c[i:j], d.sum(0))]
+            o = self.o[i:j]
+            d = self._error(o @ across[:, rows] + self.c[i:j, None], place[rows] - i, n)
+            dh[rows] += d.T @ o
+            np.dot(d, h[rows], out=do[i:j])
+            dc[i:j] = d.sum(axis=1)
         dh *= 1 - h * h
-        later.append((self.b, seen.b, dh.sum(0)))
-        for value, past, grad in later:
+        for value, past, grad in (*later, (self.o, seen.o, do), (self.c, seen.c, dc), (self.b, seen.b, dh.sum(axis=0))):
             step(value, past, grad)
         for j, k in enumerate(OFFSETS):
             context = line[at + k]
             order = np.argsort(context.astype(np.uint16), kind="stable")
-            own = context[order]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            step(self.e[j], seen.e[j], np.add.reduceat(dh[order], first, axis=0), own[first])
+            context = context[order]
+            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+            step(self.e[j], seen.e[j], np.add.reduceat(dh.take(order, axis=0), first, axis=0), context[first])
 
 
 def train_part(flat: np.ndarray, group: np.ndarray, texts: list[np.ndarray], s: Settings, turn: int) -> tuple[np.ndarray, int]:
@@ -330,7 +399,7 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     texts, counts = read_corpus(docs)
     vocabulary, share, total = learn_vocabulary(durable(counts, "token-counts"), s)
     parts = max(1, -(-total // s.part))
-    net = Network.fresh(share, s.groups, s.seed)
+    net = Network.fresh(share, s.seed)
     flat = net.flat
     dealt = texts.select(F.pmod("part_key", F.lit(parts)).alias("part"), "part_key", "ids")
     for turn in range(s.stride if total else 0):
@@ -344,10 +413,10 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         for b in batches:
             hashes = [np.frombuffer(x, "<u4") for x in b]
             sizes = np.array([len(x) for x in hashes])
-            classes, inside = v.encode(np.concatenate(hashes))
+            classes, *where = v.encode(np.concatenate(hashes))
             line, at = net.joined(np.split(classes, np.cumsum(sizes)[:-1]))
             own = np.repeat(np.arange(len(sizes)), sizes)
-            yield pd.DataFrame({"n_tokens": sizes, "log_prob": np.bincount(own, net.log_probs(line, at) + inside, len(sizes))})
+            yield pd.DataFrame({"n_tokens": sizes, "log_prob": np.bincount(own, net.log_probs(line, at) + v.shares(*where), len(sizes))})
 
     out = texts.select("doc_id", judge("ids").alias("s")).select("doc_id", "s.n_tokens", "s.log_prob")
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
