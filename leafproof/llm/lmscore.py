@@ -268,7 +268,7 @@ class Network:
     def joined(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(classes of all texts with WIDTH paddings around each, the places of the tokens)."""
         edge = np.full(WIDTH, self.size)
-        line = np.concatenate([x for t in texts for x in (edge, t)] + [edge])
+        line = np.concatenate([x for t in texts for x in (edge, t)] + [edge]).astype(np.int64)
         return line, np.flatnonzero(line < self.size)
 
     def hidden(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -363,14 +363,14 @@ def train_part(flat: np.ndarray, group: np.ndarray, texts: list[np.ndarray], s:
     return net.flat, len(at)
 
 
-def _round(dealt: DataFrame, flat: np.ndarray, group: np.ndarray, vocabulary: Vocabulary, s: Settings, turn: int) -> np.ndarray:
+def _round(dealt: DataFrame, flat: np.ndarray, group: np.ndarray, s: Settings, turn: int) -> np.ndarray:
     """The average of what all parts have learnt from `flat`."""
-    start = dealt.sparkSession.sparkContext.broadcast((flat, group, vocabulary))  # some 10 MB at any input size
+    start = dealt.sparkSession.sparkContext.broadcast((flat, group))  # a megabyte or two at any input size
 
     def train(key, g: pd.DataFrame) -> pd.DataFrame:
-        flat, group, v = start.value
-        g = g.sort_values(["part_key", "ids"], kind="stable")
-        texts = [v.encode(np.frombuffer(x, "<u4"))[0] for x in g["ids"]]
+        flat, group = start.value
+        g = g.sort_values(["part_key", "classes"], kind="stable")
+        texts = [np.frombuffer(x, "<u2") for x in g["classes"]]
         new, n = train_part(flat, group, texts, s, turn)
         blocks = [new[a : a + BLOCK].tobytes() for a in range(0, len(new), BLOCK)] if n else []
         return pd.DataFrame({"block": range(len(blocks)), "part": key[0], "n": float(n), "mean": blocks})
@@ -401,14 +401,21 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     parts = max(1, -(-total // s.part))
     net = Network.fresh(share, s.seed)
     flat = net.flat
-    dealt = texts.select(F.pmod("part_key", F.lit(parts)).alias("part"), "part_key", "ids")
+    words = texts.sparkSession.sparkContext.broadcast(vocabulary)  # some 25 MB at any input size
+
+    @F.pandas_udf("binary")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b.map(lambda x: words.value.encode(np.frombuffer(x, "<u4"))[0].astype("<u2").tobytes())
+
+    dealt = texts.select(F.pmod("part_key", F.lit(parts)).alias("part"), "part_key", encoded("ids").alias("classes"))
     for turn in range(s.stride if total else 0):
-        flat = _round(dealt, flat, net.group, vocabulary, s, turn)
-    shared = texts.sparkSession.sparkContext.broadcast((flat, net.group, vocabulary))
+        flat = _round(dealt, flat, net.group, s, turn)
+    shared = texts.sparkSession.sparkContext.broadcast((flat, net.group))
 
     @F.pandas_udf("n_tokens bigint, log_prob double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        flat, group, v = shared.value
+        (flat, group), v = shared.value, words.value
         net = Network(flat.copy(), group)
         for b in batches:
             hashes = [np.frombuffer(x, "<u4") for x in b]

@@ -137,8 +137,8 @@ def test_the_whole_operator_equals_a_direct_computation(spark, scored):
     for turn in range(SMALL.stride):
         mean, n = 0.0, 0
         for p in range(parts):
-            own = sorted((r.key, t.tobytes()) for r, t in zip(rows, texts) if r.key % parts == p)
-            new, k = lmscore.train_part(flat, net.group, [v.encode(np.frombuffer(t, np.uint32))[0] for _, t in own], SMALL, turn)
+            own = sorted((r.key, v.encode(t)[0].astype("<u2").tobytes()) for r, t in zip(rows, texts) if r.key % parts == p)
+            new, k = lmscore.train_part(flat, net.group, [np.frombuffer(t, "<u2") for _, t in own], SMALL, turn)
             mean, n = mean + new.astype(float) * k, n + k
         assert abs(n - total / SMALL.stride) <= parts
         flat = (mean / n).astype(np.float32)
