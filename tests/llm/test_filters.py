@@ -12,7 +12,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from leafproof.llm import bpe, common, decontam, neardup, quality, toxicity
+from leafproof.llm import bpe, common, decontam, neardup, quality
 
 SYLLABLES = "ba be bi bo bu da de di do du ka ke ki ko ku la le li lo lu ma me mi mo mu na ne ni no nu".split()
 
@@ -203,37 +203,6 @@ def test_leaks_catch_reordered_passages(spark, corpus):
     assert decontam.leaks(docs, bench.limit(0)).count() == 0 == decontam.leaks(docs.limit(0), bench).count()
 
 
-@pytest.fixture(scope="module")
-def model():
-    rng = random.Random(4)
-    bad = ["grobnik", "zwalfer", "plotzy"]
-    texts, y = [], []
-    for k in range(240):
-        words = prose(rng, 60).split()
-        if k % 4 == 0:
-            words[rng.randrange(60)] = bad[k // 4 % 3]
-        texts.append(" ".join(words) + ".")
-        y.append(int(k % 4 == 0))
-    return toxicity.train(texts, np.array(y))
-
-
-def test_toxicity_holds_on_unseen_texts_and_tolerates_gaps(spark, model):
-    rng = random.Random(8)
-    clean = [prose(rng, 50) for _ in range(60)]
-    toxic = [prose(rng, 30) + f" {w} " + prose(rng, 20) for w in ("grobnik", "GROBNIK!", "g.r.o.b.n.i.k", "z-w-a-l-f-e-r", "p l o t z y", "gro*bnik", "zwalxfer") for _ in range(4)]
-    rows = [(k, t, 0.5) for k, t in enumerate([*clean, *toxic, "", None])]
-    got = {r.doc_id: r.score for r in toxicity.score(common.prepare(spark).createDataFrame(rows, "doc_id long, text string, score double"), model).collect()}
-    assert max(got[k] for k in range(60)) < 0.5
-    assert sum(got[60 + k] >= 0.5 for k in range(len(toxic))) >= 0.85 * len(toxic)
-    assert got[len(rows) - 1] == got[len(rows) - 2] < 0.5 and all(0 <= s <= 1 for s in got.values())
-
-
-def test_toxicity_without_labels(spark):
-    docs = common.prepare(spark).createDataFrame([(1, "some text"), (None, None)], "doc_id long, text string")
-    none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert {r.score < 0.5 for r in toxicity.score(docs, toxicity.learn(docs, none)).collect()} == {True}
-
-
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     import public_tokenizers
     import tiktoken
