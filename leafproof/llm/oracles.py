@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+from .urls import SECOND_LEVEL
+
+TWO = "array_to_string(list_reverse(l[1:2]), '.')"
+IN_TWO = f"{TWO} IN ({', '.join(repr(x) for x in SECOND_LEVEL)})"
+#: Of a host's labels l, last first: its suffix, and its registered domain.
+SUFFIX = f"CASE WHEN {IN_TWO} THEN {TWO} ELSE l[1] END"
+DOMAIN = f"CASE WHEN {IN_TWO} THEN array_to_string(list_reverse(l[1:3]), '.') ELSE {TWO} END"
+LOWER = "greatest(0.0, {m} - 1.645 * sqrt({m} * (1 - {m}) / ({k} + 1)))"
+
 OP5 = r"""
 WITH split AS (
   SELECT page_id,
@@ -15,7 +24,7 @@ WITH split AS (
 ), h AS (
   SELECT host, n, bad, list_reverse(string_split(host, '.')) AS l FROM h0
 ), hosts AS (
-  SELECT host, n::DOUBLE AS n, bad::DOUBLE AS bad, l[1] AS suffix, CASE WHEN len(l) > 1 THEN l[2] || '.' || l[1] ELSE host END AS domain FROM h
+  SELECT host, n::DOUBLE AS n, bad::DOUBLE AS bad, {SUFFIX} AS suffix, {DOMAIN} AS domain FROM h
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 whole AS (SELECT coalesce(sum(bad) / sum(n), 0.0) AS g, coalesce(sum(n), 0) AS gn FROM suffixes),
@@ -42,14 +51,17 @@ ruled AS (
   FROM split
 ), judged AS (
   SELECT page_id, ruled.host, path, rule, coalesce(h3.n, 0)::BIGINT AS n_labelled, coalesce(h3.bad, 0)::BIGINT AS n_bad,
-         coalesce(bound, greatest(0.0, g - 1.645 * sqrt(g * (1 - g) / 2))) AS bound
-  FROM ruled LEFT JOIN h3 USING (host), whole
+         coalesce(bound, {LOWER_D}, {LOWER_S}, greatest(0.0, g - 1.645 * sqrt(g * (1 - g) / 2))) AS bound
+  FROM (SELECT *, {SUFFIX} AS suffix, {DOMAIN} AS domain FROM (SELECT *, list_reverse(string_split(host, '.')) AS l FROM ruled)) ruled
+  LEFT JOIN h3 USING (host) LEFT JOIN d2 USING (domain) LEFT JOIN s2 USING (suffix), whole
 )
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.25 THEN 'block' ELSE 'allow' END AS verdict,
        n_labelled, n_bad, round(bound, 6) AS bad_bound
 FROM judged
 """
+for _name, _text in (("SUFFIX", SUFFIX), ("DOMAIN", DOMAIN), ("LOWER_D", LOWER.format(m="d2.m", k="d2.k")), ("LOWER_S", LOWER.format(m="s2.m", k="s2.k"))):
+    OP5 = OP5.replace("{" + _name + "}", _text)
 
 OP7 = r"""
 WITH t AS (

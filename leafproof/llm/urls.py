@@ -102,13 +102,15 @@ def host_reputation(outcomes: DataFrame, p: Reputation = Reputation(), names: Da
     hosts = outcomes.filter(F.col("bad").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
     hosts = durable(hosts, "host-outcomes")  # every level and every prior is made from these few rows
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    domains = durable(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domain-outcomes")
+    suffixes = durable(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffix-outcomes")
     whole = suffixes.agg(F.coalesce(F.sum("bad") / F.sum("n"), F.lit(0.0)).alias("g"), F.coalesce(F.sum("n"), F.lit(0)).alias("gn"))
+    whole = durable(whole, "all-outcomes")
 
     def shrink(groups: DataFrame) -> DataFrame:
         """groups: n, bad, and the parent's mean m and weight k. The prior weighs no more than the pages it rests on
-        elsewhere, k - n. Adds the posterior's mean and weight."""
+        elsewhere, k - n. Adds the posterior's mean and weight. Written, so that no level's plan holds another's."""
+        groups = durable(groups, "url-level")
         w = F.least(prior_weight(groups, "m", p.least, p.most).scalar(), F.greatest(F.lit(0.0), F.col("k") - F.col("n")))
         return groups.withColumn("w", w).withColumn("mean", (F.col("bad") + F.col("w") * F.col("m")) / (F.col("n") + F.col("w"))).withColumn("weight", F.col("n") + F.col("w"))
 
@@ -116,8 +118,8 @@ def host_reputation(outcomes: DataFrame, p: Reputation = Reputation(), names: Da
         return F.greatest(F.lit(0.0), mean - F.lit(p.z) * F.sqrt(mean * (1 - mean) / (weight + 1)))
 
     up = [F.col("mean").alias("m"), F.col("weight").alias("k")]
-    s = shrink(suffixes.select("*", whole.select("g").scalar().alias("m"), whole.select("gn").scalar().alias("k"))).select("suffix", *up)
-    d = shrink(domains.join(s, "suffix")).select("domain", *up)
+    s = durable(shrink(suffixes.select("*", whole.select("g").scalar().alias("m"), whole.select("gn").scalar().alias("k"))).select("suffix", *up), "suffix-posterior")
+    d = durable(shrink(domains.join(s, "suffix")).select("domain", *up), "domain-posterior")
     h = shrink(hosts.join(d, "domain"))
     out = h.select("host", F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), F.col("mean").alias("bad_mean"), bound(F.col("mean"), F.col("weight")).alias("bad_bound"))
     if names is not None:

@@ -97,3 +97,42 @@ def test_an_unlabelled_host_has_its_parents_posterior(spark):
     assert len(got) == len(pages) and [got[k].verdict for k in (900, 901, 902, 903)] == ["block", "block", "allow", "allow"]
     assert got[900].bad_mean > 0.9 and got[901].bad_mean > 0.5 and got[902].bad_mean < 0.1 and got[903].bad_mean == pytest.approx(0.2)
     assert all(got[k].n_labelled == got[k].n_bad == 0 for k in (900, 901, 902, 903))
+
+
+def test_the_query_equals_its_sql_with_second_level_suffixes(spark, tmp_path):
+    import duckdb
+
+    from leafproof.llm import oracles, queries
+
+    hosts = ["a.x.co.uk", "b.x.co.uk", "c.y.co.uk", "co.uk", "new.x.co.uk", "z.uk", "d.w.com.au", "e.w.com.au", "w.com.au", "plain", "", "a.b.net", "c.b.net", "q.r.s.t.net", "n.t.net"]
+    pages = [(k, f"http://{hosts[k % len(hosts)]}/{'en' if k % 2 else 'es'}/p{k}") for k in range(600)] + [(700, None), (701, "x"), (702, "HTTP://A.X.CO.UK"), (None, "http://unseen.w.com.au/"), (703, "http://unseen.zz/")]
+    labels = [(k, int(k % 4 != 1), int(hosts[k % len(hosts)].endswith("x.co.uk") and k % 3 > 0)) for k in range(0, 600, 2)] + [(701, 0, None), (702, None, None), (None, 0, 1)]
+    spark.createDataFrame(pages, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    duck = duckdb.connect()
+    for t in ("pages", "labels"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = queries.op5_url_filters(spark, str(tmp_path))
+    want = duck.execute(oracles.OP5)
+    names = [d[0] for d in want.description]
+    shown = lambda row: tuple(f"{v:.5f}" if isinstance(v, float) else str(v) for v in row)
+    assert sorted(map(shown, got.select(names).collect())) == sorted(map(shown, want.fetchall()))
+    by = {r.page_id: r for r in got.collect()}
+    assert by[702].n_labelled == by[0].n_labelled > 0 and len(by) == len({p for p, _ in pages})
+    r = spark.createDataFrame([(h,) for h in ("a.x.co.uk", "co.uk", "z.uk", "w.com.au", "h", "")], "h string").select(urls.domain_of(F.col("h")).alias("d"), urls.suffix_of(F.col("h")).alias("s")).collect()
+    assert [(x.d, x.s) for x in r] == [("x.co.uk", "co.uk"), ("co.uk", "co.uk"), ("z.uk", "uk"), ("w.com.au", "com.au"), ("h", "h"), ("", "")]
+
+
+def test_of_rules_of_one_length_the_first_decides(spark):
+    rules = [urls.Rule("block", "b.net", "/x/"), urls.Rule("allow", "b.net", "/x/"), urls.Rule("allow", "net", "/xy/x")]
+    rule, verdict = urls.best_rule(F.lit("a.b.net"), F.lit("/x/y"), rules)
+    other, allowed = urls.best_rule(F.lit("a.b.net"), F.lit("/x/y"), rules[::-1])
+    r = spark.range(1).select(rule.alias("r"), verdict.alias("v"), other.alias("o"), allowed.alias("a")).first()
+    assert (r.r, r.v, r.o, r.a) == ("b.net/x/", "block", "b.net/x/", "allow")
+
+
+def test_the_plan_stays_small(spark):
+    rows = [(f"h{k % 7}.d{k % 3}.net", k % 2) for k in range(50)]
+    hosts, _ = urls.host_reputation(spark.createDataFrame(rows, "host string, bad int"), names=spark.createDataFrame([("new.d1.net",)], "host string"))
+    plan = hosts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 30
