@@ -5,16 +5,21 @@ running Karp-Rabin greedy string tiling marks the longest non-overlapping common
 LEAST tokens. The part of the item's tokens under tiles is its coverage; since tiles may come in any order, reordered
 passages are caught. Every common run of LEAST tokens or more lies wholly in windows that are seeds, so only the
 document's stretches of seed windows travel, not its text.
+
+A tile of k tokens holds k - LEAST + 1 seeds, so coverage of T tokens needs T / LEAST shared seeds at least. So pairs
+are joined only by each item's rarest seeds, as many as it has less that number plus one, and pairs that share fewer
+seeds are not tiled: a phrase that many items and documents hold makes no pair by itself, and no leak is lost.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ROW, bitmap, durable, in_bitmap, row_key
@@ -54,42 +59,60 @@ def tile(pattern: list[str], segments: list[list[str]], least: int = LEAST) -> l
         t += [ids.get(w, -1) for w in s] + [-1]
     p_used, t_used, tiles = bytearray(len(p)), bytearray(len(t)), []
 
+    def same(i: int, j: int) -> bool:
+        return p[i] == t[j] and not p_used[i] and not t_used[j]
+
     def matches(size: int) -> list[tuple[int, int, int]]:
-        """(-length, i, j) of the maximal unmarked matches from windows of `size` tokens that agree."""
+        """(-length, i, j) of the unmarked common runs of `size` tokens or more, each as long as can be."""
         at: dict[int, list[int]] = {}
         for j, h in _windows(t, t_used, size):
             at.setdefault(h, []).append(j)
         out = []
         for i, h in _windows(p, p_used, size):
             for j in at.get(h, ()):
+                if i and j and same(i - 1, j - 1):
+                    continue  # part of the run that begins before
                 k = 0
-                while i + k < len(p) and j + k < len(t) and p[i + k] == t[j + k] and not p_used[i + k] and not t_used[j + k]:
+                while i + k < len(p) and j + k < len(t) and same(i + k, j + k):
                     k += 1
                 if k >= size:
                     out.append((-k, i, j))
-        return sorted(out)
+        return out
 
     size = max(least, min(20, len(p)))
     while True:
-        found = matches(size)
-        if found and -found[0][0] > 2 * size:
-            size = -found[0][0]  # a much longer match: look for its like first
+        heap = matches(size)
+        longest = -min(heap)[0] if heap else 0
+        if longest > 2 * size:
+            size = longest  # much longer runs: look for their like first
             continue
-        covered = False
-        for k, i, j in found:
-            k = -k
-            if any(p_used[i : i + k]) or any(t_used[j : j + k]):
-                covered = True  # its free parts may still be long enough
+        heapq.heapify(heap)
+        while heap:  # the longest first, then the first in the pattern
+            k, i, j = heapq.heappop(heap)
+            free = [x for x in range(-k) if not p_used[i + x] and not t_used[j + x]]
+            if len(free) == -k:
+                p_used[i : i - k] = t_used[j : j - k] = b"\1" * -k
+                tiles.append((i, j, -k))
                 continue
-            p_used[i : i + k] = t_used[j : j + k] = b"\1" * k
-            tiles.append((i, j, k))
-        if covered:
-            continue  # something was marked, so this ends
+            start = 0  # its free parts take their places in the order
+            for x in range(1, len(free) + 1):
+                if x == len(free) or free[x] != free[x - 1] + 1:
+                    if x - start >= size:
+                        heapq.heappush(heap, (start - x, i + free[start], j + free[start]))
+                    start = x
         if size <= least:
             return tiles
         size = max(least, size // 2)
 
 
+def least_seeds(words: Column, seeds: Column, threshold: float) -> Column:
+    """Different seeds that an item and a document share at least if coverage reaches the threshold. An item whose
+    windows repeat has fewer seeds than windows, and a seed may then cover as often as it is there."""
+    windows = words - LEAST + 1
+    tokens = F.ceil(words * threshold - 1e-9)
+    return F.ceil(tokens / LEAST - (windows - seeds) - 1e-9).cast("int")
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Pairs of a document and a benchmark item whose coverage reaches the threshold.
 
@@ -114,6 +137,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFram
     base = items.select(item_key.alias("item"), "item_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["item"])
     cut = durable(base.select("item", "text").mapInPandas(seeds_of, "item string, words array<string>, seeds array<bigint>"), "items")
     seeds = cut.select("item", F.explode("seeds").alias("seed"))
+    needed = F.greatest(F.lit(1), least_seeds(F.size("words"), F.size("seeds"), threshold))
     bits, raw = bitmap(seeds.select("seed").distinct(), "seed")
     shared = spark.sparkContext.broadcast(raw)  # 8 MB at most, see bitmap
 
@@ -129,15 +153,21 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFram
                 hit = np.flatnonzero(in_bitmap(bits, words, h))
                 if not len(hit):
                     continue
-                runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
+                runs = np.split(hit, np.flatnonzero(np.diff(hit) >= LEAST) + 1)  # stretches that share tokens are one
                 rows.append((key, [w[r[0] : r[-1] + LEAST] for r in runs], np.unique(h[hit]).view(np.int64)))
             yield pd.DataFrame(rows, columns=["key", "segments", "seeds"])
 
     keyed = docs.select(row_key().alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hits = keyed.select("key", "text").mapInPandas(stretches, "key binary, segments array<array<string>>, seeds array<bigint>")
     hits = durable(hits.dropDuplicates(["key"]), "stretches")
-    pairs = hits.select("key", F.explode("seeds").alias("seed")).join(seeds, "seed").select("key", "item").distinct()
-    both = pairs.join(hits.select("key", "segments"), "key").join(cut.select("item", "words"), "item")
+    held = hits.select("key", F.explode("seeds").alias("seed"))
+    often = held.groupBy("seed").agg(F.count("*").alias("df"))
+    places = Window.partitionBy("item").orderBy("df", "seed")  # an item's seeds
+    rare = seeds.join(cut.select("item", needed.alias("need"), F.size("seeds").alias("n")), "item").join(often, "seed", "left").fillna(0, ["df"])
+    rare = rare.withColumn("place", F.row_number().over(places)).filter("df > 0 and place <= n - need + 1").select("item", "seed")
+    pairs = held.join(rare, "seed").select("key", "item").distinct()
+    asked = cut.select("item", "words", F.col("seeds").alias("own"), needed.alias("need"))
+    both = pairs.join(asked, "item").join(hits, "key").filter(F.size(F.array_intersect("own", "seeds")) >= F.col("need"))
 
     def tiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -123,18 +123,41 @@ def test_sketch_fills_and_estimates():
     assert abs(same - 1600 / 2400) < 0.04
 
 
-def test_quality_equals_brute_force(corpus):
+def brute_fits(bands, raw):
+    """Whether a text lies in its band, from the definition."""
+    ratio = len(zstandard.ZstdCompressor(level=3).compress(raw)) / len(raw)
+    limit = [x for x in bands.limits if x[0] <= len(raw)]
+    even = False
+    counts = collections.Counter(raw)
+    if len(raw) >= bands.limits[0][0] and sum(counts[b] for b in b"0123456789") >= bands.digits * len(raw) and len(counts) > 1:
+        entropy = -sum(n / len(raw) * np.log2(n / len(raw)) for n in counts.values())
+        even = entropy > bands.even * np.log2(len(counts))
+    return (not limit or limit[-1][1] <= ratio <= limit[-1][2]) and not even, ratio
+
+
+def test_quality_equals_brute_force(corpus, spark):
+    rng = random.Random(12)
+    long = prose(rng, 40_000) + "\n" + "x7" * 3000 + "\n" + base64.b64encode(rng.randbytes(30_000)).decode()
+    extra = [(800, long, None, None, None, "k"), (801, "a#b $5 <|>\n a\n\na \n a\n\t\n", None, None, None, None), (802, "0123456789" * 90, "en", "s", 1, "x"), (803, "\u2003word\u00a0word " * 30, None, None, None, None)]
+    docs = corpus.unionByName(spark.createDataFrame(extra, corpus.schema)).withColumn("judged", F.lit("mine")).withColumn("ratio", F.lit(1))
     bands = quality.Bands(chunk=256)
-    for r in quality.judge(corpus, bands).collect():
-        w = re.findall(common.WORD, r.text or "")
+    got = quality.judge(docs, bands).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        text = r.text or ""
+        w = re.findall(common.WORD, text)
         count = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
         inside = {j for i in range(len(w) - 7) if count[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
-        j = r.judged
+        lines = [x for x in text.split("\n") if re.search(common.WORD, x)]
+        j, raw = r.judged, text.encode()
+        failed = len(w) < 20 or 100 * len(inside) > 30 * len(w)
         assert (j.n_words, j.word_chars, j.n_repeat_words) == (len(w), sum(map(len, w)), len(inside))
-        assert j.base_failed == (len(w) < 20 or 100 * len(inside) > 30 * len(w))
-        raw = (r.text or "").encode()
-        if raw:
-            assert j.ratio == len(zstandard.ZstdCompressor(level=3).compress(raw)) / len(raw)
+        assert (j.n_symbols, j.n_dup_lines, j.base_failed) == (sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), failed)
+        parts = [raw[a : a + 256] for a in range(0, len(raw), 256)] if len(raw) > 256 else []
+        out = sum(len(p) for p in parts if not brute_fits(bands, p)[0]) / len(raw) if parts else 0.0
+        fits, ratio = brute_fits(bands, raw) if raw else (True, 1.0)
+        assert (j.ratio, j.chunk_share) == pytest.approx((ratio, out)) and j.in_band == (fits and out <= bands.share)
+        assert j.kept == (not failed and j.in_band)
     assert quality.judge(corpus.limit(0)).count() == 0
 
 
@@ -185,7 +208,7 @@ def test_tiling_equals_brute_force():
         tiles = decontam.tile(p, [t], 3)
         for i, j, k in tiles:
             assert p[i : i + k] == t[j : j + k] and k >= 3
-        assert sum(k for _, _, k in tiles) >= 0.75 * brute_tiles(p, t, 3)
+        assert sum(k for _, _, k in tiles) == brute_tiles(p, t, 3)
         assert len({x for i, _, k in tiles for x in range(i, i + k)}) == sum(k for _, _, k in tiles)
 
 
@@ -203,6 +226,34 @@ def test_leaks_catch_reordered_passages(spark, corpus):
     assert decontam.leaks(docs, bench.limit(0)).count() == 0 == decontam.leaks(docs.limit(0), bench).count()
 
 
+def test_leaks_equal_brute_force(spark):
+    """Short alphabets, repeated passages and a phrase that every item and document holds."""
+    rng = random.Random(21)
+    shared = "this very phrase is everywhere"
+    words = [f"w{k}" for k in range(9)]
+    items = [(k, f"{shared} " + " ".join(rng.choices(words, k=rng.randint(1, 30)))) for k in range(25)]
+    items += [(50, " ".join(rng.choices("ab", k=40))), (51, "a b c d e " * 9), (52, prose(rng, 60)), (53, items[3][1])]
+    docs = []
+    for k in range(60):
+        parts = [prose(rng, 20), shared]
+        for _ in range(rng.randint(0, 3)):
+            w = items[rng.randrange(len(items))][1].split()
+            a = rng.randrange(len(w))
+            parts.append(" ".join(w[a : a + rng.randint(3, 30)]))
+        rng.shuffle(parts)
+        docs.append((k, " ".join(parts)))
+    docs += [(90, "a b c d e " * 4), (91, (prose(rng, 9000) + " ") + items[27][1]), (92, None), (93, "")]
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            p, t = decontam.tokens_of(item), decontam.tokens_of(text)
+            if len(t) < 2000 and len(p) >= decontam.LEAST and brute_tiles(p, t, decontam.LEAST) >= 0.5 * len(p):
+                want.add((d, i))
+    want.add((91, 52))
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 20
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     import public_tokenizers
     import tiktoken
