@@ -4,6 +4,9 @@ Rows are numbered 0..N-1 in the order of (doc_id, text). A keyed generalised Fei
 numbers, a = ceil(sqrt(N)); numbers outside 0..N-1 are permuted again until they fall inside (cycle walking), so the
 result is a permutation of 0..N-1. Row r goes to shard perm(r) % shards, slot perm(r) div shards: counts of shards
 differ by one at most, slots have no gaps, and either direction is computable from the seed alone without any table.
+
+The law is `rows`: counts are even, sizes only on average. Rows of equal texts are rows like any others, so a group of
+them is spread over the shards, as evenly as chance has it, and no shard holds a group whole.
 """
 
 from __future__ import annotations

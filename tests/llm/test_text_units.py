@@ -107,3 +107,29 @@ def test_digest_of_the_probe(spark):
     df = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     r = chat.format_chats(df).select(chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
     assert hashlib.sha256(r.loss.encode()).hexdigest() == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_groups_of_equal_texts_and_null_ids_are_spread(spark):
+    rows = [(None, None)] * 300 + [(k, "same text") for k in range(400)] + [(7, "same text")] * 200
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 24).collect()
+    counts = [sum(r.shard == s for r in got) for s in range(24)]
+    assert max(counts) - min(counts) <= 1 and sum(counts) == 900
+    same = [sum(r.shard == s and r.size > 8 for r in got) for s in range(24)]
+    assert min(same) > 10  # no shard holds the group, none is without it
+    slots = sorted((r.shard, r.slot) for r in got)
+    assert slots == [(s, k) for s in range(24) for k in range(counts[s])]
+
+
+def test_a_walk_that_does_not_end_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "WALK", 2)
+    with pytest.raises(Exception, match="cycle walk has not ended"):
+        spark.range(962).select(sharding.permute(F.col("id"), 962, 7)).collect()  # of 1024 numbers: some are outside twice
+
+
+def test_long_conversations_and_texts(spark):
+    long = "word </s> " * 60_000
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k} [INST]") for k in range(3000)] + [(2, 0, "user", long), (2, 1, "assistant", long), (2, 1, "assistant", None), (3, None, None, None)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in out.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_spans"))).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [(r[2], r[3]) for r in rows[:3000]] and got[1].loss == "".join(r[3] for r in rows[1:3000:2])
+    assert [t.text for t in got[2].turns if t.text] == [long, long] and got[2].loss == long
