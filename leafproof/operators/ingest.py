@@ -17,6 +17,16 @@ def by_page() -> Window:
     return Window.partitionBy("doc_id", "revision").orderBy("page_no")
 
 
+#: Bytes that a call carries inline.
+INLINE = 18 * 1024 * 1024
+
+
+def inline_cap(pages: Column, size: Column, cap: int = CAP, inline: int = INLINE) -> Column:
+    """Pages of a window: cap, or fewer if the file is too large to be carried whole, one at least."""
+    fewer = F.floor(inline / (size / pages)).cast("int")
+    return F.when((size <= inline) | (pages < 1), cap).otherwise(F.greatest(F.lit(1), F.least(F.lit(cap), fewer)))
+
+
 def split_oversized(ranges: DataFrame, cap: int = CAP) -> DataFrame:
     """(doc_id, start, stop) -> windows of cap pages at most, each filled before the next."""
     at = F.explode(F.sequence("start", "stop", F.lit(cap))).alias("at")

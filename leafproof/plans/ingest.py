@@ -270,8 +270,9 @@ def bisect_windows(c: Corpus) -> DataFrame:
 
 @query
 def inline_cap(c: Corpus) -> DataFrame:
-    per = F.octet_length("text") + 1
-    return c.pages.select("page_id", F.greatest(F.lit(1), F.least(F.lit(30), F.floor(F.lit(20_000) / per))).cast("int").alias("cap"))
+    """Pages a call may have of each document, whose file is larger than what a call carries inline (here: 200 kB)."""
+    size = c.pages.groupBy("doc_id", "revision").agg(F.count("*").alias("pages"), F.sum(F.octet_length("seen")).alias("bytes"))
+    return size.select("doc_id", "revision", ingest.inline_cap(F.col("pages"), F.col("bytes"), inline=20_000).alias("cap"))
 
 
 @query
@@ -419,8 +420,12 @@ def caption_terms(c: Corpus) -> DataFrame:
 
 @query
 def compose_embedding_text(c: Corpus) -> DataFrame:
-    parts = F.array_distinct(F.filter(F.array(F.col("doc_id"), F.col("section"), F.col("summary"), F.array_join("codes", " "), F.expr("substring(text, 1, 2000)")), lambda p: p != ""))
-    return c.forms.select("page_id", F.md5(F.array_join(parts, "\n")).alias("digest"))
+    """The parts that a page's vector is made of: titles, section, summary, topics, codes, the text's beginning; empty
+    ones are left out, and within topics and codes what is there before."""
+    topics = F.slice(F.split(F.trim("norm"), " "), 9, 4)
+    once = lambda x, by: F.array_join(F.array_distinct(F.filter(F.transform(x, lambda v: F.trim(v)), lambda v: v != "")), by)
+    parts = F.filter(F.array(F.col("doc_id"), F.trim("section"), F.trim("summary"), once(topics, "; "), once(F.col("codes"), " "), F.expr("substring(trim(text), 1, 2000)")), lambda p: p != "")
+    return c.forms.select("page_id", F.size(parts).alias("parts"), F.md5(F.array_join(parts, "\n")).alias("digest"))
 
 
 @query

@@ -289,7 +289,7 @@ SQL: dict[str, str] = {
     "summary_lang": f"{PF} SELECT page_id, CASE WHEN lang IN ('en', 'es') THEN summary ELSE 'first' END AS summary FROM forms",
     "image_ref": f"{P} SELECT page_id, '/pages/' || replace(page_id, '#', '%23') || '/image?dpi=' || CASE WHEN page_no > 5 THEN '220' ELSE '110' END || '&region=0.1,0.2,0.5,0.75' AS url, 0.5::DOUBLE AS x1 FROM pages_",
     "section_of": f"{PF} SELECT page_id, CASE WHEN section = 'Section 1' THEN section END AS title FROM forms",
-    "cap_violations": f"WITH {AUDIT}, e AS (SELECT event_id, CASE WHEN k = 0 THEN 'empty_label' WHEN tool = 'view' AND NOT k BETWEEN 1 AND 25 THEN 'limit_out_of_range' WHEN tool = 'purchase' AND k % 10 > 5 THEN 'fetch_budget_exceeded' WHEN tool = 'click' AND k * 3 > 200 THEN 'verify_budget_exceeded' WHEN tool = 'signup' AND value > 12 THEN 'megapixels_exceeded' END AS error FROM audit) SELECT * FROM e WHERE error IS NOT NULL",
+    "cap_violations": f"WITH {AUDIT}, a AS (SELECT event_id, CASE tool WHEN 'view' THEN 'skim' WHEN 'click' THEN 'verify' WHEN 'purchase' THEN 'fetch' WHEN 'signup' THEN 'read' WHEN 'error' THEN 'lookup' END AS tool, event_id % 7 AS pages, k % 4 = 0 AS blank, event_id % 4 AS reads, [36, 72, 100, 150, 220, 300, 400][1 + k % 7] AS dpi, event_id % 3 AS r, (k % 10) / 10.0::DOUBLE AS x0, round(value / 10, 3)::DOUBLE AS x1, value, k % 90 AS claims, k % 30 - 2 AS lim, k % 5 AS cap, k % 9 = 0 AS nolabel, k % 6 = 0 AS unk FROM audit), e AS (SELECT event_id, tool, CASE tool WHEN 'read' THEN CASE WHEN pages = 0 THEN 'read_empty' WHEN pages > 3 THEN 'read_page_cap_exceeded' WHEN blank THEN 'read_question_missing' WHEN reads = 0 THEN 'budget_exhausted' END WHEN 'fetch' THEN CASE WHEN pages = 0 THEN 'fetch_empty' WHEN pages > 5 THEN 'fetch_budget_exceeded' WHEN dpi = 100 THEN 'dpi_not_allowed' WHEN dpi > 220 AND r = 2 THEN 'dpi_requires_region' WHEN r = 1 OR (r = 0 AND (x1 > 1 OR x1 < 0 OR x0 >= x1)) THEN 'region_invalid' WHEN value > 12 THEN 'fetch_budget_exceeded' END WHEN 'verify' THEN CASE WHEN claims = 0 OR pages = 0 THEN 'verify_empty' WHEN claims * pages > 200 THEN 'verify_budget_exceeded' END WHEN 'skim' THEN CASE WHEN lim < 1 OR lim > 25 THEN 'limit_out_of_range' WHEN blank THEN 'query_required' WHEN unk THEN 'filter_unknown_key' END WHEN 'lookup' THEN CASE WHEN nolabel THEN 'label_empty' WHEN cap < 1 THEN 'cap_out_of_range' WHEN unk THEN 'filter_unknown_key' END END AS error FROM a) SELECT * FROM e WHERE error IS NOT NULL",
     "safety_flag": f"{P} SELECT page_id, len([t for t in list_slice({tok('text')}, 1, 5) if t IN ('the', 'und', 'le')]) > 0 OR doc_id = 'src3' AS safety FROM pages_",
     "label_match": f"{PF} SELECT page_id, section FROM forms WHERE contains({norm('section')}, ' section 1 ')",
     "redact_fields": f"WITH {AUDIT} SELECT event_id, 'https://***@host/x?token=***&q=1' AS url FROM audit",
@@ -371,7 +371,7 @@ SQL: dict[str, str] = {
     "busiest_pages": f"{P} SELECT page_id, count(DISTINCT token) AS n FROM (SELECT page_id, unnest({codes('text')}) AS token FROM srch WHERE has_text) GROUP BY page_id ORDER BY n DESC, page_id LIMIT 3",
     "split_oversized": f"WITH {TOC}, s AS (SELECT doc_id, unnest(range(1, pages + 1, 30))::INT AS start, pages FROM npages) SELECT doc_id, start, least(pages, start + 29)::INT AS stop FROM s",
     "chapter_ranges": f"WITH {TOC} SELECT doc_id, start, stop FROM chap",
-    "inline_cap": f"{P} SELECT page_id, greatest(1, least(30, floor(20000 / (strlen(text) + 1))))::INT AS cap FROM pages_",
+    "inline_cap": f"{P} SELECT doc_id, revision, CASE WHEN sum(strlen(seen)) <= 20000 THEN 30 ELSE greatest(1, least(30, floor(20000 / (sum(strlen(seen)) / count(*))))) END::INT AS cap FROM pages_ GROUP BY ALL",
     "page_index_problems": "WITH li AS (SELECT l_orderkey, l_linenumber::INT AS no FROM lineitem), s AS (SELECT * FROM li UNION ALL SELECT * FROM li WHERE l_orderkey % 5 = 0 AND no = 1), g AS (SELECT l_orderkey, list(no) AS said, count(DISTINCT no) AS d FROM s GROUP BY 1), n AS (SELECT *, list_sort(list_distinct(said)) AS once, CASE WHEN l_orderkey % 7 = 0 THEN d + 1 WHEN l_orderkey % 11 = 0 THEN d - 1 ELSE d END AS n FROM g), o AS (SELECT l_orderkey, array_to_string([x for x in once if len([y for y in said if y = x]) > 1], ',') AS duplicate, array_to_string([x for x in range(1, n + 1) if NOT list_contains(once, x::INT)], ',') AS missing, array_to_string([x for x in once if x < 1 OR x > n], ',') AS outside FROM n) SELECT * FROM o WHERE duplicate <> '' OR missing <> '' OR outside <> ''",
     "extraction_counts": f'{PF} SELECT doc_id, ((page_no - 1) // 30)::BIGINT AS "window", count(*) AS forms, sum(len(codes))::BIGINT AS codes FROM forms GROUP BY ALL',
     "form_page_join": f"{P}, f AS (SELECT DISTINCT l_orderkey % 1000 AS row_id, l_linenumber FROM lineitem) SELECT pages_.row_id, page_no FROM f JOIN pages_ ON f.row_id = pages_.row_id AND l_linenumber = page_no",
@@ -392,7 +392,7 @@ SQL: dict[str, str] = {
     "page_kind": f"{PF} SELECT CASE WHEN read_kind = 'Chart' THEN 'prose' ELSE read_kind END AS kind, count(*) AS n FROM forms GROUP BY 1",
     "missing_summary_langs": f"{PF} SELECT page_id, CASE WHEN lang = 'en' THEN '' WHEN row_id % 2 = 0 THEN 'en' ELSE lang END AS missing FROM forms",
     "caption_terms": f"{PF}, t AS (SELECT page_id, {tok('text')} AS own, {tok(chr(115) + 'ummary || ' + chr(39) + ' ' + chr(39) + ' || section')} AS words FROM forms) SELECT page_id, array_to_string([w for w in words if NOT list_contains(own, w)], ' ') AS terms FROM t",
-    "compose_embedding_text": f"{PF}, t AS (SELECT page_id, [p for p in [doc_id, section, summary, array_to_string(codes, ' '), substring(text, 1, 2000)] if p <> ''] AS ps FROM forms) SELECT page_id, md5(array_to_string({distinct('ps')}, chr(10))) AS digest FROM t",
+    "compose_embedding_text": f"{PF}, t AS (SELECT page_id, list_slice(string_split(trim(norm), ' '), 9, 12) AS tp, codes, doc_id, section, summary, text FROM forms), u AS (SELECT *, [x for x in tp if x <> ''] AS tq FROM t), p AS (SELECT page_id, [x for x in [doc_id, trim(section), trim(summary), array_to_string({distinct('tq')}, '; '), array_to_string(codes, ' '), substring(trim(text, ' '), 1, 2000)] if x <> ''] AS ps FROM u) SELECT page_id, len(ps)::INT AS parts, md5(array_to_string(ps, chr(10))) AS digest FROM p",
     "derive_pages": f"{PF}{BACKED}, n AS (SELECT *, try_cast(lag(printed_label) OVER w AS BIGINT) AS b, try_cast(lead(printed_label) OVER w AS BIGINT) AS a FROM rated WINDOW w AS (PARTITION BY doc_id, revision ORDER BY page_no)), i AS (SELECT *, coalesce(printed_label IS NULL AND a - b = 2, false) AS ip FROM n) SELECT page_id, CASE WHEN ip THEN (b + 1)::VARCHAR ELSE printed_label END AS label, array_to_string([f for f in [CASE WHEN ip THEN 'label_interpolated' END, CASE WHEN NOT has_text THEN 'no_text' END, CASE WHEN len([c for c in codes if NOT list_contains(backed, c)]) > 0 THEN 'ungrounded_codes' END] if f IS NOT NULL], ',') AS flags, len(codes)::INT AS n_codes, round(rate, 6) AS rate FROM i",
     "publish_gates": f"{PF}{GATES} SELECT * FROM gates",
     "gate_decision": f"{PF}{GATES} SELECT doc_id, revision, array_to_string(lft, ',') AS blocking, len(lft) = 0 AS publish, refused, array_to_string(flags, ',') AS flags FROM decided",

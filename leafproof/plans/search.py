@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafproof.functions import text as T
-from leafproof.operators import exact, health, rank, triage
+from leafproof.operators import caps, exact, health, rank, triage
 from leafproof.plans.registry import query
 from leafproof.sources.corpus import Corpus
 
@@ -112,14 +112,17 @@ def section_of(c: Corpus) -> DataFrame:
 
 @query
 def cap_violations(c: Corpus) -> DataFrame:
-    """Typed refusals of calls: limit 1..25, at most 5 pages, 200 pairs, 12 megapixels."""
-    a = c.audit
-    code = (
-        F.when(F.col("k") == 0, "empty_label").when((F.col("tool") == "view") & ~F.col("k").between(1, 25), "limit_out_of_range")
-        .when((F.col("tool") == "purchase") & (F.col("k") % 10 > 5), "fetch_budget_exceeded").when((F.col("tool") == "click") & (F.col("k") * 3 > 200), "verify_budget_exceeded")
-        .when((F.col("tool") == "signup") & (F.col("value") > 12), "megapixels_exceeded")
+    """Typed refusals of the calls that the log's rows stand for."""
+    k, e = F.col("k"), F.col("event_id")
+    tool = F.create_map(*[F.lit(x) for p in (("view", "skim"), ("click", "verify"), ("purchase", "fetch"), ("signup", "read"), ("error", "lookup")) for x in p])[F.col("tool")]
+    corners = F.array((k % 10) / 10, F.lit(0.1), F.round(F.col("value") / 10, 3), F.lit(0.9))
+    a = c.audit.select(
+        "event_id", tool.alias("tool"), (e % 7).alias("pages"), F.when(k % 4 == 0, "  ").otherwise("what").alias("question"), (e % 4).alias("reads"),
+        F.get(F.array(*[F.lit(x) for x in (36, 72, 100, 150, 220, 300, 400)]), (k % 7).cast("int")).alias("dpi"),
+        F.when(e % 3 == 0, corners).when(e % 3 == 1, F.slice(corners, 1, 3)).alias("region"), F.col("value").alias("megapixels"), (k % 90).alias("claims"),
+        (k % 30 - 2).alias("limit"), (k % 5).alias("cap"), F.when(k % 9 == 0, "").otherwise("K1").alias("label"), F.array(F.lit("doc_id"), F.when(k % 6 == 0, "colour").otherwise("lang")).alias("scope"),
     )
-    return a.select("event_id", code.alias("error")).filter("error is not null")
+    return a.select("event_id", "tool", caps.refusal({n: F.col(n) for n in a.columns}).alias("error")).filter("error is not null")
 
 
 @query

@@ -40,16 +40,19 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, size, time of change) of the files under a path, in any store, empty ones included."""
+    at, out = spark._jvm.org.apache.hadoop.fs.Path(path), []
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return out
+
+
 def signature(spark: SparkSession, paths: list[str]) -> str:
     """A digest of the paths, sizes and times of the files under paths."""
-    jvm, conf, out = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
-    for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        files = at.getFileSystem(conf).listFiles(at, True)
-        while files.hasNext():
-            f = files.next()
-            out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
-    return hashlib.sha256("\n".join(sorted(out)).encode()).hexdigest()[:24]
+    return hashlib.sha256("\n".join(sorted(str(f) for p in paths for f in listed(spark, p))).encode()).hexdigest()[:24]
 
 
 def written(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
