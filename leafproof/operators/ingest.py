@@ -194,3 +194,50 @@ def extracted(windows: DataFrame, bad: DataFrame, cap: int = CAP) -> DataFrame:
     for _ in range(math.ceil(math.log2(max(2, cap))) + 1):
         parts = F.flatten(F.transform(parts, halve))
     return near.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.start", "p.stop", "p.state", "p.calls")
+
+
+def tilings(forms: DataFrame, evidence: DataFrame, pages: DataFrame) -> DataFrame:
+    """Where windows sit whose place is lost: doc_id, win, start, found.
+
+    forms: (doc_id, win, at, label), the pages of each window numbered from 1; evidence: (doc_id, page_no, label), what
+    is known of a document's pages; pages: (doc_id, pages). A window may start where each of its pages has a label
+    that is known of that page, or nothing is known of the page. The windows of a document must cover its pages, each
+    once, in some order. found: orders that do, 2 for more than one; start is null unless there is exactly one.
+
+    Places that evidence allows are found by joins over all documents; a document's search goes over its few windows.
+    """
+    import pandas as pd
+
+    w = forms.groupBy("doc_id", "win").agg(F.count("*").alias("width"))
+    starts = w.join(pages, "doc_id").filter("width <= pages").select("doc_id", "win", "width", "pages", F.explode(F.sequence(F.lit(1), (F.col("pages") - F.col("width") + 1).cast("int"))).alias("start"))
+    known = evidence.groupBy("doc_id", "page_no").agg(F.collect_set("label").alias("labels"))
+    each = starts.join(forms, ["doc_id", "win"]).withColumn("page_no", (F.col("start") + F.col("at") - 1).cast("int")).join(known, ["doc_id", "page_no"], "left")
+    fits = F.col("labels").isNull() | F.coalesce(F.array_contains("labels", F.col("label")), F.lit(False))
+    places = each.groupBy("doc_id", "win", "start", "width", "pages").agg(F.min(fits.cast("int")).alias("ok")).filter("ok = 1").drop("ok")
+    every = w.join(places.drop("width"), ["doc_id", "win"], "left").join(pages.withColumnRenamed("pages", "n"), "doc_id")
+
+    def search(key, g: pd.DataFrame) -> pd.DataFrame:
+        width, total = dict(zip(g["win"], g["width"])), int(g["n"].iloc[0])
+        at: dict[int, list] = {}
+        for win, start in zip(g["win"], g["start"]):
+            if start == start:  # a window without a place has none
+                at.setdefault(int(start), []).append(win)
+        found: list[dict] = []
+
+        def place(start: int, used: dict) -> None:
+            if start > total:
+                if len(used) == len(width):
+                    found.append(dict(used))
+                return
+            for win in sorted(at.get(start, [])):
+                if win not in used and len(found) < 2:
+                    used[win] = start
+                    place(start + int(width[win]), used)
+                    del used[win]
+
+        place(1, {})
+        only = found[0] if len(found) == 1 else {}
+        return pd.DataFrame([(key[0], win, only.get(win), len(found)) for win in sorted(width)], columns=["doc_id", "win", "start", "found"])
+
+    kind = forms.schema["doc_id"].dataType.simpleString()
+    return every.groupBy("doc_id").applyInPandas(search, f"doc_id {kind}, win long, start int, found int")

@@ -268,6 +268,14 @@ def bisect_windows(c: Corpus) -> DataFrame:
     return ingest.extracted(plan.drop("level"), bad)
 
 
+@query
+def window_tiling(c: Corpus) -> DataFrame:
+    """Each document's windows of thirty pages, put back in their places by the labels known of its pages."""
+    f = c.forms.select(F.concat_ws("@", "doc_id", "revision").alias("doc_id"), "page_no", F.col("printed_label").alias("label"))
+    forms = f.select("doc_id", F.floor((F.col("page_no") - 1) / 30).alias("win"), ((F.col("page_no") - 1) % 30 + 1).alias("at"), "label")
+    return ingest.tilings(forms, f.filter("label is not null"), f.groupBy("doc_id").agg(F.count("*").alias("pages"))).select("doc_id", "win", "start", "found")
+
+
 @query
 def inline_cap(c: Corpus) -> DataFrame:
     """Pages a call may have of each document, whose file is larger than what a call carries inline (here: 200 kB)."""

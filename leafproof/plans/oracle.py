@@ -433,6 +433,7 @@ SQL: dict[str, str] = {
     "skim_narrowed": f"{P}{NARROW} SELECT fused_rank, page_id, round(score, 9) AS score, why FROM numbered WHERE fused_rank <= 25",
     "label_witnesses": f"{PF}{witnesses('forms')} SELECT page_id, label, confirms, NOT confirms AND (pv OR nx) AS witness, CASE WHEN confirms THEN '' ELSE array_to_string([x for x in [CASE WHEN pv THEN -1 END, CASE WHEN nx THEN 1 END] if x IS NOT NULL], ',') END AS printed_on FROM wit",
     "gate_failures": f"{PF}{GATES} SELECT gate, count_if(NOT passed)::BIGINT AS failures, count_if(skipped)::BIGINT AS skipped, min(metric) AS least FROM gates GROUP BY gate",
+    "window_tiling": f"{P} SELECT doc_id || '@' || revision AS doc_id, ((page_no - 1) // 30)::BIGINT AS win, min(page_no)::INT AS start, 1 AS found FROM pages_ GROUP BY ALL",
 }
 PACKED = """,
 po AS (SELECT doc_id, start, stop, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS n FROM {source}),

@@ -63,3 +63,27 @@ def test_numbers_run_within_each_group_whatever_the_ranges(spark):
         seen[(d, r)] = seen.get((d, r), 0) + 1
         assert got[k] == seen[(d, r)]
     assert store.numbered(df.limit(0), ["d", "r"], "id", "n").count() == 0
+
+
+def test_windows_find_their_places_by_labels(spark):
+    def place(windows, labels, pages):
+        forms = [(1, w, k + 1, x) for w, ls in enumerate(windows) for k, x in enumerate(ls)]
+        f = spark.createDataFrame(forms, "doc_id long, win long, at int, label string")
+        e = spark.createDataFrame([(1, n, x) for n, xs in labels.items() for x in xs], "doc_id long, page_no int, label string")
+        got = ingest.tilings(f, e, spark.createDataFrame([(1, pages)], "doc_id long, pages long")).collect()
+        return {r.win: r.start for r in got}, got[0].found
+
+    assert place([["3", None], ["1", "2"], ["5"]], {1: ["1"], 3: ["x", "3"], 5: ["5"]}, 5) == ({0: 3, 1: 1, 2: 5}, 1)
+    assert place([["a"], ["b"]], {}, 2) == ({0: None, 1: None}, 2)  # nothing tells them apart
+    assert place([["a"], ["b"]], {1: ["b"]}, 2) == ({0: 2, 1: 1}, 1)
+    assert place([["a"], [None]], {1: ["b"], 2: ["a"]}, 2) == ({0: None, 1: None}, 0)  # page 1 is known to be neither
+    assert place([["a"]], {}, 3) == ({0: None}, 0)  # pages are left over
+
+
+def test_scopes_are_read_from_words():
+    from leafproof.operators import exact
+
+    assert exact.parse_scope(["doc_id=SYN-M1", "page_no=5", "lang=['en', 'de']", "a=b=c"]) == {"doc_id": "SYN-M1", "page_no": 5, "lang": ["en", "de"], "a": "b=c"}
+    for bad in ("doc_id", "=x"):
+        with pytest.raises(exact.ScopeError):
+            exact.parse_scope([bad])
