@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
-        alone = spark.sparkContext.master.startswith(("local[", "local")) and "cluster" not in spark.sparkContext.master
+        alone = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
         named = "file://" + tempfile.mkdtemp(prefix="leafproof-") if alone else spark.conf.get("spark.sql.warehouse.dir") + "/leafproof-shared"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
