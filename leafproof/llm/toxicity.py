@@ -203,7 +203,7 @@ class Training:
     tried: int = 400
     c: float = 0.01
     spoilt: int = 4
-    share: float = 0.03
+    share: float = 0.1
     errors: float = 2.0
 
 
@@ -261,8 +261,9 @@ def insert_letters(string: str, times: int) -> list[str]:
     return [string[:a] + rng.choice("abcdefghijklmnopqrstuvwxyz") + string[a:] for a in rng.choices(places, k=times)]
 
 
-def train(texts: list[str], toxic: np.ndarray, p: Training = Training()) -> Model:
-    """Fit on labelled texts. Fewer than one text of either class: a constant score, the smoothed share of toxic ones."""
+def train(texts: list[str], toxic: np.ndarray, p: Training = Training(), odds: float | None = None) -> Model:
+    """Fit on labelled texts. Fewer than one text of either class: a constant score, the smoothed share of toxic ones.
+    odds: clean texts to a toxic one among all labels, which the sigmoid is fitted to; None: those of the texts."""
     pos, n = int(toxic.sum()), len(texts)
     if not 0 < pos < n:
         share = (pos + 0.5) / (n + 1.0) if n else 0.0
@@ -318,7 +319,7 @@ def train(texts: list[str], toxic: np.ndarray, p: Training = Training()) -> Mode
         if len(o) and margin[o].max() > worst[j]:
             worst[j], which[j] = margin[o].max(), o[margin[o].argmax()]
     # the sigmoid sees each toxic text's witness in its forms with a foreign letter too
-    f, y, weight = [worst], [toxic.astype(float)], [np.ones(n)]
+    f, y, weight = [worst], [toxic.astype(float)], [np.where(toxic == 1, 1.0, 1.0 if odds is None else odds * pos / (n - pos))]
     if plain:
         forms = dict(zip(telling.tolist(), k.margins(spoilt, table).reshape(len(plain), -1)))
         for j in np.flatnonzero(toxic == 1):
@@ -336,15 +337,15 @@ def held_out(doc_id) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int, longest: int) -> DataFrame:
-    """(text, y) of labelled rows that are not held out: at most per_class of either label, of at most `longest` code
-    points each. Where there are more, those whose id's hash is under the share that gives nine tenths of it."""
+    """(text, y, odds) of labelled rows that are not held out: at most per_class of either label, of at most `longest` code
+    points each. Where there are more, those whose id's hash is under the share that gives nine tenths of it. odds: clean labels to a toxic one, of all."""
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     cut = F.lit(0)
     for y, n in counts.items():
         cut = F.when(F.col("y") == y, 1_000_000 if n <= per_class else int(900_000 * per_class / n)).otherwise(cut)
     some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < cut)
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(some, "doc_id").select("text", "y")
+    rows = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(some, "doc_id").select("text", "y", F.lit(counts.get(0, 0) / max(1, counts.get(1, 0))).alias("odds"))
     return rows.filter("y = 0").limit(per_class).unionByName(rows.filter("y = 1").limit(per_class))
 
 
@@ -357,7 +358,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: in
 
     def fit(key, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["y", "text"])  # the order rows arrive in plays no part
-        return pd.DataFrame({"model": [train(list(g["text"]), g["y"].to_numpy(dtype=np.int64)).to_bytes()]})
+        return pd.DataFrame({"model": [train(list(g["text"]), g["y"].to_numpy(dtype=np.int64), odds=float(g["odds"].iloc[0])).to_bytes()]})
 
     one = sample(docs, labels, per_class, longest).withColumn("all", F.lit(0))
     got = one.groupBy("all").applyInPandas(fit, "model binary").first()
