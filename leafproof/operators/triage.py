@@ -46,6 +46,11 @@ LEADS = {
 COMPLETE = "not in these documents"
 
 
+def together():
+    """All rows of a skim, 150 at most, as one window."""
+    return Window.partitionBy(F.lit(1))
+
+
 def terms_of(query: str) -> tuple[list[str], list[str]]:
     """(tokens of the identifiers, longer tokens of the prose) of a question, each once."""
     codes, prose = rank.split(query)
@@ -75,7 +80,7 @@ def marked(rows: DataFrame, query: str) -> DataFrame:
     mark = F.when(r.isin("exact_hit", "summary_match"), "relevant").when(r == "no_overlap", "irrelevant").otherwise("uncertain")
     out = rows.withColumn("reason", reason).withColumn("mark", mark).withColumn("matched", F.when(r == "exact_hit", lists(ids)).otherwise(shown))
     out = out.withColumn("promoted", r == "exact_hit").withColumn("lexical", lexical)
-    small = rows.agg(F.count("*").alias("n")).scalar() <= SMALL_SET
+    small = F.count(F.lit(1)).over(together()) <= SMALL_SET
     rest = small & (F.col("mark") != "relevant")
     return out.withColumn("reason", F.when(rest, "small_set").otherwise(r)).withColumn("mark", F.when(rest, "relevant").otherwise(F.col("mark")))
 
@@ -99,10 +104,10 @@ def decide(vision: Column, slots: Column, reads: Column, zoom: Column, pages: Co
 def routed(look: DataFrame, callers: DataFrame) -> DataFrame:
     """look: page_id, place (1, 2, ... in the order to look); callers: caller, vision, slots, reads, zoom: a short
     list. One route for the set; pages past its cap wait for a second call."""
-    n = look.agg(F.count("*").alias("n")).scalar()
-    route, reason = decide(F.col("vision"), F.col("slots"), F.col("reads"), F.col("zoom"), n)
+    route, reason = decide(F.col("vision"), F.col("slots"), F.col("reads"), F.col("zoom"), F.col("n"))
     cap = F.when(F.col("route") == "read", READ_PAGES).otherwise(FETCH_PAGES)
-    each = look.withColumn("one", F.lit(1)).join(F.broadcast(callers.withColumn("route", route).withColumn("reason", reason).withColumn("one", F.lit(1))), "one")
+    each = look.withColumn("n", F.count(F.lit(1)).over(together())).withColumn("one", F.lit(1)).join(F.broadcast(callers.withColumn("one", F.lit(1))), "one")
+    each = each.withColumn("route", route).withColumn("reason", reason)
     late = F.col("route").isNotNull() & (F.col("place") > cap)
     return each.select("caller", "page_id", F.when(~late, F.col("route")).alias("route"), F.when(late, "deferred_over_cap").otherwise(F.col("reason")).alias("reason"))
 

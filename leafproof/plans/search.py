@@ -383,9 +383,8 @@ def surfaces(c: Corpus, query: str = QUERY, wanted: dict | None = None, exclude:
     terms: dict[str, int] = {}
     for t in T.tok(query):
         terms[t] = terms.get(t, 0) + 1
-    captions = c.forms.filter("is_current").select("row_id", F.explode(T.tokens(F.concat_ws(" ", "summary", "section"))).alias("term")).filter(F.col("term").isin(*terms)).groupBy("row_id", "term").agg(F.count("*").alias("tf"))
     collection = c.current.select("row_id")
-    return out | {"lexical": rank.sparse(c.postings, terms, here, collection), "captions": rank.sparse(captions, terms, here, collection)}
+    return out | {"lexical": rank.sparse(c.postings, terms, here, collection), "captions": rank.sparse(c.captions, terms, here, collection)}
 
 
 @query

@@ -92,6 +92,16 @@ class Corpus:
         """(row_id, term, tf) of current pages that have text, sorted by term: a term's rows are found by its range."""
         return store.written(self.spark, f"{self.index}/postings", self._make_postings)
 
+    def _make_captions(self) -> DataFrame:
+        words = self.forms.filter("is_current").select("row_id", F.explode(T.tokens(F.concat_ws(" ", "summary", "section"))).alias("term"))
+        tf = words.groupBy("row_id", "term").agg(F.count("*").alias("tf"))
+        return tf.repartitionByRange("term", "row_id").sortWithinPartitions("term", "row_id")
+
+    @cached_property
+    def captions(self) -> DataFrame:
+        """(row_id, term, tf) of current pages' summaries and sections, sorted by term."""
+        return store.written(self.spark, f"{self.index}/captions", self._make_captions)
+
     @cached_property
     def terms(self) -> DataFrame:
         """(term, df): in how many current pages a term is."""
