@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,15 @@ LEADS = {
     "insufficient": "The pages looked at in {docs} do not answer this.",
     "rejected": "A draft answer was written from {docs} and rejected: the codes it cited are not printed on the pages it cited them from.",
 }
+#: The numbers that follow, and how an abstention ends: with pages that nobody looked at, nothing searched,
+#: all image-only pages looked at, or none there. Only the last two claim completeness.
+COUNT = "{pages} page(s) searched across {n} document(s)."
+ENDS = {
+    "unexamined": "{left} image-only page(s) in {docs} were not examined \u2014 look at them with `fetch` or `read` before concluding anything about the corpus.",
+    "nothing": "No page was searched, so nothing follows about the corpus \u2014 widen the scope or check that this release has a published document.",
+    "examined": "All {no_text} image-only page(s) in scope were examined, so this is not in these documents.",
+    "text": "Every page in scope has a text layer, so this is not in these documents.",
+}
 COMPLETE = "not in these documents"
 
 
@@ -134,23 +145,24 @@ def names(docs: Column) -> Column:
     return F.when(n == 0, "the scope searched").when(n == 1, last).otherwise(F.concat(head, F.lit(" and "), last))
 
 
+def filled(template: str, cells: dict[str, Column]) -> Column:
+    """A template with its {names} replaced."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[cells[x].cast("string") if k % 2 else F.lit(x) for k, x in enumerate(parts)])
+
+
 def abstention(reason: Column) -> Column:
     """What is said when no answer is: what was done, the numbers, and what nobody looked at. Completeness is claimed
-    only where no page is left unexamined."""
-    docs, pages = F.col("docs"), F.col("pages")
+    only where no page is left unexamined. Reads docs, blind, pages, no_text, looked."""
+    docs, blind = F.col("docs"), F.col("blind")
     left = F.greatest(F.lit(0), F.col("no_text") - F.col("looked"))
+    cells = {"docs": names(docs), "pages": F.col("pages"), "n": F.size(docs)}
     lead = F.lit(None).cast("string")
     for r, text in LEADS.items():
-        lead = F.when(reason == r, F.concat(F.lit(text.split("{docs}")[0]), names(docs), F.lit(text.split("{docs}")[1]))).otherwise(lead)
-    count = F.concat(pages.cast("string"), F.lit(" page(s) searched across "), F.size(docs).cast("string"), F.lit(" document(s)."))
-    blind = F.when(F.size("blind") > 0, F.col("blind")).otherwise(docs)
-    gap = (
-        F.when(left > 0, F.concat(left.cast("string"), F.lit(" image-only page(s) in "), names(blind), F.lit(" were not examined \u2014 look at them with `fetch` or `read` before concluding anything about the corpus.")))
-        .when(pages == 0, "No page was searched, so nothing follows about the corpus \u2014 widen the scope or check that this release has a published document.")
-        .when(F.col("no_text") > 0, F.concat(F.lit("All "), F.col("no_text").cast("string"), F.lit(f" image-only page(s) in scope were examined, so this is {COMPLETE}.")))
-        .otherwise(f"Every page in scope has a text layer, so this is {COMPLETE}.")
-    )
-    return F.concat_ws(" ", lead, count, gap)
+        lead = F.when(reason == r, filled(text, cells)).otherwise(lead)
+    end = {k: filled(v, {"left": left, "docs": names(F.when(F.size(blind) > 0, blind).otherwise(docs)), "no_text": F.col("no_text")}) for k, v in ENDS.items()}
+    gap = F.when(left > 0, end["unexamined"]).when(F.col("pages") == 0, end["nothing"]).when(F.col("no_text") > 0, end["examined"]).otherwise(end["text"])
+    return F.concat_ws(" ", lead, filled(COUNT, cells), gap)
 
 
 def verdicts(cited: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:

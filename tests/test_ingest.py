@@ -83,7 +83,7 @@ def test_windows_find_their_places_by_labels(spark):
 def test_scopes_are_read_from_words():
     from leafproof.operators import exact
 
-    assert exact.parse_scope(["doc_id=SYN-M1", "page_no=5", "lang=['en', 'de']", "a=b=c"]) == {"doc_id": "SYN-M1", "page_no": 5, "lang": ["en", "de"], "a": "b=c"}
+    assert exact.parse_scope(["doc_id=D-1", "page_no=5", "lang=['en', 'de']", "a=b=c"]) == {"doc_id": "D-1", "page_no": 5, "lang": ["en", "de"], "a": "b=c"}
     for bad in ("doc_id", "=x"):
         with pytest.raises(exact.ScopeError):
             exact.parse_scope([bad])
