@@ -10,13 +10,13 @@ from leafproof.operators import exact, health, ingest, rank
 
 #: (doc_id, revision, page_no, text, is_current, has_text, text_trust)
 PAGES = [
-    ("SYN-M1", "1.0", 1, "Alarm SF 1.1A near K 158", True, True, "ok"),
-    ("SYN-M1", "1.0", 2, "see K158 and SF1.1A", True, True, "ok"),
-    ("SYN-M1", "1.0", 3, "SF 121.1 relay", True, True, "degraded"),
-    ("SYN-M1", "1.0", 5, "", True, False, "no_text"),
-    ("SYN-M1", "1.0", 8, "1.1A stands before SF", True, True, "ok"),
-    ("SYN-M1", "1.0", 10, "K404 drawn badly", True, True, "untrusted"),
-    ("SYN-M1", "0.9", 1, "SF 7.7A and K 158", False, True, "ok"),
+    ("DOC-1", "1.0", 1, "Alarm SF 1.1A near K 158", True, True, "ok"),
+    ("DOC-1", "1.0", 2, "see K158 and SF1.1A", True, True, "ok"),
+    ("DOC-1", "1.0", 3, "SF 121.1 relay", True, True, "degraded"),
+    ("DOC-1", "1.0", 5, "", True, False, "no_text"),
+    ("DOC-1", "1.0", 8, "1.1A stands before SF", True, True, "ok"),
+    ("DOC-1", "1.0", 10, "K404 drawn badly", True, True, "untrusted"),
+    ("DOC-1", "0.9", 1, "SF 7.7A and K 158", False, True, "ok"),
 ]
 
 
@@ -69,7 +69,7 @@ def test_resolve_leads_to_labels_and_brackets(spark):
 
 def test_verdicts(spark, pages):
     asked = [("SF 1.1A", 1, "1.0"), ("SF 1.1A", 8, "1.0"), ("SF 9.9", 5, "1.0"), ("K404", 10, "1.0"), ("SF 7.7A", 1, "0.9"), ("K158", 99, "1.0")]
-    pairs = spark.createDataFrame([(c, f"SYN-M1@{v}#p{n:03d}") for c, n, v in asked], "claim string, page_id string")
+    pairs = spark.createDataFrame([(c, f"DOC-1@{v}#p{n:03d}") for c, n, v in asked], "claim string, page_id string")
     got = {(r.claim, r.page_id[-3:]): (r.state, r.reason) for r in exact.verify_matrix(pairs, pages).collect()}
     assert got == {
         ("SF 1.1A", "001"): ("present", None), ("SF 1.1A", "008"): ("absent", None), ("SF 9.9", "005"): ("unverifiable", "no_text"),
