@@ -64,14 +64,15 @@ def written(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> Da
     return spark.read.parquet(path)
 
 
-def numbered(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """rows (narrow, without texts) with `name`: 1, 2, ... within each key in the order of `order`.
+def numbered(rows: DataFrame, keys: list[str], order: str | list[str], name: str) -> DataFrame:
+    """rows (narrow, without texts) with `name`: 1, 2, ... within each key in the order of `order`, which
+    holds no texts.
 
     No task sees a whole group. Rows are sorted over the cluster, written with their places, and each range's first
     number is the count of the group's rows in the ranges before it: a window over one row a group and range.
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    by = [*keys, order]
+    by = [*keys, *([order] if isinstance(order, str) else order)]
     at = durable(rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()), "places")
     part = F.shiftright("_id", 33).alias("_part")
     at = at.select("*", part)
