@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, decontam, lmscore, neardup, quality, sharding, tokens, toxicity, urls
+from . import bpe, chat, convrepair, decontam, lexical, linededup, lmscore, neardup, quality, sharding, tokens, toxicity, urls
 from .common import prepare, table
 
 #: The host and path rules of the url filter.
@@ -104,6 +104,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    mended = convrepair.repair(convrepair.damage(talks))
+    ids = talks.select(F.col("conv_id").alias("id")).distinct()
+    report = mended.report.select(F.col("conv_id").alias("_r"), *[c for c in mended.report.columns if c != "conv_id"])
+    digests = convrepair.digests(mended.turns).select(F.col("conv_id").alias("_d"), "sha256")
+    out = ids.join(report, F.col("id").eqNullSafe(F.col("_r")), "left").join(digests, F.col("id").eqNullSafe(F.col("_d")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.drop_lines(docs, linededup.build(docs))
+    return out.select("doc_id", "counted.n_lines", "counted.n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_quality_rules": op3_quality_rules,
@@ -115,6 +136,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_format": op7_chat_format,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_sharding": op10_sharding,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 
