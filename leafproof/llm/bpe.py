@@ -61,7 +61,7 @@ def starts_of(pattern: str) -> Callable:
     return make
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, huge: int = 50_000, chunk: int = 16_384, overlap: int = 512) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, huge: int = 16_384, chunk: int = 16_384, overlap: int = 512) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit ids): a row for each row of docs (doc_id, text).
 
     Null text encodes as empty; null doc_ids stay; repeated rows are kept. Empty docs give an empty result. Other

@@ -38,9 +38,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def row_key() -> Column:
-    """A digest of doc_id and text: what a document's row is known by."""
-    told = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit("")))
+def row_key(id_column: str = "doc_id") -> Column:
+    """A digest of id and text: what a document's row is known by. The id comes with its length, or is n if it is
+    null, so no two pairs read alike."""
+    name = F.col(id_column).cast("string")
+    told = F.concat(F.coalesce(F.concat(F.octet_length(name).cast("string"), F.lit(":"), name), F.lit("n")), F.coalesce(F.col("text"), F.lit("")))
     return F.unhex(F.sha2(told.cast("binary"), 256))
 
 

@@ -133,7 +133,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFram
                     rows.append((key, w, np.unique(s.windows(s.hashes(w), LEAST)).view(np.int64)))
             yield pd.DataFrame(rows, columns=["item", "words", "seeds"])
 
-    item_key = F.sha2(F.concat_ws("|", F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))), 256)
+    item_key = F.hex(row_key("item_id"))
     base = items.select(item_key.alias("item"), "item_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["item"])
     cut = durable(base.select("item", "text").mapInPandas(seeds_of, "item string, words array<string>, seeds array<bigint>"), "items")
     seeds = cut.select("item", F.explode("seeds").alias("seed"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, row_key
 
 CHUNKS = "key string, i int, last boolean, base bigint, body string"
 ZONE = "array<struct<at:bigint,seen:bigint>>"
@@ -32,9 +32,7 @@ Scan = Callable[[str], tuple[int, list[tuple[int, int]]]]
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(key, doc_id, text): the key is a digest of doc_id and text, so repeated rows share it and may be told once."""
-    text = F.coalesce("text", F.lit(""))
-    key = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text), 256)
-    return docs.select(key.alias("key"), "doc_id", text.alias("text"))
+    return docs.select(F.hex(row_key()).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def cut(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, bool, int, str]]:

@@ -93,7 +93,7 @@ def scanner(path: str, pattern: str | None) -> Callable:
     return make
 
 
-def count_tokens(docs: DataFrame, path: str, pattern: str | None = None, huge: int = 50_000, chunk: int = 16_384, overlap: int = 512) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, pattern: str | None = None, huge: int = 16_384, chunk: int = 16_384, overlap: int = 512) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens: a row for each row of docs (doc_id, text), repeated rows included.
 
     path: a tokenizer file of the tokenizers library. pattern: its pre-token pattern, if it is a byte-level one; each
