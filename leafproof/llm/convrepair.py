@@ -219,7 +219,7 @@ def repair(turns: DataFrame) -> Repair:
     level = durable(level.select("conv_id", "run", "m.*"), "level")
     while most > 0:
         met = level.groupBy("conv_id", F.floor(F.col("run") / FAN).alias("run")).agg(F.array_sort(F.collect_list(F.struct("run", "costs", "audits", "sums"))).alias("p"))
-        laid = [F.flatten(F.transform("p", lambda x, n=n: x[n])) for n in ("costs", "audits", "sums")]
+        laid = [F.flatten(F.col("p")[n]) for n in ("costs", "audits", "sums")]
         level = durable(met.select("conv_id", "run", F.pandas_udf(tree_product, TREE)(*laid).alias("m")).select("conv_id", "run", "m.*"), "level")
         most //= FAN
 
