@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafproof.functions import text as T
+from leafproof.operators import phrases
 
 #: The keys a scope may filter on; others are refused before planning.
 SCOPE_KEYS = ("doc_id", "revision", "is_current", "page_no", "lang", "has_text", "text_trust")
@@ -59,23 +60,16 @@ def searchable(pages: DataFrame) -> DataFrame:
     return trusted(pages).filter("has_text")
 
 
-def phrase(norm: Column, label: str) -> Column:
-    """An OR of substring tests over the label's spellings, made on the driver so that it can reach the scan."""
-    import re
-
-    one, bare = re.sub(r"\s+", " ", label).strip(), re.sub(r"\s+", "", label)
-    apart = re.sub(r"([0-9])([^\W\d_])", r"\1 \2", re.sub(r"([^\W\d_])([0-9])", r"\1 \2", bare))
-    out = F.lit(False)
-    for v in dict.fromkeys([one, bare, apart]):
-        words = T.tok(v)
-        if words:
-            out = out | norm.contains(f" {' '.join(words)} ")
-    return out
+def printing(pages: DataFrame, label: str, positions: DataFrame | None = None) -> DataFrame:
+    """The pages that print a label, by the positional index of their row_id; without one it is made of their text."""
+    on = "row_id" if positions is not None else "page_id"
+    index = positions if positions is not None else phrases.positions_of(pages, on)
+    return pages.join(phrases.literal_hits(index, label, on), on, "left_semi")
 
 
-def lookup_hits(pages: DataFrame, label: str, wanted: dict[str, object] | None = None) -> DataFrame:
+def lookup_hits(pages: DataFrame, label: str, wanted: dict[str, object] | None = None, positions: DataFrame | None = None) -> DataFrame:
     """Current, searchable pages in scope that print the label."""
-    return trusted(current_only(scope(pages, wanted or {}))).filter(phrase(F.col("norm"), label))
+    return printing(trusted(current_only(scope(pages, wanted or {}))), label, positions)
 
 
 def first_pages_of(hits: DataFrame, cap: int = 20) -> DataFrame:
@@ -89,33 +83,24 @@ def absence(total: Column, pages: Column, trusted_pages: Column) -> Column:
     return F.when(total > 0, "ok").when(pages == 0, "out_of_scope").when(trusted_pages == 0, "not_searchable").otherwise("not_found")
 
 
-def label_hits(pages: DataFrame, labels: DataFrame, postings: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+def label_hits(pages: DataFrame, labels: DataFrame, positions: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """(claim, page_id, page_no, text_trust): current pages that print a label's spelling, trusted or not.
 
-    Labels meet pages by the rarest token of each spelling, an equi-join; then comes the phrase test. So no page is
-    compared with a label it shares only common tokens with. postings (row_id, term) and terms (term, df) are the
-    index of the same current pages; without them the pages are tokenised here.
+    positions (term, row_id, places) and terms (term, df) are the index of the same pages; without them one is made of
+    the pages' text.
     """
     base = current_only(pages)
-    spelt = labels.select("claim", F.explode(T.variants(F.col("claim"))).alias("v")).select("claim", T.normal(F.col("v")).alias("n"), F.explode(T.tokens(F.col("v"))).alias("token"))
-    on = "row_id" if postings is not None else "page_id"
-    if postings is None:
-        first = base.select("page_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).join(spelt.select("token").distinct(), "token", "left_semi")
-        often = first.groupBy("token").agg(F.count("*").alias("df"))
-    else:
-        first = postings.select("row_id", F.col("term").alias("token"))
-        often = terms.select(F.col("term").alias("token"), "df")
-    rarest = F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token")
-    wanted = spelt.join(often, "token", "left").groupBy("claim", "n").agg(rarest)
-    pairs = first.join(wanted, "token").join(base.select(on, *[c for c in ("page_id", "page_no", "norm", "text_trust") if c != on]), on)
-    return pairs.filter(F.col("norm").contains(F.col("n"))).select("claim", "page_id", "page_no", "text_trust").distinct()
-
-
-def lookup_summary(pages: DataFrame, labels: DataFrame, cap: int = 20, postings: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    on = "row_id" if positions is not None else "page_id"
+    index = positions if positions is not None else phrases.positions_of(base, on)
+    found = phrases.hits(labels, index, terms, on)
+    return found.join(base.select(on, *[c for c in ("page_id", "page_no", "text_trust") if c != on]), on).select("claim", "page_id", "page_no", "text_trust")
+
+
+def lookup_summary(pages: DataFrame, labels: DataFrame, cap: int = 20, positions: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """Per label (item_id, claim): total, unverified (hits on pages that can't be trusted), capped, weak, needs_scope,
     status."""
     base = current_only(pages)
-    hits = label_hits(pages, labels, postings, terms)
+    hits = label_hits(pages, labels, positions, terms)
     bad = F.col("text_trust").isin("untrusted", "no_text")
     found = hits.groupBy("claim").agg(F.count_if(~bad).alias("total"), F.count_if(bad).alias("unverified"))
     size = base.agg(F.count("*").alias("pages"), F.count_if(~bad).alias("trusted"))
@@ -127,9 +112,9 @@ def lookup_summary(pages: DataFrame, labels: DataFrame, cap: int = 20, postings:
     )
 
 
-def lookup_rows(pages: DataFrame, labels: DataFrame, cap: int = 20, postings: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+def lookup_rows(pages: DataFrame, labels: DataFrame, cap: int = 20, positions: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """(claim, nth, page_id): each label's first `cap` trusted hits, by page number, then page id."""
-    hits = label_hits(pages, labels, postings, terms).filter(~F.col("text_trust").isin("untrusted", "no_text"))
+    hits = label_hits(pages, labels, positions, terms).filter(~F.col("text_trust").isin("untrusted", "no_text"))
     w = Window.partitionBy("claim").orderBy("page_no", "page_id")
     return hits.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= cap).select("claim", "nth", "page_id")
 
@@ -139,13 +124,18 @@ def uncheckable() -> Column:
     return F.when(~F.col("is_current"), "not_current").when(F.col("text_trust") == "no_text", "no_text").when(F.col("text_trust") == "untrusted", "untrusted")
 
 
-def verify_matrix(pairs: DataFrame, pages: DataFrame) -> DataFrame:
-    """(claim, page_id) -> state (present, absent, unverifiable, page_not_found) and reason: one row a pair."""
-    known = pages.select("page_id", "norm", "is_current", "text_trust").withColumn("here", F.lit(True))
+def verify_matrix(pairs: DataFrame, pages: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """(claim, page_id) -> state (present, absent, unverifiable, page_not_found) and reason: one row a pair. A claim's
+    words are looked up on its own pages alone (positions: see label_hits)."""
+    on = "row_id" if positions is not None else "page_id"
+    index = positions if positions is not None else phrases.positions_of(pages.join(pairs.select("page_id").distinct(), "page_id", "left_semi"), on)
+    known = pages.select(*dict.fromkeys(["page_id", on]), "is_current", "text_trust").withColumn("here", F.lit(True))
     got = pairs.join(known, "page_id", "left")
     reason = F.when(F.col("here").isNull(), "page_not_found").otherwise(uncheckable())
-    state = F.when(reason.isNotNull(), "unverifiable").when(T.printed(F.col("norm"), F.col("claim")), "present").otherwise("absent")
-    return got.select("claim", "page_id", state.alias("state"), reason.alias("reason"))
+    got = got.select("claim", *dict.fromkeys(["page_id", on]), reason.alias("reason"))
+    said = phrases.pair_hits(got.filter("reason is null"), index, on).withColumn("said", F.lit(True))
+    state = F.when(F.col("reason").isNotNull(), "unverifiable").when(F.col("said"), "present").otherwise("absent")
+    return got.join(said, ["claim", on], "left").select("claim", "page_id", state.alias("state"), "reason")
 
 
 def verify_claims(matrix: DataFrame) -> DataFrame:
@@ -181,46 +171,55 @@ def present_instead(claims: DataFrame, inventory: DataFrame) -> DataFrame:
     return best.withColumn("nth", F.row_number().over(w.orderBy("token"))).filter(F.col("nth") <= PRESENT_CAP)
 
 
-#: Rows that one resolve compares, and words of a citation that are labels of their own.
+#: Rows that one probe of a resolve compares, and words of a citation that are labels of their own.
 RESOLVE_ROWS, LABEL_WORDS = 512, 4
 
 
-def same_label(stored: Column, wanted: str) -> Column:
+def same_label(stored: Column, wanted: Column) -> Column:
     """Whether a stored label is the wanted one: equal as tokens, or one holds the other as a phrase, whole words and
     in order. No distance, no prefix."""
-    want = " ".join(["", *T.tok(wanted), ""])
-    have = T.normal(stored)
-    return (F.trim(have) != "") & (have.contains(want) | F.lit(want).contains(have))
+    want, have = T.normal(wanted), T.normal(stored)
+    return (F.trim(have) != "") & (have.contains(want) | want.contains(have))
 
 
-def resolve(forms: DataFrame, label: str) -> DataFrame:
-    """page_id, printed_page_no, interpolated: the current pages that a printed label leads to.
+def resolve_all(forms: DataFrame, labels: DataFrame, positions: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """label, page_id, printed_page_no, interpolated, total, capped: the current pages that each label leads to.
 
     Pages that print the label and whose own label it is; if there is none, the same for each word with a digit of a
     longer citation, against the whole of it; if there is none still and the label is a number n, the page without a
-    label between pages labelled n - 1 and n + 1, two apart. One probe compares RESOLVE_ROWS rows at most, in reading
-    order.
+    label between pages labelled n - 1 and n + 1, two apart. One probe compares the first RESOLVE_ROWS pages that print
+    its words, by page number; total is the largest probe's number of pages, and capped says that a probe compared fewer
+    than it had. All labels (label) are resolved in one plan. Labels that lead nowhere have no row.
     """
     here = current_only(forms)
-    order = ["doc_id", "revision", "page_no"]
-
-    def probe(words: str, wanted: str) -> DataFrame:
-        some = trusted(here).filter(phrase(F.col("norm"), words)).orderBy(*order).limit(RESOLVE_ROWS)
-        return some.filter(same_label(F.col("printed_label"), wanted)).select("page_id", F.col("printed_label").alias("printed_page_no"), F.lit(False).alias("interpolated"))
-
-    asked = probe(label, label)
-    if not asked.isEmpty():
-        return asked
-    words = [w for w in label.split() if any(ch.isnumeric() for ch in w) and w != label][:LABEL_WORDS]
-    found = None
-    for w in words:
-        found = probe(w, label) if found is None else found.unionByName(probe(w, label))
-    if found is not None and not (found := found.distinct()).isEmpty():
-        return found
-    none = asked.limit(0)
-    if not label.strip().isdigit() or int(label) < 1:
-        return none
-    n = int(label)
-    ends = [trusted(here).filter(phrase(F.col("norm"), str(k)) & same_label(F.col("printed_label"), str(k))) for k in (n - 1, n + 1)]
-    low, high = (e.select("doc_id", "revision", (F.col("page_no") + d).alias("page_no")) for e, d in zip(ends, (1, -1)))
-    return here.filter(F.col("printed_label").isNull()).join(low, order).join(high, order).select("page_id", F.col("printed_label").alias("printed_page_no"), F.lit(True).alias("interpolated")).distinct()
+    on = "row_id" if positions is not None else "page_id"
+    index = positions if positions is not None else phrases.positions_of(here, on)
+    asked = labels.select("label").distinct()
+    words = F.slice(F.filter(F.split(F.trim("label"), r"\s+"), lambda w: T.is_code(w) & (w != F.col("label"))), 1, LABEL_WORDS)
+    number = F.when(F.trim("label").rlike("^[0-9]{1,18}$"), F.trim("label").cast("long"))
+    probe = lambda kind, words: F.struct(F.lit(kind).alias("kind"), words.cast("string").alias("claim"))
+    ends = F.when(number >= 1, F.array(probe("low", number - 1), probe("high", number + 1))).otherwise(F.array())
+    probes = asked.select("label", F.explode(F.concat(F.array(probe("asked", F.col("label"))), F.transform(words, lambda w: probe("word", w)), ends)).alias("p")).select("label", "p.*").distinct()
+    said = phrases.hits(probes, index, terms, on)
+    own = trusted(here).select(*dict.fromkeys([on, "page_id"]), "doc_id", "revision", "page_no", "printed_label")
+    first = Window.partitionBy("claim").orderBy("page_no", "page_id")
+    seen = said.join(own, on).withColumn("nth", F.row_number().over(first)).withColumn("reach", F.count("*").over(Window.partitionBy("claim")))
+    met = probes.join(seen, "claim").withColumn("match", (F.col("nth") <= RESOLVE_ROWS) & same_label(F.col("printed_label"), F.when(F.col("kind").isin("low", "high"), F.col("claim")).otherwise(F.col("label"))))
+    one = met.groupBy("label").agg(
+        F.max(F.when(F.col("kind") == "asked", F.col("match"))).alias("direct"), F.max(F.when(F.col("kind").isin("asked", "word"), F.col("match"))).alias("any"),
+        F.max(F.when(F.col("kind") == "asked", F.col("reach"))).alias("t0"), F.max(F.when(F.col("kind").isin("asked", "word"), F.col("reach"))).alias("t1"),
+    )
+    total = F.coalesce(F.when(F.coalesce("direct", F.lit(False)), F.col("t0")).otherwise(F.col("t1")), F.lit(0))
+    facts = one.select("label", F.coalesce("direct", F.lit(False)).alias("direct"), F.coalesce("any", F.lit(False)).alias("any"), total.alias("total"), (total > RESOLVE_ROWS).alias("capped"))
+    printed = met.filter("match").join(facts, "label").filter("kind = 'asked' or (kind = 'word' and not direct)")
+    found = printed.select("label", "page_id", F.col("printed_label").alias("printed_page_no"), F.lit(False).alias("interpolated"), "total", "capped").distinct()
+    side = lambda kind, d: met.filter(F.col("match") & (F.col("kind") == kind)).select("label", "doc_id", "revision", (F.col("page_no") + d).alias("page_no")).distinct()
+    gap = side("low", 1).join(side("high", -1), ["label", "doc_id", "revision", "page_no"]).join(facts.filter("not any"), "label")
+    blank = here.filter(F.col("printed_label").isNull()).select("page_id", "doc_id", "revision", "page_no")
+    between = gap.join(blank, ["doc_id", "revision", "page_no"]).select("label", "page_id", F.lit(None).cast("string").alias("printed_page_no"), F.lit(True).alias("interpolated"), "total", "capped")
+    return found.unionByName(between)
+
+
+def resolve(forms: DataFrame, label: str) -> DataFrame:
+    """`resolve_all` of one label."""
+    return resolve_all(forms, forms.sparkSession.createDataFrame([(label,)], "label string")).drop("label")

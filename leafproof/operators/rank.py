@@ -49,12 +49,12 @@ def sparse(postings: DataFrame, query: dict[str, int], rows: DataFrame, collecti
     return scored.groupBy("row_id").agg(F.sum("s").cast("double").alias("score")).orderBy(F.desc("score"), "row_id").limit(depth)
 
 
-def narrowed(pages: DataFrame, query: str, wanted: dict[str, object] | None = None, exclude: DataFrame | None = None) -> DataFrame:
+def narrowed(pages: DataFrame, query: str, wanted: dict[str, object] | None = None, exclude: DataFrame | None = None, positions: DataFrame | None = None) -> DataFrame:
     """The pages every branch runs inside: current ones in scope that print each identifier of the query, less the
     excluded (page_id). Trust is no condition: a skim row is a candidate, not evidence."""
     out = exact.current_only(exact.scope(pages, wanted or {}))
     for word in split(query)[0]:
-        out = out.filter(exact.phrase(F.col("norm"), word))
+        out = exact.printing(out, word, positions)
     return out if exclude is None else out.join(exclude.select("page_id"), "page_id", "left_anti")
 
 

@@ -165,7 +165,7 @@ def abstention(reason: Column) -> Column:
     return F.concat_ws(" ", lead, filled(COUNT, cells), gap)
 
 
-def verdicts(cited: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+def verdicts(cited: DataFrame, pages: DataFrame, keys: list[str], positions: DataFrame | None = None) -> DataFrame:
     """cited: keys, claim, place, page_id. The state of each claim on each cited page."""
-    m = exact.verify_matrix(cited.select("claim", "page_id").distinct(), pages).select("claim", "page_id", "state")
+    m = exact.verify_matrix(cited.select("claim", "page_id").distinct(), pages, positions).select("claim", "page_id", "state")
     return cited.join(m, ["claim", "page_id"]).select(*keys, "claim", "place", "page_id", "state")

@@ -379,12 +379,10 @@ def resolve_bracket(c: Corpus) -> DataFrame:
 
 @query
 def resolve_label(c: Corpus) -> DataFrame:
-    """Pages that a citation leads to, for a label that pages print, one longer than they print, and one none does."""
-    out = None
-    for label in ("3", "Page 3 of 55", "10", "99999"):
-        one = exact.resolve(c.forms, label).withColumn("label", F.lit(label))
-        out = one if out is None else out.unionByName(one)
-    return out.select("label", "page_id", "printed_page_no", "interpolated")
+    """The pages that each label leads to: the number of every page, alone and as a citation of a longer document."""
+    no = c.forms.filter("is_current").select(F.col("page_no").cast("string").alias("no")).distinct()
+    labels = no.select(F.explode(F.array(F.col("no"), F.concat(F.lit("Page "), F.col("no"), F.lit(" of 9999")))).alias("label"))
+    return exact.resolve_all(c.forms, labels, c.positions, c.terms)
 
 
 @query
@@ -620,7 +618,7 @@ def draft_verdicts(c: Corpus) -> DataFrame:
     """Each draft's claims, the codes its prose names, on the pages it cites, in their order."""
     claims = c.drafts.select("conv_id", "turn", F.explode(F.array_distinct(F.filter(T.tokens(F.col("text")), T.is_code))).alias("claim"))
     cited = cites(c, c.drafts, F.col("conv_id") + F.col("turn"), ["conv_id", "turn"])
-    return triage.verdicts(claims.join(cited, ["conv_id", "turn"]), c.pages, ["conv_id", "turn"])
+    return triage.verdicts(claims.join(cited, ["conv_id", "turn"]), c.pages, ["conv_id", "turn"], c.positions)
 
 
 @query
@@ -687,7 +685,7 @@ def near_misses(c: Corpus) -> DataFrame:
 @query
 def abstention_correctness(c: Corpus) -> DataFrame:
     sample = near_misses(c).select(F.col("fake").alias("claim"), F.monotonically_increasing_id().alias("item_id"))
-    hits = exact.lookup_summary(c.pages, sample, postings=c.postings, terms=c.terms)
+    hits = exact.lookup_summary(c.pages, sample, positions=c.positions, terms=c.terms)
     return hits.agg(F.count("*").alias("sample"), F.count_if(F.expr("total = 0")).alias("abstained"), F.round(F.coalesce(F.count_if(F.expr("total = 0")) / F.count("*"), F.lit(0.0)), 6).alias("correctness"))
 
 
@@ -727,5 +725,5 @@ def table_symdiff(c: Corpus) -> DataFrame:
 def acceptance_rows(c: Corpus) -> DataFrame:
     """Expected verdicts of benchmark claims against what verification says."""
     expected = c.claims.select("item_id", "claim", F.when(F.col("item_id") % 2 == 0, "ok").otherwise("not_found").alias("expected"))
-    got = exact.lookup_summary(c.pages, c.claims, postings=c.postings, terms=c.terms).select("item_id", "status")
+    got = exact.lookup_summary(c.pages, c.claims, positions=c.positions, terms=c.terms).select("item_id", "status")
     return expected.join(got, "item_id").select("item_id", "expected", "status", (F.col("expected") == F.col("status")).alias("passed"))

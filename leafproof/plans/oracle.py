@@ -257,6 +257,20 @@ npages AS (SELECT doc_id, (max(start) + count(*) * 3)::INT AS pages FROM li GROU
 starts AS (SELECT DISTINCT doc_id, start FROM li WHERE doc_id % 3 <> 0),
 ch0 AS (SELECT doc_id, start, pages FROM starts JOIN npages USING (doc_id) WHERE start BETWEEN 1 AND pages UNION SELECT doc_id, 1, pages FROM npages),
 chap AS (SELECT doc_id, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start) - 1, pages) AS stop FROM ch0)"""
+RESOLVE = f""",
+r0 AS (SELECT page_id, doc_id, revision, page_no, printed_label, {norm('printed_label')} AS have, norm, {TRUSTED} AS ok FROM forms WHERE is_current),
+nos AS (SELECT DISTINCT page_no AS n FROM r0),
+probes AS (
+  SELECT n::VARCHAR AS label, kind, CASE kind WHEN 'asked' THEN n WHEN 'low' THEN n - 1 ELSE n + 1 END::VARCHAR AS phrase FROM nos, (VALUES ('asked'), ('low'), ('high')) k(kind)
+  UNION ALL SELECT 'Page ' || n || ' of 9999', kind, CASE kind WHEN 'asked' THEN 'Page ' || n || ' of 9999' WHEN 'word' THEN n::VARCHAR ELSE '9999' END FROM nos, (VALUES ('asked'), ('word'), ('total')) k(kind)
+),
+asks AS (SELECT DISTINCT phrase, {norm('phrase')} AS n1, {norm(spellings('phrase')[1])} AS n2, {norm(spellings('phrase')[2])} AS n3 FROM probes),
+said AS (SELECT phrase, r0.* FROM asks, r0 WHERE ok AND (contains(norm, n1) OR contains(norm, n2) OR contains(norm, n3))),
+nth AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY page_no, page_id) AS nth, count(*) OVER (PARTITION BY phrase) AS total FROM said),
+met0 AS (SELECT label, CASE WHEN kind = 'total' THEN 'word' ELSE kind END AS kind, nth.*, {norm("CASE WHEN kind IN ('low', 'high') THEN phrase ELSE label END")} AS want FROM probes JOIN nth USING (phrase)),
+met AS (SELECT *, nth <= 512 AND trim(have) <> '' AND (contains(have, want) OR contains(want, have)) AS match FROM met0),
+fact0 AS (SELECT label, coalesce(bool_or(match) FILTER (kind = 'asked'), false) AS direct, coalesce(bool_or(match) FILTER (kind IN ('asked', 'word')), false) AS found, max(total) FILTER (kind = 'asked') AS t0, max(total) FILTER (kind IN ('asked', 'word')) AS t1 FROM met GROUP BY label),
+facts AS (SELECT label, direct, found, coalesce(CASE WHEN direct THEN t0 ELSE t1 END, 0) AS total, coalesce(CASE WHEN direct THEN t0 ELSE t1 END, 0) > 512 AS capped FROM fact0)"""
 ALPHA = "['" + "', '".join("0123456789abcdefghijklmnopqrstuvwxyz") + "']"
 MUT = f""",
 mut AS (
@@ -384,7 +398,7 @@ SQL: dict[str, str] = {
     "attribute_labels": f"{PF}, a AS (SELECT page_id, printed_label AS a, CASE WHEN row_id % 3 <> 0 THEN page_no::VARCHAR END AS b, norm FROM forms), s AS (SELECT *, coalesce({printed('norm', 'a')}, false) AS sa, coalesce({printed('norm', 'b')}, false) AS sb FROM a), l AS (SELECT page_id, a, CASE WHEN a IS NOT DISTINCT FROM b THEN a WHEN sa AND NOT sb THEN a WHEN sb AND NOT sa THEN b WHEN a IS NULL THEN b WHEN b IS NULL THEN a END AS label FROM s) SELECT page_id, label, label IS NULL AND a IS NOT NULL AS ambiguous FROM l",
     "page_neighbours": f"{P} SELECT page_id, lag(page_id) OVER w AS prev_page, lead(page_id) OVER w AS next_page FROM pages_ WINDOW w AS (PARTITION BY doc_id, revision ORDER BY page_no)",
     "resolve_bracket": f"{PF}, n AS (SELECT *, printed_label::BIGINT AS n FROM forms) SELECT m.page_id, lo.n + 1 AS label FROM n m JOIN n lo ON lo.doc_id = m.doc_id AND lo.revision = m.revision AND lo.page_no = m.page_no - 1 JOIN n hi ON hi.doc_id = m.doc_id AND hi.revision = m.revision AND hi.page_no = m.page_no + 1 WHERE m.n IS NULL AND hi.n - lo.n = 2",
-    "resolve_label": f"{PF}, r0 AS (SELECT page_id, doc_id, revision, page_no, printed_label, {norm('printed_label')} AS have, norm, {TRUSTED} AS ok FROM forms WHERE is_current), r3 AS (SELECT page_id, printed_label FROM r0 WHERE ok AND contains(norm, ' 3 ') AND trim(have) <> '' AND (contains(have, ' 3 ') OR contains(' 3 ', have))), rp AS (SELECT DISTINCT page_id, printed_label FROM r0 WHERE ok AND (contains(norm, ' 3 ') OR contains(norm, ' 55 ')) AND trim(have) <> '' AND (contains(have, ' page 3 of 55 ') OR contains(' page 3 of 55 ', have))), r10 AS (SELECT page_id, printed_label FROM r0 WHERE ok AND contains(norm, ' 10 ') AND trim(have) <> '' AND (contains(have, ' 10 ') OR contains(' 10 ', have))), rb AS (SELECT DISTINCT m.page_id, m.printed_label FROM r0 m JOIN r0 lo ON lo.doc_id = m.doc_id AND lo.revision = m.revision AND lo.page_no = m.page_no - 1 JOIN r0 hi ON hi.doc_id = m.doc_id AND hi.revision = m.revision AND hi.page_no = m.page_no + 1 WHERE m.printed_label IS NULL AND lo.ok AND hi.ok AND lo.printed_label = '9' AND hi.printed_label = '11' AND contains(lo.norm, ' 9 ') AND contains(hi.norm, ' 11 ')) SELECT '3' AS label, page_id, printed_label AS printed_page_no, false AS interpolated FROM r3 UNION ALL SELECT 'Page 3 of 55', page_id, printed_label, false FROM rp UNION ALL SELECT '10', page_id, printed_label, false FROM r10 UNION ALL SELECT '10', page_id, printed_label, true FROM rb WHERE NOT EXISTS (FROM r10)",
+    "resolve_label": f"{PF}{RESOLVE} SELECT DISTINCT label, page_id, printed_label AS printed_page_no, false AS interpolated, facts.total, capped FROM met JOIN facts USING (label) WHERE match AND (kind = 'asked' OR (kind = 'word' AND NOT direct)) UNION ALL SELECT DISTINCT label, m.page_id, NULL, true, facts.total, capped FROM facts JOIN met lo USING (label) JOIN met hi USING (label) JOIN r0 m ON m.doc_id = lo.doc_id AND m.revision = lo.revision AND m.page_no = lo.page_no + 1 AND hi.doc_id = lo.doc_id AND hi.revision = lo.revision AND hi.page_no = lo.page_no + 2 WHERE NOT found AND lo.kind = 'low' AND hi.kind = 'high' AND lo.match AND hi.match AND m.printed_label IS NULL",
     "stitch_sections": f"{PF}{STITCH} SELECT doc_id, revision, section, title, first, last, pages, coalesce(starts, '') AS starts FROM st",
     "section_contiguity": f"{PF}{STITCH.replace('FROM forms GROUP', 'FROM forms WHERE row_id % 23 <> 0 GROUP')} SELECT doc_id, revision, section, pages = last - first + 1 AS contiguous, first <> last AS straddles, n_starts <> 1 AS uncertain FROM st",
     "section_ordinals": f"{PF}{STITCH} SELECT doc_id, revision, section, ordinal FROM st",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafproof.functions import text as T
-from leafproof.operators import caps, exact, health, rank, triage
+from leafproof.operators import caps, exact, health, phrases, rank, triage
 from leafproof.plans.registry import query
 from leafproof.sources.corpus import Corpus
 
@@ -24,12 +24,12 @@ def scope_filter(c: Corpus) -> DataFrame:
 
 @query
 def phrase_lookup(c: Corpus) -> DataFrame:
-    return exact.lookup_hits(c.pages, LABEL).select("page_id", "page_no")
+    return exact.lookup_hits(c.pages, LABEL, positions=c.positions).select("page_id", "page_no")
 
 
 @query
 def printed_on(c: Corpus) -> DataFrame:
-    return c.pages.filter(exact.phrase(F.col("norm"), LABEL)).select("page_id")
+    return exact.printing(c.pages, LABEL, c.positions).select("page_id")
 
 
 @query
@@ -61,7 +61,7 @@ def exclude_pages(c: Corpus) -> DataFrame:
 @query
 def branch_filter(c: Corpus) -> DataFrame:
     seen = c.pages.filter("page_no <= 2").select("page_id")
-    return rank.narrowed(c.pages, "thing 555 and", exclude=seen).select("page_id", "text_trust")
+    return rank.narrowed(c.pages, "thing 555 and", exclude=seen, positions=c.positions).select("page_id", "text_trust")
 
 
 @query
@@ -84,7 +84,7 @@ def uncheckable_reason(c: Corpus) -> DataFrame:
 
 @query
 def hit_projection(c: Corpus) -> DataFrame:
-    hits = exact.lookup_hits(c.pages, LABEL)
+    hits = exact.lookup_hits(c.pages, LABEL, positions=c.positions)
     return hits.select("page_id", "doc_id", "revision", "page_no", F.length("text").alias("n_chars"), F.concat(F.lit("/pages/"), F.replace(F.col("page_id"), F.lit("#"), F.lit("%23")), F.lit("/image")).alias("image"))
 
 
@@ -154,7 +154,7 @@ def caller_digest(c: Corpus) -> DataFrame:
 
 @query
 def exact_count(c: Corpus) -> DataFrame:
-    return exact.lookup_hits(c.pages, LABEL, {"lang": "en"}).agg(F.count("*").alias("total"))
+    return exact.lookup_hits(c.pages, LABEL, {"lang": "en"}, c.positions).agg(F.count("*").alias("total"))
 
 
 @query
@@ -168,7 +168,7 @@ def page_counts(c: Corpus) -> DataFrame:
 
 
 def looked(c: Corpus) -> DataFrame:
-    return exact.lookup_summary(c.pages, c.claims, postings=c.postings, terms=c.terms)
+    return exact.lookup_summary(c.pages, c.claims, positions=c.positions, terms=c.terms)
 
 
 @query
@@ -184,25 +184,27 @@ def lookup(c: Corpus) -> DataFrame:
 @query
 def lookup_rows(c: Corpus) -> DataFrame:
     """The first page of each claim's hits."""
-    return c.claims.join(exact.lookup_rows(c.pages, c.claims, postings=c.postings, terms=c.terms), "claim").select("item_id", "nth", "page_id")
+    return c.claims.join(exact.lookup_rows(c.pages, c.claims, positions=c.positions, terms=c.terms), "claim").select("item_id", "nth", "page_id")
 
 
 @query
 def lookup_scoped(c: Corpus) -> DataFrame:
     """Lookups inside a scope: one document's English pages."""
     scoped = exact.scope(c.pages, {"doc_id": "src5", "lang": ["en"], "revision": None})
-    return exact.lookup_summary(scoped, c.claims, postings=c.postings, terms=c.terms)
+    return exact.lookup_summary(scoped, c.claims, positions=c.positions, terms=c.terms)
 
 
 @query
 def lookup_page(c: Corpus) -> DataFrame:
-    return exact.first_pages_of(exact.lookup_hits(c.pages, "the")).select("page_id", "doc_id", "page_no")
+    return exact.first_pages_of(exact.lookup_hits(c.pages, "the", positions=c.positions)).select("page_id", "doc_id", "page_no")
 
 
 @query
 def absence_status(c: Corpus) -> DataFrame:
     ok = ~F.col("text_trust").isin("untrusted", "no_text")
-    by = c.current.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(ok).alias("trusted"), F.count_if(exact.phrase(F.col("norm"), "idiot") & ok).alias("total"))
+    said = phrases.literal_hits(c.positions, "idiot").withColumn("said", F.lit(True))
+    seen = c.current.select("row_id", "doc_id", "text_trust").join(said, "row_id", "left")
+    by = seen.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(ok).alias("trusted"), F.count_if(F.coalesce("said", F.lit(False)) & ok).alias("total"))
     return by.select("doc_id", exact.absence(F.col("total"), F.col("pages"), F.col("trusted")).alias("status"))
 
 
@@ -224,12 +226,12 @@ def pairs_of(c: Corpus) -> DataFrame:
 
 @query
 def verify_matrix(c: Corpus) -> DataFrame:
-    return exact.verify_matrix(pairs_of(c), c.pages)
+    return exact.verify_matrix(pairs_of(c), c.pages, c.positions)
 
 
 @query
 def verify_claims(c: Corpus) -> DataFrame:
-    return exact.verify_claims(exact.verify_matrix(pairs_of(c), c.pages))
+    return exact.verify_claims(exact.verify_matrix(pairs_of(c), c.pages, c.positions))
 
 
 @query
@@ -375,7 +377,7 @@ DIM = 64
 def surfaces(c: Corpus, query: str = QUERY, wanted: dict | None = None, exclude: DataFrame | None = None) -> dict[str, DataFrame]:
     """The branches of a question, inside its scope and identifiers. A branch runs if it has an input: the dense one
     needs prose, the sparse ones words."""
-    here = rank.narrowed(c.pages, query, wanted, exclude).select("row_id")
+    here = rank.narrowed(c.pages, query, wanted, exclude, c.positions).select("row_id")
     out, prose = {}, " ".join(rank.split(query)[1])
     if prose:
         vectors = c.table("embeddings").select(F.col("vec_id").alias("row_id"), "embedding").join(here, "row_id", "left_semi")

@@ -11,8 +11,10 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,13 +57,31 @@ def signature(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(str(f) for p in paths for f in listed(spark, p))).encode()).hexdigest()[:24]
 
 
-def written(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path, made first if there is none. A table counts only with its success mark."""
+def written(spark: SparkSession, path: str, make: Callable[[], DataFrame], schema: str) -> DataFrame:
+    """The table at path, made first if there is none.
+
+    It is written under a name of its own and then renamed, so a table is there whole or not at all. Of two sessions
+    that make one at once, the first to rename wins; the other reads that one, and its own copy is left to the cluster
+    to clear.
+    """
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not mark.getFileSystem(conf).exists(mark):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        own = f"{path}-{uuid.uuid4().hex}"
+        make().select(*spark_names(schema)).write.parquet(own)
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf).rename(jvm.org.apache.hadoop.fs.Path(own), at, options)
+        except Py4JJavaError:
+            if not fs.exists(at):
+                raise
+    return spark.read.schema(schema).parquet(path)
+
+
+def spark_names(schema: str) -> list[str]:
+    """The column names of a schema string."""
+    return StructType.fromDDL(schema).names
 
 
 def numbered(rows: DataFrame, keys: list[str], order: str | list[str], name: str) -> DataFrame:
