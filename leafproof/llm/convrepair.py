@@ -188,8 +188,9 @@ class Repair:
 
 
 def _code(initial: Column, fault: Column) -> Column:
-    at = lambda values, c: F.coalesce(F.array_position(F.array(*[F.lit(v) for v in values]), c), F.lit(len(values))) - 1
-    return (at(INITIALS, initial) + 4 * at(FAULTS, fault)).cast("int")
+    known = F.when(initial.isin(*INITIALS), initial).otherwise(F.lit(""))
+    at = lambda values, c: F.array_position(F.array(*[F.lit(v) for v in values]), c) - 1
+    return (at(INITIALS, known) + 4 * at(FAULTS, fault)).cast("int")
 
 
 def repair(turns: DataFrame) -> Repair:
