@@ -12,10 +12,10 @@ whose count reaches the limit gets a fingerprint in its shard's filter, one whos
 is what cuckoo filters are for: a fingerprint can be taken out again, so an index that has taken documents in and out is
 one that never saw them. A shard that is too full is built again, larger, from the exact counts.
 
-Deciding what a document loses reads its lines against the filters, which err only towards keeping a line in question;
-what passes is joined with the exact counts. Keys that hold over 1/HEAVY of these lines (fewer than HEAVY, whatever the
-input) are joined by a broadcast, so that no task has to take all lines of one key. Filters travel to the tasks only if
-they are at most FILTER_BYTES large; without them all lines go to the exact join.
+What a document loses is decided on its keys: those the filters let through, which err only towards keeping a key in
+question, are joined with the exact counts. Keys that hold over 1/HEAVY of these (fewer than HEAVY, whatever the
+input) are joined by a broadcast, so that no task has to take all holders of one key. Filters travel to the tasks only if
+they are at most FILTER_BYTES large; without them all keys go to the exact join.
 """
 
 from __future__ import annotations
@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 
 from leafproof.sources.store import shared_dir
 
-from .common import ROW, TO_LOWER, mix64, row_key
+from .common import ASCII_LOWER, ASCII_UPPER, ROW, mix64
 
 #: What is stripped at both ends of a line.
-SPACE = " \t\n\v\f\r"
+SPACE = b" \t\n\v\f\r"
 LEAST_CHARS, LEAST_DOCS = 20, 3
+LOWER = bytes.maketrans(ASCII_UPPER.encode(), ASCII_LOWER.encode())
 #: Fingerprints of a bucket, tries of an insertion, and keys of a shard when its filter is sized.
 SLOTS, KICKS, SHARD_KEYS = 4, 500, 50_000
 MOST_SHARDS = 4096
@@ -45,19 +46,22 @@ HEAVY = 1000
 FILTERS = "shard int, buckets int, table binary"
 
 
-def key_of(line: str) -> str | None:
-    """A line's key, or null if it is too short to be told."""
-    bare = line.strip(SPACE)
-    return bare.translate(TO_LOWER) if len(bare) >= LEAST_CHARS else None
+def keys_of(text: str | None) -> Iterator[bytes | None]:
+    """The key of each line of a text as UTF-8, or null where it is too short to be told. No byte of a longer character
+    is a line feed, white space or A-Z, so all is done on bytes."""
+    for line in (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split(b"\n"):
+        bare = line.strip(SPACE)
+        long = len(bare) >= 4 * LEAST_CHARS or (len(bare) >= LEAST_CHARS and len(bare.decode("utf-8", "surrogatepass")) >= LEAST_CHARS)
+        yield bare if long else None
 
 
-def digest(key: str) -> bytes:
-    return blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def digest(key: bytes) -> bytes:
+    return blake2b(key, digest_size=16).digest()
 
 
 def digests(text: str | None) -> list[bytes]:
     """The digests of a text's distinct keys."""
-    return [digest(k) for k in {key_of(x) for x in (text or "").split("\n")} if k is not None]
+    return [digest(k) for k in set(keys_of(text)) if k is not None]
 
 
 def halves(raw: list[bytes]) -> np.ndarray:
@@ -232,55 +236,53 @@ def delete(index: Index, ids: DataFrame) -> Index:
     return _update(index, _store(index.refs.join(gone, same, "left_anti"), "refs"), touched)
 
 
-def _suspects(docs: DataFrame, index: Index) -> DataFrame:
-    """(row, doc_id, hi, lo): the keys of each row that the filters let through."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def suspected(index: Index) -> Column:
+    """Whether the filters let a key (hi, lo) through."""
     size = index.filters.agg(F.coalesce(F.sum(F.octet_length("table").cast("long")), F.lit(0))).first()[0]
-    held = {r.shard: r.table for r in index.filters.collect()} if size <= FILTER_BYTES else None
-    shared, shards = docs.sparkSession.sparkContext.broadcast(held), index.shards
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filters = None if shared.value is None else {k: Cuckoo(np.frombuffer(t, dtype=np.uint16).reshape(-1, SLOTS)) for k, t in shared.value.items()}
-        for b in batches:
-            raw = [digests(t) for t in b["text"]]
-            if not any(raw):
-                continue
-            hi, lo = halves([d for r in raw for d in r]).T
-            rows = np.repeat(np.arange(len(b)), [len(r) for r in raw])
-            if filters is not None:
-                own, keep = hi % shards, np.zeros(len(hi), dtype=bool)
-                for s in np.unique(own):
-                    if s in filters:
-                        here = np.flatnonzero(own == s)
-                        keep[here] = filters[s].has(lo[here])
-                hi, lo, rows = hi[keep], lo[keep], rows[keep]
-            yield pd.DataFrame({"row": b["row"].to_numpy(dtype=object)[rows], "id": b["id"].to_numpy(dtype=object)[rows], "hi": hi, "lo": lo})
-
-    told = docs.select(row_key().alias("row"), F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(pick, "row binary, id string, hi bigint, lo bigint")
-    return told.select("row", F.col("id").cast(kind).alias("doc_id"), "hi", "lo")
-
-
-def losses(docs: DataFrame, index: Index) -> DataFrame:
-    """(row, hi, lo): the keys whose lines each row (see row_key) loses."""
-    suspects = _store(_suspects(docs, index), "suspects")
+    if size > FILTER_BYTES:
+        return F.lit(True)
+    held = {r.shard: r.table for r in index.filters.collect()}
+    shared, shards = index.refs.sparkSession.sparkContext.broadcast(held), index.shards
+
+    @F.pandas_udf("boolean")
+    def through(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        filters = {k: Cuckoo(np.frombuffer(t, dtype=np.uint16).reshape(-1, SLOTS)) for k, t in shared.value.items()}
+        for hi, lo in batches:
+            own, keys, keep = hi.to_numpy() % shards, lo.to_numpy(dtype=np.int64), np.zeros(len(hi), dtype=bool)
+            for s in np.unique(own):
+                if s in filters:
+                    here = np.flatnonzero(own == s)
+                    keep[here] = filters[s].has(keys[here])
+            yield pd.Series(keep)
+
+    return through("hi", "lo")
+
+
+def losses(index: Index, pairs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, hi, lo): the keys whose lines each document loses; pairs (hi, lo, doc_id): the documents' keys, by
+    default those of the index's own documents."""
+    suspects = _store((index.refs if pairs is None else pairs).select("doc_id", "hi", "lo").filter(suspected(index)), "suspects")
     known = index.counts.filter(F.col("n") >= index.least_docs).select("hi", "lo", "n", "keeper")
     total = suspects.count()
-    # each holder is a suspect row (more, if rows share an id), so fewer than HEAVY keys can hold over 1/HEAVY of them
+    # each of a key's holders is a suspect, so fewer than HEAVY keys can have over 1/HEAVY of them; pairs that are not
+    # the index's may be fewer, so its own are counted then
+    total = total if pairs is None else max(total, index.refs.count())
     heavy = known.filter(F.col("n") * HEAVY > total)
     lost = ~F.col("doc_id").eqNullSafe(F.col("keeper"))
     often = suspects.join(F.broadcast(heavy), ["hi", "lo"]).filter(lost)
     rest = suspects.join(F.broadcast(heavy.select("hi", "lo")), ["hi", "lo"], "left_anti").join(known.filter(F.col("n") * HEAVY <= total), ["hi", "lo"]).filter(lost)
-    return often.select("row", "hi", "lo").unionByName(rest.select("row", "hi", "lo"))
+    return often.select("doc_id", "hi", "lo").unionByName(rest.select("doc_id", "hi", "lo"))
 
 
-def drop_lines(docs: DataFrame, index: Index) -> DataFrame:
+def drop_lines(docs: DataFrame, index: Index, own: bool = True) -> DataFrame:
     """docs with two columns more, kept (the text without the lines lost) and counted (n_lines, n_dropped).
 
-    A key at the limit loses its lines in all documents but the one with the largest doc_id that holds it. Other lines
-    stay, joined by a line feed; a text without lines to lose stays as it is. A null text counts as one empty line and
-    is kept as the empty text. Rows that share an id and text lose alike. Columns of these names are replaced.
+    own: docs are documents of the index, whose keys it knows; else their keys are made from their texts. A key at the
+    limit loses its lines in all documents but the one with the largest doc_id that holds it. Other lines stay, joined by
+    a line feed; a text without lines to lose stays as it is. A null text counts as one empty line and is kept as the
+    empty text. Rows that share an id are one document and lose alike. Columns of these names are replaced.
     """
-    lost = losses(docs, index).groupBy(F.col("row").alias(ROW)).agg(F.collect_set(F.struct("hi", "lo")).alias("_"))
+    lost = losses(index, None if own else pairs_of(docs)).groupBy(F.col("doc_id").alias(ROW)).agg(F.collect_set(F.struct("hi", "lo")).alias("_"))
     lost = lost.select(ROW, F.flatten(F.transform("_", lambda d: F.array(d["hi"], d["lo"]))).alias(f"{ROW}_lost"))
 
     @F.pandas_udf("kept string, n_lines bigint, n_dropped bigint")
@@ -288,18 +290,17 @@ def drop_lines(docs: DataFrame, index: Index) -> DataFrame:
         for texts, gone in batches:
             rows = []
             for text, marks in zip(texts, gone):
-                lines = (text or "").split("\n")
+                text = text or ""
                 if marks is None:
-                    rows.append((text or "", len(lines), 0))
+                    rows.append((text, text.count("\n") + 1, 0))
                     continue
-                out = {d.tobytes() for d in np.asarray(marks, dtype="<i8").reshape(-1, 2)}
-                keep = [x for x in lines if (k := key_of(x)) is None or digest(k) not in out]
+                out, lines = {d.tobytes() for d in np.asarray(marks, dtype="<i8").reshape(-1, 2)}, text.split("\n")
+                keep = [x for x, k in zip(lines, keys_of(text)) if k is None or digest(k) not in out]
                 rows.append(("\n".join(keep), len(lines), len(lines) - len(keep)))
             yield pd.DataFrame(rows, columns=["kept", "n_lines", "n_dropped"])
 
     names = [c for c in docs.columns if c not in ("kept", "counted")]
-    met = docs.select(*names).withColumn(ROW, row_key()).join(lost, ROW, "left")
+    met = docs.select(*names).join(lost, F.col("doc_id").eqNullSafe(F.col(ROW)), "left")
     judged = met.withColumn(f"{ROW}_out", left("text", f"{ROW}_lost"))
     out = F.col(f"{ROW}_out")
     return judged.select(*names, out["kept"].alias("kept"), F.struct(out["n_lines"].alias("n_lines"), out["n_dropped"].alias("n_dropped")).alias("counted"))
-
