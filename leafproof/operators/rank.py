@@ -64,12 +64,13 @@ def ranked(branch: DataFrame, surface: str) -> DataFrame:
     return branch.withColumn("surface", F.lit(surface)).withColumn("rank", F.row_number().over(w)).select("surface", "row_id", "rank")
 
 
-def fuse(branches: list[DataFrame], weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """row_id, score, best_rank, why: the sum of weight / (RRF_K + rank), added in the order of the weights."""
+def fuse(branches: list[DataFrame], weights: dict[str, float] = WEIGHTS, keys: list[str] | None = None) -> DataFrame:
+    """row_id (or other keys), score, best_rank, why: the sum of weight / (RRF_K + rank), added in the order of the weights."""
     every = branches[0]
     for b in branches[1:]:
         every = every.unionByName(b)
-    one = every.groupBy("row_id").agg(*[F.min(F.when(F.col("surface") == s, F.col("rank"))).alias(s) for s in weights])
+    keys = keys or ["row_id"]
+    one = every.groupBy(*keys).agg(*[F.min(F.when(F.col("surface") == s, F.col("rank"))).alias(s) for s in weights])
     score = F.lit(0.0)
     for s, w in weights.items():
         if w:
@@ -77,7 +78,7 @@ def fuse(branches: list[DataFrame], weights: dict[str, float] = WEIGHTS) -> Data
     used = [s for s, w in weights.items() if w]
     why = F.array_join(F.array_compact(F.array(*[F.when(F.col(s).isNotNull(), s) for s in used])), ",")
     best = F.least(*[F.coalesce(s, F.lit(10**6)) for s in used])
-    return one.select("row_id", score.alias("score"), best.alias("best_rank"), why.alias("why")).filter("why != ''")
+    return one.select(*keys, score.alias("score"), best.alias("best_rank"), why.alias("why")).filter("why != ''")
 
 
 def in_order() -> list[Column]:

@@ -96,6 +96,34 @@ def marked(rows: DataFrame, query: str) -> DataFrame:
     return out.withColumn("reason", F.when(rest, "small_set").otherwise(r)).withColumn("mark", F.when(rest, "relevant").otherwise(F.col("mark")))
 
 
+def marked_all(rows: DataFrame) -> DataFrame:
+    """`marked` and `ordered` for the rows of many questions. rows: qid, page_id, rank, why, summary, text_trust, rate, own
+    (tokens of the question's identifiers), shown (all its terms that a summary may show). Adds place."""
+    lexical = F.array_contains(F.split("why", ","), "lexical")
+    told = T.tokens(F.col("summary"))
+    out = rows.withColumn("lexical", lexical).withColumn("seen", F.array_intersect("shown", told))
+    reason = (
+        F.when(F.col("lexical") & (F.size("own") > 0), "exact_hit").when(F.size("seen") > 0, "summary_match").when(F.col("lexical"), "lexical_unshown")
+        .when(F.col("text_trust").isin("untrusted", "no_text"), "untrusted_text").when(F.col("rate") < health.OK, "weak_grounding")
+        .when(F.trim("summary") == "", "no_summary").otherwise("no_overlap")
+    )
+    r = F.col("reason")
+    mark = F.when(r.isin("exact_hit", "summary_match"), "relevant").when(r == "no_overlap", "irrelevant").otherwise("uncertain")
+    out = out.withColumn("reason", reason).withColumn("mark", mark).withColumn("promoted", r == "exact_hit").withColumn("matched", F.when(r == "exact_hit", F.col("own")).otherwise(F.col("seen")))
+    rest = (F.count(F.lit(1)).over(Window.partitionBy("qid")) <= SMALL_SET) & (F.col("mark") != "relevant")
+    out = out.withColumn("rest", rest).withColumn("reason", F.when(F.col("rest"), "small_set").otherwise(r)).withColumn("mark", F.when(F.col("rest"), "relevant").otherwise(F.col("mark")))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(*ordered()))).drop("seen", "rest")
+
+
+def routed_all(look: DataFrame) -> DataFrame:
+    """One route for each question's look set: qid, page_id, place, vision, slots, reads -> qid, page_id, route, reason."""
+    each = look.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("qid"))).withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy("place")))
+    route, reason = decide(F.col("vision"), F.col("slots"), F.col("reads"), F.lit(False), F.col("n"))
+    each = each.withColumn("route", route).withColumn("reason", reason)
+    late = F.col("route").isNotNull() & (F.col("at") > F.when(F.col("route") == "read", READ_PAGES).otherwise(FETCH_PAGES))
+    return each.select("qid", "page_id", F.when(~late, F.col("route")).alias("route"), F.when(late, "deferred_over_cap").otherwise(F.col("reason")).alias("reason"))
+
+
 def ordered() -> list[Column]:
     """By state, then lexical hits first, then rank, then page id."""
     state = F.array_position(F.array(*[F.lit(m) for m in MARKS]), F.col("mark"))

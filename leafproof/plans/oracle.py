@@ -248,6 +248,65 @@ t3 AS (SELECT *, CASE WHEN small AND m0 <> 'relevant' THEN 'small_set' ELSE r0 E
 triaged AS (SELECT *, row_number() OVER (ORDER BY list_position(['relevant', 'uncertain', 'irrelevant'], mark), NOT lexical, fused_rank, page_id)::INT AS place FROM t3)"""
 
 
+NO_DIGIT = "[x for x in ws if NOT regexp_matches(x, '\\p{N}')]"
+DIGIT = "[x for x in ws if regexp_matches(x, '\\p{N}')]"
+
+
+def asked(name: str, postings: str) -> str:
+    return f""",
+{name}_s AS (
+  SELECT qid, row_id, sum(round(qtf * tf * ln(1 + ((SELECT count(*) FROM cur) - df + 0.5) / (df + 0.5)), 9)::DECIMAL(28, 9))::DOUBLE AS score
+  FROM qtf JOIN {postings} USING (term) JOIN (SELECT term, count(*) AS df FROM {postings} GROUP BY term) USING (term) JOIN may USING (qid, row_id) GROUP BY ALL
+),
+{name} AS (SELECT qid, row_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM {name}_s QUALIFY rank <= 50)"""
+
+
+ASK = (
+    FORMS
+    + POST
+    + f""",
+qs AS (SELECT conv_id || ':' || turn AS qid, conv_id, CASE WHEN conv_id % 7 = 3 THEN text || ' 555' ELSE text END AS text FROM conversations WHERE role = 'user'),
+qw AS (SELECT *, {WORDS} AS ws FROM qs),
+qp AS (SELECT qid, conv_id, {DIGIT} AS ids, array_to_string({NO_DIGIT}, ' ') AS prose, {tok('text')} AS terms FROM qw),
+qo AS (SELECT *, list_distinct(flatten([{tok('x')} for x in ids])) AS own0, {tok('prose')} AS pt FROM qp),
+qq AS (SELECT *, {distinct('flatten([' + tok('x') + ' for x in ids])')} AS own, {distinct("[t for t in pt if length(t) >= 4]")} AS lng FROM qo),
+qtf AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(terms) AS term FROM qq) GROUP BY ALL),
+idw AS (SELECT DISTINCT qid, unnest(ids) AS w FROM qq),
+idn AS (SELECT DISTINCT w, {norm('w')} AS n1, {norm(spellings('w')[1])} AS n2, {norm(spellings('w')[2])} AS n3 FROM idw),
+idp AS (SELECT w, row_id FROM idn, cur WHERE contains(norm, n1) OR contains(norm, n2) OR contains(norm, n3)),
+may AS (
+  SELECT qid, row_id FROM qq, cur WHERE len(ids) = 0
+  UNION ALL SELECT qid, row_id FROM idw JOIN idp USING (w) GROUP BY qid, row_id HAVING count(*) = (SELECT count(*) FROM idw i WHERE i.qid = idw.qid)
+),
+caps AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest({tok("summary || ' ' || section")}) AS term FROM forms WHERE is_current) GROUP BY ALL),
+qv AS (SELECT qid, [('0x' || substring(sha256('query|' || prose || '|' || k), 1, 4))::INT / 32767.5::DOUBLE - 1.0::DOUBLE for k in range(64)] AS q FROM qq WHERE prose <> ''),
+dense_s AS (
+  SELECT qid, row_id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 9) AS score
+  FROM qv JOIN may USING (qid) JOIN embeddings ON vec_id = row_id
+),
+dense AS (SELECT qid, row_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM dense_s QUALIFY rank <= 50)"""
+    + asked("lexical", "postings")
+    + asked("captions", "caps")
+    + """,
+branches AS (SELECT 'dense' AS surface, * FROM dense UNION ALL SELECT 'lexical', * FROM lexical UNION ALL SELECT 'captions', * FROM captions),
+one AS (SELECT qid, row_id, min(rank) FILTER (surface = 'dense') AS d, min(rank) FILTER (surface = 'lexical') AS x, min(rank) FILTER (surface = 'captions') AS c FROM branches GROUP BY ALL),
+fused AS (
+  SELECT qid, row_id, coalesce(1.0::DOUBLE / (60 + d), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + x), 0.0::DOUBLE) + coalesce(0.4::DOUBLE / (60 + c), 0.0::DOUBLE) AS score,
+         least(coalesce(d, 1000000), coalesce(x, 1000000), coalesce(c, 1000000)) AS best_rank,
+         array_to_string([s for s in [CASE WHEN d IS NOT NULL THEN 'dense' END, CASE WHEN x IS NOT NULL THEN 'lexical' END, CASE WHEN c IS NOT NULL THEN 'captions' END] if s IS NOT NULL], ',') AS why
+  FROM one
+),
+numbered AS (SELECT fused.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, best_rank, fused.row_id::VARCHAR)::INT AS fused_rank, page_id, doc_id, section, summary, text_trust, has_text, codes, norm FROM fused JOIN forms USING (row_id))"""
+)
+ASK_GROUP = "SELECT qid, {key}, count(*) AS pages_matched, min(fused_rank) AS best_rank, min_by(page_id, fused_rank) AS preview FROM numbered GROUP BY ALL"
+ASK_MARKS = f""",
+rates AS (SELECT page_id, count(*) AS n, count_if({printed('norm', 'code')}) AS hit FROM (SELECT DISTINCT page_id, norm, lower(unnest(codes)) AS code FROM (SELECT DISTINCT page_id, norm, codes FROM numbered)) GROUP BY page_id),
+summed AS (SELECT DISTINCT page_id, {tok('summary')} AS told FROM numbered),
+t0 AS (SELECT numbered.*, conv_id, own, list_contains(string_split(why, ','), 'lexical') AS lexical, [t for t in list_concat(own, [w for w in lng if NOT list_contains(own, w)]) if list_contains(told, t)] AS shown, CASE WHEN NOT has_text THEN NULL WHEN n IS NULL THEN 1.0 ELSE hit / n END AS rate FROM numbered JOIN qq USING (qid) JOIN summed USING (page_id) LEFT JOIN rates USING (page_id)),
+t1 AS (SELECT *, CASE WHEN lexical AND len(own) > 0 THEN 'exact_hit' WHEN len(shown) > 0 THEN 'summary_match' WHEN lexical THEN 'lexical_unshown' WHEN text_trust IN ('untrusted', 'no_text') THEN 'untrusted_text' WHEN rate < 0.8 THEN 'weak_grounding' WHEN trim(summary) = '' THEN 'no_summary' ELSE 'no_overlap' END AS r0 FROM t0),
+t2 AS (SELECT *, CASE WHEN r0 IN ('exact_hit', 'summary_match') THEN 'relevant' WHEN r0 = 'no_overlap' THEN 'irrelevant' ELSE 'uncertain' END AS m0, CASE WHEN r0 = 'exact_hit' THEN own ELSE shown END AS matched, r0 = 'exact_hit' AS promoted, count(*) OVER (PARTITION BY qid) <= 3 AS small FROM t1),
+t3 AS (SELECT *, CASE WHEN small AND m0 <> 'relevant' THEN 'small_set' ELSE r0 END AS reason, CASE WHEN small THEN 'relevant' ELSE m0 END AS mark FROM t2),
+triaged AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY list_position(['relevant', 'uncertain', 'irrelevant'], mark), NOT lexical, fused_rank, page_id)::INT AS place FROM t3)"""
 OPEN_TERMS = "['nicht', 'einander', 'which', 'thing', 'that']"
 OPEN_MARKS = OPEN + marks(OPEN_TERMS, "[]::VARCHAR[]")
 EXACT_MARKS = RANK + marks("['555', 'thing', 'with', 'reering']", "['555']")
@@ -287,6 +346,11 @@ RATES = "(SELECT rate FROM rated WHERE rate IS NOT NULL)"
 P, PF, PC = "WITH " + PAGES, "WITH " + PAGES + FORMS, "WITH " + PAGES + CLAIMS
 
 SQL: dict[str, str] = {
+    "ask_pages": f"{P}{ASK} SELECT qid, fused_rank, page_id, round(score, 9) AS score, best_rank, why FROM numbered WHERE fused_rank <= 10",
+    "ask_documents": f"{P}{ASK}, g AS ({ASK_GROUP.format(key='doc_id')}) SELECT *, row_number() OVER (PARTITION BY qid ORDER BY best_rank, pages_matched DESC, doc_id)::INT AS place FROM g QUALIFY place <= 10",
+    "ask_sections": f"{P}{ASK}, g AS ({ASK_GROUP.format(key=SERIES + ' AS series')}) SELECT *, row_number() OVER (PARTITION BY qid ORDER BY best_rank, pages_matched DESC, series)::INT AS place FROM g QUALIFY place <= 10",
+    "ask_marks": f"{P}{ASK}{ASK_MARKS} SELECT qid, page_id, mark, reason, array_to_string(matched, ' ') AS matched, promoted, place FROM triaged",
+    "ask_routes": f"{P}{ASK}{ASK_MARKS}, lk AS (SELECT qid, page_id, conv_id % 2 = 0 AS vision, conv_id % 11 AS slots, conv_id % 3 AS reads, count(*) OVER (PARTITION BY qid) AS n, row_number() OVER (PARTITION BY qid ORDER BY place) AS nr FROM triaged WHERE mark = 'relevant'), rt AS (SELECT *, CASE WHEN NOT vision OR n > slots THEN CASE WHEN reads > 0 THEN 'read' END ELSE 'fetch' END AS route, CASE WHEN NOT vision THEN CASE WHEN reads > 0 THEN 'caller_not_vision_capable' ELSE 'budget_exhausted' END WHEN n > slots THEN CASE WHEN reads > 0 THEN 'context_budget' ELSE 'budget_exhausted' END ELSE 'default_fetch' END AS why FROM lk) SELECT qid, page_id, CASE WHEN nr <= CASE route WHEN 'read' THEN 3 ELSE 5 END THEN route END AS route, CASE WHEN route IS NOT NULL AND nr > CASE route WHEN 'read' THEN 3 ELSE 5 END THEN 'deferred_over_cap' ELSE why END AS reason FROM rt",
     "scope_filter": f"{P} SELECT page_id, lang FROM pages_ WHERE lang IN ('en', 'de') AND has_text AND revision = '1.0'",
     "phrase_lookup": f"{P} SELECT page_id, page_no FROM srch WHERE {PHRASE}",
     "printed_on": f"{P} SELECT page_id FROM pages_ WHERE {PHRASE}",

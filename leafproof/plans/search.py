@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafproof.functions import text as T
-from leafproof.operators import caps, exact, health, phrases, rank, triage
+from leafproof.operators import ask, caps, exact, health, phrases, rank, triage
 from leafproof.plans.registry import query
 from leafproof.sources.corpus import Corpus
 
@@ -564,3 +564,77 @@ def loop_transitions(c: Corpus) -> DataFrame:
 def pending_candidates(c: Corpus) -> DataFrame:
     """Current pages that no pass has rejected."""
     return c.current.select("page_id").join(triaged(c, PROSE).filter("mark = 'irrelevant'").select("page_id"), "page_id", "left_anti")
+
+
+# all questions of the table at once
+
+
+def all_questions(c: Corpus) -> DataFrame:
+    """(qid, text): every question; those of each seventh conversation also name an identifier that some pages print."""
+    named = F.when(F.col("conv_id") % 7 == 3, F.concat("text", F.lit(" 555"))).otherwise(F.col("text"))
+    return c.questions.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), named.alias("text"))
+
+
+def ask_rows(c: Corpus, questions: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """Fused rows of each question. allowed (qid, row_id): the pages a question may see; by default those that print its
+    identifiers, or all current ones where it names none."""
+    q = ask.parsed(all_questions(c) if questions is None else questions)
+    vectors = c.table("embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    n = c.current.agg(F.count("*").alias("n")).scalar()
+    if allowed is not None:
+        own = q.join(allowed.select("qid").distinct(), "qid", "left_semi")
+        return ask.fused({"dense": ask.dense(own, vectors, DIM, allowed), "lexical": ask.sparse(own, c.postings, n, allowed), "captions": ask.sparse(own, c.captions, n, allowed)})
+    bound, free = q.filter("size(ids) > 0"), q.filter("size(ids) = 0")
+    inside = ask.narrowed(bound, c.positions, c.terms, c.current)
+    open_vectors = vectors.join(c.current.select("row_id"), "row_id", "left_semi")
+    both = {
+        "dense": ask.dense(free, open_vectors, DIM).unionByName(ask.dense(bound, vectors, DIM, inside)),
+        "lexical": ask.sparse(free, c.postings, n).unionByName(ask.sparse(bound, c.postings, n, inside)),
+        "captions": ask.sparse(free, c.captions, n).unionByName(ask.sparse(bound, c.captions, n, inside)),
+    }
+    return ask.fused(both)
+
+
+def ask_numbered(c: Corpus) -> DataFrame:
+    return ask_rows(c).join(c.forms.select("row_id", "page_id", "doc_id", "section", "summary", "text_trust", "has_text", "codes"), "row_id")
+
+
+@query
+def ask_pages(c: Corpus) -> DataFrame:
+    """The ten best pages of every question."""
+    rows = ask_numbered(c).filter("fused_rank <= 10")
+    return rows.select("qid", "fused_rank", "page_id", F.round("score", 9).alias("score"), "best_rank", "why")
+
+
+@query
+def ask_documents(c: Corpus) -> DataFrame:
+    """The ten best documents of every question."""
+    return ask.group(ask_numbered(c), "doc_id")
+
+
+@query
+def ask_sections(c: Corpus) -> DataFrame:
+    """The ten best sections of every question."""
+    return ask.group(ask_numbered(c).withColumn("series", T.series_id(F.col("doc_id"), F.col("section"))), "series")
+
+
+def ask_marked(c: Corpus) -> DataFrame:
+    rated = c.forms.select("row_id", health.grounded_rate(F.col("codes"), F.col("norm"), F.col("has_text")).alias("rate"))
+    rows = ask_numbered(c).drop("codes").join(rated, "row_id").withColumnRenamed("fused_rank", "rank")
+    told = ask.parsed(all_questions(c)).select("qid", "own", "shown")
+    return triage.marked_all(rows.join(told, "qid").select("qid", "page_id", "rank", "why", "summary", "text_trust", "rate", "own", "shown"))
+
+
+@query
+def ask_marks(c: Corpus) -> DataFrame:
+    """The mark of every row of every question, and its place in the order to look."""
+    return ask_marked(c).select("qid", "page_id", "mark", "reason", F.array_join("matched", " ").alias("matched"), "promoted", "place")
+
+
+@query
+def ask_routes(c: Corpus) -> DataFrame:
+    """How each question's relevant pages are looked at: fetched where they fit the caller's window, else read, the rest
+    deferred. A question's caller is told by its conversation."""
+    conv = F.split("qid", ":")[0].cast("long")
+    look = ask_marked(c).filter("mark = 'relevant'").select("qid", "page_id", "place", (conv % 2 == 0).alias("vision"), (conv % 11).cast("int").alias("slots"), (conv % 3).cast("int").alias("reads"))
+    return triage.routed_all(look)
