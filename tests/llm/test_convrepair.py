@@ -128,9 +128,9 @@ def test_long_conversations_go_through_the_tree(spark, monkeypatch):
     prepare(spark)
     rng = random.Random(8)
     text = lambda n: rng.choice(["", f"Said {n}.", f"Cut {n}", "Again.", "Again."])
-    rows = [(c, n, rng.choice(["user", "assistant", "system", "user", "assistant", "tool"]), text(n)) for c, size in ((1, 250), (2, 70), (3, 3)) for n in range(size)]
+    rows = [(c, n, rng.choice(["user", "assistant", "system", "user", "assistant", "tool"]), text(n)) for c, size in ((1, 120), (2, 70), (3, 3)) for n in range(size)]
     monkeypatch.setattr(C, "RUN", 8)
-    monkeypatch.setattr(C, "FAN", 3)  # 32 runs: levels of 11, 4, 2 and 1
+    monkeypatch.setattr(C, "FAN", 3)  # 15 runs: levels of 5, 2 and 1
     assert found(spark, rows) == expected(rows)
 
 
