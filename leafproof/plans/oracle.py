@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 def tok(x: str) -> str:
     return f"regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}]+')"
@@ -307,6 +309,80 @@ t1 AS (SELECT *, CASE WHEN lexical AND len(own) > 0 THEN 'exact_hit' WHEN len(sh
 t2 AS (SELECT *, CASE WHEN r0 IN ('exact_hit', 'summary_match') THEN 'relevant' WHEN r0 = 'no_overlap' THEN 'irrelevant' ELSE 'uncertain' END AS m0, CASE WHEN r0 = 'exact_hit' THEN own ELSE shown END AS matched, r0 = 'exact_hit' AS promoted, count(*) OVER (PARTITION BY qid) <= 3 AS small FROM t1),
 t3 AS (SELECT *, CASE WHEN small AND m0 <> 'relevant' THEN 'small_set' ELSE r0 END AS reason, CASE WHEN small THEN 'relevant' ELSE m0 END AS mark FROM t2),
 triaged AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY list_position(['relevant', 'uncertain', 'irrelevant'], mark), NOT lexical, fused_rank, page_id)::INT AS place FROM t3)"""
+def rung(x: str, may: str) -> str:
+    """One search of the frontier's questions inside the pages of `may` (qid, row_id): numbered rows as {x}num."""
+    sparse = lambda name, postings: f""",
+{x}{name}s AS (
+  SELECT qid, row_id, sum(round(qtf * tf * ln(1 + ((SELECT count(*) FROM cur) - df + 0.5) / (df + 0.5)), 9)::DECIMAL(28, 9))::DOUBLE AS score
+  FROM qtf JOIN {postings} USING (term) JOIN (SELECT term, count(*) AS df FROM {postings} GROUP BY term) USING (term) JOIN {may} USING (qid, row_id) GROUP BY ALL
+),
+{x}{name} AS (SELECT qid, row_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM {x}{name}s QUALIFY rank <= 50)"""
+    return f"""{sparse("lx", "postings")}{sparse("cp", "caps")},
+{x}dn AS (SELECT qid, row_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM dense_s JOIN {may} USING (qid, row_id) QUALIFY rank <= 50),
+{x}br AS (SELECT 'd' AS surface, * FROM {x}dn UNION ALL SELECT 'x', * FROM {x}lx UNION ALL SELECT 'c', * FROM {x}cp),
+{x}one AS (SELECT qid, row_id, min(rank) FILTER (surface = 'd') AS d, min(rank) FILTER (surface = 'x') AS x, min(rank) FILTER (surface = 'c') AS c FROM {x}br GROUP BY ALL),
+{x}fu AS (
+  SELECT qid, row_id, coalesce(1.0::DOUBLE / (60 + d), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + x), 0.0::DOUBLE) + coalesce(0.4::DOUBLE / (60 + c), 0.0::DOUBLE) AS score,
+         least(coalesce(d, 1000000), coalesce(x, 1000000), coalesce(c, 1000000)) AS best_rank,
+         array_to_string([s for s in [CASE WHEN d IS NOT NULL THEN 'dense' END, CASE WHEN x IS NOT NULL THEN 'lexical' END, CASE WHEN c IS NOT NULL THEN 'captions' END] if s IS NOT NULL], ',') AS why
+  FROM {x}one
+),
+{x}num AS MATERIALIZED (SELECT f.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, best_rank, f.row_id::VARCHAR)::INT AS fused_rank, page_id, doc_id, section, summary, text_trust, has_text, codes, norm FROM {x}fu f JOIN forms USING (row_id))"""
+
+
+def round_of(z: int, before: int | None) -> str:
+    """One round of the descent at a zoom, after another: its rows as r{z}, its looks as l{z}."""
+    base = f""",
+fr{z} AS (SELECT qid FROM qs)""" if before is None else f""",
+fr{z} AS (SELECT qid FROM fr{before} WHERE qid IN (SELECT qid FROM h{before}) AND qid NOT IN (SELECT qid FROM l{before} WHERE sufficient))"""
+    gone = "" if before is None else " AND (qid, row_id) NOT IN (" + " UNION ALL ".join(f"SELECT (qid, row_id) FROM l{k} WHERE mark = 'irrelevant'" for k in range(before, 3)) + ")"
+    seen = "" if before is None else " WHERE (qid, row_id) NOT IN (" + " UNION ALL ".join(f"SELECT (qid, row_id) FROM l{k} WHERE look IS NOT NULL" for k in range(before, 3)) + ")"
+    out = base + f""",
+m{z} AS MATERIALIZED (SELECT qid, row_id FROM may WHERE qid IN (SELECT qid FROM fr{z}){gone})"""
+    inside, cols, none = f"m{z}", "", ", NULL::VARCHAR AS doc_id, NULL::VARCHAR AS section"
+    if z:
+        out += rung(f"a{z}", inside) + f""",
+g{z} AS (SELECT qid, doc_id FROM (SELECT qid, doc_id, count(*) AS n, min(fused_rank) AS b FROM a{z}num GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY b, n DESC, doc_id) = 1),
+md{z} AS MATERIALIZED (SELECT m.qid, m.row_id FROM m{z} m JOIN cur USING (row_id) JOIN g{z} g ON g.qid = m.qid AND g.doc_id = cur.doc_id)"""
+        inside, none = f"md{z}", ", NULL::VARCHAR AS section"
+    if z == 2:
+        out += rung(f"b{z}", inside) + f""",
+k{z} AS (SELECT qid, doc_id, section FROM (SELECT qid, doc_id, section, count(*) AS n, min(fused_rank) AS b FROM b{z}num GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY b, n DESC, doc_id, section) = 1),
+mk{z} AS MATERIALIZED (SELECT m.qid, m.row_id FROM md{z} m JOIN forms f USING (row_id) JOIN k{z} g ON g.qid = m.qid AND g.doc_id = f.doc_id AND g.section = f.section)"""
+        inside, none = f"mk{z}", ""
+    where = {2: "LEFT JOIN k2 USING (qid)", 1: "LEFT JOIN g1 USING (qid)", 0: ""}[z]
+    marks = ASK_MARKS
+    for t in ("rates", "summed", "t0", "t1", "t2", "t3", "triaged"):
+        marks = re.sub(rf"\b{t}\b", f"{t}_{z}", marks)
+    marks = re.sub(r"\bnumbered\b", f"p{z}", marks)
+    return out + rung(f"c{z}", inside) + f""",
+h{z} AS (SELECT * FROM c{z}num WHERE fused_rank <= 10),
+p{z} AS (SELECT * FROM h{z}{seen})""" + marks + f""",
+n{z} AS (SELECT *, count_if(mark = 'relevant') OVER (PARTITION BY qid) AS rel, CASE WHEN mark <> 'irrelevant' THEN row_number() OVER (PARTITION BY qid ORDER BY mark = 'irrelevant', place) END AS nth FROM triaged_{z}),
+o{z} AS (SELECT *, CASE WHEN nth <= least(rel, 3) THEN 1 WHEN nth IS NOT NULL THEN ceil((nth - least(rel, 3)) / 3)::INT + CASE WHEN rel > 0 THEN 1 ELSE 0 END END AS grp FROM n{z}),
+q{z} AS (SELECT *, min(grp) FILTER ({TRUSTED}) OVER (PARTITION BY qid) AS enough FROM o{z}),
+l{z} AS MATERIALIZED (SELECT qid, row_id, mark, CASE WHEN enough IS NULL OR grp <= enough THEN grp END AS look, enough IS NOT NULL AS sufficient FROM q{z}),
+r{z} AS (
+  SELECT qid, {z} AS zoom{', doc_id' if z else ''}{', section' if z == 2 else ''}{none}, coalesce(hits, 0)::BIGINT AS hits, coalesce(relevant, 0)::BIGINT AS relevant, coalesce(uncertain, 0)::BIGINT AS uncertain, coalesce(irrelevant, 0)::BIGINT AS irrelevant, coalesce(looks, 0) AS looks, coalesce(sufficient, false) AS sufficient
+  FROM fr{z} LEFT JOIN (SELECT qid, count(*) AS hits FROM h{z} GROUP BY qid) USING (qid)
+  LEFT JOIN (SELECT qid, count_if(mark = 'relevant') AS relevant, count_if(mark = 'uncertain') AS uncertain, count_if(mark = 'irrelevant') AS irrelevant, max(look) AS looks, bool_or(sufficient) AS sufficient FROM l{z} GROUP BY qid) USING (qid) {where}
+)"""
+
+
+ROUNDS = round_of(2, None) + round_of(1, 2) + round_of(0, 1) + """,
+rounds AS (SELECT * FROM r2 UNION ALL BY NAME SELECT * FROM r1 UNION ALL BY NAME SELECT * FROM r0_)""".replace("r0_", "r0")
+MOVES = """,
+blind AS (SELECT count_if(NOT has_text) > 0 AS b FROM cur),
+mv AS (
+  SELECT unnest([
+    {'state': 'descend', 'signal': 'candidates', 'next': 'triage', 'n': (hits > 0)::INT}, {'state': 'descend', 'signal': 'empty_no_text', 'next': 'vision_first', 'n': (hits = 0 AND b)::INT}, {'state': 'descend', 'signal': 'empty_searchable', 'next': 'abstain', 'n': (hits = 0 AND NOT b)::INT},
+    {'state': 'triage', 'signal': 'look_set', 'next': 'look', 'n': (relevant > 0)::INT}, {'state': 'triage', 'signal': 'empty_look_set', 'next': 'drain_uncertain', 'n': (hits > 0 AND relevant = 0)::INT},
+    {'state': 'look', 'signal': 'sufficient', 'next': 'draft', 'n': sufficient::INT}, {'state': 'look', 'signal': 'insufficient', 'next': 'drain_uncertain', 'n': looks - sufficient::INT},
+    {'state': 'drain_uncertain', 'signal': 'candidates', 'next': 'look', 'n': looks - (relevant > 0)::INT}, {'state': 'drain_uncertain', 'signal': 'pool_empty', 'next': 'widen', 'n': (hits > 0 AND NOT sufficient)::INT},
+    {'state': 'widen', 'signal': 'widened', 'next': 'descend', 'n': (hits > 0 AND NOT sufficient AND zoom > 0)::INT}, {'state': 'widen', 'signal': 'empty_no_text', 'next': 'vision_first', 'n': (hits > 0 AND NOT sufficient AND zoom = 0 AND b)::INT},
+    {'state': 'widen', 'signal': 'exhausted', 'next': 'abstain', 'n': (hits > 0 AND NOT sufficient AND zoom = 0 AND NOT b)::INT}]) AS m
+  FROM rounds, blind
+)"""
 OPEN_TERMS = "['nicht', 'einander', 'which', 'thing', 'that']"
 OPEN_MARKS = OPEN + marks(OPEN_TERMS, "[]::VARCHAR[]")
 EXACT_MARKS = RANK + marks("['555', 'thing', 'with', 'reering']", "['555']")
@@ -495,7 +571,8 @@ SQL: dict[str, str] = {
     "triage_order": f"{P}{OPEN_MARKS} SELECT page_id, place FROM triaged",
     "triage_sets": f"{P}{OPEN_MARKS} SELECT page_id, CASE mark WHEN 'relevant' THEN 'look' WHEN 'irrelevant' THEN 'exclude' ELSE 'pool' END AS goes_to, place FROM triaged",
     "route_plan": f"{P}{OPEN_MARKS}, look AS (SELECT page_id, row_number() OVER (ORDER BY place) AS place, count(*) OVER () AS n FROM triaged WHERE mark = 'relevant'), c AS (SELECT * FROM (VALUES ('default', true, 5, 2, false), ('roomy', true, 500, 2, false), ('blind', false, 5, 2, false), ('broke', false, 5, 0, false), ('full', true, 0, 0, false), ('zoom', true, 5, 2, true), ('blind zoom', false, 5, 2, true)) v(caller, vision, slots, reads, zoom)), d AS (SELECT caller, page_id, place, CASE WHEN zoom THEN CASE WHEN vision THEN 'fetch' END WHEN NOT vision OR n > slots THEN CASE WHEN reads > 0 THEN 'read' END ELSE 'fetch' END AS route, CASE WHEN zoom THEN CASE WHEN vision THEN 'zoom_required' ELSE 'zoom_requires_vision' END WHEN NOT vision THEN CASE WHEN reads > 0 THEN 'caller_not_vision_capable' ELSE 'budget_exhausted' END WHEN n > slots THEN CASE WHEN reads > 0 THEN 'context_budget' ELSE 'budget_exhausted' END ELSE 'default_fetch' END AS reason FROM look, c) SELECT caller, page_id, CASE WHEN place > CASE route WHEN 'read' THEN 3 ELSE 5 END THEN NULL ELSE route END AS route, CASE WHEN route IS NOT NULL AND place > CASE route WHEN 'read' THEN 3 ELSE 5 END THEN 'deferred_over_cap' ELSE reason END AS reason FROM d",
-    "loop_transitions": f"WITH {AUDIT}, m AS (SELECT ['descend', 'triage', 'look', 'drain_uncertain', 'widen', 'vision_first', 'draft', 'verify', 'answer', 'abstain'][1 + k % 10] AS state, ['candidates', 'empty_searchable', 'empty_no_text', 'look_set', 'empty_look_set', 'sufficient', 'insufficient', 'pool_empty', 'contradicted', 'cleared', 'widened', 'exhausted', 'budget_exhausted', 'no_pages'][1 + (event_id % 14)::INT] AS signal, count(*) AS n FROM audit GROUP BY ALL) SELECT m.*, coalesce(next, 'refused') AS next FROM m LEFT JOIN (VALUES ('descend', 'candidates', 'triage'), ('descend', 'empty_searchable', 'abstain'), ('descend', 'empty_no_text', 'vision_first'), ('triage', 'look_set', 'look'), ('triage', 'empty_look_set', 'drain_uncertain'), ('look', 'sufficient', 'draft'), ('look', 'insufficient', 'drain_uncertain'), ('look', 'budget_exhausted', 'abstain'), ('drain_uncertain', 'candidates', 'look'), ('drain_uncertain', 'pool_empty', 'widen'), ('widen', 'widened', 'descend'), ('widen', 'empty_no_text', 'vision_first'), ('widen', 'exhausted', 'abstain'), ('vision_first', 'candidates', 'look'), ('vision_first', 'no_pages', 'abstain'), ('draft', 'candidates', 'verify'), ('verify', 'cleared', 'answer'), ('verify', 'contradicted', 'triage')) e(state, signal, next) USING (state, signal)",
+    "ask_descent": f"{P}{ASK}{ROUNDS} SELECT * FROM rounds",
+    "loop_transitions": f"{P}{ASK}{ROUNDS}{MOVES} SELECT m.state AS state, m.signal AS signal, sum(m.n)::BIGINT AS n, any_value(m.next) AS next FROM mv WHERE m.n > 0 GROUP BY 1, 2",
     "pending_candidates": f"{P}{OPEN_MARKS} SELECT page_id FROM cur WHERE page_id NOT IN (SELECT page_id FROM triaged WHERE mark = 'irrelevant')",
     "read_stamps": f"{PF}, x AS (SELECT page_id, unnest(codes) AS code, norm FROM forms) SELECT page_id, code, {printed('norm', 'code')} AS printed FROM x",
     "near_misses": f"{P}{INV}, src AS (SELECT DISTINCT token FROM inv WHERE length(token) >= 3){MUT}, said AS (SELECT DISTINCT unnest({codes('text')}) AS token FROM pages_), ok AS (SELECT * FROM mut WHERE fake NOT IN (SELECT token FROM inv) AND fake NOT IN (SELECT token FROM said)), own AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY fake ORDER BY nth, token) = 1), t AS (SELECT token AS source, fake, position, row_number() OVER (PARTITION BY token ORDER BY nth)::INT AS turn FROM own) SELECT source, fake, position, turn FROM t ORDER BY turn, source LIMIT 100",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafproof.functions import text as T
 from leafproof.operators import ask, caps, exact, health, phrases, rank, triage
 from leafproof.plans.registry import query
+from leafproof.sources import store
 from leafproof.sources.corpus import Corpus
 
 LABEL = "of the"
@@ -551,15 +552,6 @@ def route_plan(c: Corpus) -> DataFrame:
     return triage.routed(look.select("page_id", "place"), c.spark.createDataFrame(callers, "caller string, vision boolean, slots int, reads int, zoom boolean"))
 
 
-@query
-def loop_transitions(c: Corpus) -> DataFrame:
-    """Where each state goes on each signal that the log's rows stand for; other pairs are refused."""
-    edges = c.spark.createDataFrame(list(triage.EDGES), "state string, signal string, next string")
-    at = lambda xs, n: F.get(F.array(*[F.lit(x) for x in xs]), (n % len(xs)).cast("int"))
-    moves = c.audit.select(at(triage.STATES, F.col("k")).alias("state"), at(triage.SIGNALS, F.col("event_id")).alias("signal")).groupBy("state", "signal").agg(F.count("*").alias("n"))
-    return moves.join(F.broadcast(edges), ["state", "signal"], "left").select("state", "signal", "n", F.coalesce("next", F.lit("refused")).alias("next"))
-
-
 @query
 def pending_candidates(c: Corpus) -> DataFrame:
     """Current pages that no pass has rejected."""
@@ -575,22 +567,22 @@ def all_questions(c: Corpus) -> DataFrame:
     return c.questions.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), named.alias("text"))
 
 
-def ask_rows(c: Corpus, questions: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """Fused rows of each question. allowed (qid, row_id): the pages a question may see; by default those that print its
-    identifiers, or all current ones where it names none."""
+def ask_rows(c: Corpus, questions: DataFrame | None = None, scope: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """Fused rows of each question: inside the pages that print its identifiers, or all current ones where it names none;
+    of these, inside its scope (qid, row_id: current pages) and less the excluded (qid, row_id)."""
     q = ask.parsed(all_questions(c) if questions is None else questions)
     vectors = c.table("embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
     n = c.current.agg(F.count("*").alias("n")).scalar()
-    if allowed is not None:
-        own = q.join(allowed.select("qid").distinct(), "qid", "left_semi")
-        return ask.fused({"dense": ask.dense(own, vectors, DIM, allowed), "lexical": ask.sparse(own, c.postings, n, allowed), "captions": ask.sparse(own, c.captions, n, allowed)})
     bound, free = q.filter("size(ids) > 0"), q.filter("size(ids) = 0")
     inside = ask.narrowed(bound, c.positions, c.terms, c.current)
+    if scope is not None:
+        inside = scope.join(bound.select("qid"), "qid", "left_anti").unionByName(scope.join(inside, ["qid", "row_id"], "left_semi"))
+        return ask.fused({"dense": ask.dense(q, vectors, DIM, inside, exclude), "lexical": ask.sparse(q, c.postings, n, inside, exclude), "captions": ask.sparse(q, c.captions, n, inside, exclude)})
     open_vectors = vectors.join(c.current.select("row_id"), "row_id", "left_semi")
     both = {
-        "dense": ask.dense(free, open_vectors, DIM).unionByName(ask.dense(bound, vectors, DIM, inside)),
-        "lexical": ask.sparse(free, c.postings, n).unionByName(ask.sparse(bound, c.postings, n, inside)),
-        "captions": ask.sparse(free, c.captions, n).unionByName(ask.sparse(bound, c.captions, n, inside)),
+        "dense": ask.dense(free, open_vectors, DIM, None, exclude).unionByName(ask.dense(bound, vectors, DIM, inside, exclude)),
+        "lexical": ask.sparse(free, c.postings, n, None, exclude).unionByName(ask.sparse(bound, c.postings, n, inside, exclude)),
+        "captions": ask.sparse(free, c.captions, n, None, exclude).unionByName(ask.sparse(bound, c.captions, n, inside, exclude)),
     }
     return ask.fused(both)
 
@@ -618,11 +610,11 @@ def ask_sections(c: Corpus) -> DataFrame:
     return ask.group(ask_numbered(c).withColumn("series", T.series_id(F.col("doc_id"), F.col("section"))), "series")
 
 
-def ask_marked(c: Corpus) -> DataFrame:
+def ask_marked(c: Corpus, numbered_rows: DataFrame | None = None) -> DataFrame:
     rated = c.forms.select("row_id", health.grounded_rate(F.col("codes"), F.col("norm"), F.col("has_text")).alias("rate"))
-    rows = ask_numbered(c).drop("codes").join(rated, "row_id").withColumnRenamed("fused_rank", "rank")
+    rows = (ask_numbered(c) if numbered_rows is None else numbered_rows).drop("codes").join(rated, "row_id").withColumnRenamed("fused_rank", "rank")
     told = ask.parsed(all_questions(c)).select("qid", "own", "shown")
-    return triage.marked_all(rows.join(told, "qid").select("qid", "page_id", "rank", "why", "summary", "text_trust", "rate", "own", "shown"))
+    return triage.marked_all(rows.join(told, "qid").select("qid", "row_id", "page_id", "rank", "why", "summary", "text_trust", "rate", "own", "shown"))
 
 
 @query
@@ -638,3 +630,70 @@ def ask_routes(c: Corpus) -> DataFrame:
     conv = F.split("qid", ":")[0].cast("long")
     look = ask_marked(c).filter("mark = 'relevant'").select("qid", "page_id", "place", (conv % 2 == 0).alias("vision"), (conv % 11).cast("int").alias("slots"), (conv % 3).cast("int").alias("reads"))
     return triage.routed_all(look)
+
+
+def descent(c: Corpus) -> DataFrame:
+    """The rounds of every question's search: qid, zoom, doc_id, section, hits, relevant, uncertain, irrelevant, looks,
+    sufficient.
+
+    A round goes from the best document to its best section to ten pages there; the next one stops at the document, the
+    last one asks all pages. The frontier of a round is the questions that no look of the rounds before was enough for;
+    their irrelevant pages are left out of later searches and pages that were looked at are not marked again. What a
+    round found is written before the next one starts.
+    """
+    frontier, excluded, looked, rounds = all_questions(c), None, None, []
+    places = c.current.join(c.forms.select("row_id", "section"), "row_id").select("row_id", "doc_id", "section")
+    best_of = lambda rows, keys: ask.group(rows.withColumn("key", F.struct(*keys)), "key", 1).select("qid", "key.*")
+    for zoom in (2, 1, 0):
+        at = store.durable(frontier, "frontier")
+        of = lambda scope, at=at, excluded=excluded: store.durable(ask_rows(c, at, scope, excluded).join(c.forms.select("row_id", "page_id", "doc_id", "section", "summary", "text_trust", "has_text", "codes"), "row_id"), "rung")
+        scope = None
+        if zoom:
+            scope = store.durable(best_of(of(None), ["doc_id"]).join(places.select("row_id", "doc_id"), "doc_id").select("qid", "row_id", "doc_id"), "scope")
+        if zoom == 2:
+            scope = store.durable(best_of(of(scope.select("qid", "row_id")), ["doc_id", "section"]).join(places, ["doc_id", "section"]).select("qid", "row_id", "doc_id", "section"), "scope")
+        rows = of(None if scope is None else scope.select("qid", "row_id")).filter(F.col("fused_rank") <= ask.LIMIT)
+        pending = ask.without(rows, looked)
+        seen = store.durable(ask.looks(ask_marked(c, pending)), "looks")
+        per = seen.groupBy("qid").agg(*[F.count_if(F.col("mark") == m).alias(m) for m in triage.MARKS], F.coalesce(F.max("look"), F.lit(0)).alias("looks"), F.max("sufficient").alias("sufficient"))
+        here = at.select("qid").join(rows.groupBy("qid").agg(F.count("*").alias("hits")), "qid", "left").join(per, "qid", "left")
+        kept = [k for k in ("doc_id", "section") if scope is not None and k in scope.columns]
+        where = at.select("qid") if scope is None else scope.select("qid", *kept).distinct()
+        here = here.join(where, "qid", "left").fillna(0).fillna(False, ["sufficient"])
+        none = [F.lit(None).cast("string").alias(k) for k in ("doc_id", "section") if k not in kept]
+        rounds.append(here.select("*", *none).select("qid", F.lit(zoom).alias("zoom"), "doc_id", "section", "hits", *triage.MARKS, "looks", "sufficient"))
+        more = lambda old, new: new if old is None else old.unionByName(new)
+        excluded = more(excluded, seen.filter("mark = 'irrelevant'").select("qid", "row_id"))
+        looked = more(looked, seen.filter("look is not null").select("qid", "row_id"))
+        frontier = at.join(seen.filter("sufficient").select("qid").distinct(), "qid", "left_anti").join(rows.select("qid").distinct(), "qid", "left_semi")
+    return rounds[0].unionByName(rounds[1]).unionByName(rounds[2])
+
+
+def moves(c: Corpus) -> DataFrame:
+    """(qid, zoom, state, signal, n): what the rounds of the descent say at each state."""
+    blind = c.current.agg(F.count_if(~F.col("has_text")).alias("n")).scalar() > 0
+    r = descent(c)
+    some, enough, last = F.col("hits") > 0, F.col("sufficient"), F.col("zoom") == 0
+    one = lambda cond: F.when(cond, 1).otherwise(0)
+    said = [
+        ("descend", "candidates", one(some)), ("descend", "empty_no_text", one(~some & blind)), ("descend", "empty_searchable", one(~some & ~blind)),
+        ("triage", "look_set", one(F.col("relevant") > 0)), ("triage", "empty_look_set", one(some & (F.col("relevant") == 0))),
+        ("look", "sufficient", one(enough)), ("look", "insufficient", F.col("looks") - one(enough)),
+        ("drain_uncertain", "candidates", F.col("looks") - one(F.col("relevant") > 0)), ("drain_uncertain", "pool_empty", one(some & ~enough)),
+        ("widen", "widened", one(some & ~enough & ~last)), ("widen", "empty_no_text", one(some & ~enough & last & blind)), ("widen", "exhausted", one(some & ~enough & last & ~blind)),
+    ]
+    each = F.array(*[F.struct(F.lit(a).alias("state"), F.lit(b).alias("signal"), n.cast("long").alias("n")) for a, b, n in said])
+    return r.select("qid", "zoom", F.inline(each)).filter("n > 0")
+
+
+@query
+def ask_descent(c: Corpus) -> DataFrame:
+    return descent(c)
+
+
+@query
+def loop_transitions(c: Corpus) -> DataFrame:
+    """How often the questions' searches take each edge of the loop; a signal without an edge would be refused."""
+    edges = c.spark.createDataFrame(list(triage.EDGES), "state string, signal string, next string")
+    went = moves(c).groupBy("state", "signal").agg(F.sum("n").alias("n"))
+    return went.join(F.broadcast(edges), ["state", "signal"], "left").select("state", "signal", "n", F.coalesce("next", F.lit("refused")).alias("next"))
