@@ -177,8 +177,9 @@ def extracted(windows: DataFrame, bad: DataFrame, cap: int = CAP) -> DataFrame:
     """
     import math
 
-    hit = (windows["doc_id"] == bad["doc_id"]) & bad["page_no"].between(windows["start"], windows["stop"])
-    near = windows.join(bad, hit, "left").groupBy(windows["doc_id"], "start", "stop").agg(F.collect_set("page_no").alias("bad"))  # cap pages at most
+    each = windows.select("doc_id", "start", "stop", F.explode(F.sequence("start", "stop")).alias("page_no"))  # cap pages at most
+    lost = bad.select("doc_id", F.col("page_no").cast("int").alias("page_no"), F.lit(True).alias("lost")).distinct()
+    near = each.join(lost, ["doc_id", "page_no"], "left").groupBy("doc_id", "start", "stop").agg(F.collect_set(F.when(F.col("lost"), F.col("page_no"))).alias("bad"))
     none = F.lit(None).cast("string").alias("state")
     parts = F.array(F.struct(F.col("start").alias("start"), F.col("stop").alias("stop"), none, F.lit(1).alias("calls")))
 
@@ -200,44 +201,39 @@ def tilings(forms: DataFrame, evidence: DataFrame, pages: DataFrame) -> DataFram
     """Where windows sit whose place is lost: doc_id, win, start, found.
 
     forms: (doc_id, win, at, label), the pages of each window numbered from 1; evidence: (doc_id, page_no, label), what
-    is known of a document's pages; pages: (doc_id, pages). A window may start where each of its pages has a label
-    that is known of that page, or nothing is known of the page. The windows of a document must cover its pages, each
-    once, in some order. found: orders that do, 2 for more than one; start is null unless there is exactly one.
+    is known of a document's pages; pages: (doc_id, pages). The windows of a document must cover its pages, each once.
 
-    Places that evidence allows are found by joins over all documents; a document's search goes over its few windows.
+    A label that one page alone is known to have votes for that page less its place in the window. A window goes where
+    its votes agree; a window without votes goes into a gap of its width, if no other such window or gap has that width.
+    Then each page's label must be one that is known of its page, or nothing be known of the page. found: 1 if all
+    windows of the document have their places, 0 if votes, labels or widths contradict one another, 2 if nothing tells
+    where some go. start is null unless found is 1. Rows are joined by label, page and width: as many as there are pages.
     """
-    import pandas as pd
-
-    w = forms.groupBy("doc_id", "win").agg(F.count("*").alias("width"))
-    starts = w.join(pages, "doc_id").filter("width <= pages").select("doc_id", "win", "width", "pages", F.explode(F.sequence(F.lit(1), (F.col("pages") - F.col("width") + 1).cast("int"))).alias("start"))
+    on = ["doc_id", "win"]
+    w = forms.groupBy(*on).agg(F.count("*").cast("int").alias("width"))
+    lone = evidence.select("doc_id", "page_no", "label").distinct().groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.max("page_no").alias("page_no")).filter("n = 1 and label is not null")
+    votes = forms.join(lone, ["doc_id", "label"]).groupBy(*on).agg(F.min(F.col("page_no") - F.col("at") + 1).alias("lo"), F.max(F.col("page_no") - F.col("at") + 1).alias("hi"))
+    told = w.join(votes, on, "left").join(pages, "doc_id")
+    inside = (F.col("lo") >= 1) & (F.col("lo") + F.col("width") - 1 <= F.col("pages"))
+    told = told.withColumn("torn", F.col("lo").isNotNull() & ((F.col("lo") != F.col("hi")) | ~inside))
+    set_ = told.filter("lo is not null and not torn").select(*on, "width", "pages", F.col("lo").cast("int").alias("start"))
+    by = Window.partitionBy("doc_id").orderBy("start", "win")  # a document's windows, not its pages
+    after = set_.withColumn("next", F.coalesce(F.lead("start").over(by), F.col("pages") + 1)).withColumn("end", F.col("start") + F.col("width"))
+    over = after.filter("end > next").select("doc_id").distinct()
+    first = set_.groupBy("doc_id").agg(F.min("start").alias("first"))
+    head = pages.join(first, "doc_id", "left").select("doc_id", F.lit(1).alias("start"), (F.coalesce(F.col("first"), F.col("pages") + 1) - 1).alias("width"))
+    gaps = after.select("doc_id", F.col("end").alias("start"), (F.col("next") - F.col("end")).alias("width")).unionByName(head).filter("width > 0")
+    alone = lambda df: df.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "width"))).filter("n = 1").drop("n")
+    free = alone(told.filter("lo is null").select(*on, "width"))
+    filled = free.join(alone(gaps), ["doc_id", "width"]).select(*on, "width", F.col("start").cast("int").alias("start"))
+    places = set_.select(*on, "width", "start").unionByName(filled)
     known = evidence.groupBy("doc_id", "page_no").agg(F.collect_set("label").alias("labels"))
-    each = starts.join(forms, ["doc_id", "win"]).withColumn("page_no", (F.col("start") + F.col("at") - 1).cast("int")).join(known, ["doc_id", "page_no"], "left")
-    fits = F.col("labels").isNull() | F.coalesce(F.array_contains("labels", F.col("label")), F.lit(False))
-    places = each.groupBy("doc_id", "win", "start", "width", "pages").agg(F.min(fits.cast("int")).alias("ok")).filter("ok = 1").drop("ok")
-    every = w.join(places.drop("width"), ["doc_id", "win"], "left").join(pages.withColumnRenamed("pages", "n"), "doc_id")
-
-    def search(key, g: pd.DataFrame) -> pd.DataFrame:
-        width, total = dict(zip(g["win"], g["width"])), int(g["n"].iloc[0])
-        at: dict[int, list] = {}
-        for win, start in zip(g["win"], g["start"]):
-            if start == start:  # a window without a place has none
-                at.setdefault(int(start), []).append(win)
-        found: list[dict] = []
-
-        def place(start: int, used: dict) -> None:
-            if start > total:
-                if len(used) == len(width):
-                    found.append(dict(used))
-                return
-            for win in sorted(at.get(start, [])):
-                if win not in used and len(found) < 2:
-                    used[win] = start
-                    place(start + int(width[win]), used)
-                    del used[win]
-
-        place(1, {})
-        only = found[0] if len(found) == 1 else {}
-        return pd.DataFrame([(key[0], win, only.get(win), len(found)) for win in sorted(width)], columns=["doc_id", "win", "start", "found"])
-
-    kind = forms.schema["doc_id"].dataType.simpleString()
-    return every.groupBy("doc_id").applyInPandas(search, f"doc_id {kind}, win long, start int, found int")
+    each = forms.join(places, on).withColumn("page_no", F.col("start") + F.col("at") - 1).join(known, ["doc_id", "page_no"])
+    wrong = each.filter(~F.coalesce(F.array_contains("labels", F.col("label")), F.lit(False))).select("doc_id").distinct()
+    sums = told.groupBy("doc_id").agg(F.sum("width").alias("sum"), F.max("pages").alias("pages"), F.max("torn").alias("torn"), F.count("*").alias("n"))
+    bad = over.unionByName(wrong).distinct().withColumn("bad", F.lit(True))
+    facts = sums.join(bad, "doc_id", "left").join(places.groupBy("doc_id").agg(F.count("*").alias("placed")), "doc_id", "left")
+    found = F.when(F.col("torn") | F.col("bad").isNotNull() | (F.col("sum") != F.col("pages")), 0).when(F.col("placed") == F.col("n"), 1).otherwise(2)
+    facts = facts.select("doc_id", found.alias("found"))
+    out = w.join(places.select(*on, "start"), on, "left").join(facts, "doc_id")
+    return out.select(*on, F.when(F.col("found") == 1, F.col("start")).alias("start"), "found")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from leafproof.functions import text as T
-from leafproof.operators import exact, health, ingest, triage
+from leafproof.operators import exact, health, ingest, nearmiss, triage
 from leafproof.plans.registry import query
 from leafproof.plans.search import cites
+from leafproof.sources import snapshots, store
 from leafproof.sources.corpus import KINDS, Corpus
+from leafproof.streaming import control
 
 LADDER = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
@@ -582,6 +586,71 @@ def retirement_counts(c: Corpus) -> DataFrame:
     return c.pages.groupBy("doc_id").agg(F.count_if(F.expr("revision = '1.0' and row_id % 6 = 0")).alias("deleted"), F.count_if(F.expr("revision <> '1.0'")).alias("demoted"), F.count_if(F.expr("revision = '1.0' and row_id % 6 <> 0")).alias("kept"))
 
 
+SNAPSHOT_PAGES = "page_id string, doc_id string, revision string, page_no int, text_trust string"
+
+
+def published(c: Corpus) -> snapshots.Snapshots:
+    """Three runs published one after another: the older revisions, the newer ones, and the newer ones again with pages
+    gone. Documents that a gate holds back are not flipped."""
+    shots = snapshots.Snapshots(c.spark, f"{store.shared_dir(c.spark)}/leafproof/published-{uuid.uuid4().hex}", SNAPSHOT_PAGES)
+    decisions = store.durable(decided(c).select("doc_id", "revision", (F.size("left") == 0).alias("publish"), F.split("flags", ",").alias("flags")), "decisions")
+    for run, part in (("r1", "revision = '0.9'"), ("r2", "revision = '1.0'"), ("r3", "revision = '1.0' and row_id % 6 != 0")):
+        shots.publish(run, c.pages.filter(part).select(*[x.split()[0] for x in SNAPSHOT_PAGES.split(", ")]), decisions)
+    return shots
+
+
+@query
+def publish_snapshot(c: Corpus) -> DataFrame:
+    """What readers see after the last commit: each document revision's run, whether it is current, its pages and flags."""
+    p = published(c).pages()
+    return p.groupBy("doc_id", "revision", "run", "is_current").agg(F.count("*").alias("pages"), F.array_join(F.first("flags"), ",").alias("flags"))
+
+
+@query
+def publish_records(c: Corpus) -> DataFrame:
+    """What each run published and retired."""
+    shots, out = published(c), None
+    for run in ("r1", "r2", "r3"):
+        one = c.spark.read.schema(snapshots.RECORD).parquet(f"{shots.root}/runs/run={run}").drop("published_at").withColumn("run", F.lit(run))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+LEASE_MS, QUOTA, PER_QUESTION = 6 * 3_600_000, 3, 2
+
+
+def commands(c: Corpus) -> DataFrame:
+    """Events as commands to fifty runs."""
+    k, tool = F.col("k"), F.col("tool")
+    kind = F.when(tool == "view", "renew").when(tool == "click", "claim").when(tool == "purchase", "start").when(tool == "signup", "stop").when(k % 2 == 0, "fail").otherwise("override")
+    name = lambda head, n: F.concat(F.lit(head), n.cast("string"))
+    return c.audit.select(
+        name("r", F.col("user_id") % 50).alias("run"), "event_id", F.expr("unix_millis(cast(ts as timestamp))").alias("ms"), kind.alias("kind"),
+        name("w", k % 3).alias("owner"), (k % 10 == 0).alias("steal"), F.when(k % 4 == 1, " ").otherwise("checked by hand").alias("reason"),
+    )
+
+
+@query
+def lease_log(c: Corpus) -> DataFrame:
+    """What becomes of every command and lease."""
+    log = commands(c)
+    return control.replayed(log, log.agg(F.max("ms")).first()[0], LEASE_MS)
+
+
+@query
+def lease_states(c: Corpus) -> DataFrame:
+    """The last state of each run: what a resume finds."""
+    last = F.max_by(F.struct("state", "owner", "expires"), F.struct("ms", "event_id")).alias("s")
+    return lease_log(c).filter("event_id >= 0").groupBy("run").agg(last, F.count("*").alias("commands"), F.count_if(F.col("outcome").isin("ok", "stolen")).alias("taken")).select("run", "s.*", "commands", "taken")
+
+
+@query
+def call_admission(c: Corpus) -> DataFrame:
+    """Which paid calls are admitted, with the least of a user's quota a day and a question's budget."""
+    calls = c.audit.filter("tool != 'view'").select(F.col("user_id").alias("caller"), F.date_format("ts", "yyyy-MM-dd").alias("period"), (F.col("k") % 3).alias("question"), F.col("ts").alias("at"), F.col("event_id").alias("call_id"))
+    return control.admitted(calls, QUOTA, PER_QUESTION).select("call_id", "caller", "period", "question", "admitted", "reason", "reads_remaining")
+
+
 @query
 def stamp_flags(c: Corpus) -> DataFrame:
     old = F.array(F.lit("seen"), F.col("text_trust"))
@@ -666,20 +735,11 @@ def read_stamps(c: Corpus) -> DataFrame:
 # evaluation
 
 
-def fakes(c: Corpus) -> DataFrame:
-    """(source, fake, position, nth): mutations of observed tokens that are no observed token and printed nowhere."""
-    inventory = c.inventory.select("token").distinct()
-    m = inventory.filter("length(token) >= 3").select(F.col("token").alias("source"), F.explode(T.mutations(F.col("token"))).alias("m")).select("source", "m.fake", "m.position", "m.nth")
-    said = c.code_tokens.select("token").distinct()
-    return m.join(inventory, m["fake"] == inventory["token"], "left_anti").join(said, m["fake"] == said["token"], "left_anti")
-
-
 @query
 def near_misses(c: Corpus) -> DataFrame:
-    """A hundred fakes, one for each source in turn; a fake that two sources give is the first source's."""
-    first = fakes(c).withColumn("own", F.row_number().over(Window.partitionBy("fake").orderBy("nth", "source"))).filter("own = 1")
-    turn = first.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy("nth")))
-    return turn.orderBy("turn", "source").limit(100).select("source", "fake", "position", "turn")
+    """A hundred fakes that no page prints in any spelling, one for each source in turn; a source whose fake an earlier
+    one has taken draws again."""
+    return nearmiss.near_misses(c.inventory.select("token").distinct(), c.positions, 100, c.terms)
 
 
 @query

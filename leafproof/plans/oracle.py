@@ -412,6 +412,55 @@ mut AS (
   SELECT token, substring(token, 1, p - 1) || c || substring(token, p + 1) AS fake, (p - 1)::INT AS position, row_number() OVER (PARTITION BY token ORDER BY ci, p DESC)::INT AS nth
   FROM (SELECT token, ci, {ALPHA}[ci] AS c, unnest(range(1, length(token) + 1)) AS p FROM (SELECT token, unnest(range(1, 37)) AS ci FROM src)) WHERE substring(token, p, 1) <> c
 )"""
+SHOTS = """,
+sizes AS (SELECT doc_id, revision, count(*) AS n, count_if(row_id % 6 <> 0)::BIGINT AS n3 FROM pages_ GROUP BY ALL),
+shots AS (SELECT doc_id, revision, len(lft) = 0 AS ok, array_to_string(flags, ',') AS flags, n, n3 FROM decided JOIN sizes USING (doc_id, revision)),
+oks AS (SELECT * FROM shots WHERE ok)"""
+LEASES = """,
+cmd AS (
+  SELECT 'r' || (user_id % 50) AS run, event_id, epoch_us(ts) // 1000 AS ms,
+         CASE tool WHEN 'view' THEN 'renew' WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'start' WHEN 'signup' THEN 'stop' ELSE CASE WHEN k % 2 = 0 THEN 'fail' ELSE 'override' END END AS kind,
+         'w' || (k % 3) AS who, k % 10 = 0 AS steal, CASE WHEN k % 4 = 1 THEN ' ' ELSE 'checked by hand' END AS why, row_number() OVER (PARTITION BY run ORDER BY epoch_us(ts) // 1000, event_id) AS nr
+  FROM audit
+),
+walk AS (
+  SELECT DISTINCT run, 0::BIGINT AS nr, NULL::BIGINT AS event_id, NULL::BIGINT AS ms, NULL::VARCHAR AS kind, NULL::VARCHAR AS outcome, NULL::VARCHAR AS state, '' AS owner, 0::BIGINT AS expires, false AS lapsed, 0::BIGINT AS ended, NULL::VARCHAR AS was FROM cmd
+  UNION ALL
+  SELECT run, nr, event_id, ms, kind, outcome, CASE WHEN takes THEN 'running' WHEN outcome = 'ok' AND kind = 'stop' THEN 'stopped' WHEN outcome = 'ok' AND kind = 'fail' THEN 'failed' ELSE state END,
+         CASE WHEN takes THEN who WHEN outcome = 'ok' AND kind IN ('stop', 'fail') THEN '' ELSE held END,
+         CASE WHEN takes OR (outcome = 'ok' AND kind = 'renew') THEN ms + 21600000 WHEN outcome = 'ok' AND kind IN ('stop', 'fail') OR lapsed THEN 0 ELSE expires END, lapsed, expires, state
+  FROM (
+    SELECT *, outcome IN ('ok', 'stolen') AND kind IN ('start', 'claim') AS takes FROM (
+      SELECT *, CASE WHEN kind = 'start' THEN CASE WHEN held <> '' AND held <> who THEN 'lease_held' ELSE 'ok' END WHEN state IS NULL THEN 'run_unknown'
+        WHEN kind = 'claim' THEN CASE WHEN held <> '' AND held <> who THEN CASE WHEN steal THEN 'stolen' ELSE 'lease_held' END ELSE 'ok' END
+        WHEN kind = 'override' THEN CASE WHEN trim(why) = '' THEN 'override_reason_required' ELSE 'ok' END WHEN held = '' OR held <> who THEN 'not_the_holder' ELSE 'ok' END AS outcome
+      FROM (SELECT c.*, w.state, w.expires, w.owner <> '' AND w.expires <= c.ms AS lapsed, CASE WHEN w.owner <> '' AND w.expires <= c.ms THEN '' ELSE w.owner END AS held FROM walk w JOIN cmd c ON c.run = w.run AND c.nr = w.nr + 1)
+    )
+  )
+),
+ends AS (SELECT run, max_by({'s': state, 'o': owner, 'e': expires}, nr) AS s FROM walk GROUP BY run),
+leased AS (
+  SELECT run, event_id, ms, kind, outcome, state, owner, expires FROM walk WHERE nr > 0
+  UNION ALL SELECT run, -1, ended, 'lapse', 'ok', was, '', 0 FROM walk WHERE lapsed
+  UNION ALL SELECT run, -1, s.e, 'lapse', 'ok', s.s, '', 0 FROM ends WHERE s.o <> '' AND s.e <= (SELECT max(ms) FROM cmd)
+)"""
+NEAR = f""",
+src AS (SELECT DISTINCT token FROM inv WHERE length(token) >= 3 ORDER BY token LIMIT 110){MUT},
+ok0 AS (SELECT * FROM mut WHERE fake NOT IN (SELECT token FROM inv)),
+fk AS (SELECT DISTINCT fake, {norm('fake')} AS n1, {norm(spellings('fake')[2])} AS n2 FROM ok0),
+spoken AS MATERIALIZED (SELECT DISTINCT fake FROM fk, pages_ WHERE contains(norm, n1) OR contains(norm, n2)),
+ok AS MATERIALIZED (SELECT * FROM ok0 WHERE fake NOT IN (SELECT fake FROM spoken)),
+ordered AS MATERIALIZED (SELECT token, row_number() OVER (ORDER BY token) AS nr FROM src),
+drawn AS (
+  SELECT 0::BIGINT AS nr, 0 AS turn, NULL::VARCHAR AS source, NULL::VARCHAR AS fake, NULL::INT AS position, []::VARCHAR[] AS seen
+  UNION ALL
+  SELECT nr, turn, token, pick.f, pick.p, CASE WHEN pick IS NULL THEN seen ELSE list_append(seen, pick.f) END
+  FROM (
+    SELECT d.nr + 1 AS nr, (d.nr // (SELECT count(*) FROM src) + 1)::INT AS turn, o.token, any_value(d.seen) AS seen, min({{'n': ok.nth, 'f': ok.fake, 'p': ok.position}}) FILTER (NOT list_contains(d.seen, ok.fake)) AS pick
+    FROM drawn d JOIN ordered o ON o.nr = d.nr % (SELECT count(*) FROM src) + 1 LEFT JOIN ok ON ok.token = o.token
+    WHERE len(d.seen) < 100 AND d.nr < 100 * (SELECT count(*) FROM src) GROUP BY d.nr, o.token
+  )
+)"""
 OWN_LANG = "nullif(regexp_extract(html, '<html lang=\"([a-z]+)\"', 1), '')"
 URL_LANG = "nullif(regexp_extract(url, '://[^/]+/([a-z]{2})/', 1), '')"
 RATES = "(SELECT rate FROM rated WHERE rate IS NOT NULL)"
@@ -575,7 +624,12 @@ SQL: dict[str, str] = {
     "loop_transitions": f"{P}{ASK}{ROUNDS}{MOVES} SELECT m.state AS state, m.signal AS signal, sum(m.n)::BIGINT AS n, any_value(m.next) AS next FROM mv WHERE m.n > 0 GROUP BY 1, 2",
     "pending_candidates": f"{P}{OPEN_MARKS} SELECT page_id FROM cur WHERE page_id NOT IN (SELECT page_id FROM triaged WHERE mark = 'irrelevant')",
     "read_stamps": f"{PF}, x AS (SELECT page_id, unnest(codes) AS code, norm FROM forms) SELECT page_id, code, {printed('norm', 'code')} AS printed FROM x",
-    "near_misses": f"{P}{INV}, src AS (SELECT DISTINCT token FROM inv WHERE length(token) >= 3){MUT}, said AS (SELECT DISTINCT unnest({codes('text')}) AS token FROM pages_), ok AS (SELECT * FROM mut WHERE fake NOT IN (SELECT token FROM inv) AND fake NOT IN (SELECT token FROM said)), own AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY fake ORDER BY nth, token) = 1), t AS (SELECT token AS source, fake, position, row_number() OVER (PARTITION BY token ORDER BY nth)::INT AS turn FROM own) SELECT source, fake, position, turn FROM t ORDER BY turn, source LIMIT 100",
+    "near_misses": f"WITH RECURSIVE {PAGES}{INV}{NEAR} SELECT source, fake, position, turn FROM drawn WHERE fake IS NOT NULL",
+    "publish_snapshot": f"{PF}{GATES}{SHOTS}, ptr AS (SELECT o.doc_id, o.revision, CASE WHEN o.revision = '0.9' THEN 'r1' WHEN n3 > 0 THEN 'r3' ELSE 'r2' END AS run, o.revision = '1.0' OR NOT EXISTS (FROM oks x WHERE x.doc_id = o.doc_id AND x.revision = '1.0') AS is_current, CASE WHEN o.revision = '0.9' OR n3 = 0 THEN n ELSE n3 END AS pages, flags FROM oks o) SELECT * FROM ptr",
+    "publish_records": f"{PF}{GATES}{SHOTS} SELECT 'r1' AS run, doc_id, revision, ok AS published, CASE WHEN ok THEN n ELSE 0 END AS pages_indexed, 0::BIGINT AS deleted_stale, 0::BIGINT AS superseded_demoted, 0::BIGINT AS other_revision_kept FROM shots WHERE revision = '0.9' UNION ALL SELECT run, s.doc_id, s.revision, s.ok, CASE WHEN NOT s.ok THEN 0 WHEN run = 'r2' THEN s.n ELSE s.n3 END, CASE WHEN s.ok AND run = 'r3' THEN s.n - s.n3 ELSE 0 END, CASE WHEN s.ok AND run = 'r2' THEN coalesce(o.n, 0) ELSE 0 END, CASE WHEN s.ok THEN coalesce(o.n, 0) ELSE 0 END FROM shots s CROSS JOIN (VALUES ('r2'), ('r3')) r(run) LEFT JOIN oks o ON o.doc_id = s.doc_id AND o.revision = '0.9' WHERE s.revision = '1.0' AND (run = 'r2' OR s.n3 > 0)",
+    "lease_log": f"WITH RECURSIVE {AUDIT}{LEASES} SELECT run, event_id, ms, kind, outcome, state, owner, expires FROM leased",
+    "lease_states": f"WITH RECURSIVE {AUDIT}{LEASES}, own AS (SELECT run, max_by({{'s': state, 'o': owner, 'e': expires}}, nr) AS s, count(*) AS commands, count_if(outcome IN ('ok', 'stolen'))::BIGINT AS taken FROM walk WHERE nr > 0 GROUP BY run) SELECT run, s.s AS state, s.o AS owner, s.e AS expires, commands, taken FROM own",
+    "call_admission": f"WITH {AUDIT}, pc AS (SELECT event_id AS call_id, user_id AS caller, strftime(ts, '%Y-%m-%d') AS period, k % 3 AS question, ts FROM audit WHERE tool <> 'view'), n1 AS (SELECT *, row_number() OVER (PARTITION BY caller, period, question ORDER BY ts, call_id) <= 2 AS may FROM pc), n2 AS (SELECT *, sum(may::INT) OVER (PARTITION BY caller, period ORDER BY ts, call_id) AS asked FROM n1), n3 AS (SELECT *, may AND asked <= 3 AS admitted FROM n2) SELECT call_id, caller, period, question, admitted, CASE WHEN NOT may THEN 'question_exhausted' WHEN NOT admitted THEN 'quota_exhausted' END AS reason, least(3 - least(asked, 3), 2 - sum(admitted::INT) OVER (PARTITION BY caller, period, question ORDER BY ts, call_id))::BIGINT AS reads_remaining FROM n3",
     "abstention_correctness": "SELECT 100::BIGINT AS sample, 100::BIGINT AS abstained, 1.0::DOUBLE AS correctness",
     "dropped_codes": f"{PF}, e AS (SELECT page_id, unnest(codes) AS code FROM forms) SELECT * FROM e WHERE code NOT LIKE '%1%' AND code NOT LIKE 'k%'",
     "gains_by_code": f"{PF}, e AS (SELECT page_id, unnest(codes) AS code, norm FROM forms) SELECT code, count(*) AS pages, min(page_id) AS first FROM e WHERE code NOT LIKE '%1%' AND code NOT LIKE 'k%' AND {printed('norm', 'code')} GROUP BY code",

@@ -57,28 +57,45 @@ def signature(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(str(f) for p in paths for f in listed(spark, p))).encode()).hexdigest()[:24]
 
 
-def written(spark: SparkSession, path: str, make: Callable[[], DataFrame], schema: str) -> DataFrame:
-    """The table at path, made first if there is none.
+def put(spark: SparkSession, path: str, df: DataFrame, taken: Callable[[], bool] = lambda: False) -> bool:
+    """Write a table so that it is at path whole or not at all; False if another one is there, or `taken` says so.
 
-    It is written under a name of its own and then renamed, so a table is there whole or not at all. Of two sessions
-    that make one at once, the first to rename wins; the other reads that one, and its own copy is left to the cluster
-    to clear.
+    It is written under a hidden name of its own and then renamed, which fails if the name is taken. What is left of a
+    lost race is the cluster's to clear.
     """
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(conf)
-    if not fs.exists(at):
-        own = f"{path}-{uuid.uuid4().hex}"
-        make().select(*spark_names(schema)).write.parquet(own)
-        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf).rename(jvm.org.apache.hadoop.fs.Path(own), at, options)
-        except Py4JJavaError:
-            if not fs.exists(at):
-                raise
+    parent, name = path.rsplit("/", 1)
+    own = f"{parent}/_{name}-{uuid.uuid4().hex}"
+    df.write.parquet(own)
+    if taken():
+        return False
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf).rename(jvm.org.apache.hadoop.fs.Path(own), at, options)
+        return True
+    except Py4JJavaError:
+        if not at.getFileSystem(conf).exists(at):
+            raise
+        return False
+
+
+def written(spark: SparkSession, path: str, make: Callable[[], DataFrame], schema: str) -> DataFrame:
+    """The table at path, made first if there is none. Of two sessions that make one at once, the first to rename wins
+    and the other reads that one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        put(spark, path, make().select(*spark_names(schema)))
     return spark.read.schema(schema).parquet(path)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, in any store; none if there is no folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def spark_names(schema: str) -> list[str]:
     """The column names of a schema string."""
     return StructType.fromDDL(schema).names
