@@ -103,8 +103,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, huge: int = 16_384, c
         one = todo.select("key", "i", "base", "body", "from_at", "to_at").mapInPandas(owned, "key string, i int, ids binary")
         encoded = one if encoded is None else encoded.unionByName(one)
     # a document's ids are one value of one row; repeated rows encode alike, so one copy of each chunk is kept
-    parts = F.array_sort(F.collect_list(F.struct("i", F.hex("ids").alias("h"))))
-    joined = F.unhex(F.array_join(F.transform("parts", lambda p: p["h"]), ""))
+    parts = F.array_sort(F.collect_list(F.struct("i", "ids")))
+    joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), ""))
     stitched = encoded.dropDuplicates(["key", "i"]).groupBy("key").agg(parts.alias("parts")).select("key", joined.alias("ids"))
     return short.unionByName(long.select("key", "doc_id").join(stitched, "key").select("doc_id", "ids"))
 
