@@ -447,8 +447,11 @@ leased AS (
 NEAR = f""",
 src AS (SELECT DISTINCT token FROM inv WHERE length(token) >= 3 ORDER BY token LIMIT 110){MUT},
 ok0 AS (SELECT * FROM mut WHERE fake NOT IN (SELECT token FROM inv)),
-fk AS (SELECT DISTINCT fake, {norm('fake')} AS n1, {norm(spellings('fake')[2])} AS n2 FROM ok0),
-spoken AS MATERIALIZED (SELECT DISTINCT fake FROM fk, pages_ WHERE contains(norm, n1) OR contains(norm, n2)),
+fk AS MATERIALIZED (SELECT DISTINCT fake, trim({norm('fake')}) AS n1, {norm(spellings('fake')[2])} AS n2 FROM ok0),
+toks AS MATERIALIZED (SELECT DISTINCT unnest(string_split(trim(norm), ' ')) AS t FROM pages_),
+parts AS (SELECT DISTINCT fake, n2, unnest(string_split(trim(n2), ' ')) AS t FROM fk),
+maybe AS MATERIALIZED (SELECT fake, n2 FROM parts GROUP BY ALL HAVING count_if(t NOT IN (SELECT t FROM toks)) = 0),
+spoken AS MATERIALIZED (SELECT fake FROM fk WHERE n1 IN (SELECT t FROM toks) UNION SELECT DISTINCT fake FROM maybe, pages_ WHERE contains(norm, n2)),
 ok AS MATERIALIZED (SELECT * FROM ok0 WHERE fake NOT IN (SELECT fake FROM spoken)),
 ordered AS MATERIALIZED (SELECT token, row_number() OVER (ORDER BY token) AS nr FROM src),
 drawn AS (
