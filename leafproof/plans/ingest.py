@@ -282,7 +282,7 @@ def window_tiling(c: Corpus) -> DataFrame:
 
 @query
 def inline_cap(c: Corpus) -> DataFrame:
-    """Pages a call may have of each document, whose file is larger than what a call carries inline (here: 200 kB)."""
+    """Pages a call may have of each document, whose file is larger than what a call carries inline (here: 20 kB)."""
     size = c.pages.groupBy("doc_id", "revision").agg(F.count("*").alias("pages"), F.sum(F.octet_length("seen")).alias("bytes"))
     return size.select("doc_id", "revision", ingest.inline_cap(F.col("pages"), F.col("bytes"), inline=20_000).alias("cap"))
 
