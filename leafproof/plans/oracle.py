@@ -414,7 +414,7 @@ mut AS (
 )"""
 SHOTS = """,
 sizes AS (SELECT doc_id, revision, count(*) AS n, count_if(row_id % 6 <> 0)::BIGINT AS n3 FROM pages_ GROUP BY ALL),
-shots AS (SELECT doc_id, revision, len(lft) = 0 AS ok, array_to_string(flags, ',') AS flags, n, n3 FROM decided JOIN sizes USING (doc_id, revision)),
+shots AS (SELECT doc_id, revision, NOT list_contains(lft, 'offset_check') AS ok, array_to_string(flags, ',') AS flags, n, n3 FROM decided JOIN sizes USING (doc_id, revision)),
 oks AS (SELECT * FROM shots WHERE ok)"""
 LEASES = """,
 cmd AS (
