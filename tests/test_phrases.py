@@ -3,12 +3,13 @@
 import random
 import threading
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from leafproof.functions import text as T
 from leafproof.operators import exact, phrases
-from leafproof.sources import store
+from leafproof.sources import corpus, store
 from leafproof.sources.corpus import Corpus
 
 SF = "/root/testdata/sf0.001"
@@ -104,3 +105,14 @@ def test_phrases_as_written_are_in_no_other_spelling(spark):
     assert ids(exact.printing(pages, "of the", index, as_written=True)) == {1, 4}
     assert ids(exact.printing(pages, "of the", as_written=True)) == {1, 4} and ids(exact.printing(pages, "of the", index)) == {1, 2, 4}
     assert ids(phrases.literal_hits(index, " - ", as_written=True)) == set()
+
+
+def test_places_are_given_on_in_bounded_batches():
+    texts = [" ".join(f"w{(n * k) % 50}" for k in range(5_000)) for n in range(100)]
+    batch = pa.record_batch([pa.array(range(100), pa.int64()), pa.array([n % 2 == 0 for n in range(100)]), pa.array(texts)], names=["row_id", "is_current", "norm"])
+    out = list(corpus.placed(iter([batch, batch.slice(0, 0)])))
+    words = [sum(len(p) for p in b.column(3).to_pylist()) for b in out]
+    assert sum(words) == 500_000 and max(words) <= corpus.PLACED_WORDS + 5_000 and len(out) >= 5
+    got = [(t, r, cur, p) for b in out for t, r, cur, p in zip(*(x.to_pylist() for x in b.columns))]
+    want = [(w, n, n % 2 == 0, [k for k, x in enumerate(t.split()) if x == w]) for n, t in enumerate(texts) for w in dict.fromkeys(t.split())]
+    assert got == want
