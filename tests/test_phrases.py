@@ -116,3 +116,9 @@ def test_places_are_given_on_in_bounded_batches():
     got = [(t, r, cur, p) for b in out for t, r, cur, p in zip(*(x.to_pylist() for x in b.columns))]
     want = [(w, n, n % 2 == 0, [k for k, x in enumerate(t.split()) if x == w]) for n, t in enumerate(texts) for w in dict.fromkeys(t.split())]
     assert got == want
+
+
+def test_no_sort_holds_texts_while_pages_are_made(spark):
+    plan = Corpus(spark, SF)._make_pages()._jdf.queryExecution().sparkPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Sort [" in line]
+    assert "ShuffledHashJoin" in plan and not any("source" in x for x in sorts)
