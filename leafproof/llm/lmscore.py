@@ -39,6 +39,10 @@ OFFSETS = [k for k in range(-WIDTH, WIDTH + 1) if k]
 #: Positions that are scored at once, and the first and the largest batch that is trained at once: it doubles every
 #: WARM steps.
 STEP, FIRST, BATCH, WARM = 16_384, 128, 8192, 40
+#: Logits of which a softmax needs no maximum: exp and sums of thousands of them stay in range.
+LOGIT = 60.0
+#: Positions whose logits are held at once.
+CACHED = 2048
 #: Blocks in which the slots come to the driver.
 BLOCKS = 64
 #: Floats of a parameter row on its way to the average, and groups of its first step.
@@ -288,30 +292,54 @@ class Network:
 
     def log_probs(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The log-probability of the class at each place, from its neighbours alone."""
-        out = np.empty(len(at))
+        out, safe = np.empty(len(at)), self.safe()
+        top, low = np.column_stack([self.g, self.gc]), np.column_stack([self.o, self.c])
         for a in range(0, len(at), STEP):
             here = at[a : a + STEP]
             order, own, stretches = self.by_group(line, here)
             here = here[order]
-            h, place = self.hidden(line, here).T.copy(), self.place[line[here]]
-            total = self._own(self.g @ h + self.gc[:, None], own)
+            h, place = self._with_one(self.hidden(line, here))[1], self.place[line[here]]
+            total = np.concatenate([self._own(self._logits(top, h[:, rows], safe), own[rows]) for rows in self._parts(len(here))])
             for k, rows in stretches:
                 i, j = self.first[k], self.first[k + 1]
-                total[rows] += self._own(self.o[i:j] @ h[:, rows] + self.c[i:j, None], place[rows] - i)
+                total[rows] += self._own(self._logits(low[i:j], h[:, rows], safe), place[rows] - i)
             out[a + order] = total
         return out
 
+    def safe(self) -> bool:
+        """Whether no logit can leave +-LOGIT, as the hidden values are within +-1: then exp needs no maximum taken off."""
+        most = lambda w, c: (np.abs(w).sum(axis=1) + np.abs(c)).max()
+        return bool(max(most(self.g, self.gc), most(self.o, self.c)) < LOGIT)
+
+    @staticmethod
+    def _parts(n: int) -> list[slice]:
+        """Positions whose logits of all groups stay in a processor's cache."""
+        return [slice(a, min(n, a + CACHED)) for a in range(0, n, CACHED)]
+
+    @staticmethod
+    def _with_one(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hidden values with a column of ones, which meets the biases, the same transposed)."""
+        one = np.ones((len(h), h.shape[1] + 1), dtype=np.float32)
+        one[:, :-1] = h
+        return one, one.T.copy()
+
+    @staticmethod
+    def _logits(weights: np.ndarray, across: np.ndarray, safe: bool) -> np.ndarray:
+        """A column of logits for each position, less its largest one unless they are safe."""
+        z = weights @ across
+        if not safe:
+            z -= z.max(axis=0)
+        return z
+
     @staticmethod
     def _own(z: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log softmax of each column at its target."""
-        z -= z.max(axis=0)
         own = z[target, np.arange(len(target))].astype(np.float64)
         return own - np.log(np.exp(z, out=z).sum(axis=0))
 
     @staticmethod
     def _error(z: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
         """The gradient of the mean loss by the logits, a column for each position."""
-        z -= z.max(axis=0)
         np.exp(z, out=z)
         z *= 1 / (n * z.sum(axis=0))
         z[target, np.arange(len(target))] -= np.float32(1 / n)
@@ -320,34 +348,45 @@ class Network:
     def learn(self, line: np.ndarray, at: np.ndarray, rate: float, seen: Network) -> None:
         """One Adagrad step on a batch; seen: the squared gradients so far. Rows that the batch lacks stay as they are."""
 
-        def step(value: np.ndarray, past: np.ndarray, grad: np.ndarray, rows=slice(None)) -> None:
-            past[rows] += grad * grad
-            value[rows] -= rate * grad / (np.sqrt(past[rows]) + 1e-6)
+        def step(value: np.ndarray, past: np.ndarray, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
+            root = grad * grad
+            root += past if rows is None else past.take(rows, axis=0)
+            past[slice(None) if rows is None else rows] = root
+            np.sqrt(root, out=root)
+            root += 1e-6
+            grad *= rate
+            grad /= root
+            if rows is None:
+                value -= grad
+            else:
+                value[rows] = value.take(rows, axis=0) - grad
 
         order, own, stretches = self.by_group(line, at)
         at, n = at[order], len(at)
         h, place = self.hidden(line, at), self.place[line[at]]
-        across = h.T.copy()
-        d = self._error(self.g @ across + self.gc[:, None], own, n)
-        dh = d.T @ self.g
-        later = [(self.g, seen.g, d @ h), (self.gc, seen.gc, d.sum(axis=1))]
-        do, dc = np.zeros_like(self.o), np.zeros_like(self.c)
+        safe, (one, across) = self.safe(), self._with_one(h)
+        top, low = np.column_stack([self.g, self.gc]), np.column_stack([self.o, self.c])
+        dh, dg, do = np.empty_like(h), np.zeros_like(top), np.zeros_like(low)
+        for rows in self._parts(n):
+            d = self._error(self._logits(top, across[:, rows], safe), own[rows], n)
+            np.dot(d.T, self.g, out=dh[rows])
+            dg += d @ one[rows]
         for k, rows in stretches:
             i, j = self.first[k], self.first[k + 1]
-            o = self.o[i:j]
-            d = self._error(o @ across[:, rows] + self.c[i:j, None], place[rows] - i, n)
-            dh[rows] += d.T @ o
-            np.dot(d, h[rows], out=do[i:j])
-            dc[i:j] = d.sum(axis=1)
+            d = self._error(self._logits(low[i:j], across[:, rows], safe), place[rows] - i, n)
+            dh[rows] += d.T @ self.o[i:j]
+            np.dot(d, one[rows], out=do[i:j])
         dh *= 1 - h * h
-        for value, past, grad in (*later, (self.o, seen.o, do), (self.c, seen.c, dc), (self.b, seen.b, dh.sum(axis=0))):
+        for value, past, grad in ((self.g, seen.g, dg[:, :-1]), (self.gc, seen.gc, dg[:, -1]), (self.o, seen.o, do[:, :-1]), (self.c, seen.c, do[:, -1]), (self.b, seen.b, dh.sum(axis=0))):
             step(value, past, grad)
+        pairs = np.ascontiguousarray(dh, dtype=np.float32).view(np.complex64)
         for j, k in enumerate(OFFSETS):
             context = line[at + k]
             order = np.argsort(context.astype(np.uint16), kind="stable")
             context = context[order]
             first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            step(self.e[j], seen.e[j], np.add.reduceat(dh.take(order, axis=0), first, axis=0), context[first])
+            # as pairs: a sum of complex numbers is two sums
+            step(self.e[j], seen.e[j], np.add.reduceat(pairs.take(order, axis=0), first, axis=0).view(np.float32), context[first])
 
 
 def train_part(flat: np.ndarray, group: np.ndarray, texts: list[np.ndarray], s: Settings, turn: int) -> tuple[np.ndarray, int]:

@@ -171,3 +171,27 @@ def test_shares_in_a_bucket_add_up_to_one_with_an_unseen_token(spark):
         unseen = sum(np.exp(v.slot_inside[x]) for x in range(b, s.slots, s.buckets))  # each slot has room for one more
         assert abs(seen + unseen - 1) < 1e-2  # slots keep half precision
     assert np.allclose(inside[classes < s.words], 0)
+
+
+def test_a_softmax_takes_a_maximum_off_only_where_logits_may_be_large():
+    share = np.arange(40, 0, -1) / 820
+    texts = [np.random.default_rng(3).integers(0, 40, 300).astype("<u2")]
+
+    def plain(net, line, at):
+        h = net.hidden(line, at).astype(np.float64)
+        whole = lambda w, c: h @ w.T.astype(np.float64) + c
+        soft = lambda z: z - z.max(axis=1, keepdims=True) - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True))
+        top, low, out = soft(whole(net.g, net.gc)), whole(net.o, net.c), []
+        for n, k in enumerate(line[at]):
+            i, j = net.first[net.group[k]], net.first[net.group[k] + 1]
+            out.append(top[n, net.group[k]] + soft(low[n : n + 1, i:j])[0, net.place[k] - i])
+        return np.array(out)
+
+    for scale, safe in ((1, True), (400, False)):
+        net = lmscore.Network.fresh(share, 5)
+        for w in (net.g, net.o):
+            w *= scale
+        assert net.safe() is safe
+        line, at = net.joined(texts)
+        assert np.allclose(net.log_probs(line, at), plain(net, line, at), rtol=1e-3, atol=1e-3)
+        assert np.isfinite(lmscore.train_part(net.flat, net.group, texts, lmscore.Settings(), 0)[0]).all()
