@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from leafproof.functions import text as T
 
 CAP, SMALL = 30, 10
+#: Bits of a column that say which pages are bad.
+WORD = 62
 #: Pages of a window whose label a neighbour prints that make it be off.
 WITNESSES = 2
 
@@ -174,27 +181,53 @@ def extracted(windows: DataFrame, bad: DataFrame, cap: int = CAP) -> DataFrame:
     windows: (doc_id, start, stop) of cap pages at most; bad: (doc_id, page_no) that no call can place. A window with a
     bad page fails and is halved, each half is a call of its own; a failing single page is unsplittable. `calls` counts
     the calls that led to the window. Each round halves, so log2(cap) rounds end it.
+
+    A window meets the bad pages of its block of cap pages and the next one as the bits of one row, or of as many columns
+    as 2 * cap bits need: pages are never joined as rows of their own. Arrow batches of windows are halved in numpy.
     """
-    import math
-
-    each = windows.select("doc_id", "start", "stop", F.explode(F.sequence("start", "stop")).alias("page_no"))  # cap pages at most
-    lost = bad.select("doc_id", F.col("page_no").cast("int").alias("page_no"), F.lit(True).alias("lost")).distinct()
-    near = each.join(lost, ["doc_id", "page_no"], "left").groupBy("doc_id", "start", "stop").agg(F.collect_set(F.when(F.col("lost"), F.col("page_no"))).alias("bad"))
-    none = F.lit(None).cast("string").alias("state")
-    parts = F.array(F.struct(F.col("start").alias("start"), F.col("stop").alias("stop"), none, F.lit(1).alias("calls")))
-
-    def halve(p: Column) -> Column:
-        start, stop, calls = p["start"], p["stop"], p["calls"]
-        part = lambda a, b, state, n: F.struct(a.alias("start"), b.alias("stop"), state.cast("string").alias("state"), n.alias("calls"))
-        failed = F.exists("bad", lambda n: n.between(start, stop))
-        half = F.floor((start + stop) / 2).cast("int")
-        two = F.array(part(start, half, F.lit(None), calls + 1), part(half + 1, stop, F.lit(None), calls + 1))
-        one = lambda state: F.array(part(start, stop, F.lit(state), calls))
-        return F.when(p["state"].isNotNull(), F.array(p)).when(~failed, one("ok")).when(start == stop, one("window_unsplittable")).otherwise(two)
-
-    for _ in range(math.ceil(math.log2(max(2, cap))) + 1):
-        parts = F.flatten(F.transform(parts, halve))
-    return near.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.start", "p.stop", "p.state", "p.calls")
+    words = range(-(-2 * cap // WORD))
+    block = lambda page: F.floor((page - 1) / cap).alias("block")
+    lost = bad.select("doc_id", F.col("page_no").cast("long").alias("page_no"), block(F.col("page_no")).alias("own"))
+    lost = lost.select("doc_id", "page_no", F.explode(F.array(F.col("own") - 1, F.col("own"))).alias("block"))
+    lost = lost.select("doc_id", "block", (F.col("page_no") - 1 - F.col("block") * cap).alias("at"))
+    bit = lambda k: F.expr(f"bit_or(if(at div {WORD} = {k}, shiftleft(1L, cast(at % {WORD} as int)), 0L))").alias(f"m{k}")
+    lost = lost.groupBy("doc_id", "block").agg(*[bit(k) for k in words])
+    near = windows.filter("start is not null and stop is not null").select("doc_id", "start", "stop").distinct().withColumn("block", block(F.col("start")))
+    near = near.join(lost, ["doc_id", "block"], "left").select("doc_id", "start", "stop", "block", *[F.coalesce(f"m{k}", F.lit(0)).alias(f"m{k}") for k in words])
+    out = ST.StructType([windows.schema["doc_id"], *ST.StructType.fromDDL("start int, stop int, state string, calls int").fields])
+    return near.mapInArrow(_halved(cap), out)
+
+
+def _halved(cap: int):
+    """Windows (doc_id, start, stop, block, bits of their blocks' bad pages) to what is left of them: doc_id, start, stop,
+    state, calls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states = pa.array(["ok", "window_unsplittable"])
+        one = np.uint64(1)
+        for b in batches:
+            start, stop, first = (b.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3))
+            if (stop - start >= cap).any():
+                raise ValueError(f"a window has over {cap} pages")
+            first = first * cap + 1
+            masks = [b.column(k).to_numpy().astype(np.uint64) for k in range(4, b.num_columns)]
+            w, calls, parts = np.arange(len(start)), 1, []
+            while len(w):
+                failed = np.zeros(len(w), bool)
+                for k, m in enumerate(masks):
+                    low, high = (np.clip(x - first[w] - k * WORD, 0, WORD).astype(np.uint64) for x in (start, stop + 1))
+                    failed |= (m[w] & ((one << high) - (one << low))) != 0
+                whole = ~failed | (start == stop)
+                parts.append((w[whole], start[whole], stop[whole], failed[whole], np.full(whole.sum(), calls)))
+                w, start, stop, calls = w[~whole], start[~whole], stop[~whole], calls + 1
+                half = (start + stop) // 2
+                w, start, stop = np.concatenate([w, w]), np.concatenate([start, half + 1]), np.concatenate([half, stop])
+            if parts:
+                w, start, stop, failed, calls = (np.concatenate(x) for x in zip(*parts))
+                whole = lambda x: pa.array(x.astype(np.int32))
+                yield pa.record_batch([b.column(0).take(pa.array(w)), whole(start), whole(stop), states.take(whole(failed)), whole(calls)], names=["doc_id", "start", "stop", "state", "calls"])
+
+    return run
 
 
 def tilings(forms: DataFrame, evidence: DataFrame, pages: DataFrame) -> DataFrame:

@@ -54,6 +54,25 @@ def test_failing_windows_are_halved_down_to_single_pages(spark):
     assert got == [(1, 1, 2, "ok", 3), (1, 3, 3, "window_unsplittable", 4), (1, 4, 4, "ok", 4), (1, 5, 8, "ok", 2), (2, 1, 30, "ok", 1)]
 
 
+def test_windows_meet_bad_pages_without_a_row_for_each_page(spark):
+    windows = [(d, s, min(s + 29, s + d % 30)) for d in range(40) for s in (1 + d, 31 + d, 90 - d)]
+    bad = {(d, n) for d in range(40) for n in range(1, 130) if (d * 7 + n * n) % 23 == 0}
+
+    def halved(d, a, b, calls=1):
+        if not any((d, n) in bad for n in range(a, b + 1)):
+            return [(d, a, b, "ok", calls)]
+        if a == b:
+            return [(d, a, b, "window_unsplittable", calls)]
+        return halved(d, a, (a + b) // 2, calls + 1) + halved(d, (a + b) // 2 + 1, b, calls + 1)
+
+    got = ingest.extracted(spark.createDataFrame(windows * 2, "doc_id long, start int, stop int"), spark.createDataFrame([*bad, *bad], "doc_id long, page_no int"))
+    assert sorted((r.doc_id, r.start, r.stop, r.state, r.calls) for r in got.collect()) == sorted(x for w in set(windows) for x in halved(*w))
+    wide = [(d, 1 + d, 97) for d in range(40)]  # more bits than one column has
+    got_wide = ingest.extracted(spark.createDataFrame(wide, "doc_id long, start int, stop int"), spark.createDataFrame([*bad], "doc_id long, page_no int"), 97).collect()
+    assert sorted((r.doc_id, r.start, r.stop, r.state, r.calls) for r in got_wide) == sorted(x for w in wide for x in halved(*w))
+    assert "sequence(start" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_numbers_run_within_each_group_whatever_the_ranges(spark):
     rows = [(k, "a" if k % 3 else "b", None if k % 50 == 0 else "r") for k in range(500)]
     df = spark.createDataFrame(rows, "id long, d string, r string").repartition(7)
