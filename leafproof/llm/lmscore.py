@@ -173,15 +173,24 @@ class Vocabulary:
 
     def encode(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class, slot, listed token or -1) of token hashes."""
-        slot = h & np.uint32(len(self.at) - 1)
-        at = self.at.take(slot)
+        slot = (h & np.uint32(len(self.at) - 1)).astype(np.int64)
+        at = self.at.take(slot).astype(np.int64)
         at[self.listed.take(at, mode="clip") != h] = -1
-        classes = np.where(at >= 0, self.classes.take(at, mode="clip"), self.words + slot % np.uint32(self.buckets))
-        return classes.astype(np.int64), slot, at
+        classes, other = self.classes.take(at, mode="clip"), np.flatnonzero(at < 0)
+        classes[other] = self.words + slot[other] % self.buckets
+        return classes, slot, at
+
+    def encode_texts(self, ids: pd.Series) -> pd.Series:
+        """Each text's classes as little-endian 16-bit integers, of its token hashes; all texts are looked up at once."""
+        ends = np.cumsum([len(x) for x in ids], dtype=np.int64) // 2  # bytes of classes up to each text's end
+        told = self.encode(np.frombuffer(b"".join(ids), "<u4"))[0].astype("<u2").tobytes()
+        return pd.Series([told[a:b] for a, b in zip([0, *ends[:-1]], ends)], ids.index, dtype=object)
 
     def shares(self, slot: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The log of the token's share in its class."""
-        return np.where(at >= 0, self.inside.take(at, mode="clip"), self.slot_inside.take(slot))
+        out, other = self.inside.take(at, mode="clip"), np.flatnonzero(at < 0)
+        out[other] = self.slot_inside.take(slot[other])
+        return out
 
 
 def learn_vocabulary(counts: DataFrame, s: Settings) -> tuple[Vocabulary, np.ndarray, int]:
@@ -249,6 +258,9 @@ class Network:
         self.first = np.searchsorted(group[order], np.arange(self.groups + 1))
         self.place = np.empty(self.size, dtype=np.int64)
         self.place[order] = np.arange(self.size)  # class -> row of O
+        self.sizes = np.diff(self.first)
+        self.rows = [slice(i, j) for i, j in zip(self.first[:-1].tolist(), self.first[1:].tolist())]  # group -> rows of O
+        self.ones = np.ones(max(self.groups, int(self.sizes.max())), dtype=np.float32)
         n, m, at = len(OFFSETS), self.size + 1, 0
         self.parts = []
         for shape in ((n, m, HIDDEN), (HIDDEN,), (self.groups, HIDDEN), (self.groups,), (self.size, HIDDEN), (self.size,)):
@@ -256,6 +268,8 @@ class Network:
             self.parts.append(flat[at : at + k].reshape(shape))
             at += k
         self.e, self.b, self.g, self.gc, self.o, self.c = self.parts
+        self.rows_of_e = self.e.reshape(-1, HIDDEN)
+        self.rest = flat[self.e.size : at]  # all but E
 
     @classmethod
     def fresh(cls, share: np.ndarray, seed: int) -> Network:
@@ -275,20 +289,34 @@ class Network:
         line = np.concatenate([x for t in texts for x in (edge, t)] + [edge]).astype(np.int64)
         return line, np.flatnonzero(line < self.size)
 
+    def contexts(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """(offset, place) -> row of E, all offsets' rows counted through."""
+        return np.stack([line.take(at + k) + j * (self.size + 1) for j, k in enumerate(OFFSETS)])
+
     def hidden(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
-        h = self.e[0].take(line[at + OFFSETS[0]], axis=0)
-        for j, k in enumerate(OFFSETS[1:], 1):
-            h += self.e[j].take(line[at + k], axis=0)
-        h += self.b
-        return np.tanh(h, out=h)
+        return self._hidden(self.contexts(line, at))
 
-    def by_group(self, line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
-        """(at in the order of its classes' groups, those groups, (group, its stretch of at) of each)."""
+    def _hidden(self, contexts: np.ndarray) -> np.ndarray:
+        """Hidden values; tanh x is 1 - 2 / (exp 2x + 1), whose exp is the faster one."""
+        h = self.rows_of_e.take(contexts[0], axis=0)
+        for c in contexts[1:]:
+            h += self.rows_of_e.take(c, axis=0)
+        h += self.b
+        h += h
+        with np.errstate(over="ignore"):  # infinite: tanh is 1
+            np.exp(h, out=h)
+        h += np.float32(1)
+        np.divide(np.float32(-2), h, out=h)
+        h += np.float32(1)
+        return h
+
+    def by_group(self, line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, slice]]]:
+        """(at in the order of its classes' groups, those groups, (stretch of at, the group's rows of O) of each)."""
         own = self.group[line[at]].astype(np.uint16)
         order = np.argsort(own, kind="stable")
         own = own[order]
-        ends = np.searchsorted(own, np.arange(self.groups + 1))
-        return order, own, [(int(k), slice(ends[k], ends[k + 1])) for k in np.flatnonzero(np.diff(ends))]
+        ends = np.searchsorted(own, np.arange(self.groups + 1)).tolist()
+        return order, own.astype(np.int64), [(slice(ends[k], ends[k + 1]), self.rows[k]) for k in range(self.groups) if ends[k] < ends[k + 1]]
 
     def log_probs(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The log-probability of the class at each place, from its neighbours alone."""
@@ -298,12 +326,9 @@ class Network:
             here = at[a : a + STEP]
             order, own, stretches = self.by_group(line, here)
             here = here[order]
-            h, place = self._with_one(self.hidden(line, here))[1], self.place[line[here]]
-            total = np.concatenate([self._own(self._logits(top, h[:, rows], safe), own[rows]) for rows in self._parts(len(here))])
-            for k, rows in stretches:
-                i, j = self.first[k], self.first[k + 1]
-                total[rows] += self._own(self._logits(low[i:j], h[:, rows], safe), place[rows] - i)
-            out[a + order] = total
+            one, place = self._with_one(self.hidden(line, here)), self.place[line[here]]
+            total = np.concatenate([self._own(*self._top(one[rows], top, own[rows], safe)) for rows in self._parts(len(here))])
+            out[a + order] = total + self._own(*self._low(one, low, own, place, stretches, safe))
         return out
 
     def safe(self) -> bool:
@@ -317,33 +342,52 @@ class Network:
         return [slice(a, min(n, a + CACHED)) for a in range(0, n, CACHED)]
 
     @staticmethod
-    def _with_one(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hidden values with a column of ones, which meets the biases, the same transposed)."""
+    def _with_one(h: np.ndarray) -> np.ndarray:
+        """Hidden values with a column of ones, which meets the biases."""
         one = np.ones((len(h), h.shape[1] + 1), dtype=np.float32)
         one[:, :-1] = h
-        return one, one.T.copy()
+        return one
 
     @staticmethod
-    def _logits(weights: np.ndarray, across: np.ndarray, safe: bool) -> np.ndarray:
-        """A column of logits for each position, less its largest one unless they are safe."""
-        z = weights @ across
+    def _logits(one: np.ndarray, weights: np.ndarray, safe: bool, out: np.ndarray) -> np.ndarray:
+        """A row of logits for each position, less its largest one unless they are safe."""
+        np.dot(one, weights.T, out=out)
         if not safe:
-            z -= z.max(axis=0)
-        return z
+            out -= out.max(axis=1, keepdims=True)
+        return out
 
-    @staticmethod
-    def _own(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log softmax of each column at its target."""
-        own = z[target, np.arange(len(target))].astype(np.float64)
-        return own - np.log(np.exp(z, out=z).sum(axis=0))
+    def _top(self, one: np.ndarray, top: np.ndarray, own: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(own logits, sums, exp of all logits, where the own ones are in these) of the groups."""
+        z = self._logits(one, top, safe, np.empty((len(one), self.groups), dtype=np.float32))
+        flat = z.reshape(-1)
+        mine = np.arange(0, len(flat), self.groups)
+        mine += own
+        logits = flat.take(mine)
+        np.exp(z, out=z)
+        return logits, z @ self.ones[: self.groups], mine, z
+
+    def _low(self, one: np.ndarray, low: np.ndarray, own: np.ndarray, place: np.ndarray, stretches: list[tuple[slice, slice]], safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The same of the classes in the own groups: each position has a row as long as its group, all in one array; its
+        pieces, one for each stretch, are the last value."""
+        sizes = self.sizes[own]
+        ends = np.cumsum(sizes)
+        flat, pieces, sums = np.empty(ends[-1] if len(ends) else 0, dtype=np.float32), [], np.empty(len(one), dtype=np.float32)
+        mine, a = ends - sizes, 0
+        mine += place - self.first[own]
+        for rows, inner in stretches:
+            shape = rows.stop - rows.start, inner.stop - inner.start
+            pieces.append(self._logits(one[rows], low[inner], safe, flat[a : a + shape[0] * shape[1]].reshape(shape)))
+            a += shape[0] * shape[1]
+        logits = flat.take(mine)
+        np.exp(flat, out=flat)
+        for (rows, _), z in zip(stretches, pieces):
+            np.dot(z, self.ones[: z.shape[1]], out=sums[rows])
+        return logits, sums, mine, flat, pieces
 
     @staticmethod
-    def _error(z: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
-        """The gradient of the mean loss by the logits, a column for each position."""
-        np.exp(z, out=z)
-        z *= 1 / (n * z.sum(axis=0))
-        z[target, np.arange(len(target))] -= np.float32(1 / n)
-        return z
+    def _own(logits: np.ndarray, sums: np.ndarray, *_) -> np.ndarray:
+        """log softmax at the own logits."""
+        return logits.astype(np.float64) - np.log(sums)
 
     def learn(self, line: np.ndarray, at: np.ndarray, rate: float, seen: Network) -> None:
         """One Adagrad step on a batch; seen: the squared gradients so far. Rows that the batch lacks stay as they are."""
@@ -363,30 +407,66 @@ class Network:
 
         order, own, stretches = self.by_group(line, at)
         at, n = at[order], len(at)
-        h, place = self.hidden(line, at), self.place[line[at]]
-        safe, (one, across) = self.safe(), self._with_one(h)
+        contexts = self.contexts(line, at)
+        h, place = self._hidden(contexts), self.place[line[at]]
+        safe, one = self.safe(), self._with_one(h)
         top, low = np.column_stack([self.g, self.gc]), np.column_stack([self.o, self.c])
-        dh, dg, do = np.empty_like(h), np.zeros_like(top), np.zeros_like(low)
+        dh, dg, do = np.zeros((n + 1, HIDDEN), dtype=np.float32), np.zeros_like(top), np.zeros_like(low)  # the last row of dh stays 0
+        # the gradient by the logits is (exp / sum - own) / n: exp less the sum at the own place, and 1 / (n sum) later
         for rows in self._parts(n):
-            d = self._error(self._logits(top, across[:, rows], safe), own[rows], n)
-            np.dot(d.T, self.g, out=dh[rows])
-            dg += d @ one[rows]
-        for k, rows in stretches:
-            i, j = self.first[k], self.first[k + 1]
-            d = self._error(self._logits(low[i:j], across[:, rows], safe), place[rows] - i, n)
-            dh[rows] += d.T @ self.o[i:j]
-            np.dot(d, one[rows], out=do[i:j])
-        dh *= 1 - h * h
-        for value, past, grad in ((self.g, seen.g, dg[:, :-1]), (self.gc, seen.gc, dg[:, -1]), (self.o, seen.o, do[:, :-1]), (self.c, seen.c, do[:, -1]), (self.b, seen.b, dh.sum(axis=0))):
-            step(value, past, grad)
-        pairs = np.ascontiguousarray(dh, dtype=np.float32).view(np.complex64)
-        for j, k in enumerate(OFFSETS):
-            context = line[at + k]
-            order = np.argsort(context.astype(np.uint16), kind="stable")
-            context = context[order]
-            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            # as pairs: a sum of complex numbers is two sums
-            step(self.e[j], seen.e[j], np.add.reduceat(pairs.take(order, axis=0), first, axis=0).view(np.float32), context[first])
+            _, sums, mine, z = self._top(one[rows], top, own[rows], safe)
+            z.reshape(-1)[mine] -= sums
+            part = (1 / (n * sums))[:, None]
+            np.multiply(z @ self.g, part, out=dh[rows])
+            dg += z.T @ (one[rows] * part)
+        _, sums, mine, flat, pieces = self._low(one, low, own, place, stretches, safe)
+        flat[mine] -= sums
+        part = (1 / (n * sums))[:, None]
+        one *= part
+        inner = np.empty_like(h)
+        for (rows, k), z in zip(stretches, pieces):
+            np.dot(z, self.o[k], out=inner[rows])
+            np.dot(z.T, one[rows], out=do[k])
+        inner *= part
+        dh[:-1] += inner
+        h *= h
+        np.subtract(np.float32(1), h, out=h)
+        dh[:-1] *= h
+        rest = np.concatenate([dh.sum(axis=0), dg[:, :-1].ravel(), dg[:, -1], do[:, :-1].ravel(), do[:, -1]])
+        step(self.rest, seen.rest, rest)
+        step(self.rows_of_e, seen.rows_of_e, *sums_of(dh, contexts))
+
+
+def sums_of(x: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the rows of x that have a key, the keys, each once). keys has several rows, of a key for each row of x
+    but the last one, which is zeros.
+
+    Rows of a key are added four by four, as whole rows; what is left for reduceat, which goes column by column, are the
+    fours of keys that have more than one."""
+    n = keys.shape[1]
+    bits = n.bit_length()
+    both = ((keys << bits) | np.arange(n)).ravel().astype(np.uint32 if int(keys.max()) + 1 << bits < 1 << 32 else np.uint64)
+    both.sort()
+    key, order = (both >> bits).astype(np.int64), (both & ((1 << bits) - 1)).astype(np.int64)
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    count = np.diff(ends, prepend=0)
+    more = count > 4
+    which = np.concatenate([np.flatnonzero(more), np.flatnonzero(~more)])
+    ends, count, some = ends[which], count[which], int(more.sum())
+    fours = (count + 3) >> 2
+    begin = np.cumsum(fours) - fours
+    split = begin[some] if some < len(begin) else fours.sum()
+    row = np.arange(0, 4 * int(fours.sum()), 4) + np.repeat(ends - count - 4 * begin, fours)
+    last = np.repeat(ends, fours)
+    total = x.take(order.take(row), axis=0)
+    for _ in range(3):
+        row += 1
+        total += x.take(np.where(row < last, order.take(row, mode="clip"), n), axis=0)
+    if some:
+        # as pairs: a sum of complex numbers is two sums
+        longer = np.add.reduceat(total[:split].view(np.complex64), begin[:some], axis=0).view(np.float32)
+        total = np.concatenate([longer, total[split:]])
+    return total, key[ends - 1]
 
 
 def train_part(flat: np.ndarray, group: np.ndarray, texts: list[np.ndarray], s: Settings, turn: int) -> tuple[np.ndarray, int]:
@@ -445,7 +525,7 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     @F.pandas_udf("binary")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield b.map(lambda x: words.value.encode(np.frombuffer(x, "<u4"))[0].astype("<u2").tobytes())
+            yield words.value.encode_texts(b)
 
     dealt = texts.select(F.pmod("part_key", F.lit(parts)).alias("part"), "part_key", encoded("ids").alias("classes"))
     for turn in range(s.stride if total else 0):

@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,58 @@ def test_a_softmax_takes_a_maximum_off_only_where_logits_may_be_large():
         line, at = net.joined(texts)
         assert np.allclose(net.log_probs(line, at), plain(net, line, at), rtol=1e-3, atol=1e-3)
         assert np.isfinite(lmscore.train_part(net.flat, net.group, texts, lmscore.Settings(), 0)[0]).all()
+
+
+def test_rows_of_a_key_are_added_up_however_many_there_are():
+    rng = np.random.default_rng(4)
+    for keys in (rng.zipf(1.3, (6, 900)) % 500, np.zeros((2, 1), int), np.full((1, 8), 3), np.arange(40).reshape(2, 20), np.repeat(np.arange(9), np.arange(1, 10))[None], rng.integers(0, 2**40, (2, 300))):
+        x = np.zeros((keys.shape[1] + 1, 4), dtype=np.float32)
+        x[:-1] = rng.normal(size=(keys.shape[1], 4))
+        got, which = lmscore.sums_of(x, keys)
+        assert sorted(which.tolist()) == np.unique(keys).tolist()
+        for row, k in zip(got, which):
+            assert np.allclose(row, sum(x[:-1][r == k].sum(axis=0, dtype=float) for r in keys), atol=1e-4)
+
+
+def test_a_batch_of_texts_is_looked_up_once(monkeypatch):
+    h = np.array([5, 9, 70, 133], dtype=np.uint32)
+    at = np.full(64, -1, dtype=np.int32)
+    at[h[:3] % 64] = np.arange(3)  # 133 falls into the slot of 5
+    v = lmscore.Vocabulary(h[:3], np.array([0, 1, 3]), np.array([0, 0, -0.5]), at, np.arange(64).astype(np.float16), 2, 4)
+    texts = [np.random.default_rng(k).choice(h, k) for k in (7, 0, 1, 0, 30)]
+    want, calls, encode = [v.encode(t)[0].astype("<u2").tobytes() for t in texts], [], lmscore.Vocabulary.encode
+    monkeypatch.setattr(lmscore.Vocabulary, "encode", lambda self, x: calls.append(len(x)) or encode(self, x))
+    assert v.encode_texts(pd.Series([t.tobytes() for t in texts], index=[4, 4, 0, 2, 9])).tolist() == want and calls == [38]
+    assert v.encode_texts(pd.Series([], dtype=object)).tolist() == []
+    classes, *where = encode(v, h)
+    assert classes.tolist() == [0, 1, 3, 2 + 5 % 4] and v.shares(*where).tolist() == [0, 0, -0.5, 5]
+
+
+@pytest.mark.filterwarnings("error")
+def test_a_step_has_the_gradient_of_the_definition_also_where_logits_are_far_apart():
+    ids = np.random.default_rng(11).integers(0, 40, 60)
+    for far in (1, 300):
+        net = random_net(scale=0.3)
+        net.g[:] *= far
+        net.o[:] *= far
+        net.b[0] = 50 * far  # the hidden value is 1
+        assert net.safe() is (far == 1)
+        line, at = net.joined([ids])
+        base, seen = net.flat.copy(), lmscore.Network(np.zeros_like(net.flat), net.group)
+        net.learn(line, at, 0.0, seen)
+        assert (net.flat == base).all()
+        want = lmscore.Network(np.zeros(len(base)), net.group)
+        for t in at:
+            h, own = net.b.astype(float), int(net.group[line[t]])
+            for j, k in enumerate(lmscore.OFFSETS):
+                h = h + net.e[j][line[t + k]]
+            h, (i, j) = np.tanh(h), net.first[own : own + 2]
+            top, low = np.exp(log_softmax(net.g @ h + net.gc)), np.exp(log_softmax(net.o[i:j] @ h + net.c[i:j]))
+            top[own] -= 1
+            low[net.place[line[t]] - i] -= 1
+            dh = (top @ net.g + low @ net.o[i:j]) * (1 - h * h)
+            for value, d in ((want.g, np.outer(top, h)), (want.gc, top), (want.o[i:j], np.outer(low, h)), (want.c[i:j], low), (want.b, dh)):
+                value += d / len(at)
+            for j, k in enumerate(lmscore.OFFSETS):
+                want.e[j][line[t + k]] += dh / len(at)
+        assert np.allclose(np.sqrt(seen.flat), np.abs(want.flat), atol=1e-5 * far, rtol=1e-3)
